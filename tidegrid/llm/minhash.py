@@ -10,12 +10,13 @@ member, its hub, never each with each:
 
 1. a class with the hub that it shares most bands with; links join classes to components;
 2. a class with its other hubs, where that could still join two components;
-3. members of a bucket in different components with one another, unless sizes or the distances to their hub
-   (a metric: they may differ by 1 - threshold at most) rule a link out.
+3. members of a bucket in different components with one another, inside the tasks that hold the bucket: pairs
+   whose sizes or signatures still allow a link are compared on full sets, most alike first, and only links that
+   join two components leave the task.
 
-So a large group of near copies costs a few comparisons a class, and every candidate pair is either in one
-component, or compared, or ruled out exactly. With 26 bands of 4 a pair at the threshold of 0.8 is missed
-with a probability of about one in a million.
+So a large group of near copies costs a few rows a class, and every candidate pair is in one component, or
+compared, or ruled out. With 26 bands of 4 a pair at the threshold of 0.8 misses every band with a probability
+of about one in a million, and as seldom agrees on so few coordinates (60 %) that step 3 leaves it out.
 
 Scale: signatures, links and components are tables in the shared folder and never on the driver. Only texts of
 classes that share a bucket are shuffled. A hub with many partners is dealt over tasks by partner.
@@ -41,6 +42,10 @@ SIZE, BANDS, ROWS, UNIVERSE = 4, 26, 4, 1 << 20
 LATEST = (1 << 63) - 1
 #: Partners of a hub that one group of rows holds.
 SALTED = 512
+#: Members of a bucket that a task compares with one another; larger buckets are dealt as pairs of blocks.
+BLOCK = 1500
+#: Share of agreeing coordinates under which step 3 leaves a pair out.
+AGREEING = 0.6
 
 
 def shingle_sets(texts: pa.Array, size: int = SIZE) -> list[np.ndarray]:
@@ -91,7 +96,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def signatures(docs: DataFrame, size: int = SIZE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """id_key, tie, n_shingles, set_key and bands of every document; the last two null for empty sets."""
+    """id_key, tie, n_shingles, set_key, bands and low (each coordinate's low byte); the last three null for empty sets."""
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,15 +104,16 @@ def signatures(docs: DataFrame, size: int = SIZE, bands: int = BANDS, rows: int
         for batch in steps(batches, "text", 4 << 20):
             sets = shingle_sets(texts_of(batch), size)
             some = [s for s in sets if len(s)]
-            keys = band_keys(np.stack([circulant.signature(s) for s in some]), bands, rows) if some else np.zeros((0, bands), np.int64)
+            signed = np.stack([circulant.signature(s) for s in some]) if some else np.zeros((0, bands * rows), np.int32)
+            keys, low = band_keys(signed, bands, rows), iter(signed.astype(np.uint8))
             there = np.array([len(s) > 0 for s in sets])
             offsets = pa.array(np.concatenate([[0], np.cumsum(there * bands)]), pa.int32(), mask=np.append(~there, False))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))],
-                names=["id_key", "tie", "n_shingles", "set_key", "bands"],
+                [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel())), pa.array([next(low).tobytes() if len(s) else None for s in sets], pa.binary())],
+                names=["id_key", "tie", "n_shingles", "set_key", "bands", "low"],
             )
 
-    return _keyed(docs).mapInArrow(run, "id_key long, tie long, n_shingles long, set_key binary, bands array<long>")
+    return _keyed(docs).mapInArrow(run, "id_key long, tie long, n_shingles long, set_key binary, bands array<long>, low binary")
 
 
 def _overlaps(size: int):
@@ -142,6 +148,71 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int = SIZE) -> DataFrame:
     return rows.mapInArrow(_overlaps(size), "node long, hub long, common long, either long")
 
 
+def _possible(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows of one bucket in different components that may be linked, and on how many coordinates they agree.
+
+    A pair counts in the first bucket that it shares, and between blocks a and b only when it lies in both."""
+    n = table.num_rows
+    bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(n, -1)
+    low = np.frombuffer(b"".join(table["low"].to_pylist()), np.uint8).reshape(n, -1)
+    size, component, own = (table[c].to_numpy() for c in ("n", "component", "own"))
+    a, b, bucket = (table[c][0].as_py() for c in ("a", "b", "bucket"))
+    first = int(np.flatnonzero(bands[0] == bucket)[0])
+    left, right, agree = [], [], []
+    for i in np.flatnonzero(own == a).tolist():
+        others = component != component[i]
+        others &= (np.arange(n) > i) if a == b else (own == b)
+        others &= np.minimum(size, size[i]) * 100 >= np.maximum(size, size[i]) * percent
+        j = np.flatnonzero(others)
+        j = j[~(bands[j, :first] == bands[i, :first]).any(1)]
+        same = (low[j] == low[i]).sum(1)
+        keep = same >= AGREEING * low.shape[1]
+        left.append(np.full(int(keep.sum()), i))
+        right.append(j[keep])
+        agree.append(same[keep])
+    if not left:
+        return (np.zeros(0, np.int64),) * 3
+    return np.concatenate(left), np.concatenate(right), np.concatenate(agree)
+
+
+def _still_open(percent: int):
+    """Of one bucket (or pair of blocks): the members that may still be linked with one of another component."""
+
+    def run(table: pa.Table) -> pa.Table:
+        left, right, _ = _possible(table, percent)
+        return table.take(pa.array(np.unique(np.concatenate([left, right]))))
+
+    return run
+
+
+def _joining(percent: int, size: int):
+    """Links between members of one bucket that join two components, confirmed on full sets."""
+
+    def run(table: pa.Table) -> pa.Table:
+        left, right, agree = _possible(table, percent)
+        sets = shingle_sets(table["text"].combine_chunks().cast(pa.large_string()), size)
+        nodes, parent = table["node"].to_pylist(), {c: c for c in table["component"].to_pylist()}
+        component = table["component"].to_pylist()
+
+        def root(c: int) -> int:
+            while parent[c] != c:
+                parent[c] = c = parent[parent[c]]
+            return c
+
+        found = []
+        order = np.argsort(-agree, kind="stable")
+        for i, j in zip(left[order].tolist(), right[order].tolist(), strict=True):
+            p, q = root(component[i]), root(component[j])
+            if p != q:
+                either = len(np.union1d(sets[i], sets[j]))
+                if (len(sets[i]) + len(sets[j]) - either) * 100 >= either * percent:
+                    parent[max(p, q)] = min(p, q)
+                    found.append((nodes[i], nodes[j]))
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    return run
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """node and component (the least node reachable) for links of a and b; nodes without a link don't appear.
 
@@ -165,8 +236,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = SIZE, bands:
     filled = signed.where("n_shingles > 0")
     # A class's node is its least doc_id; among rows of that id the least text hash says which text stands for it.
     classes = written(
-        filled.groupBy("set_key").agg(F.min(F.struct("id_key", "tie")).alias("least"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-        .select("set_key", F.col("least.id_key").alias("node"), F.col("least.tie").alias("tie"), "n", "bands"),
+        filled.groupBy("set_key").agg(F.min(F.struct("id_key", "tie")).alias("least"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("low").alias("low"))
+        .select("set_key", F.col("least.id_key").alias("node"), F.col("least.tie").alias("tie"), "n", "bands", "low"),
         "classes",
     )
     members = classes.select("node", "n", F.explode("bands").alias("bucket"))
@@ -192,23 +263,19 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = SIZE, bands:
     # 2. The other hubs.
     rest = labelled(labelled(stars.join(best, ["node", "hub"], "left_anti"), labels, "node"), labels, "hub")
     more = written(verified(rest.where("node_component <> hub_component").select("node", "hub"), texts, size), "tried")
-    links, tried = links.unionByName(is_link(more)), tried.unionByName(more)
+    links = links.unionByName(is_link(more))
     labels = components(links)
-    # 3. Members of a bucket beyond its hub.
-    distance = tried.select("node", "hub", (F.lit(1.0) - F.col("common") / F.col("either")).alias("distance"))
-    inside = labelled(shared.where("n_members > 2 and node <> hub"), labels, "node").join(distance, ["node", "hub"], "left")
+    # 3. Members of a bucket in different components.
+    inside = labelled(shared.where("n_members > 2").select("bucket", "node", "n_members"), labels, "node")
     mixed = inside.groupBy("bucket").agg((F.min("node_component") != F.max("node_component")).alias("mixed")).where("mixed").select("bucket")
-    inside = inside.join(mixed, "bucket").select("bucket", "node", "n", "node_component", "distance")
-    other = inside.select("bucket", *[F.col(c).alias(f"other_{c}") for c in ("node", "n", "node_component", "distance")])
-    far = F.abs(F.col("distance") - F.col("other_distance")) > (100 - percent) / 100 + 1e-9
-    cross = (
-        inside.join(other, "bucket")
-        .where("node > other_node and node_component <> other_node_component")
-        .where((F.least("n", "other_n") * 100 >= F.greatest("n", "other_n") * percent) & ~F.coalesce(far, F.lit(False)))
-        .select("node", F.col("other_node").alias("hub")).distinct()
-    )
-    cross = written(verified(cross, texts, size), "tried")
-    found = is_link(cross)
+    inside = inside.join(mixed, "bucket").join(classes.select("node", "n", "bands", "low"), "node")
+    blocks = F.ceil(F.col("n_members") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    pairs_of = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(k, own).alias("a"), F.greatest(k, own).alias("b")))
+    inside = inside.withColumn("own", own).withColumn("pair", F.explode(pairs_of))
+    inside = inside.select("bucket", "pair.a", "pair.b", "own", "node", "n", F.col("node_component").alias("component"), "bands", "low")
+    open_ = written(inside.groupBy("bucket", "a", "b").applyInArrow(_still_open(percent), "bucket long, a int, b int, own int, node long, n long, component long, bands array<long>, low binary"), "open")
+    found = written(open_.join(texts, "node").groupBy("bucket", "a", "b").applyInArrow(_joining(percent, size), "a long, b long"), "found")
     if not found.isEmpty():
         labels = components(links.unionByName(found))
     named = labelled(classes.select("set_key", "node"), labels, "node").select("set_key", F.col("node_component").alias("component"))
