@@ -17,6 +17,8 @@ from tidegrid.llm.common import Words, spawn_env, spread
 
 #: White space before a space: the space doesn't start a unit then.
 _RUN = r"[\s\pZ\x{1c}-\x{1f}\x{85}] "
+#: Units that a worker remembers with their ids; beyond it starts afresh.
+REMEMBERED = 600_000
 _SPACE = "\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _CHUNK = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 
@@ -29,7 +31,7 @@ class Units:
 
 
 def word_units(texts: pa.Array) -> Units:
-    words = Words(texts)
+    words = Words(pc.ascii_lower(texts))  # such vocabularies ignore case
     return Units(words.names.to_pylist(), words.index, words.offsets)
 
 
@@ -65,7 +67,7 @@ def spaced_units(texts: pa.Array) -> Units:
 
 
 class TokenizerCodec:
-    """Ids by a file of the tokenizers library; ``spaced``: for byte-level patterns, else white space is dropped."""
+    """Ids by a file of the tokenizers library; ``spaced``: for byte-level patterns, else one that drops white space and case."""
 
     def __init__(self, path: str, spaced: bool):
         spawn_env()
@@ -74,21 +76,36 @@ class TokenizerCodec:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.units = spaced_units if spaced else word_units
+        self._forget()
+
+    def _numbers(self, names: list[str]) -> np.ndarray:
+        """Each unit's number in what this worker remembers; units it hasn't seen are encoded."""
+        if len(self.known) > REMEMBERED:
+            self._forget()
+        new = list(dict.fromkeys(n for n in names if n not in self.known))
+        ids, lengths = [], []
+        for k in range(0, len(new), 8192):
+            for e in self.tokenizer.encode_batch_fast(new[k : k + 8192], add_special_tokens=False):
+                own = e.ids
+                ids += own
+                lengths.append(len(own))
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        self.flat = np.concatenate([self.flat, np.array(ids, np.uint32)])
+        self.lengths = np.concatenate([self.lengths, np.array(lengths, np.int64)])
+        return np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after another, and each text's number of ids."""
         units = self.units(texts)
-        ids, lengths = [], []
-        for k in range(0, len(units.names), 8192):
-            for e in self.tokenizer.encode_batch_fast(units.names[k : k + 8192], add_special_tokens=False):
-                ids.append(np.array(e.ids, np.uint32))
-                lengths.append(len(ids[-1]))
-        lengths = np.array(lengths, np.int64)
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-        starts = np.cumsum(lengths) - lengths
-        of_unit = lengths[units.index]
+        number = self._numbers(units.names)[units.index] if len(units.index) else units.index
+        starts = np.cumsum(self.lengths) - self.lengths
+        of_unit = self.lengths[number]
         before = np.concatenate([[0], np.cumsum(of_unit)])
-        return flat[spread(of_unit, starts[units.index])], np.diff(before[units.offsets])
+        return self.flat[spread(of_unit, starts[number])], np.diff(before[units.offsets])
 
 
 def with_end(ids: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
