@@ -7,19 +7,26 @@ no match of the pattern spans such a place and none looks beyond it.
 
 from __future__ import annotations
 
+import gc
+import json
 import re
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 
 from tidegrid.llm.common import Words, spawn_env, spread
 
 #: White space before a space: the space doesn't start a unit then.
 _RUN = r"[\s\pZ\x{1c}-\x{1f}\x{85}] "
 #: Units that a worker remembers with their ids; beyond it starts afresh.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
+#: Fixed value: the pattern of byte-level pre-tokenizers.
+BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _SPACE = "\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: Printable ASCII and the letters of Latin-1.
+_PLAIN = re.compile("[ -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*").fullmatch
 _CHUNK = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 
 
@@ -76,7 +83,39 @@ class TokenizerCodec:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.units = spaced_units if spaced else word_units
+        self.split = self._pattern(path).findall
+        # Bytes as the characters that stand for them in byte-level vocabularies.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.shown = {b: b for b in shown} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in shown)}
+        self.pieces: dict[str, list[int]] = {}
         self._forget()
+        gc.disable()  # millions of small lists and strings, no cycles
+
+    @staticmethod
+    def _pattern(path: str) -> regex.Pattern:
+        """The pattern by which the file's pre-tokenizer splits."""
+        with open(path) as f:
+            pre = json.load(f)["pre_tokenizer"]
+        steps = pre.get("pretokenizers", [pre])
+        own = [s["pattern"]["Regex"] for s in steps if s["type"] == "Split"]
+        return regex.compile(own[0] if own else BYTE_LEVEL)
+
+    def _encode(self, unit: str) -> list[int]:
+        """The ids of a unit: its matches, each by the library's model; unusual characters by the whole library."""
+        if not _PLAIN(unit):
+            return self.tokenizer.encode(unit, add_special_tokens=False).ids
+        if self.tokenizer.normalizer and not unit.isascii():
+            unit = self.tokenizer.normalizer.normalize_str(unit)
+        out: list[int] = []
+        for match in self.split(unit):
+            ids = self.pieces.get(match)
+            if ids is None:
+                if len(self.pieces) >= REMEMBERED:
+                    self.pieces.clear()
+                shown = match.encode().decode("latin-1").translate(self.shown)
+                ids = self.pieces[match] = [t.id for t in self.tokenizer.model.tokenize(shown)]
+            out += ids
+        return out
 
     def _numbers(self, names: list[str]) -> np.ndarray:
         """Each unit's number in what this worker remembers; units it hasn't seen are encoded."""
@@ -84,11 +123,10 @@ class TokenizerCodec:
             self._forget()
         new = list(dict.fromkeys(n for n in names if n not in self.known))
         ids, lengths = [], []
-        for k in range(0, len(new), 8192):
-            for e in self.tokenizer.encode_batch_fast(new[k : k + 8192], add_special_tokens=False):
-                own = e.ids
-                ids += own
-                lengths.append(len(own))
+        for unit in new:
+            own = self._encode(unit)
+            ids += own
+            lengths.append(len(own))
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
         self.flat = np.concatenate([self.flat, np.array(ids, np.uint32)])
         self.lengths = np.concatenate([self.lengths, np.array(lengths, np.int64)])
