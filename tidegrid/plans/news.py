@@ -1 +1,105 @@
-"""Queries."""
+"""Queries over pages and events: canonical URLs, links, content hashes, merges, run reports."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidegrid.functions import urls
+from tidegrid.operators.merge import merge_articles, newest
+from tidegrid.plans.registry import query
+from tidegrid.sources.tables import table
+
+_CANON = """lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) || '://' || lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]+)', 1))
+  || CASE WHEN regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]+([^?#]*)', 1), '/+$', '') = '' THEN '/' ELSE regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]+([^?#]*)', 1), '/+$', '') END
+  || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END"""
+_PAGES = f"""p AS (SELECT page_id, {_CANON} AS url, html FROM (SELECT *, list_filter(string_split(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1), '&'),
+  lambda x: x <> '' AND lower(string_split(x, '=')[1]) NOT IN ('spm','from','source','ref','referrer','gclid','fbclid') AND NOT starts_with(lower(x), 'utm_')) AS q FROM pages)),
+  h AS (SELECT page_id, url, sha256(lower(trim(regexp_replace(regexp_extract(html, '<title>(.*?)</title>', 1) || chr(10) || regexp_extract(html, '<h1>(.*?)</h1>', 1), '\\s+', ' ', 'g')))) AS content_hash FROM p)"""
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, canonical url, title and content_hash (of title and headline)."""
+    title, head = F.regexp_extract("html", r"<title>(.*?)</title>", 1), F.regexp_extract("html", r"<h1>(.*?)</h1>", 1)
+    return table(spark, sf_dir, "pages").select("page_id", urls.canonical_url(F.col("url")).alias("url"), title.alias("title"), urls.content_hash(title, head).alias("content_hash"))
+
+
+@query(f"WITH {_PAGES} SELECT page_id, url FROM p")
+def url_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pages(spark, sf_dir).select("page_id", "url")
+
+
+@query(
+    """WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS link FROM pages),
+    a AS (SELECT page_id, CASE WHEN starts_with(link, '/') THEN regexp_extract(url, '^([A-Za-z]+://[^/?#]+)', 1) || link ELSE link END AS link FROM l)
+    SELECT DISTINCT page_id, link FROM a WHERE regexp_matches(lower(regexp_extract(link, '^[A-Za-z]+://([^/?#:]+)', 1)), '(^|[.])example[.](com|org)$') AND NOT regexp_matches(lower(regexp_extract(link, '^[A-Za-z]+://[^/?#]+([^?#]*)', 1)), '[.](jpg|jpeg|png|gif|webp|svg|pdf|zip|rar|7z|doc|docx|xls|xlsx)$')"""
+)
+def link_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct links of each page that stay on two domains and lead to pages."""
+    rows = table(spark, sf_dir, "pages").select("page_id", "url", F.explode(urls.links(F.col("html"))).alias("link"))
+    rows = rows.select("page_id", urls.absolute(F.col("link"), F.col("url")).alias("link")).distinct()
+    return rows.where(urls.is_allowed(F.col("link"), ["example.com", ".example.org"]) & urls.is_page(F.col("link")))
+
+
+@query(f"WITH {_PAGES} SELECT content_hash, min(page_id) AS first_page, count(*) AS n_pages FROM h GROUP BY 1")
+def content_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pages(spark, sf_dir).groupBy("content_hash").agg(F.min("page_id").alias("first_page"), F.count(F.lit(1)).alias("n_pages"))
+
+
+@query(
+    f"""WITH {_PAGES}, s AS (SELECT url, content_hash FROM h WHERE page_id % 3 = 0 QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1),
+    c AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY page_id) AS nu, row_number() OVER (PARTITION BY content_hash ORDER BY page_id) AS nh FROM h WHERE page_id % 3 <> 0 OR page_id % 6 = 0)
+    SELECT page_id AS place, c.url, c.content_hash, CASE WHEN s.content_hash = c.content_hash OR nu > 1 THEN 'duplicate_url' WHEN c.content_hash IN (SELECT content_hash FROM s) OR nh > 1 THEN 'duplicate_content' WHEN s.content_hash IS NOT NULL THEN 'update' ELSE 'insert' END AS operation
+    FROM c LEFT JOIN s ON s.url = c.url"""
+)
+def news_merge_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second crawl merged into the first one's store."""
+    pages = _pages(spark, sf_dir).select("page_id", "url", "content_hash")
+    stored = newest(pages.where("page_id % 3 = 0"), ["url"], [F.col("page_id")]).select("url", "content_hash")
+    crawled = pages.where("page_id % 3 <> 0 or page_id % 6 = 0").withColumnRenamed("page_id", "place")
+    return merge_articles(stored, crawled)
+
+
+@query(
+    """WITH e AS (SELECT date_trunc('day', ts) AS run, CASE WHEN ts < TIMESTAMP '2024-01-03' THEN 'before_start' WHEN ts >= TIMESTAMP '2024-01-20' THEN 'after_end' WHEN event_type = 'error' THEN 'failed' ELSE 'success' END AS status FROM events)
+    SELECT run, count(*) AS requested, count(*) FILTER (status = 'success') AS success, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status IN ('before_start', 'after_end')) AS out_of_range,
+      CASE WHEN count(*) > 0 THEN round(count(*) FILTER (status = 'success') / count(*), 6) ELSE 0 END AS coverage FROM e GROUP BY 1"""
+)
+def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily runs: what came through, failed, or lies outside the asked-for time."""
+    ts = F.col("ts")
+    status = F.when(ts < F.lit("2024-01-03").cast("timestamp"), "before_start").when(ts >= F.lit("2024-01-20").cast("timestamp"), "after_end").when(F.col("event_type") == "error", "failed").otherwise("success")
+    n, ok = F.count(F.lit(1)), F.count_if(F.col("status") == "success")
+    rows = table(spark, sf_dir, "events").select(F.date_trunc("day", ts).alias("run"), status.alias("status"))
+    return rows.groupBy("run").agg(n.alias("requested"), ok.alias("success"), F.count_if(F.col("status") == "failed").alias("failed"), F.count_if(F.col("status").isin("before_start", "after_end")).alias("out_of_range"), F.round(ok / n, 6).alias("coverage"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events WHERE CAST(json_extract_string(props, '$.k') AS INT) >= 90 AND event_type <> 'error'")
+def json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records chosen by a field inside their JSON; broken JSON has no field."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    return table(spark, sf_dir, "events").where("event_type <> 'error'").select("event_id", k.alias("k")).where("k >= 90")
+
+
+@query(
+    """WITH m AS (SELECT doc_id, list_filter(['the', 'ein', 'que', 'est'], lambda k: contains(lower(text), k)) AS matched FROM documents)
+    SELECT doc_id, array_to_string(matched, ',') AS matched, len(matched) = 4 AS matches_all FROM m WHERE list_contains(matched, 'ein') AND len(matched) > 0"""
+)
+def keyword_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keywords that each text holds, kept where a JSON list of them holds one in particular."""
+    keys = F.array(*(F.lit(k) for k in ("the", "ein", "que", "est")))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
+    rows = rows.select("doc_id", F.to_json(F.filter(keys, lambda k: F.contains(F.col("low"), k))).alias("stored"))
+    matched = F.from_json("stored", "array<string>")
+    return rows.where(F.array_contains(matched, "ein")).select("doc_id", F.array_join(matched, ",").alias("matched"), (F.size(matched) == 4).alias("matches_all"))
+
+
+@query(
+    """WITH f AS (SELECT page_id, regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1) AS host, regexp_extract(url, '^[A-Za-z]+://[^/?#]+([^?#]*)', 1) AS path FROM pages)
+    SELECT path, page_id, host FROM f QUALIFY row_number() OVER (PARTITION BY path ORDER BY page_id % 5, page_id) = 1"""
+)
+def feed_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five feeds one after another; the first that lists a path keeps it."""
+    path = F.regexp_extract("url", r"^[A-Za-z]+://[^/?#]+([^?#]*)", 1)
+    rows = table(spark, sf_dir, "pages").select("page_id", urls.host(F.col("url")).alias("host"), path.alias("path"))
+    return newest(rows, ["path"], [F.col("page_id") % 5, F.col("page_id")]).select("path", "page_id", "host")
