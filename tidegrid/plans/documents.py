@@ -1 +1,158 @@
-"""Queries."""
+"""Queries over documents as a knowledge base: sources are the documents' sources, chunks their lines."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidegrid.operators import text as op
+from tidegrid.plans.registry import query
+from tidegrid.sources.tables import table
+
+_LINES = "l AS (SELECT doc_id, source, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents)"
+#: Words in the roles of companies, by alias.
+ALIASES = {"there": "alpha", "thing": "alpha", "ander": "beta", "einheit": "gamma", "schen": "gamma", "ción": "delta", "ement": "epsilon", "tionth": "zeta"}
+_MENTIONS = "m AS (SELECT doc_id, entity, min(place) AS place FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{e}' AS entity, instr(lower(text), '{a}') AS place FROM documents" for a, e in ALIASES.items()) + ") WHERE place > 0 GROUP BY ALL)"
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).where("text is not null").select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+
+
+@query()
+def fixed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping chunks of whole texts; the cuts depend on one another, so tests hold them against plain Python."""
+    return op.fixed_chunks(_docs(spark, sf_dir)).select("doc_id", "chunk_no", "start", F.length("content").alias("n_chars"), F.sha2("content", 256).alias("sha256"))
+
+
+@query(
+    """WITH s AS (SELECT doc_id, source, """
+    + " + ".join(f"CAST(contains(lower(text), '{p}') AS INT)" for p in sorted({"the tion"[i : i + 2] for i in range(7) if " " not in "the tion"[i : i + 2]}))
+    + """ + 100 * CAST(contains(lower(text), 'the tion') AS INT) + 30 * CAST(contains(lower(text), 'the') AS INT) AS score FROM documents) SELECT doc_id, CAST(score AS INT) AS score FROM s WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 50"""
+)
+def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifty documents that answer best to two words (a report, hence the limit)."""
+    rows = _docs(spark, sf_dir).select("doc_id", op.bigram_score(F.coalesce("text", F.lit("")), "the tion").alias("score"))
+    return rows.where("score > 0").orderBy(F.desc("score"), "doc_id").limit(50)
+
+
+_TERMS = ["the", "benchmark", "schichau", "ourereth", "quecióncióncio", "leauxmentere"]
+
+
+@query(
+    "WITH f AS (SELECT source, "
+    + ", ".join(f"max(CAST(contains(lower(text), '{t}') AS INT)) AS t{i}" for i, t in enumerate(_TERMS))
+    + " FROM documents GROUP BY 1), r AS (SELECT source, greatest("
+    + ", ".join(f"CASE WHEN sum(t{i}) OVER () = 1 THEN t{i} ELSE 0 END" for i, t in enumerate(_TERMS) if len(t) >= 4)
+    + ") AS rare FROM f) SELECT source FROM r WHERE (SELECT sum(rare) FROM r) IN (0, (SELECT count(*) FROM r)) OR rare = 1"
+)
+def rare_term_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.rare_term_sources(_docs(spark, sf_dir), "source", _TERMS)
+
+
+@query(
+    """WITH c AS (SELECT doc_id, lang, n_chars, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rk FROM documents), t AS (SELECT * FROM c WHERE rk <= 40),
+    s AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY rk) AS k, min(rk) OVER (PARTITION BY lang) AS f, (SELECT count(DISTINCT lang) FROM t) AS n FROM t),
+    p AS (SELECT *, n > 1 AND k <= greatest(1, least(2, 10 // n)) AS seated FROM s)
+    SELECT doc_id, lang, n_chars, CAST(row_number() OVER (ORDER BY seated DESC, CASE WHEN seated THEN f ELSE 0 END, rk) AS INT) AS seat FROM p QUALIFY seat <= 10"""
+)
+def diversified_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten of the forty longest documents with seats for every language."""
+    order = [F.desc("n_chars"), F.col("doc_id")]
+    hits = _docs(spark, sf_dir).select("doc_id", "lang", "n_chars").orderBy(*order).limit(40)
+    return op.diversified(hits, "lang", order, 10)
+
+
+@query(f"WITH {_LINES}, h AS (SELECT DISTINCT doc_id, line_no FROM l WHERE contains(line, 'tionth')) SELECT DISTINCT l.doc_id, CAST(l.line_no AS INT) AS line_no FROM l JOIN h ON h.doc_id = l.doc_id AND l.line_no BETWEEN h.line_no - 1 AND h.line_no + 1")
+def adjacent_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = _lines(spark, sf_dir).select("doc_id", "line_no", "line")
+    return op.with_neighbours(chunks.where(F.contains("line", F.lit("tionth"))), chunks, "doc_id", "line_no").select("doc_id", "line_no")
+
+
+@query(f"WITH {_LINES}, n AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS next FROM l) SELECT doc_id, CAST(line_no AS INT) AS line_no, CAST(length(line || coalesce(CASE WHEN NOT regexp_matches(line, '[.!?]$') THEN next END, '')) AS INT) AS n_chars FROM n WHERE line <> ''")
+def sentence_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that end inside a sentence take the next one with them."""
+    nxt = F.lead("line").over(Window.partitionBy("doc_id").orderBy("line_no"))
+    rows = _lines(spark, sf_dir).withColumn("next", nxt).where("line <> ''")
+    whole = F.concat("line", F.coalesce(F.when(~F.col("line").rlike(r"[.!?]\z"), F.col("next")), F.lit("")))
+    return rows.select("doc_id", "line_no", F.length(whole).alias("n_chars"))
+
+
+@query(f"WITH {_LINES}, p AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS before FROM l) SELECT doc_id, count(*) AS n_lines, count(*) FILTER (before IS NOT NULL AND line = before) AS n_dropped FROM p GROUP BY 1")
+def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that repeat the one right before them."""
+    before = F.lag("line").over(Window.partitionBy("doc_id").orderBy("line_no"))
+    rows = _lines(spark, sf_dir).withColumn("before", before)
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(F.col("line") == F.col("before")).alias("n_dropped"))
+
+
+@query(f"WITH {_MENTIONS} SELECT doc_id, entity, CAST(place AS INT) AS place FROM m")
+def entity_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.mentions(_docs(spark, sf_dir), ALIASES)
+
+
+@query(f"WITH {_MENTIONS} SELECT a.entity AS from_entity, b.entity AS to_entity, count(*) AS n_mentions, min(a.doc_id) AS first_doc FROM m a JOIN m b ON a.doc_id = b.doc_id AND a.entity < b.entity GROUP BY ALL")
+def entity_cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.edges(op.mentions(_docs(spark, sf_dir), ALIASES))
+
+
+@query(f"WITH {_MENTIONS} SELECT a.entity AS from_entity, b.entity AS to_entity, source, count(*) AS n_mentions, count(DISTINCT lang) AS n_langs FROM m a JOIN m b ON a.doc_id = b.doc_id AND a.entity < b.entity JOIN documents d ON d.doc_id = a.doc_id WHERE 'alpha' IN (a.entity, b.entity) GROUP BY ALL")
+def edge_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The neighbourhood of one entity by source."""
+    found = op.mentions(_docs(spark, sf_dir), ALIASES)
+    pairs = found.select("doc_id", F.col("entity").alias("from_entity")).join(found.select("doc_id", F.col("entity").alias("to_entity")), "doc_id").where("from_entity < to_entity and (from_entity = 'alpha' or to_entity = 'alpha')")
+    rows = pairs.join(_docs(spark, sf_dir).select("doc_id", "source", "lang"), "doc_id")
+    return rows.groupBy("from_entity", "to_entity", "source").agg(F.count(F.lit(1)).alias("n_mentions"), F.countDistinct("lang").alias("n_langs"))
+
+
+@query(
+    """WITH c AS (SELECT source, unnest(list_distinct(regexp_extract_all(regexp_replace(text, '([0-9]),([0-9])', '\\1\\2', 'g'), '[0-9]+(?:[.][0-9]+)?'))) AS number FROM documents WHERE doc_id % 2 = 0), e AS (SELECT source, unnest(list_distinct(regexp_extract_all(regexp_replace(text, '([0-9]),([0-9])', '\\1\\2', 'g'), '[0-9]+(?:[.][0-9]+)?'))) AS number FROM documents WHERE doc_id % 2 = 1)
+    SELECT DISTINCT source, number FROM c WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.source = c.source AND e.number = c.number)"""
+)
+def ungrounded_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of a source's even documents that its odd ones lack."""
+    docs = _docs(spark, sf_dir)
+    return op.ungrounded(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1"), "source")
+
+
+@query("WITH h AS (SELECT item_id, lower(string_split(text, ' ')[1]) AS hint FROM benchmark) SELECT p_partkey, item_id FROM part JOIN h ON length(hint) > 0 AND (contains(lower(p_name), hint) OR (length(p_name) >= 4 AND contains(hint, lower(p_name))))")
+def fuzzy_label_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names that hold a hint, or are held by one: distinct names against distinct hints, then back to the rows.
+
+    Containment can't be hashed, so only distinct values meet; both sides are vocabularies, not rows."""
+    hints = table(spark, sf_dir, "benchmark").select("item_id", F.lower(F.split("text", " ")[0]).alias("hint")).where("length(hint) > 0")
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.lower("p_name").alias("name"))
+    holds = F.contains("name", "hint") | ((F.length("name") >= 4) & F.contains("hint", "name"))
+    matches = parts.select("name").distinct().join(hints.select("hint").distinct(), holds)
+    return parts.join(matches, "name").join(hints, "hint").select("p_partkey", "item_id")
+
+
+@query("WITH c AS (SELECT source, lang, count(*) AS n_docs FROM documents GROUP BY ALL) SELECT *, n_docs / sum(n_docs) OVER (PARTITION BY source) AS share FROM c")
+def source_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _docs(spark, sf_dir).groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n_docs"))
+    return rows.withColumn("share", F.col("n_docs") / F.sum("n_docs").over(Window.partitionBy("source")))
+
+
+@query("SELECT conv_id, CAST(length(string_agg(role || ': ' || text, chr(10) ORDER BY turn)) AS INT) AS n_chars, sha256(string_agg(role || ': ' || text, chr(10) ORDER BY turn)) AS digest FROM conversations GROUP BY 1")
+def concatenated_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole conversations in the order of their turns."""
+    parts = F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(": "), "text").alias("t"))))
+    whole = F.array_join(F.transform(parts, lambda p: p["t"]), "\n")
+    rows = table(spark, sf_dir, "conversations").where("text is not null").groupBy("conv_id").agg(whole.alias("whole"))
+    return rows.select("conv_id", F.length("whole").alias("n_chars"), F.sha2("whole", 256).alias("digest"))
+
+
+@query(
+    """WITH s AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^.!?]+[.!?]')) AS s FROM documents)
+    SELECT doc_id, CASE WHEN regexp_matches(lower(s), 'idiot|scum') THEN 'insult' WHEN regexp_matches(s, '[0-9]{4}') THEN 'dated' WHEN regexp_matches(lower(s), 'copyright|license') THEN 'legal' ELSE 'other' END AS kind, count(*) AS n_sentences FROM s GROUP BY ALL"""
+)
+def sentence_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences by the first rule that they meet."""
+    rows = _docs(spark, sf_dir).select("doc_id", F.explode(F.split("text", r"(?<=[.!?])")).alias("s")).where(F.col("s").rlike(r"^[^.!?]+[.!?]\z"))
+    low = F.lower("s")
+    kind = F.when(low.rlike("idiot|scum"), "insult").when(F.col("s").rlike("[0-9]{4}"), "dated").when(low.rlike("copyright|license"), "legal").otherwise("other")
+    return rows.groupBy("doc_id", kind.alias("kind")).agg(F.count(F.lit(1)).alias("n_sentences"))
