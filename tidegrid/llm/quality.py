@@ -68,7 +68,7 @@ class Features:
         letters = np.fromiter((sum(map(str.isalpha, w)) for w in names), float, len(names))
         again = (words.index[1:] == words.index[:-1]) & (owner[1:] == owner[:-1])
         again = np.bincount(owner[1:][again], minlength=len(n)) / many
-        ends = share(np.fromiter((w[-1] in ".!?;:" for w in names), float, len(names)))
+        ends = share(np.fromiter((w.endswith((".", "!", "?", ";", ":")) for w in names), float, len(names)))
         repeated = _repeats(words) / many
         lines = np.maximum(pc.count_substring(texts, "\n").to_numpy(zero_copy_only=False) + 1, 1)
         distinct = np.bincount(np.unique(owner * max(1, len(names)) + words.index) // max(1, len(names)), minlength=len(n))

@@ -54,6 +54,8 @@ class Counters:
             bitmap[byte[first]] |= np.bitwise_or.reduceat((1 << (cells & 7)).astype(np.uint8), first)
 
     def count(self, cells: np.ndarray) -> None:
+        if not len(cells):
+            return
         cells = np.sort(cells)
         again = np.concatenate([[False], cells[1:] == cells[:-1]])
         again |= (self.one[cells >> 3] >> (cells & 7).astype(np.uint8) & 1).astype(bool)

@@ -29,6 +29,8 @@ from tidegrid.llm.common import id_and_text, mix64, steps, texts_of
 
 BITS = 20
 LENGTHS = (4, 5)
+#: Features whose log-count ratio is nearer to zero have no part in the fit.
+RATIO = 1.5
 
 
 def ngrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +82,7 @@ def fit_rows(labels: np.ndarray, ends: np.ndarray, features: np.ndarray, rounds:
     in_other = np.bincount(features, minlength=size) - in_toxic
     smooth = max(0.002, 1 / n1)
     ratio = np.log((in_toxic / n1 + smooth) / (in_other / n0 + smooth))
-    used = (np.abs(ratio) >= 1) & (in_toxic + in_other >= 3)
+    used = (np.abs(ratio) >= RATIO) & (in_toxic + in_other >= 3)
     number = np.cumsum(used) - 1
     keep = used[features]
     row, col = rows[keep], number[features[keep]]
