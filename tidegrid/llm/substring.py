@@ -227,7 +227,7 @@ def _intervals(size: int):
         spans = np.stack([pos[first], pos[last] + size], 1).astype("<i8")
         own = doc[first]
         docs, begin = np.unique(own, return_index=True)
-        end = np.append(begin[1:], len(own))
+        end = np.append(begin, len(own))[1:]
         return pa.table({"id_key": pa.array(ids[docs]), "tie": pa.array(ties[docs]), "spans": pa.array([spans[a:b].tobytes() for a, b in zip(begin, end, strict=True)], pa.binary())})
 
     return run
