@@ -6,7 +6,7 @@ documents the target's; a text's ratio is the mean over its n-grams of log(targe
 matter, and a document passes when that mean reaches a fixed threshold. Which documents are trusted is a table
 of doc_ids.
 
-Scale: counting is one join of the documents with the trusted ids (Spark picks its form by their size), then one
+Scale: counting is one sort-merge join of the documents with the trusted ids, then one
 vector of counts for each task, summed by slice of the vector; scoring is one scan with a table of bucket weights
 whose size is a parameter. Nothing depends on an order, so results repeat.
 
@@ -105,7 +105,8 @@ def _sum(table: pa.Table) -> pa.Table:
 def weights(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
     """log(target / raw) of each bucket, over all documents and all of them whose id is in ``trusted``."""
     ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("trusted", F.lit(True))
-    joined = id_and_text(docs).join(ids, "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+    # Always a shuffle of both sides: the trusted ids grow with the corpus, and so does what a broadcast would hold.
+    joined = id_and_text(docs).join(ids.hint("merge"), "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
     schema = "slice int, counts binary"
     slices = joined.mapInArrow(_count, schema).groupBy("slice").applyInArrow(_sum, schema).collect()  # a fixed number of buckets
     raw, target = np.zeros((SLICES, (1 << BITS) // SLICES)), np.zeros((SLICES, (1 << BITS) // SLICES))
