@@ -12,7 +12,7 @@ def test_numbers(spark):
     cells = {"353.2万（同比+2.8%）": 353.2, "同比-5%": -0.05, "12.5%": 0.125, "1,234": 1234.0, "--": None, "": None, None: None, "—": None, "销量": None, "5% 到 7%": 5.0}
     for cell, value in cells.items():
         assert one(spark, cell, values.parse_numeric) == value, cell
-    assert one(spark, "353.2万（同比+2.8%）", values.extract_yoy) == 0.028 and one(spark, "2.8%", values.extract_yoy) is None
+    assert one(spark, "353.2万（同比+2.8%）", values.extract_yoy) == 2.8 / 100 and one(spark, "2.8%", values.extract_yoy) is None
 
 
 def test_periods(spark):
