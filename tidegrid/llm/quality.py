@@ -51,8 +51,16 @@ BETWEEN = [
 _RUN = re.compile(r"(.)\1+")
 
 
-def _shape(word: str) -> str:
-    return _RUN.sub(r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:64]))
+class _Classes(dict):
+    """Characters as A, a or 0 by their kind; others as they are. Filled as they turn up."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = out = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
+        return out
+
+
+_CLASSES = _Classes()
 
 
 class Features:
@@ -65,7 +73,8 @@ class Features:
         owner, many = words.owner(), np.maximum(n, 1)
         share = lambda of_name: np.bincount(owner, of_name[words.index], len(n))
         chars = pc.utf8_length(words.names).to_numpy(zero_copy_only=False).astype(float)
-        letters = np.fromiter((sum(map(str.isalpha, w)) for w in names), float, len(names))
+        classes = [w.translate(_CLASSES) for w in names]
+        letters = np.fromiter((c.count("a") + c.count("A") for c in classes), float, len(names))
         again = (words.index[1:] == words.index[:-1]) & (owner[1:] == owner[:-1])
         again = np.bincount(owner[1:][again], minlength=len(n)) / many
         ends = share(np.fromiter((w.endswith((".", "!", "?", ";", ":")) for w in names), float, len(names)))
@@ -92,17 +101,22 @@ class Features:
             inside, outside = (m >= good[0]) & (m <= good[1]), (m < bad[0]) | (m > bad[1])
             votes.append(np.where(n < least, NONE, np.where(inside, GOOD, np.where(outside, BAD, NONE))))
         self.pattern = sum(v.astype(np.int64) * 3**k for k, v in enumerate(votes))
-        # Hashed features: shares of word shapes and of short words, and the two kinds of repeats.
+        self.hashed = (names, classes, owner, words.index, many, again, repeated)
+
+    @property
+    def x(self) -> np.ndarray:
+        """Hashed features: shares of word shapes and of short words, and the two kinds of repeats."""
+        names, classes, owner, index, many, again, repeated = self.hashed
         keep = np.uint64((1 << BITS) - 1)
-        shape = hash_names(pa.array([_shape(w) for w in names], pa.large_string()), 1) & keep
+        shape = hash_names(pa.array([_RUN.sub(r"\1", c[:64]) for c in classes], pa.large_string()), 1) & keep
         short = hash_names(pa.array([w.lower() if len(w) <= 3 else "" for w in names], pa.large_string()), 2) & keep
-        x = np.zeros((len(n), 1 << BITS))
+        x = np.zeros((len(many), 1 << BITS))
         for bucket in (shape, short):
-            both = owner * (1 << BITS) + bucket.astype(np.int64)[words.index]
+            both = owner * (1 << BITS) + bucket.astype(np.int64)[index]
             x += np.bincount(both, minlength=x.size).reshape(x.shape)
         x = np.sqrt(x / many[:, None])
         x[:, 0], x[:, 1] = np.sqrt(again), np.sqrt(repeated)
-        self.x = x
+        return x
 
 
 LABELLERS = 1 + len(RISING) + len(BETWEEN)
