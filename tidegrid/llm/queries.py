@@ -78,4 +78,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = "regexp_extract_all(coalesce({}, ''), '[^\\x20\\x09-\\x0D]+')"
+_OP6 = f"""WITH w AS (SELECT doc_id, {_WORDS.format("text")} AS ws FROM documents),
+  g AS (SELECT doc_id, k, array_to_string(ws[k:k + 12], ' ') AS key FROM (SELECT *, unnest(range(1, len(ws) - 11)) AS k FROM w)),
+  f AS (SELECT doc_id, k, min(doc_id) OVER (PARTITION BY key) AS first_doc FROM g),
+  c AS (SELECT DISTINCT doc_id, unnest(range(k, k + 13)) AS i FROM f WHERE first_doc < doc_id),
+  p AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS word FROM w),
+  r AS (SELECT p.doc_id, string_agg(word, ' ' ORDER BY p.i) AS kept, count(*) AS n FROM p ANTI JOIN c ON c.doc_id = p.doc_id AND c.i = p.i GROUP BY 1)
+  SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN r ON r.doc_id = w.doc_id"""
+_LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_OP10 = f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_LOW)} AS ws FROM documents),
+  s AS (SELECT DISTINCT doc_id, array_to_string(ws[k:k + 3], ' ') AS g FROM (SELECT *, unnest(range(1, greatest(len(ws) - 3, least(len(ws), 1)) + 1)) AS k FROM w)),
+  n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+  o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+  l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 80 * (x.n + y.n - common)),
+  e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+  r(doc_id, there) AS (SELECT a, b FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.there),
+  m AS (SELECT doc_id, min(there) AS least_there FROM r GROUP BY 1)
+  SELECT w.doc_id, coalesce(n, 0) AS n_shingles, least(w.doc_id, coalesce(least_there, w.doc_id)) AS component_id, least(w.doc_id, coalesce(least_there, w.doc_id)) = w.doc_id AS kept
+  FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN m ON m.doc_id = w.doc_id"""
+
+#: The other operators' rows come from a vocabulary, a model or a packing, which SQL can't express.
+ORACLE_SQL: dict[str, str] = {"op6_substring_dedup": _OP6, "op10_circulant_minhash": _OP10}
