@@ -92,3 +92,30 @@ def period_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     blank = values.normal_text(F.col("cell")) == ""
     good = values.parse_numeric(F.col("cell")).isNotNull()
     return cells.agg(F.count(F.lit(1)).alias("n_cells"), F.count_if(good).alias("n_valid"), F.count_if(~good & ~blank).alias("n_placeholders"), F.count_if(blank).alias("n_blank"))
+
+
+@query(
+    "SELECT l_orderkey AS sheet, "
+    + ", ".join(f"CASE WHEN count(*) FILTER (l_linenumber = {k}) = 0 THEN 'NOT_PRESENT' WHEN max(l_discount) FILTER (l_linenumber = {k}) = 0 THEN 'EMPTY' ELSE 'PARSED' END AS field_{k}" for k in (1, 2, 3))
+    + " FROM lineitem GROUP BY 1"
+)
+def comparison_transpose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column for each label of a comparison table, with the state of its cell; a discount of zero plays an empty cell."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sheet"), "l_linenumber", "l_discount")
+    wide = rows.groupBy("sheet").pivot("l_linenumber", [1, 2, 3]).agg(F.max("l_discount"))
+    state = lambda c: F.when(F.col(c).isNull(), "NOT_PRESENT").when(F.col(c) == 0, "EMPTY").otherwise("PARSED")
+    return wide.select("sheet", *(state(str(k)).alias(f"field_{k}") for k in (1, 2, 3)))
+
+
+@query("SELECT event_id, k.key AS field, CAST(k.value AS VARCHAR) AS value FROM events, json_each(props) k WHERE props IS NOT NULL")
+def json_map_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each entry of a JSON map; broken JSON has none."""
+    rows = table(spark, sf_dir, "events").select("event_id", F.from_json("props", "map<string,string>").alias("m"))
+    return rows.select("event_id", F.explode("m").alias("field", "value"))
+
+
+@query("SELECT source, sha256(text) AS digest, min(doc_id) AS first_version, count(*) AS n_seen FROM documents WHERE text IS NOT NULL GROUP BY ALL")
+def hash_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A version of a source for each distinct content; repeats reuse the first."""
+    rows = table(spark, sf_dir, "documents").where("text is not null").select("source", "doc_id", F.sha2("text", 256).alias("digest"))
+    return rows.groupBy("source", "digest").agg(F.min("doc_id").alias("first_version"), F.count(F.lit(1)).alias("n_seen"))
