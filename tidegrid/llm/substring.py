@@ -31,7 +31,9 @@ from tidegrid.llm.common import Words, hash_names, hash_names_twice, ints_of, sq
 
 SIZE, BITS, SKETCH_SLICES = 13, 28, 64
 #: Windows of a task that are grouped at once.
-CHUNK = 1_500_000
+CHUNK = 800_000
+#: Text bytes hashed at once: a task also holds the sketch.
+STEP = 2 << 20
 LATEST = (1 << 63) - 1
 
 
@@ -90,7 +92,7 @@ def repeated_windows(docs: DataFrame, size: int = SIZE, bits: int = BITS) -> lis
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [Counters(1 << bits), Counters(1 << bits)]
-        for batch in steps(batches):
+        for batch in steps(batches, "text", STEP):
             words = Words(texts_of(batch))
             starts, _ = window_starts(words.offsets, size)
             h = window_hash(hash_names(words.names)[words.index], size, 1)
@@ -114,7 +116,7 @@ def repeated_windows(docs: DataFrame, size: int = SIZE, bits: int = BITS) -> lis
     partial = docs.select("text").mapInArrow(sketch, schema)
     out = [np.zeros(1 << bits - 3, np.uint8) for _ in range(2)]
     # Two rows of 2 ** bits bits come to the driver, whatever the corpus.
-    for r in partial.repartition(2 * SKETCH_SLICES, "part").mapInArrow(merge, "part int, two binary").toLocalIterator():
+    for r in partial.repartition(2 * SKETCH_SLICES, "part").mapInArrow(merge, "part int, two binary").collect():
         k = r["part"] % SKETCH_SLICES
         out[r["part"] // SKETCH_SLICES][k * width : (k + 1) * width] = np.frombuffer(r["two"], np.uint8)
     return out
@@ -163,7 +165,7 @@ def _send(shared, size: int, bits: int, slices: int):
             held.clear(), ids.clear(), ties.clear()
 
         n = n_docs = 0
-        for batch in steps(batches):
+        for batch in steps(batches, "text", STEP):
             words = Words(texts_of(batch))
             starts, doc = window_starts(words.offsets, size)
             first, second = (h[words.index] for h in hash_names_twice(words.names)) if len(words.index) else (np.zeros(0, np.uint64),) * 2
@@ -263,7 +265,7 @@ def _without(text: bytes, spans: bytes | None) -> tuple[int, int, bytes]:
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in steps(batches):
+    for batch in steps(batches, "text", STEP):
         texts = texts_of(batch).cast(pa.large_binary()).to_pylist()
         spans = batch.column(batch.schema.get_field_index("spans")).to_pylist()
         n_words, n_removed, left = zip(*map(_without, texts, spans), strict=True)
@@ -290,7 +292,7 @@ def without_repeats(docs: DataFrame, size: int = SIZE, bits: int = BITS) -> Data
     ).select(*docs.columns, "_spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches):
+        for batch in steps(batches, "text", STEP):
             at = batch.schema.get_field_index("text")
             texts = texts_of(batch).cast(pa.large_binary()).to_pylist()
             new = [_without(t, s)[2] if s else t for t, s in zip(texts, batch.column(batch.num_columns - 1).to_pylist(), strict=True)]
