@@ -129,6 +129,29 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.score_documents(empty, some).count() == 0
 
 
+def test_toxicity_keeps_rare_ngrams():
+    """6 of 1,000 toxic texts, and no other, hold features 20 to 39: a log-count ratio under 1.5."""
+    rows = [(1, range(20, 40))] * 6 + [(1, range(20))] * 994 + [(0, range(40, 60))] * 1000
+    ends = np.cumsum([0] + [len(f) for _, f in rows])
+    model = toxicity.fit_rows(np.array([label for label, _ in rows]), ends, np.concatenate([np.array(f) for _, f in rows]))
+    assert (model.weights[20:40] > 0).all() and model.weights[20:40].sum() > model.weights[40:60].sum()
+
+
+def test_toxicity_calibration():
+    z = np.random.RandomState(1).normal(0, 2, 20000)
+    slope, constant = toxicity.calibration(z, np.random.RandomState(2).rand(len(z)) < 1 / (1 + np.exp(-(1.5 * z - 1))))
+    assert abs(slope - 1.5) < 0.1 and abs(constant + 1) < 0.1
+
+
+def test_toxicity_by_language(spark):
+    docs, labels = read_table(spark, "/root/testdata/sf0.1", "documents"), read_table(spark, "/root/testdata/sf0.1", "labels")
+    scores = toxicity.score_documents(docs, labels).where("held_out").join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").select("lang", "toxic", "score").toPandas()
+    for lang, least in (("en", 0.98), ("fr", 0.7), ("de", 0.8), ("es", 0.8)):
+        own = scores[scores["lang"] == lang]
+        toxic, other = (own[own["toxic"] == k]["score"].to_numpy() for k in (1, 0))
+        assert (toxic[:, None] > other).mean() + (toxic[:, None] == other).mean() / 2 >= least
+
+
 def test_prefix_table_equals_the_library():
     encoder = bpe.PrefixEncoder(bpe.read_ranks(RANKS))
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=encoder.ranks, special_tokens={})

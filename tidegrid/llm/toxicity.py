@@ -2,8 +2,9 @@
 
 A text's features are the hashed byte n-grams (4 and 5 long, white space as a single space, lower case) that it
 holds, present or not. A feature's value is its log-count ratio between toxic and other training texts; a
-logistic regression over these values gives the score. Ratios near zero leave a feature without weight, so a
-long clean text isn't carried away by its length, and a few toxic words in it aren't drowned.
+logistic regression over these values gives the score. Ratios near zero leave a feature with little weight, so a
+long clean text isn't carried away by its length, and a few toxic words in it aren't drowned. Every n-gram of three
+or more training texts takes part: those of languages with few toxic texts have small ratios.
 
 Training data: labelled rows outside the held-out fold, at most ``most_toxic`` and ``most_other`` of them by the
 least hash of doc_id. Only their ids are sent to the executors and only their feature numbers come back, so
@@ -29,8 +30,9 @@ from tidegrid.llm.common import id_and_text, mix64, steps, texts_of
 
 BITS = 20
 LENGTHS = (4, 5)
-#: Features whose log-count ratio is nearer to zero have no part in the fit.
-RATIO = 1.5
+#: Gradient steps of a fit, parts of the training rows for calibration, and what a toxic row weighs in it. Steps and
+#: weight are those with the highest recall at 0.7 and at most 0.5 % false alarms by cross-validation on sf0.1's training rows.
+ROUNDS, FOLDS, WEIGHT = 200, 3, 4.0
 
 
 def ngrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -71,39 +73,102 @@ class Model:
     constant: float
 
 
-def fit_rows(labels: np.ndarray, ends: np.ndarray, features: np.ndarray, rounds: int = 300, strength: float = 1e-3) -> Model:
-    """The model for rows whose distinct features lie at ends[i] to ends[i + 1]."""
+def _blocks(ends: np.ndarray, most: int = 1 << 20) -> list[tuple[int, int]]:
+    """Runs of rows with about ``most`` features, so that little is held beside the features themselves."""
+    cuts = np.unique(np.searchsorted(ends, np.arange(0, ends[-1] + most, most), side="right") - 1).tolist()
+    return list(zip(cuts[:-1], cuts[1:]))
+
+
+def _by_row(of_feature: np.ndarray, ends: np.ndarray, features: np.ndarray) -> np.ndarray:
+    """The sum over each row's features."""
+    sums, some = np.zeros(len(ends) - 1), np.diff(ends) > 0
+    for i, j in _blocks(ends):
+        starts = ends[i:j][some[i:j]]
+        if len(starts):
+            sums[i:j][some[i:j]] = np.add.reduceat(of_feature[features[ends[i] : ends[j]]], starts - ends[i])
+    return sums
+
+
+def _by_feature(of_row: np.ndarray, ends: np.ndarray, features: np.ndarray, size: int) -> np.ndarray:
+    """The sum over the rows that hold each feature."""
+    sums, counts = np.zeros(size), np.diff(ends)
+    for i, j in _blocks(ends):
+        sums += np.bincount(features[ends[i] : ends[j]], np.repeat(of_row[i:j], counts[i:j]), size)
+    return sums
+
+
+def _rows_of(keep: np.ndarray, ends: np.ndarray, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    counts = np.diff(ends)
+    return np.concatenate([[0], np.cumsum(counts[keep])]), features[np.repeat(keep, counts)]
+
+
+def regression(labels: np.ndarray, ends: np.ndarray, features: np.ndarray, rounds: int, strength: float) -> Model:
+    """The model for rows whose distinct features lie at ends[i] to ends[i + 1], as the fit leaves it."""
     size = 1 << BITS
-    toxic, rows = labels == 1, np.repeat(np.arange(len(labels)), np.diff(ends))
+    toxic = labels == 1
     n1, n0 = int(toxic.sum()), int((~toxic).sum())
     if not n1 or not n0:
         return Model(np.zeros(size, np.float32), -100.0)
-    in_toxic = np.bincount(features, toxic[rows].astype(float), size)
-    in_other = np.bincount(features, minlength=size) - in_toxic
+    y = toxic.astype(float)
+    in_toxic, in_other = _by_feature(y, ends, features, size), _by_feature(1 - y, ends, features, size)
     smooth = max(0.002, 1 / n1)
-    ratio = np.log((in_toxic / n1 + smooth) / (in_other / n0 + smooth))
-    used = (np.abs(ratio) >= RATIO) & (in_toxic + in_other >= 3)
-    number = np.cumsum(used) - 1
+    used = in_toxic + in_other >= 3
+    ratio = np.log((in_toxic[used] / n1 + smooth) / (in_other[used] / n0 + smooth))
     keep = used[features]
-    row, col = rows[keep], number[features[keep]]
-    value = ratio[features[keep]]
-    n_rows, n_cols = len(labels), int(used.sum())
-    y = toxic.astype(float)
+    before = np.concatenate([[0], np.cumsum(keep)])
+    col, ends = (np.cumsum(used, dtype=np.int32) - 1)[features[keep]], before[ends]
+    del keep, before
+    # The same by feature: the rows that hold it; every used feature has some.
+    row = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(ends))[np.argsort(col, kind="stable")]
+    held = np.concatenate([[0], np.cumsum(np.bincount(col, minlength=len(ratio)))])
     # Accelerated gradient descent with the step that the features' mean square allows.
-    lipschitz = 0.25 * max(1.0, float(np.bincount(row, value * value, n_rows).mean())) + strength
-    w, b = np.zeros(n_cols), float(np.log(n1 / n0))
+    lipschitz = 0.25 * max(1.0, float(_by_row(ratio * ratio, ends, col).mean())) + strength
+    w, b = np.zeros(len(ratio)), float(np.log(n1 / n0))
     v, vb, t = w.copy(), b, 1.0
     for _ in range(rounds):
-        z = np.bincount(row, value * v[col], n_rows) + vb
+        z = _by_row(ratio * v, ends, col) + vb
         g = 1 / (1 + np.exp(-np.clip(z, -50, 50))) - y
-        w_new = v - (np.bincount(col, value * g[row], n_cols) / n_rows + strength * v) / lipschitz
+        w_new = v - (ratio * _by_row(g, held, row) / len(y) + strength * v) / lipschitz
         b_new = vb - g.mean() / 0.25 / 4
         t_new = (1 + (1 + 4 * t * t) ** 0.5) / 2
         v, vb = w_new + (t - 1) / t_new * (w_new - w), b_new + (t - 1) / t_new * (b_new - b)
         w, b, t = w_new, b_new, t_new
-    weights = np.zeros(size)
-    weights[np.flatnonzero(used)] = w
-    return Model((weights * ratio).astype(np.float32), float(b))
+    weights = np.zeros(size, np.float32)
+    weights[used] = w * ratio
+    return Model(weights, float(b))
+
+
+def calibration(z: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
+    """Slope and constant that make sigmoid(slope * z + constant) the share of toxic rows (Platt's targets, Newton steps)."""
+    n1, n0 = int(toxic.sum()), int((~toxic).sum())
+    target = np.where(toxic, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    x, w = np.column_stack([z, np.ones(len(z))]), np.array([1.0, 0.0])
+    loss = lambda w: np.logaddexp(0, x @ w).sum() - target @ (x @ w)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
+        move = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + 1e-9 * np.eye(2), x.T @ (p - target))
+        while np.abs(move).max() > 1e-9 and loss(w - move) > loss(w):
+            move = move / 2
+        w = w - move
+        if np.abs(move).max() < 1e-6:
+            break
+    return (float(w[0]), float(w[1])) if w[0] > 0 else (1.0, 0.0)
+
+
+def fit_rows(labels: np.ndarray, ends: np.ndarray, features: np.ndarray, rounds: int = ROUNDS, strength: float = 1e-3) -> Model:
+    """The regression on all rows, its scores calibrated on rows left out of the fit (``FOLDS`` parts; equal texts are in one part).
+
+    0.7 then means odds of 0.7 to 0.3 where a toxic text counts ``WEIGHT`` times."""
+    model, toxic = regression(labels, ends, features, rounds, strength), labels == 1
+    own = mix64(_by_row(np.arange(1 << BITS), ends, features).astype(np.uint64)) % np.uint64(FOLDS)
+    if any(len(np.unique(toxic[own != k])) < 2 or not (own == k).any() for k in range(FOLDS)):
+        return model
+    z = np.zeros(len(labels))
+    for k in range(FOLDS):
+        part = regression(labels[own != k], *_rows_of(own != k, ends, features), rounds, strength)
+        z[own == k] = _by_row(part.weights, *_rows_of(own == k, ends, features)) + part.constant
+    slope, constant = calibration(z, toxic)
+    return Model((model.weights * slope).astype(np.float32), model.constant * slope + constant + float(np.log(WEIGHT)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 2000, most_other: int = 3000) -> Model:
@@ -120,9 +185,16 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 2000, most_other:
 
 def score_texts(model: Model, texts: pa.Array) -> np.ndarray:
     feature, who = ngrams(texts)
-    weighs = model.weights[feature] != 0
-    both = np.unique(who[weighs] << BITS | feature[weighs])
-    z = np.bincount(both >> BITS, model.weights[both & ((1 << BITS) - 1)], len(texts)) + model.constant
+    # n-grams lie by length, then by text. A text's first of each feature counts: the one that wrote its place last, backwards.
+    turn = int(np.argmax(np.diff(who) < 0)) + 1 if len(who) > 1 and (np.diff(who) < 0).any() else len(who)
+    cuts = np.arange(len(texts) + 1)
+    ends = np.searchsorted(who[:turn], cuts), turn + np.searchsorted(who[turn:], cuts)
+    place, z = np.zeros(1 << BITS, np.int32), np.full(len(texts), model.constant)
+    for i in range(len(texts)):
+        own = np.concatenate([feature[e[i] : e[i + 1]] for e in ends])
+        number = np.arange(len(own), dtype=np.int32)
+        place[own[::-1]] = number[::-1]
+        z[i] += model.weights[own[place[own] == number]].sum(dtype=np.float64)
     return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
