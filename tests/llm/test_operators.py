@@ -193,6 +193,16 @@ def test_quality(spark, odd, empty):
     assert quality.judge(empty, quality.fit(empty)).count() == 0 and quality.kept(odd).columns == odd.columns
 
 
+def test_quality_reads_long_words_to_their_end():
+    begin, clean, junk = "Plain" * 12 + "text", "wholesome" * 300, "".join(f"{'#$%'[i % 3]}{{9}}Qx{i % 10}|=" for i in range(300))
+    a, b, c, d = quality.Features(pa.array([begin + clean, begin + junk, junk, "x " + begin + junk + " y"], pa.large_string())).x
+    assert np.abs(a - b).sum() > 0.5 and np.abs(b - c).sum() < np.abs(b - a).sum()
+    # All shapes together, and all words' short forms together, make one whole each.
+    assert all(abs((x[2:] ** 2).sum() - 2) < 1e-9 for x in (a, b, c, d))
+    short = quality.Features(pa.array(["A few words of 64 characters or less, 12.5 % of them odd: " + "aB" * 32], pa.large_string())).x
+    assert np.array_equal(short, quality.Features(pa.array(["A few words of 64 characters or less, 12.5 % of them odd: " + "aB" * 32, begin + junk], pa.large_string())).x[:1])
+
+
 def removed(rows, size=13):
     first = {}
     split = [(2**63 - 1 if i is None else i, words(t)) for i, t in rows]

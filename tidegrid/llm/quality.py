@@ -4,7 +4,8 @@ Each labeller votes good, bad or abstains on a document. Expectation-maximisatio
 what on good and on bad documents, and with that the probability that a document is good. It needs only how
 often each pattern of votes occurs, so it sees every document while the driver holds at most 3 to the power of
 the labellers' number of counts. The probabilities then train a linear scorer over hashed features of the text
-(shapes of words, short words, repeats), which also tells apart documents on which the labellers abstain.
+(shapes of words, short words, repeats), which also tells apart documents on which the labellers abstain. Words of
+more than ``PIECE`` characters have a shape for each piece of that length, and count as many times.
 
 Scale: one scan counts patterns, one reads the training sample (at most ``sample`` documents by the least hash
 of doc_id, a parameter), one scores; nothing is shuffled but the patterns' counts.
@@ -26,10 +27,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import Words, hash_names, id_and_text, steps, texts_of
+from tidegrid.llm.common import Words, hash_names, id_and_text, spread, steps, texts_of
 from tidegrid.llm.rules import _duplicate_lines, _repeats
 
 BITS = 10
+#: Characters of a word that make one shape.
+PIECE = 64
 #: Documents with a score below this are rejected.
 THRESHOLD = 0.1
 BAD, GOOD, NONE = 0, 1, 2
@@ -108,13 +111,29 @@ class Features:
         """Hashed features: shares of word shapes and of short words, and the two kinds of repeats."""
         names, classes, owner, index, many, again, repeated = self.hashed
         keep = np.uint64((1 << BITS) - 1)
-        shape = hash_names(pa.array([_RUN.sub(r"\1", c[:64]) for c in classes], pa.large_string()), 1) & keep
+        shapes = lambda cs: hash_names(pa.array([_RUN.sub(r"\1", c) for c in cs], pa.large_string()), 1) & keep
+        shape = shapes([c[:PIECE] for c in classes])
         short = hash_names(pa.array([w.lower() if len(w) <= 3 else "" for w in names], pa.large_string()), 2) & keep
         x = np.zeros((len(many), 1 << BITS))
         for bucket in (shape, short):
             both = owner * (1 << BITS) + bucket.astype(np.int64)[index]
             x += np.bincount(both, minlength=x.size).reshape(x.shape)
-        x = np.sqrt(x / many[:, None])
+        x /= many[:, None]
+        # The pieces of long words behind the first; with them, a text's shapes are shares of all its pieces.
+        further = np.fromiter((max(0, len(c) - 1) // PIECE for c in classes), np.int64, len(classes))
+        if further.any():
+            behind = shapes([c[k : k + PIECE] for c in classes if len(c) > PIECE for k in range(PIECE, len(c), PIECE)]).astype(np.int64)
+            of_word = further[index]
+            who, which = np.repeat(owner, of_word), spread(of_word, (np.cumsum(further) - further)[index])
+            rows, at = np.unique(who, return_inverse=True)
+            place = np.full(len(many), -1)
+            place[rows] = np.arange(len(rows))
+            own = place[owner] >= 0
+            counts = lambda both: np.bincount(both, minlength=len(rows) << BITS).reshape(len(rows), -1)
+            first = counts((place[owner[own]] << BITS) + shape.astype(np.int64)[index[own]])
+            rest = counts((at << BITS) + behind[which])
+            x[rows] += (first + rest) / (many[rows] + np.bincount(at))[:, None] - first / many[rows, None]
+        x = np.sqrt(np.maximum(x, 0))
         x[:, 0], x[:, 1] = np.sqrt(again), np.sqrt(repeated)
         return x
 
