@@ -30,12 +30,18 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only if nobody has."""
+    """The folder that driver and executors share, spark.checkpoint.dir.
+
+    Where it is unset a run on one machine uses a folder of its own; a cluster has none to fall back to."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="tidegrid-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = _LOCAL.get("dir") or _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="tidegrid-"))
     return base.rstrip("/")
 
 
@@ -55,6 +61,107 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(table: DataFrame) -> None:
+    """Removes a table made by ``written`` that nothing reads any more."""
+    spark = table.sparkSession
+    for path in {f.rpartition("/")[0] for f in table.inputFiles()}:
+        if "/tidegrid/" in path:
+            there = spark._jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened where ``df`` has a column of that name already (Spark ignores case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: Parts that the rows of one key are dealt over where a key may be hot.
+SALTS = 64
+
+
+def looked_up(rows: DataFrame, key: str, table: DataFrame, *by: str) -> DataFrame:
+    """rows joined with ``table`` (one row for each key), rows of other keys left out.
+
+    A key may hold any share of the rows: they are dealt by key and a hash of the columns ``by``, and the table's
+    row goes to each of at most ``SALTS`` parts."""
+    (salt,) = free_names(rows, "salt_")
+    salted = rows.withColumn(salt, F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int"))
+    wanted = salted.select(key, salt).distinct().join(table, key)
+    return salted.join(wanted, [key, salt]).drop(salt)
+
+
+#: Bits of the largest filter that tasks receive (32 MB).
+MOST_BLOOM_BITS = 28
+
+
+class Bloom:
+    """A Bloom filter with two places for each 64-bit key."""
+
+    def __init__(self, bits: int, data: bytes):
+        self.bits, self.data = bits, np.frombuffer(data, np.uint8)
+
+    @staticmethod
+    def places(keys: np.ndarray, bits: int) -> np.ndarray:
+        h = mix64(keys.astype(np.int64).view(np.uint64))
+        return np.concatenate([h >> np.uint64(64 - bits), (h & np.uint64((1 << bits) - 1))]).astype(np.int64)
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        at = self.places(keys, self.bits)
+        there = (self.data[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+        return there[: len(keys)] & there[len(keys) :]
+
+
+def bloom_of(keys: DataFrame) -> Bloom:
+    """The filter of a table of one column of longs: about eight bits a key, ``MOST_BLOOM_BITS`` at most.
+
+    The keys' places are merged by range, and only the ranges' bit maps come to the driver. Beyond some 30 million
+    keys the filter lets more others through, which costs shuffle and changes no result."""
+    n, parts = keys.count(), 16
+    bits = min(MOST_BLOOM_BITS, max(16, (8 * n).bit_length()))
+    width = (1 << bits - 3) // parts
+    column = keys.columns[0]
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(Bloom.places(ints_of(batch, column), bits))
+            ends = np.searchsorted(at, np.arange(parts + 1) * (width << 3))
+            some = np.flatnonzero(np.diff(ends)).tolist()
+            own = [(at[ends[k] : ends[k + 1]] - k * (width << 3)).astype("<u4").tobytes() for k in some]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(own, pa.binary())], names=["part", "bits"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merged: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                merged.setdefault(part, np.zeros(width << 3, bool))[np.frombuffer(data, "<u4")] = True
+        for part, own in merged.items():
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "bits": pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())})
+
+    out = np.zeros(1 << bits - 3, np.uint8)
+    schema = "part int, bits binary"
+    for r in keys.mapInArrow(places, schema).repartition(parts, "part").mapInArrow(merge, schema).collect():
+        out[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(r["bits"], np.uint8)
+    return Bloom(bits, out.tobytes())
+
+
+def among(rows: DataFrame, key: str, bloom: Bloom) -> DataFrame:
+    """The rows whose ``key`` (a long) the filter holds: all that are in it and few others, before any shuffle."""
+    shared = rows.sparkSession.sparkContext.broadcast((bloom.bits, bloom.data.tobytes()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Bloom(*shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array(own.holds(ints_of(batch, key))))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def steps(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose ``column`` holds about ``most`` bytes at most."""
     for batch in batches:

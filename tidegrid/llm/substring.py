@@ -1,19 +1,22 @@
 """Substring dedup: words of windows that also start in an earlier document are removed.
 
-A window is ``size`` consecutive words. First pass: every scan task counts its windows' hashes in a count-min
-sketch (two rows of counters that stop at two); sketches are merged row by row and range by range, by adding
-counters. A counter is never too low, so a window whose counters don't all say two occurs once and is left out;
-none that repeats is lost. Second pass: the windows estimated repeated are grouped exactly by a hash of 96 bits
-and compared by doc_id; a document's covered words come back to it as intervals.
-
-Scale: texts are shuffled once, for the last join. The sketch has a fixed size (``bits``), so that it may be
-broadcast; beyond about 2 ** bits distinct windows it passes more windows that occur once, which costs
-shuffle but changes no result. A task sends each window once, with the least doc_id that it has seen it in
-(later documents of the task are settled at once), so a passage that a third of all documents share makes a
-row for each task, not for each document. Keys travel as packed arrays by hash range: about 14 bytes a window.
+A window is ``size`` consecutive words. Every task hashes its windows and deals them by hash range. A range's task
+holds the part of the count-min sketch that belongs to its range: first each chunk's sketch (two rows of counters
+that stop at two) is merged in by adding; a counter is never too low, so a window whose counters don't all say two
+occurs once and is left out, and none that repeats is lost. A second pass over the same chunks groups the windows
+estimated repeated exactly, by a hash of 96 bits, and compares them by doc_id; a document's covered words come back
+to it as intervals.
+
+Scale: texts are read once for their length and twice for their words, and shuffled once, for the last join. The
+number of ranges follows the corpus (``RANGE_BYTES`` of text each), so what a range's task holds does not; nothing
+is broadcast and nothing comes to the driver but the corpus's length. Windows travel as packed arrays, about 14 bytes
+each. A chunk sends each window once, with the least doc_id that it has seen it in (later documents of the chunk are
+settled at once), so a passage that a third of all documents share makes a row for each chunk, not for each document.
+Of n different windows some n * n / 2 ** 97 pairs share a hash: one expected in 10 ** 14 windows is far from reached.
 
 Edge cases: null or empty text = no words; texts under ``size`` words lose nothing; rows of the same doc_id
-aren't earlier than each other; a null doc_id counts as later than all; equal rows get equal results.
+aren't earlier than each other; a null doc_id counts as later than all; equal rows get equal results; other columns
+may have any names.
 """
 
 from __future__ import annotations
@@ -27,99 +30,42 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import Words, hash_names, hash_names_twice, ints_of, squeeze, steps, texts_of, unsqueeze, window_hash, window_starts
+from tidegrid.llm.common import Words, free_names, hash_names_twice, ints_of, squeeze, steps, texts_of, unsqueeze, window_hash, window_starts
 
-SIZE, BITS, SKETCH_SLICES = 13, 28, 64
+SIZE, BITS = 13, 24
+#: Text of the whole corpus for each hash range: some three million windows.
+RANGE_BYTES = 18 << 20
 #: Windows of a task that are grouped at once.
-CHUNK = 800_000
-#: Text bytes hashed at once: a task also holds the sketch.
+CHUNK = 1_000_000
+#: Text bytes hashed at once.
 STEP = 2 << 20
 LATEST = (1 << 63) - 1
 
 
-def _cells(h: np.ndarray, bits: int) -> list[np.ndarray]:
-    """The window's cell in each of the two rows."""
-    return [(h >> np.uint64(64 - bits)).astype(np.int64), (h & np.uint64((1 << bits) - 1)).astype(np.int64)]
+class Sketch:
+    """Two rows of 2 ** bits counters that stop at two, as maps of the cells that reached one and two."""
 
+    def __init__(self, bits: int = BITS):
+        self.bits = bits
+        self.one, self.two = (np.zeros((2, 1 << bits), bool) for _ in range(2))
 
-class Counters:
-    """Counters that stop at two, as bit maps of those that reached one and two."""
+    def cells(self, high: np.ndarray, low: np.ndarray) -> list[np.ndarray]:
+        shift = np.uint64(64 - self.bits)
+        return [((high ^ low.astype(np.uint64) * np.uint64(odd)) * np.uint64(0x9E3779B97F4A7C15) >> shift).astype(np.int64) for odd in (0xD6E8FEB86659FD93, 0xA24BAED4963EE407)]
 
-    def __init__(self, n: int):
-        self.one, self.two = np.zeros(n >> 3, np.uint8), np.zeros(n >> 3, np.uint8)
+    def add(self, high: np.ndarray, low: np.ndarray) -> None:
+        """Merges the sketch of one chunk's windows."""
+        for row, cells in enumerate(self.cells(high, low)):
+            cells = np.sort(cells)
+            again = cells[1:][cells[1:] == cells[:-1]]
+            self.two[row, cells[self.one[row, cells]]] = True
+            self.two[row, again] = True
+            self.one[row, cells] = True
 
-    @staticmethod
-    def _set(bitmap: np.ndarray, cells: np.ndarray) -> None:
-        if len(cells):
-            byte = cells >> 3
-            first = np.flatnonzero(np.concatenate([[True], byte[1:] != byte[:-1]]))
-            bitmap[byte[first]] |= np.bitwise_or.reduceat((1 << (cells & 7)).astype(np.uint8), first)
-
-    def count(self, cells: np.ndarray) -> None:
-        if not len(cells):
-            return
-        cells = np.sort(cells)
-        again = np.concatenate([[False], cells[1:] == cells[:-1]])
-        again |= (self.one[cells >> 3] >> (cells & 7).astype(np.uint8) & 1).astype(bool)
-        self._set(self.two, cells[again])
-        self._set(self.one, cells)
-
-    def merge(self, one: np.ndarray, two: np.ndarray) -> None:
-        self.two |= two | (self.one & one)
-        self.one |= one
-
-
-def _pack(bitmap: np.ndarray) -> bytes:
-    """A bit map as its set places if they are few, else as it is."""
-    places = np.flatnonzero(np.unpackbits(bitmap, bitorder="little"))
-    if len(places) * 12 < len(bitmap) * 8:
-        return b"s" + squeeze(places)
-    return b"d" + bitmap.tobytes()
-
-
-def _unpack(data: bytes, size: int) -> np.ndarray:
-    if data[:1] == b"d":
-        return np.frombuffer(data, np.uint8, offset=1)
-    bits = np.zeros(size * 8, np.uint8)
-    bits[unsqueeze(data[1:])] = 1
-    return np.packbits(bits, bitorder="little")
-
-
-def repeated_windows(docs: DataFrame, size: int = SIZE, bits: int = BITS) -> list[np.ndarray]:
-    """Per row of the merged sketch, the bit map of counters that reached two. ``docs``: id_key, tie, text."""
-    width = (1 << bits - 3) // SKETCH_SLICES
-    schema = "part int, one binary, two binary"
-
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [Counters(1 << bits), Counters(1 << bits)]
-        for batch in steps(batches, "text", STEP):
-            words = Words(texts_of(batch))
-            starts, _ = window_starts(words.offsets, size)
-            h = window_hash(hash_names(words.names)[words.index], size, 1)
-            h = h[starts] if len(starts) else h[:0]
-            for row, cells in zip(rows, _cells(h, bits), strict=True):
-                row.count(cells)
-        for r, row in enumerate(rows):
-            for k in range(SKETCH_SLICES):
-                span = slice(k * width, (k + 1) * width)
-                if row.one[span].any():
-                    yield pa.RecordBatch.from_pydict({"part": pa.array([r * SKETCH_SLICES + k], pa.int32()), "one": pa.array([_pack(row.one[span])], pa.binary()), "two": pa.array([_pack(row.two[span])], pa.binary())})
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merged: dict[int, Counters] = {}
-        for batch in batches:
-            for part, one, two in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                merged.setdefault(part, Counters(width * 8)).merge(_unpack(one, width), _unpack(two, width))
-        for part, c in merged.items():
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "two": pa.array([c.two.tobytes()], pa.binary())})
-
-    partial = docs.select("text").mapInArrow(sketch, schema)
-    out = [np.zeros(1 << bits - 3, np.uint8) for _ in range(2)]
-    # Two rows of 2 ** bits bits come to the driver, whatever the corpus.
-    for r in partial.repartition(2 * SKETCH_SLICES, "part").mapInArrow(merge, "part int, two binary").collect():
-        k = r["part"] % SKETCH_SLICES
-        out[r["part"] // SKETCH_SLICES][k * width : (k + 1) * width] = np.frombuffer(r["two"], np.uint8)
-    return out
+    def repeated(self, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """Whether all counters of a window say two: true for all that repeat, and for few others."""
+        first, second = self.cells(high, low)
+        return self.two[0, first] & self.two[1, second]
 
 
 _SENT = "slice int, chunk long, key_high binary, key_low binary, id_of binary, doc binary, pos binary, ids binary, ties binary"
@@ -132,11 +78,10 @@ def _row(schema: str, **values) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([values.get(n)], kinds[t]) for n, t in fields], names=[n for n, _ in fields])
 
 
-def _send(shared, size: int, bits: int, slices: int):
-    """Windows estimated repeated, grouped within the task and dealt by hash range."""
+def _send(size: int, slices: int):
+    """The chunks' windows, grouped within the chunk and dealt by hash range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        two = shared.value
         chunk = TaskContext.get().partitionId() << 32
         held: list[tuple[np.ndarray, ...]] = []
         ids: list[np.ndarray] = []
@@ -147,20 +92,25 @@ def _send(shared, size: int, bits: int, slices: int):
             if held:
                 high, low, doc, pos = (np.concatenate(x) for x in zip(*held, strict=True))
                 id_of, tie_of = np.concatenate(ids), np.concatenate(ties)
-                order = np.lexsort((id_of[doc], low, high))
+                held.clear()
+                order = np.argsort(high, kind="stable")
                 high, low, doc, pos = high[order], low[order], doc[order], pos[order]
+                close = np.flatnonzero(high[1:] == high[:-1])
+                if len(close):  # only windows whose first halves agree need the second and the ids in order
+                    some = np.unique(np.concatenate([close, close + 1]))
+                    inner = some[np.lexsort((id_of[doc[some]], low[some], high[some]))]
+                    low[some], doc[some], pos[some] = low[inner], doc[inner], pos[inner]
                 new = np.concatenate([[True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])]) if len(high) else np.zeros(0, bool)
-                least = id_of[doc][new][np.cumsum(new) - 1] if len(high) else np.zeros(0, np.int64)
-                late = id_of[doc] > least
+                own = id_of[doc]
+                late = own > own[new][np.cumsum(new) - 1] if len(high) else new
                 yield _row(_SENT, slice=chunk % slices, chunk=chunk, doc=squeeze(doc[late]), pos=squeeze(pos[late]), ids=squeeze(id_of), ties=tie_of.astype("<i8").tobytes())
                 high, low, doc, pos = high[~late], low[~late], doc[~late], pos[~late]
                 where = (high % np.uint64(slices)).astype(np.int64)
                 order = np.lexsort((pos, doc, where))
                 ends = np.searchsorted(where[order], np.arange(slices + 1))
-                for k in range(slices):
+                for k in np.flatnonzero(np.diff(ends)).tolist():
                     own = order[ends[k] : ends[k + 1]]
-                    if len(own):
-                        yield _row(_SENT, slice=k, chunk=chunk, key_high=high[own].astype("<u8").tobytes(), key_low=low[own].astype("<u4").tobytes(), id_of=squeeze(id_of[doc[own]]), doc=squeeze(doc[own]), pos=squeeze(pos[own]))
+                    yield _row(_SENT, slice=k, chunk=chunk, key_high=high[own].astype("<u8").tobytes(), key_low=low[own].astype("<u4").tobytes(), id_of=squeeze(id_of[doc[own]]), doc=squeeze(doc[own]), pos=squeeze(pos[own]))
             chunk += 1
             held.clear(), ids.clear(), ties.clear()
 
@@ -168,16 +118,8 @@ def _send(shared, size: int, bits: int, slices: int):
         for batch in steps(batches, "text", STEP):
             words = Words(texts_of(batch))
             starts, doc = window_starts(words.offsets, size)
-            first, second = (h[words.index] for h in hash_names_twice(words.names)) if len(words.index) else (np.zeros(0, np.uint64),) * 2
-            # The sketch's hash is its own: a key's bits stay independent of it.
-            h = window_hash(hash_names(words.names)[words.index], size, 1)
             if len(starts):
-                h = h[starts]
-                there = np.ones(len(h), bool)
-                for bitmap, cells in zip(two, _cells(h, bits), strict=True):
-                    some = np.flatnonzero(there)
-                    there[some] = bitmap[cells[some] >> 3] >> (cells[some] & 7).astype(np.uint8) & 1
-                starts, doc = starts[there], doc[there]
+                first, second = (h[words.index] for h in hash_names_twice(words.names))
                 held.append((window_hash(first, size, 2)[starts], (window_hash(second, size, 3)[starts] >> np.uint64(32)).astype(np.uint32), (doc + n_docs).astype(np.int32), (starts - words.offsets[:-1][doc]).astype(np.int64)))
                 n += len(starts)
             else:
@@ -193,28 +135,37 @@ def _send(shared, size: int, bits: int, slices: int):
     return run
 
 
-def _compare(table: pa.Table) -> pa.Table:
+def _compare(bits: int):
     """Of one hash range: which of the sent windows also start in an earlier document."""
-    rows = table.to_pylist()
-    asked = [r for r in rows if r["key_high"] is not None]
-    out = [{k: r[k] for k in ("chunk", "doc", "pos", "ids", "ties")} for r in rows if r["key_high"] is None]
-    if asked:
-        high = np.concatenate([np.frombuffer(r["key_high"], "<u8") for r in asked])
-        low = np.concatenate([np.frombuffer(r["key_low"], "<u4") for r in asked])
-        ids = np.concatenate([unsqueeze(r["id_of"]) for r in asked])
-        order = np.lexsort((ids, low, high))
-        h, w, i = high[order], low[order], ids[order]
-        new = np.concatenate([[True], (h[1:] != h[:-1]) | (w[1:] != w[:-1])])
-        late = np.zeros(len(h), bool)
-        late[order] = i > i[new][np.cumsum(new) - 1]
-        at = 0
-        for r in asked:
-            n = len(r["key_high"]) // 8
-            own = late[at : at + n]
-            at += n
-            if own.any():
-                out.append({"chunk": r["chunk"], "doc": squeeze(unsqueeze(r["doc"])[own]), "pos": squeeze(unsqueeze(r["pos"])[own]), "ids": None, "ties": None})
-    return pa.Table.from_pylist(out, pa.schema([("chunk", pa.int64()), ("doc", pa.binary()), ("pos", pa.binary()), ("ids", pa.binary()), ("ties", pa.binary())]))
+
+    def run(table: pa.Table) -> pa.Table:
+        columns = {c: table[c].to_pylist() for c in table.column_names}
+        asked = [i for i, k in enumerate(columns["key_high"]) if k is not None]
+        out = [{k: columns[k][i] for k in ("chunk", "doc", "pos", "ids", "ties")} for i, k in enumerate(columns["key_high"]) if k is None]
+        highs = [np.frombuffer(columns["key_high"][i], "<u8") for i in asked]
+        lows = [np.frombuffer(columns["key_low"][i], "<u4") for i in asked]
+        sketch = Sketch(bits)
+        for high, low in zip(highs, lows, strict=True):
+            sketch.add(high, low)
+        there = [np.flatnonzero(sketch.repeated(high, low)) for high, low in zip(highs, lows, strict=True)]
+        if sum(map(len, there)):
+            high, low = (np.concatenate([x[t] for x, t in zip(xs, there, strict=True)]) for xs in (highs, lows))
+            del highs, lows
+            ids = np.concatenate([unsqueeze(columns["id_of"][i])[t] for i, t in zip(asked, there, strict=True)])
+            order = np.lexsort((ids, low, high))
+            h, w, i = high[order], low[order], ids[order]
+            new = np.concatenate([[True], (h[1:] != h[:-1]) | (w[1:] != w[:-1])])
+            late = np.zeros(len(h), bool)
+            late[order] = i > i[new][np.cumsum(new) - 1]
+            at = 0
+            for i, t in zip(asked, there, strict=True):
+                own = t[late[at : at + len(t)]]
+                at += len(t)
+                if len(own):
+                    out.append({"chunk": columns["chunk"][i], "doc": squeeze(unsqueeze(columns["doc"][i])[own]), "pos": squeeze(unsqueeze(columns["pos"][i])[own]), "ids": None, "ties": None})
+        return pa.Table.from_pylist(out, pa.schema([("chunk", pa.int64()), ("doc", pa.binary()), ("pos", pa.binary()), ("ids", pa.binary()), ("ties", pa.binary())]))
+
+    return run
 
 
 def _intervals(size: int):
@@ -235,20 +186,19 @@ def _intervals(size: int):
     return run
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """All columns, and two that name a row: the doc_id (null as the latest) and a hash of its text."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumn("id_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(LATEST))).withColumn("tie", F.xxhash64(text))
+def _keyed(docs: DataFrame) -> list:
+    """Two columns that name a row: the doc_id (null as the latest) and a hash of its text."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(LATEST)), F.xxhash64(F.coalesce(F.col("text"), F.lit("")))]
 
 
-def removed_spans(docs: DataFrame, size: int = SIZE, bits: int = BITS) -> DataFrame:
+def removed_spans(docs: DataFrame, size: int = SIZE, bits: int = BITS, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """id_key, tie, spans: the word intervals (pairs of little-endian 64-bit integers) to remove from a text."""
-    spark = docs.sparkSession
-    d = _keyed(docs).select("id_key", "tie", F.coalesce("text", F.lit("")).alias("text"))
-    shared = spark.sparkContext.broadcast(repeated_windows(d, size, bits))
-    slices = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sent = d.mapInArrow(_send(shared, size, bits, slices), _SENT)
-    found = sent.groupBy("slice").applyInArrow(_compare, _FOUND)
+    id_key, tie = _keyed(docs)
+    d = docs.select(id_key.alias("id_key"), tie.alias("tie"), F.coalesce("text", F.lit("")).alias("text"))
+    total = d.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    slices = max(2, -(-total // range_bytes))
+    sent = d.mapInArrow(_send(size, slices), _SENT)
+    found = sent.groupBy("slice").applyInArrow(_compare(bits), _FOUND)
     spans = found.groupBy("chunk").applyInArrow(_intervals(size), "id_key long, tie long, spans binary")
     return spans.groupBy("id_key", "tie").agg(F.first("spans").alias("spans"))  # rows may be equal
 
@@ -277,26 +227,27 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def dedup_windows(docs: DataFrame, size: int = SIZE, bits: int = BITS) -> DataFrame:
+def dedup_windows(docs: DataFrame, size: int = SIZE, **options) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept (the text without them; as it was if it loses nothing)."""
-    d = _keyed(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "id_key", "tie", F.coalesce("text", F.lit("")).alias("text"))
-    joined = d.join(removed_spans(docs, size, bits), ["id_key", "tie"], "left").select("doc_id", "id_key", "tie", "text", "spans")
+    id_key, tie = _keyed(docs)
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), id_key.alias("id_key"), tie.alias("tie"), F.coalesce("text", F.lit("")).alias("text"))
+    joined = d.join(removed_spans(docs, size, **options), ["id_key", "tie"], "left").select("doc_id", "id_key", "tie", "text", "spans")
     schema = "doc_id long, id_key long, tie long, n_words long, n_removed long, kept_sha256 string, kept string"
     return joined.mapInArrow(_kept, schema).drop("id_key", "tie")
 
 
-def without_repeats(docs: DataFrame, size: int = SIZE, bits: int = BITS) -> DataFrame:
+def without_repeats(docs: DataFrame, size: int = SIZE, **options) -> DataFrame:
     """The rows and columns of ``docs`` with the covered words taken out of ``text``; other texts stay as they are."""
-    joined = _keyed(docs).withColumnsRenamed({"id_key": "_id_key", "tie": "_tie"}).join(
-        removed_spans(docs, size, bits).withColumnsRenamed({"id_key": "_id_key", "tie": "_tie", "spans": "_spans"}), ["_id_key", "_tie"], "left"
-    ).select(*docs.columns, "_spans")
+    columns, (id_key, tie, spans) = docs.columns, free_names(docs, "id_key", "tie", "spans")
+    own_id, own_tie = _keyed(docs)
+    theirs = removed_spans(docs, size, **options).withColumnsRenamed({"id_key": id_key, "tie": tie, "spans": spans})
+    joined = docs.withColumns({id_key: own_id, tie: own_tie}).join(theirs, [id_key, tie], "left").select(*columns, spans)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text", STEP):
             at = batch.schema.get_field_index("text")
-            texts = texts_of(batch).cast(pa.large_binary()).to_pylist()
+            texts = batch.column(at).cast(pa.large_binary()).to_pylist()
             new = [_without(t, s)[2] if s else t for t, s in zip(texts, batch.column(batch.num_columns - 1).to_pylist(), strict=True)]
-            yield batch.set_column(at, "text", pa.array(new, pa.binary()).cast(pa.string())).select(docs_columns)
+            yield batch.set_column(at, "text", pa.array(new, pa.binary()).cast(pa.string())).select(columns)
 
-    docs_columns = docs.columns
     return joined.mapInArrow(run, docs.schema)
