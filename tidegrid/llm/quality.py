@@ -8,7 +8,7 @@ the labellers' number of counts. The probabilities then train a linear scorer ov
 more than ``PIECE`` characters have a shape for each piece of that length, and count as many times.
 
 Scale: one scan counts patterns, one reads the training sample (at most ``sample`` documents by the least hash
-of doc_id, a parameter), one scores; nothing is shuffled but the patterns' counts.
+of doc_id and text, a parameter), one scores; nothing is shuffled but the patterns' counts and the sample's vectors.
 
 Edge cases: null or empty text = no words, score from the constant alone and rejected by rule (nothing to keep);
 equal texts get equal rows; an empty table gives an empty result; a corpus on which all labellers agree leaves
@@ -219,18 +219,20 @@ class Model:
 
 
 def fit(docs: DataFrame, sample: int = 5000) -> Model:
+    """``sample``: texts that the scorer learns from, those with the least hash of doc_id and text."""
     counts = pattern_counts(docs).toPandas()
     labels = fit_labels(counts["pattern"].to_numpy(np.int64), counts["n"].to_numpy(float))
-    d = id_and_text(docs)
-    ids = d.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    d = id_and_text(docs).select(F.xxhash64("doc_id", "text").alias("key"), "text")
+    # At most ``sample`` numbers go out; a vector of a fixed size comes back for each, however often its row repeats.
+    keys = d.select("key").distinct().orderBy("key").limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text", 2 << 20):
             f = Features(texts_of(batch))
-            yield pa.RecordBatch.from_arrays([pa.array(f.pattern), pa.array([r.astype("<f4").tobytes() for r in f.x], pa.binary())], names=["pattern", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f.pattern), pa.array([r.astype("<f4").tobytes() for r in f.x], pa.binary())], names=["key", "pattern", "x"])
 
-    # At most ``sample`` ids go out; as many vectors of a fixed size come back, unless ids repeat.
-    rows = d.join(F.broadcast(ids), "doc_id").select("text").limit(2 * sample).mapInArrow(run, "pattern long, x binary").toArrow()
+    found = d.join(F.broadcast(keys), "key").mapInArrow(run, "key long, pattern long, x binary")
+    rows = found.groupBy("key").agg(F.first("pattern").alias("pattern"), F.first("x").alias("x")).toArrow().sort_by("key")
     x = np.array([np.frombuffer(b, "<f4") for b in rows["x"].to_pylist()], float).reshape(-1, 1 << BITS)
     return Model(labels, fit_scorer(x, labels.posterior(rows["pattern"].to_numpy().astype(np.int64))))
 
