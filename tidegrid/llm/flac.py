@@ -438,22 +438,31 @@ def _feature(x: np.ndarray) -> str:
     return f"samples={len(x)};peak={int(np.abs(x).max(initial=0))};energy={int((x * x).sum())};crossings={crossings};steps={steps_}"
 
 
-def _read_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    for batch in steps(batches, "media", STEP):
-        media = batch.column(2).to_pylist()
-        rows = []
-        for stream, x in zip(media, decode(media), strict=True):
-            data = (x + 128).astype(np.uint8).tobytes()
-            rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(stream), hashlib.sha256(stream).hexdigest(), _feature(x)))
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=names)
+def _blocks(x: np.ndarray, samples: int) -> list[tuple[int, np.ndarray]]:
+    """The samples as PCM blocks: each block's first sample and its samples."""
+    return [(a, x[a : a + samples]) for a in range(0, len(x), samples)]
 
 
-def media_features(media: DataFrame) -> DataFrame:
-    """Digests and a feature of each stream's decoded payload."""
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(_read_rows, schema)
+def _read_rows(samples: int):
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_blocks", "last_block_offset"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, "media", STEP):
+            media, rows = batch.column(2).to_pylist(), []
+            for stream, x in zip(media, decode(media), strict=True):
+                blocks = _blocks(x, samples)
+                data = b"".join((b + 128).astype(np.uint8).tobytes() for _, b in blocks)
+                rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(stream), hashlib.sha256(stream).hexdigest(), _feature(x), len(blocks), blocks[-1][0] if blocks else 0))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=names)
+
+    return run
+
+
+def media_features(media: DataFrame, samples: int = 4096) -> DataFrame:
+    """Digests and a feature of each stream's decoded payload, taken from its PCM blocks of ``samples`` samples."""
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_blocks long, last_block_offset long"
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(_read_rows(samples), schema)
 
 
 def pcm_blocks(media: DataFrame, samples: int = 4096) -> DataFrame:
@@ -463,11 +472,10 @@ def pcm_blocks(media: DataFrame, samples: int = 4096) -> DataFrame:
         for batch in steps(batches, "media", STEP):
             ids = batch.column(0).to_pylist()
             for doc, x in zip(ids, decode(batch.column(1).to_pylist()), strict=True):
-                cut = [x[a : a + samples].astype("<i2") for a in range(0, len(x), samples)]
+                cut = _blocks(x, samples)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([doc] * len(cut), pa.int64()), pa.array(range(len(cut)), pa.int32()), pa.array([samples * k for k in range(len(cut))], pa.int64()), pa.array(map(len, cut), pa.int32()), pa.array([c.tobytes() for c in cut], pa.binary())],
+                    [pa.array([doc] * len(cut), pa.int64()), pa.array(range(len(cut)), pa.int32()), pa.array([a for a, _ in cut], pa.int64()), pa.array([len(c) for _, c in cut], pa.int32()), pa.array([c.astype("<i2").tobytes() for _, c in cut], pa.binary())],
                     names=["doc_id", "block", "sample_offset", "n_samples", "pcm"],
                 )
 
     return media.select("doc_id", "media").mapInArrow(run, "doc_id long, block int, sample_offset long, n_samples int, pcm binary")
-

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidegrid.llm import bpe, flac, minhash, packing, quality, rules, sharding, substring, tokenids, toxicity
-from tidegrid.llm.common import read_table, scratch_path
+from tidegrid.llm.common import read_table, scratch_path, written
 
 
 def _vocabulary(name: str) -> str:
@@ -23,7 +23,9 @@ def op1_elias_fano_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flac.media_features(flac.text_media(read_table(spark, sf_dir, "documents")))
+    # The streams are a table in the shared folder; what follows reads them back.
+    media = written(flac.text_media(read_table(spark, sf_dir, "documents")), "media")
+    return flac.media_features(media)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
