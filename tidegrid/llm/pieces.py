@@ -81,7 +81,8 @@ class TokenizerCodec:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        #: Added tokens, as the library finds them in a text before anything else.
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.units = spaced_units if spaced else word_units
         self.split = self._pattern(path).findall
         # Bytes as the characters that stand for them in byte-level vocabularies.
@@ -89,7 +90,6 @@ class TokenizerCodec:
         self.shown = {b: b for b in shown} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in shown)}
         self.pieces: dict[str, list[int]] = {}
         self._forget()
-        gc.disable()  # millions of small lists and strings, no cycles
 
     @staticmethod
     def _pattern(path: str) -> regex.Pattern:
@@ -119,6 +119,13 @@ class TokenizerCodec:
 
     def _numbers(self, names: list[str]) -> np.ndarray:
         """Each unit's number in what this worker remembers; units it hasn't seen are encoded."""
+        gc.disable()  # millions of small lists and strings, no cycles
+        try:
+            return self._known_numbers(names)
+        finally:
+            gc.enable()
+
+    def _known_numbers(self, names: list[str]) -> np.ndarray:
         if len(self.known) > REMEMBERED:
             self._forget()
         new = list(dict.fromkeys(n for n in names if n not in self.known))
@@ -137,7 +144,20 @@ class TokenizerCodec:
         self.flat, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, one text after another, and each text's number of ids."""
+        """All ids, one text after another, and each text's number of ids. Texts that hold an added token's string
+        are encoded whole by the library."""
+        low, holds = pc.ascii_lower(texts), np.zeros(len(texts), bool)
+        for content in self.added:
+            holds |= pc.match_substring(low, content).to_numpy(zero_copy_only=False)
+        ids, counts = self._by_units(pc.if_else(pa.array(holds), "", texts) if holds.any() else texts)
+        if holds.any():
+            parts = np.split(ids, np.cumsum(counts)[:-1])
+            for i in np.flatnonzero(holds).tolist():
+                parts[i] = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32)
+            ids, counts = np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+        return ids, counts
+
+    def _by_units(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         units = self.units(texts)
         number = self._numbers(units.names)[units.index] if len(units.index) else units.index
         starts = np.cumsum(self.lengths) - self.lengths

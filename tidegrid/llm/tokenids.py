@@ -55,35 +55,39 @@ class EliasFano:
         bits[places] = 1
         return cls(n, low_bits, low, np.packbits(bits).tobytes(), places[::SAMPLE].astype("<u4").tobytes())
 
-    def values(self) -> np.ndarray:
-        if not self.n:
-            return np.zeros(0, np.int64)
-        high = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8)))[: self.n] - np.arange(self.n)
+    def select(self, i: np.ndarray | int) -> np.ndarray:
+        """The values at the places ``i``, from the sampled places around them on: only that stretch of the high part is counted."""
+        i = np.atleast_1d(np.asarray(i, np.int64))
+        if not len(i):
+            return i
+        if i.min() < 0 or i.max() >= self.n:
+            raise IndexError(int(i.max()))
+        samples, high = np.frombuffer(self.samples, "<u4"), np.frombuffer(self.high, np.uint8)
+        first, last = int(i.min()) // SAMPLE, int(i.max()) // SAMPLE + 1
+        begin = int(samples[first])
+        a, b = begin >> 3, (int(samples[last]) >> 3) + 1 if last < len(samples) else len(high)
+        stretch = high[a:b].copy()
+        stretch[0] &= 0xFF >> (begin & 7)
+        ones = np.cumsum(_ONES[stretch])  # set bits up to and with each byte
+        rank = i - first * SAMPLE
+        byte = np.searchsorted(ones, rank, side="right")
+        bit = _PLACE[stretch[byte], rank - (ones[byte] - _ONES[stretch[byte]])]
+        upper = ((a + byte) << 3) + bit - i
         if not self.low_bits:
-            return high.astype(np.int64)
-        low = np.unpackbits(np.frombuffer(self.low, np.uint8), count=self.n * self.low_bits).reshape(self.n, self.low_bits)
-        return (high << self.low_bits) + low.astype(np.int64) @ (1 << np.arange(self.low_bits - 1, -1, -1))
-
-    def select(self, i: int) -> int:
-        """The i-th value from the nearest sample on, reading a few bytes of the high part."""
-        if not 0 <= i < self.n:
-            raise IndexError(i)
-        place = int(np.frombuffer(self.samples, "<u4", 1, 4 * (i // SAMPLE))[0])
-        rest, byte = i % SAMPLE, place >> 3
-        word = self.high[byte] & (0xFF >> (place & 7))
-        while rest >= (ones := word.bit_count()):
-            rest, byte = rest - ones, byte + 1
-            word = self.high[byte]
-        for bit in range(8):
-            if word >> (7 - bit) & 1:
-                if rest == 0:
-                    break
-                rest -= 1
-        high, first = 8 * byte + bit - i, i * self.low_bits
-        last = first + self.low_bits
-        window = int.from_bytes(self.low[first >> 3 : (last + 7) >> 3], "big")
-        low = window >> (-last % 8) & ((1 << self.low_bits) - 1) if self.low_bits else 0
-        return (high << self.low_bits) + low
+            return upper
+        # The low part's bits of a value lie in eight bytes at most (it has fewer than 57).
+        at = i * self.low_bits
+        data = np.frombuffer(self.low + bytes(8), np.uint8)
+        window = np.zeros(len(i), np.uint64)
+        for k in range(8):
+            window = window << np.uint64(8) | data[(at >> 3) + k]
+        lower = (window << (at & 7).astype(np.uint64)) >> np.uint64(64 - self.low_bits)
+        return (upper << self.low_bits) + lower.astype(np.int64)
+
+
+#: By byte: its set bits, and the place of each of them from the left.
+_ONES = np.array([x.bit_count() for x in range(256)], np.int64)
+_PLACE = np.array([([p for p in range(8) if x >> (7 - p) & 1] + [8] * 8)[:8] for x in range(256)], np.int64)
 
 
 def _blocks(tokenizer: str, spaced: bool, end_id: int, block_tokens: int):
@@ -129,7 +133,7 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for b in batch.to_pylist():
             ids = np.frombuffer(b["ids"], f"<u{b['id_bytes']}").astype("<u4")
-            ends = EliasFano(b["n_docs"], b["low_bits"], b["low"], b["high"], b["samples"]).values()
+            ends = EliasFano(b["n_docs"], b["low_bits"], b["low"], b["high"], b["samples"]).select(np.arange(b["n_docs"]))
             starts = np.concatenate([[0], ends[:-1]])
             raw = memoryview(ids.view(np.uint8))
             crcs = [zlib.crc32(raw[4 * s : 4 * e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
@@ -142,10 +146,29 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_token_ids(spark, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each document, from the written blocks."""
-    schema = "part int, block int, start long, n_docs int, n_tokens long, id_bytes int, ids binary, doc_ids binary, no_doc_id binary, low_bits int, low binary, high binary, samples binary"
-    blocks = spark.read.schema(schema).parquet(path)
+    blocks = spark.read.schema(BLOCK_SCHEMA).parquet(path)
     # One row a partition of the writer: their number is set by the shuffle, not by the documents.
     totals = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     totals = totals.select("part", F.coalesce(before, F.lit(0)).alias("before"))
     return blocks.join(F.broadcast(totals), "part").mapInArrow(_documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def documents_by_id(spark, path: str, doc_ids: list[int]) -> DataFrame:
+    """doc_id and ids (array of int) of a few documents: only their boundaries are selected in the blocks that hold them."""
+    wanted = np.unique(np.array(doc_ids, np.int64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in batch.to_pylist():
+                docs = np.frombuffer(b["doc_ids"], "<i8")
+                null = np.unpackbits(np.frombuffer(b["no_doc_id"], np.uint8), count=b["n_docs"]).astype(bool)
+                at = np.flatnonzero(np.isin(docs, wanted) & ~null)
+                if not len(at):
+                    continue
+                ef = EliasFano(b["n_docs"], b["low_bits"], b["low"], b["high"], b["samples"])
+                ids, ends, starts = np.frombuffer(b["ids"], f"<u{b['id_bytes']}"), ef.select(at), np.where(at > 0, ef.select(np.maximum(at - 1, 0)), 0)
+                lists = [ids[s:e].astype(np.int64) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(docs[at]), pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "ids"])
+
+    return spark.read.schema(BLOCK_SCHEMA).parquet(path).mapInArrow(run, "doc_id long, ids array<long>")
