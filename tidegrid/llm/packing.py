@@ -4,13 +4,18 @@ Documents become pieces of at most ``capacity`` tokens; a full piece is a sequen
 dealt evenly over partitions, each of which packs its own by best fit decreasing and compares its number of
 sequences with a lower bound: the largest sum of u(length) over a family of dual feasible functions u
 (functions for which any lengths that fit a sequence sum to 1 at most). A partition that meets its bound is
-certified and done. Partitions with a gap hand over the pieces of all their sequences, which are dealt anew
-over fewer partitions, and best fit decreasing runs again; so does it when the last round's loss summed over
-partitions is more than one partition would have. Lengths alone move, never texts or ids.
+certified. Partitions with a gap hand over the pieces of all their sequences (in the first ``rounds``), others and
+later ones those of their emptiest sequences (``exchanged``: what a partition loses is its last, nearly empty one);
+these are dealt anew over fewer partitions, and best fit decreasing runs again. Rounds end when all sequences
+together meet the bound of all pieces together, or with the round that has one partition, which holds some thousand
+sequences at most. Lengths alone move, never texts or ids.
 
-Scale: a partition of the first round holds about ``per_partition`` pieces (24-byte rows) whatever the corpus,
-one of each later round four times as many; those rounds see only partitions with a gap, and end after
-``rounds``.
+The result says what was reached: ``n_sequences`` and ``bound`` (of the whole table, from the histogram of
+lengths) and ``certified`` (the piece's sequence lies in a partition that met its own bound in its last round).
+
+Scale: a partition of the first round holds about ``per_partition`` pieces (24-byte rows) whatever the corpus; each
+later round has a quarter of the partitions at most and sees only what was handed over. The driver gets two numbers
+a round and the histogram, at most ``capacity`` rows.
 
 Edge cases: null text = the end id alone, one piece; equal rows are packed apart; an empty table gives an empty
 result; a document above capacity is cut so that only its first piece is shorter.
@@ -31,19 +36,19 @@ from tidegrid.llm.common import id_and_text, steps, texts_of, written
 from tidegrid.llm.pieces import TokenizerCodec, with_end
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, place long"
-PACKED = "place long, sequence_id long, offset long"
+PACKED = "place long, sequence_id long, offset long, certified boolean"
 
 
-def lower_bound(lengths: np.ndarray, capacity: int) -> int:
+def lower_bound(lengths: np.ndarray, capacity: int, counts: np.ndarray | None = None) -> int:
     """Sequences that any packing needs, by two families of dual feasible functions over the lengths' histogram.
 
     For a threshold t <= capacity / 2: lengths above capacity - t count 1, those below t count 0, others their
     share. For a whole number k: x counts floor((k + 1) x / capacity) / k unless (k + 1) x / capacity is whole,
-    then x / capacity.
+    then x / capacity. ``counts``: how often each length occurs.
     """
     if not len(lengths):
         return 0
-    sizes, n = np.unique(lengths, return_counts=True)
+    sizes, n = np.unique(lengths, return_counts=True) if counts is None else (lengths, counts)
     best = -(-int((sizes * n).sum()) // capacity)
     for t in {0, *sizes[sizes <= capacity // 2].tolist()}:
         large = int(n[sizes > capacity - t].sum())
@@ -115,49 +120,54 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048, s
 
 
 def _packed(capacity: int, first_id: int):
-    schema = "place long, length long, sequence_id long, offset long, n_sequences long, bound long"
+    schema = "place long, length long, sequence_id long, offset long, fill long, n_sequences long, bound long, emptiest long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-        if table is None or not table.num_rows:
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
             return
-        table = table.select(["place", "length"]).sort_by("place")
+        table = pa.Table.from_batches(batches).select(["place", "length"]).sort_by("place")
         lengths = table["length"].to_numpy().astype(np.int64)
         bins, offsets, count = best_fit(lengths, capacity)
-        bound = lower_bound(lengths, capacity)
-        yield from table.append_column("sequence_id", pa.array(bins + (first_id + (TaskContext.get().partitionId() << 32)))).append_column(
-            "offset", pa.array(offsets)
-        ).append_column("n_sequences", pa.array(np.full(len(bins), count))).append_column("bound", pa.array(np.full(len(bins), bound))).to_batches()
+        fill = np.bincount(bins, lengths, count).astype(np.int64)
+        rank = np.empty(count, np.int64)
+        rank[np.argsort(fill, kind="stable")] = np.arange(count)
+        added = [bins + (first_id + (TaskContext.get().partitionId() << 32)), offsets, fill[bins], np.full(len(bins), count), np.full(len(bins), lower_bound(lengths, capacity)), rank[bins]]
+        for name, values in zip(("sequence_id", "offset", "fill", "n_sequences", "bound", "emptiest"), added, strict=True):
+            table = table.append_column(name, pa.array(values))
+        yield from table.to_batches()
 
     return run, schema
 
 
-def pack(lengths: DataFrame, capacity: int = 2048, per_partition: int = 20_000, rounds: int = 4) -> DataFrame:
-    """place, sequence_id and offset for rows of place and length (1 to capacity); one written table for each round."""
+def pack(lengths: DataFrame, capacity: int = 2048, per_partition: int = 20_000, exchanged: int = 64, rounds: int = 3) -> DataFrame:
+    """place, sequence_id, offset, certified, n_sequences and bound for rows of place and length (1 to capacity)."""
     spark = lengths.sparkSession
-    full = lengths.where(F.col("length") >= capacity).select("place", F.col("place").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    open_, done = lengths.where(F.col("length") < capacity).select("place", "length"), [full]
-    n = open_.count()
-    for k in range(rounds):
-        parts = max(1, -(-n // (per_partition * 4**k)))  # fewer, larger partitions each round
-        run, schema = _packed(capacity, (k + 1) << 60)
+    histogram = lengths.groupBy("length").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("length")  # capacity rows at most
+    sizes, n_of = histogram["length"].to_numpy(np.int64), histogram["n"].to_numpy(np.int64)
+    bound, n_full = lower_bound(sizes, capacity, n_of), int(n_of[sizes >= capacity].sum())
+    full = lengths.where(F.col("length") >= capacity).select("place", F.col("place").alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(True).alias("certified"))
+    done, total = [full], n_full
+    open_, n, k = lengths.where(F.col("length") < capacity).select("place", "length"), int(n_of[sizes < capacity].sum()), 0
+    parts = -(-n // per_partition)
+    while n:
+        run, schema = _packed(capacity, (k + 1) << 58)
         packed = written(open_.repartition(parts, F.xxhash64("place", F.lit(k))).mapInArrow(run, schema), "packed")
-        gaps = packed.where(F.col("n_sequences") > F.col("bound"))
-        done.append(packed.where(F.col("n_sequences") <= F.col("bound")).select("place", "sequence_id", "offset"))
-        last = k == rounds - 1 or parts == 1
-        left = 0 if last else gaps.count()
-        if not left:
-            if last:
-                done.append(gaps.select("place", "sequence_id", "offset"))
-            break
-        open_, n = gaps.select("place", "length"), left
-    out = done[0]
-    for d in done[1:]:
+        made = packed.where("offset = 0").count()
+        certified = F.col("n_sequences") <= F.col("bound")
+        last = parts == 1 or total + made <= bound
+        handed = F.lit(False) if last else (~certified & F.lit(k < rounds)) | (F.col("emptiest") < exchanged) & (F.col("fill") < capacity)
+        done.append(packed.where(~handed).select("place", "sequence_id", "offset", certified.alias("certified")))
+        total += packed.where(~handed & (F.col("offset") == 0)).count()
+        open_ = packed.where(handed).select("place", "length")
+        n, k, parts = (0 if last else open_.count()), k + 1, max(1, min(-(-parts // 4), -(-n // per_partition)))
+    out = spark.createDataFrame([], PACKED)
+    for d in done:
         out = out.unionByName(d)
-    return spark.createDataFrame([], PACKED).unionByName(out)
+    return out.withColumns({"n_sequences": F.lit(total).cast("long"), "bound": F.lit(bound).cast("long")})
 
 
 def packed_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048, spaced: bool = True) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece; certified, n_sequences, bound (see ``pack``)."""
     made = pieces(docs, tokenizer, end_id, capacity, spaced)
-    return made.join(pack(made, capacity), "place").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return made.join(pack(made, capacity), "place").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "certified", "n_sequences", "bound")
