@@ -4,25 +4,29 @@ Groups sorted by size, largest first, enter the bin with the tightest remaining
 found through a balanced tree of remaining capacities. Two uses:
 
 * ``fixed_capacity_shards``: as few shards of a given capacity as best fit decreasing finds;
-* ``balanced_shards``: a given number of shards, with the least capacity for which that number suffices.
+* ``balanced_shards``: a given number of shards, with nearly the least capacity for which that number suffices.
 
-Scale: texts are read once and never shuffled. What is packed on the driver is bounded by parameters: the
-largest groups one by one (``largest``), all others as bundles of whole groups by hash, of three sizes
-(``3 * bundles``), so that a corpus of any size is a few ten thousand items. A row's place in its shard is a
-prefix sum of counts by scan partition, so no shard is sorted as a whole.
+Scale: every group is sorted and placed, in partitions of about ``per_partition`` groups; the bins that the
+partitions fill are then groups themselves, packed in the same way in fewer partitions, until one is left. So a corpus
+of any size passes a few levels, each with at most a fraction of the rows of the one before, and no group's list comes
+to the driver. Texts are read once and never shuffled. A row's place in its shard is a prefix sum of counts by
+scan partition, so no shard is sorted as a whole.
 
 Edge cases: null text = no bytes, size 8, and one group with the empty text; equal rows share a group and get
-different slots; an empty table gives an empty result; a group above a fair share gets a shard of its own.
+different slots; an empty table gives an empty result; a group above a fair share gets a shard of its own; one above
+a fixed capacity can't be split and gets a shard of its own too, marked ``over_capacity``.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import id_and_text, written
+from tidegrid.llm.common import id_and_text, looked_up, written
 
 #: Bytes that a row costs besides its text.
 ROW_BYTES = 8
@@ -135,8 +139,8 @@ def best_fit_decreasing(sizes: list[int], capacity: int, most: int | None = None
 
 
 def even_bins(sizes: list[int], n: int) -> list[int]:
-    """Bins 0 to n - 1 of nearly equal sums: items above a fair share get a bin each, the rest the least capacity
-    at which best fit decreasing needs no more than the bins that are left."""
+    """Bins 0 to n - 1 of nearly equal sums: items above a fair share get a bin each, the rest a capacity about a
+    thousandth (over their number) above the least at which best fit decreasing needs no more than the bins that are left."""
     order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
     total, out, alone = sum(sizes), [0] * len(sizes), 0
     while alone < min(n - 1, len(order)) and sizes[order[alone]] * (n - alone) > total:
@@ -148,34 +152,22 @@ def even_bins(sizes: list[int], n: int) -> list[int]:
         return out
     own = [sizes[i] for i in rest]
     low = max(-(-total // left), own[0])
-    high = max(low, 2 * low)
-    caps = range(low, high + 1)
-    tried: dict[int, list[int]] = {}
-
-    def enough(cap: int) -> bool:
-        packed = best_fit_decreasing(own, cap, left)
-        if packed is not None:
-            tried[cap] = packed
-        return packed is not None
-
-    while not enough(high):
-        high *= 2
-        caps = range(low, high + 1)
-    bisect_left(caps, True, key=enough)
-    best = tried[min(tried)]
-    for i, b in zip(rest, best, strict=True):
+    near = max(1, low // (1000 * left))  # the last bin gets what the others leave
+    high, packed = low + near, best_fit_decreasing(own, low + near, left)
+    step = near
+    while packed is None:
+        low, step = high, 2 * step
+        high += step
+        packed = best_fit_decreasing(own, high, left)
+    while high - low > near:
+        middle = (low + high) // 2
+        tried = best_fit_decreasing(own, middle, left)
+        low, high, packed = (middle, high, packed) if tried is None else (low, middle, tried)
+    for i, b in zip(rest, packed, strict=True):
         out[i] = alone + b
     return out
 
 
-def _bundle(key: Column, bundles: int) -> Column:
-    """A whole number for a group's key: 95 % of the groups go to large bundles, 4.5 % to small, 0.5 % to tiny ones."""
-    code = F.conv(F.substring(F.hex(key), 1, 15), 16, 10).cast("long")
-    part = F.pmod(code, F.lit(1000))
-    level = F.when(part < 950, 0).when(part < 995, 1).otherwise(2)
-    return (level * F.lit(bundles) + F.pmod(F.floor(code / 1000).cast("long"), F.lit(bundles))).cast("int")
-
-
 def _slim(docs: DataFrame) -> DataFrame:
     """A row for each document without its text, at a stable place."""
     d = id_and_text(docs)
@@ -191,28 +183,41 @@ def _slim(docs: DataFrame) -> DataFrame:
     )
 
 
-def _with_shards(rows: DataFrame, place, largest: int, bundles: int) -> DataFrame:
-    """rows with ``shard`` by ``place(sizes) -> bins`` over the largest groups and the bundles of the others."""
-    spark = rows.sparkSession
+def _placed(place: Callable[[list[int]], list[int]], level: int):
+    """Of one partition's items (key, bytes): the bin that each enters, named by level, partition and number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = [b for b in batches if b.num_rows]
+        if batches:
+            table = pa.Table.from_batches(batches).sort_by("key")
+            bins, first = place(table["bytes"].to_pylist()), (level << 56) + (TaskContext.get().partitionId() << 28)
+            yield from table.append_column("bin", pa.array([first + b for b in bins], pa.int64())).to_batches()
+
+    return run
+
+
+def _shards(rows: DataFrame, place: Callable[[list[int]], list[int]], per_partition: int, finer: Callable[[list[int]], list[int]] | None = None) -> DataFrame:
+    """group and shard (any number) of every group: packed in partitions (by ``finer``, where another level follows),
+    then the partitions' bins in turn."""
     groups = rows.groupBy("group").agg(F.sum("size").alias("bytes"))
-    top = groups.orderBy(F.desc("bytes"), "group").limit(largest).collect()
-    sums = {r[0]: r[1] for r in rows.groupBy(_bundle(F.col("group"), bundles).alias("bundle")).agg(F.sum("size")).collect()}
-    if top:
-        keys = spark.createDataFrame([(bytes(r["group"]), r["bytes"]) for r in top], "group binary, bytes long")
-        for r in keys.groupBy(_bundle(F.col("group"), bundles).alias("bundle")).agg(F.sum("bytes")).collect():
-            sums[r[0]] -= r[1]
-    names = [bytes(r["group"]) for r in top] + sorted(b for b, size in sums.items() if size > 0)
-    bins = place([r["bytes"] for r in top] + [sums[b] for b in names[len(top) :]])
-    one = spark.createDataFrame(list(zip(names[: len(top)], bins[: len(top)], strict=True)), "group binary, own int")
-    many = spark.createDataFrame(list(zip(names[len(top) :], bins[len(top) :], strict=True)), "bundle int, shared int")
-    # Both maps have a size fixed by parameters, whatever the corpus.
-    return (
-        rows.withColumn("bundle", _bundle(F.col("group"), bundles))
-        .join(F.broadcast(one), "group", "left")
-        .join(F.broadcast(many), "bundle", "left")
-        .withColumn("shard", F.coalesce("own", "shared"))
-        .drop("own", "shared", "bundle")
-    )
+    items, level, steps_ = groups.select(F.col("group").alias("key"), "bytes"), 0, []
+    n = items.count()
+    while True:
+        parts = max(1, -(-n // per_partition))
+        key = items.schema["key"].dataType.simpleString()
+        placed = written(items.repartition(parts, F.xxhash64("key", F.lit(level))).mapInArrow(_placed(place if parts == 1 else finer or place, level), f"key {key}, bytes long, bin long"), "placed")
+        steps_.append(placed)
+        if parts == 1:
+            break
+        items, before = placed.groupBy("bin").agg(F.sum("bytes").alias("bytes")).select(F.col("bin").alias("key"), "bytes"), n
+        n, level = items.count(), level + 1
+        if n >= before:  # nothing fits together any more
+            break
+    out = steps_[0].select(F.col("key").alias("group"), "bin")
+    for placed in steps_[1:]:
+        above = placed.select(F.col("key").alias("bin"), F.col("bin").alias("next"))
+        out = looked_up(out, "bin", above, "group").select("group", F.col("next").alias("bin"))
+    return out.withColumnRenamed("bin", "shard")
 
 
 def _with_slots(rows: DataFrame) -> DataFrame:
@@ -225,19 +230,23 @@ def _with_slots(rows: DataFrame) -> DataFrame:
     return rows.withColumn("at", at).join(counts, ["shard", "part"]).withColumn("slot", F.col("at") + F.col("before"))
 
 
-def balanced_shards(docs: DataFrame, n_shards: int = 24, largest: int = 4096, bundles: int = 2048) -> DataFrame:
+def balanced_shards(docs: DataFrame, n_shards: int = 24, per_partition: int = 20_000) -> DataFrame:
     """doc_id, size, text_crc32, law ('bytes'), shard 0 to n_shards - 1, slot, grown_shard (null)."""
-    rows = _with_shards(_slim(docs), lambda sizes: even_bins(sizes, n_shards), largest, bundles)
-    return _with_slots(rows).select(
+    rows = _slim(docs)
+    # Partitions fill many small bins, so that the last level can still even them out.
+    shards = _shards(rows, lambda sizes: even_bins(sizes, n_shards), max(per_partition, 16 * n_shards), lambda sizes: even_bins(sizes, max(n_shards, len(sizes) // 16)))
+    # The last level has one partition, whose bins are numbered from 0.
+    shards = shards.withColumn("shard", F.col("shard").bitwiseAND((1 << 28) - 1).cast("int"))
+    return _with_slots(looked_up(rows, "group", shards, "place")).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
 
 
-def fixed_capacity_shards(docs: DataFrame, capacity: int, largest: int = 65536, bundles: int = 16384) -> DataFrame:
-    """As balanced_shards, for as few shards of ``capacity`` bytes as best fit decreasing finds.
-
-    A bundle must fit a shard: choose ``bundles`` so that the corpus over bundles is well below capacity."""
-    rows = _with_shards(_slim(docs), lambda sizes: best_fit_decreasing(sizes, capacity), largest, bundles)
-    return _with_slots(rows).select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
-    )
+def fixed_capacity_shards(docs: DataFrame, capacity: int, per_partition: int = 20_000) -> DataFrame:
+    """doc_id, size, text_crc32, shard (any number), slot, over_capacity, for as few shards of ``capacity`` bytes as
+    best fit decreasing finds."""
+    rows = _slim(docs)
+    shards = written(_shards(rows, lambda sizes: best_fit_decreasing(sizes, capacity), per_partition), "shards")
+    bytes_ = looked_up(rows, "group", shards, "place").groupBy("shard").agg((F.sum("size") > capacity).alias("over_capacity"))
+    shards = looked_up(shards, "shard", bytes_, "group")
+    return _with_slots(looked_up(rows, "group", shards, "place")).select("doc_id", "size", "text_crc32", "shard", "slot", "over_capacity")
