@@ -6,9 +6,10 @@ documents the target's; a text's ratio is the mean over its n-grams of log(targe
 matter, and a document passes when that mean reaches a fixed threshold. Which documents are trusted is a table
 of doc_ids.
 
-Scale: counting is one sort-merge join of the documents with the trusted ids, then one
-vector of counts for each task, summed by slice of the vector; scoring is one scan with a table of bucket weights
-whose size is a parameter. Nothing depends on an order, so results repeat.
+Scale: raw text is counted where it is read, without a join; the target's counts come from a join with the trusted
+ids, before which a Bloom filter of those ids leaves out nearly all other texts, so what is shuffled is the trusted
+text. A task sends one vector of counts, summed by slice of the vector; scoring is one scan with a table of bucket
+weights whose size is a parameter. Nothing depends on an order, so results repeat.
 
 Edge cases: null or empty text = no words and base_failed; a text with words but no token pair is judged by its
 unigrams; without trusted documents every text that passes the base rules is kept; equal texts get equal rows.
@@ -25,14 +26,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import Words, hash_names, id_and_text, mix64, spread, steps, texts_of
+from tidegrid.llm.common import Words, among, bloom_of, hash_names, id_and_text, mix64, spread, steps, texts_of
 
-BITS, SLICES = 15, 16
+BITS, SLICES = 18, 16
 #: Mean log ratio below which a document is dropped.
 THRESHOLD = -0.1
 MIN_WORDS = 50
-#: Smoothing of the target's counts, in tokens a bucket.
-PRIOR = 5
+#: Tokens of the raw corpus that the target's counts are smoothed with.
+PRIOR = 1 << 17
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 
 
@@ -86,13 +87,10 @@ class NgramBuckets:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros((2, 1 << BITS), np.int64)
+    total = np.zeros(1 << BITS, np.int64)
     for batch in steps(batches):
-        found = NgramBuckets(Words(texts_of(batch)))
-        trusted = batch.column(batch.schema.get_field_index("trusted")).to_numpy(zero_copy_only=False).astype(bool)
-        total[0] += np.bincount(found.bucket, minlength=1 << BITS)
-        total[1] += np.bincount(found.bucket[trusted[found.owner]], minlength=1 << BITS)
-    for k, part in enumerate(np.split(total, SLICES, axis=1)):
+        total += np.bincount(NgramBuckets(Words(texts_of(batch))).bucket, minlength=1 << BITS)
+    for k, part in enumerate(np.split(total, SLICES)):
         if part.any():
             yield pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), "counts": pa.array([part.astype("<i8").tobytes()], pa.binary())})
 
@@ -102,22 +100,25 @@ def _sum(table: pa.Table) -> pa.Table:
     return pa.table({"slice": table["slice"][:1].combine_chunks(), "counts": pa.array([total.tobytes()], pa.binary())})
 
 
+def bucket_counts(texts: DataFrame) -> np.ndarray:
+    """How often each bucket occurs in all rows of ``text``; the result's size is a parameter."""
+    schema, out = "slice int, counts binary", np.zeros((SLICES, (1 << BITS) // SLICES))
+    for r in texts.select("text").mapInArrow(_count, schema).groupBy("slice").applyInArrow(_sum, schema).collect():
+        out[r["slice"]] = np.frombuffer(r["counts"], "<i8")
+    return out.ravel()
+
+
 def weights(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
     """log(target / raw) of each bucket, over all documents and all of them whose id is in ``trusted``."""
-    ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("trusted", F.lit(True))
-    # Always a shuffle of both sides: the trusted ids grow with the corpus, and so does what a broadcast would hold.
-    joined = id_and_text(docs).join(ids.hint("merge"), "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
-    schema = "slice int, counts binary"
-    slices = joined.mapInArrow(_count, schema).groupBy("slice").applyInArrow(_sum, schema).collect()  # a fixed number of buckets
-    raw, target = np.zeros((SLICES, (1 << BITS) // SLICES)), np.zeros((SLICES, (1 << BITS) // SLICES))
-    for r in slices:
-        raw[r["slice"]], target[r["slice"]] = np.frombuffer(r["counts"], "<i8").reshape(2, -1)
-    raw, target = raw.ravel(), target.ravel()
+    ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    d = id_and_text(docs)
+    # Both sides are shuffled at every size: the trusted ids grow with the corpus, and so would what a broadcast holds.
+    own = among(d.where("doc_id is not null"), "doc_id", bloom_of(ids)).join(ids.hint("merge"), "doc_id", "left_semi")
+    raw, target = bucket_counts(d), bucket_counts(own)
     if not target.any():
         return np.zeros(1 << BITS)
     prior = (raw + 1) / (raw.sum() + len(raw))
-    own = PRIOR * len(raw)  # tokens of the raw corpus that the target's counts are smoothed with
-    return np.log((target + own * prior) / (target.sum() + own) / prior)
+    return np.log((target + PRIOR * prior) / (target.sum() + PRIOR) / prior)
 
 
 def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
