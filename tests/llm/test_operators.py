@@ -305,8 +305,17 @@ def test_packing(spark, texts, odd, empty):
         own.sort(key=lambda r: r["offset"])
         assert [r["offset"] for r in own] == [sum(x["length"] for x in own[:k]) for k in range(len(own))] and sum(r["length"] for r in own) <= 2048
     assert set(by_doc) == set(texts) and len(by_bin) <= packing.lower_bound(np.array([r["length"] for r in rows]), 2048) + 1
+    assert {(r["n_sequences"], r["bound"]) for r in rows} == {(len(by_bin), packing.lower_bound(np.array([r["length"] for r in rows]), 2048))}
     lengths = packing.pieces(odd, BYTE, 0)
     assert packing.pack(lengths, 2048, per_partition=3).count() == lengths.count() >= odd.count()
+    # Many partitions exchange what is left over: nearly as few sequences as in one.
+    sizes = np.random.RandomState(3).lognormal(5.5, 1.2, 6000).astype(int).clip(1, 2048)
+    frame = spark.createDataFrame([(i, int(n)) for i, n in enumerate(sizes)], "place long, length long")
+    out = packing.pack(frame, 2048, per_partition=300, exchanged=8).toPandas().merge(frame.toPandas(), on="place")
+    used = out.groupby("sequence_id")["length"].sum()
+    assert len(out) == 6000 == out["place"].nunique() and used.max() <= 2048 and len(used) == out["n_sequences"][0] <= packing.best_fit(sizes, 2048)[2] + 4
+    ends = out.sort_values(["sequence_id", "offset"]).groupby("sequence_id")
+    assert (ends["offset"].apply(list) == ends["length"].apply(lambda x: [0, *np.cumsum(x)[:-1]])).all()
     assert packing.packed_pieces(empty, BYTE, 0).count() == 0
 
 
@@ -342,10 +351,36 @@ def test_sharding(spark, texts, odd, empty):
     for r in queries.op9_sharding(spark, "/root/testdata/sf0.01").collect():
         sizes[r["shard"]] += r["size"]
     assert len(sizes) == 24 and max(sizes.values()) <= 1.01 * min(sizes.values())
-    packed = collections.Counter()
-    for r in sharding.fixed_capacity_shards(read_table(spark, SF_DIR, "documents"), 200_000).collect():
-        packed[r["shard"]] += r["size"]
-    assert max(packed.values()) <= 200_000 and len(packed) <= -(-sum(packed.values()) // 200_000) + 1
+    many = collections.Counter()  # several levels of partitions
+    for r in sharding.balanced_shards(read_table(spark, "/root/testdata/sf0.1", "documents"), 8, per_partition=2500).collect():
+        many[r["shard"]] += r["size"]
+    assert sorted(many) == list(range(8)) and max(many.values()) <= 1.02 * min(many.values())
+    for per_partition, more in ((20_000, 1), (30, 3)):
+        packed, slots, groups = collections.Counter(), collections.defaultdict(list), collections.defaultdict(set)
+        for r in sharding.fixed_capacity_shards(read_table(spark, SF_DIR, "documents"), 200_000, per_partition).collect():
+            packed[r["shard"]] += r["size"]
+            slots[r["shard"]].append(r["slot"])
+            groups[r["text_crc32"], r["size"]].add(r["shard"])
+            assert not r["over_capacity"]
+        assert max(packed.values()) <= 200_000 and len(packed) <= -(-sum(packed.values()) // 200_000) + more
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and all(len(s) == 1 for s in groups.values())
+    rows = sharding.fixed_capacity_shards(odd, 1000).collect()
+    assert len(rows) == odd.count() and {r["over_capacity"] for r in rows if r["size"] > 1000} == {True} and not any(r["over_capacity"] for r in rows if r["size"] <= 1000)
+
+
+def test_best_fit_decreasing_against_brute_force():
+    """Each item in turn, largest first, to the fullest bin that holds it."""
+    r = random.Random(7)
+    for _ in range(100):
+        sizes, capacity = [r.randint(1, 60) for _ in range(r.randint(0, 40))], 60
+        rooms, expected = [], [0] * len(sizes)
+        for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
+            fitting = [(room, b) for b, room in enumerate(rooms) if room >= sizes[i]]
+            if not fitting:
+                rooms.append(capacity)
+            expected[i] = min(fitting)[1] if fitting else len(rooms) - 1
+            rooms[expected[i]] -= sizes[i]
+        assert sharding.best_fit_decreasing(sizes, capacity) == expected
 
 
 def components(rows, size=4, percent=80):

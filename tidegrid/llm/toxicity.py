@@ -1,14 +1,15 @@
 """Toxicity: a linear classifier over character n-grams, features scaled by naive Bayes log-count ratios.
 
-A text's features are the hashed byte n-grams (4 and 5 long, white space as a single space, lower case) that it
-holds, present or not. A feature's value is its log-count ratio between toxic and other training texts; a
+A text's features are the hashed n-grams of 4 and 5 characters (code points; white space as a single space, lower
+case) that it holds, present or not. A feature's value is its log-count ratio between toxic and other training texts; a
 logistic regression over these values gives the score. Ratios near zero leave a feature with little weight, so a
 long clean text isn't carried away by its length, and a few toxic words in it aren't drowned. Every n-gram of three
 or more training texts takes part: those of languages with few toxic texts have small ratios.
 
 Training data: labelled rows outside the held-out fold, at most ``most_toxic`` and ``most_other`` of them by the
-least hash of doc_id. Only their ids are sent to the executors and only their feature numbers come back, so
-training is bounded by these parameters; documents are scored in one scan without a shuffle.
+least hash of doc_id, and of these as many as hold ``most_features`` features together. Only their ids are sent to
+the executors and only their feature numbers come back, so training is bounded by these parameters; documents are
+scored in one scan without a shuffle.
 
 Edge cases: null or empty text = the model's constant (0 to 1); labels with nulls are left out; without a label of
 either class every score is 0; repeated labels count once; equal texts get equal scores; empty tables give an
@@ -26,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import id_and_text, mix64, steps, texts_of
+from tidegrid.llm.common import id_and_text, mix64, steps, texts_of, written
 
 BITS = 20
 LENGTHS = (4, 5)
@@ -38,18 +39,17 @@ ROUNDS, FOLDS, WEIGHT = 200, 3, 4.0
 def ngrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The feature number of every n-gram of every text, and the text's number; repeats included."""
     low = pc.replace_substring_regex(pc.utf8_lower(texts), pattern=r"\s+", replacement=" ")
-    raw = low.cast(pa.large_binary())
-    sizes = pc.binary_length(raw).to_numpy(zero_copy_only=False).astype(np.int64) + 2
+    sizes = pc.utf8_length(low).to_numpy(zero_copy_only=False).astype(np.int64) + 2
     # A space at both ends of each text.
-    data = b" " + b"  ".join(raw.to_pylist()) + b" " if len(raw) else b""
-    x = np.frombuffer(data, np.uint8).astype(np.uint64)
+    data = f" {'  '.join(low.to_pylist())} ".encode("utf-32-le") if len(low) else b""
+    x = np.frombuffer(data, "<u4").astype(np.uint64)
     owner = np.repeat(np.arange(len(sizes)), sizes)
     out, who = [], []
     for n in LENGTHS:
         m = max(0, len(x) - n + 1)
         code = np.full(m, n, np.uint64)
         for k in range(n):
-            code = (code << np.uint64(8)) | x[k : k + m]
+            code = code * np.uint64(0x100000001B3) + x[k : k + m]
         inside = owner[:m] == owner[n - 1 : n - 1 + m]
         out.append((mix64(code[inside]) >> np.uint64(64 - BITS)).astype(np.int64))
         who.append(owner[:m][inside])
@@ -62,7 +62,7 @@ def _present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = np.unique(who << BITS | feature)
         ends = np.searchsorted(both >> BITS, np.arange(batch.num_rows + 1))
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(both & ((1 << BITS) - 1), pa.int32()))
-        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("label")), lists], names=["label", "features"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["label", "key", "features"])
 
 
 @dataclass(frozen=True)
@@ -171,14 +171,19 @@ def fit_rows(labels: np.ndarray, ends: np.ndarray, features: np.ndarray, rounds:
     return Model((model.weights * slope).astype(np.float32), model.constant * slope + constant + float(np.log(WEIGHT)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 2000, most_other: int = 3000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 2000, most_other: int = 3000, most_features: int = 20_000_000) -> Model:
     """labels: doc_id and label (0 or 1), the rows that may be learnt from."""
     labels = labels.where("doc_id is not null and label in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label")).distinct()
     order = F.xxhash64("doc_id")
     chosen = labels.where("label = 1").orderBy(order, "doc_id").limit(most_toxic).unionByName(labels.where("label = 0").orderBy(order, "doc_id").limit(most_other))
-    # At most most_toxic + most_other rows of 12 bytes.
-    rows = id_and_text(docs).join(F.broadcast(chosen), "doc_id").select("label", "text")
-    table = rows.mapInArrow(_present, "label int, features array<int>").toArrow()
+    # At most most_toxic + most_other rows of 12 bytes; where ids repeat, one text of each.
+    rows = id_and_text(docs).join(F.broadcast(chosen), "doc_id").select("label", F.xxhash64("doc_id").alias("key"), "text")
+    rows = written(rows.mapInArrow(_present, "label int, key long, features array<int>").groupBy("label", "key").agg(F.min("features").alias("features")), "features")
+    sizes = rows.select("label", "key", F.size("features").alias("n")).toPandas().sort_values(["key", "label"])
+    # Rows of both labels by the least hash, as far as the bound goes.
+    within = sizes[sizes["n"].cumsum() <= most_features]
+    last = int(within["key"].max()) if len(within) else 0
+    table = rows.where(F.col("key") <= last).toArrow().sort_by([("key", "ascending"), ("label", "ascending")]) if len(within) else rows.limit(0).toArrow()
     lists = table["features"].combine_chunks()
     return fit_rows(table["label"].to_numpy(), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())]), lists.flatten().to_numpy()) if table.num_rows else fit_rows(np.zeros(0), np.zeros(1, int), np.zeros(0, int))
 
