@@ -150,14 +150,16 @@ def bloom_of(keys: DataFrame) -> Bloom:
     return Bloom(bits, out.tobytes())
 
 
-def among(rows: DataFrame, key: str, bloom: Bloom) -> DataFrame:
-    """The rows whose ``key`` (a long) the filter holds: all that are in it and few others, before any shuffle."""
+def among(rows: DataFrame, key: str, bloom: Bloom, held: bool = True) -> DataFrame:
+    """The rows whose ``key`` (a long) the filter holds: all that are in it and few others, before any shuffle.
+
+    ``held=False``: the other rows, none of which is in it."""
     shared = rows.sparkSession.sparkContext.broadcast((bloom.bits, bloom.data.tobytes()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Bloom(*shared.value)
         for batch in batches:
-            yield batch.filter(pa.array(own.holds(ints_of(batch, key))))
+            yield batch.filter(pa.array(own.holds(ints_of(batch, key)) == held))
 
     return rows.mapInArrow(run, rows.schema)
 

@@ -7,8 +7,8 @@ occurs once and is left out, and none that repeats is lost. A second pass over t
 estimated repeated exactly, by a hash of 96 bits, and compares them by doc_id; a document's covered words come back
 to it as intervals.
 
-Scale: texts are read once for their length and twice for their words, and shuffled once, for the last join. The
-number of ranges follows the corpus (``RANGE_BYTES`` of text each), so what a range's task holds does not; nothing
+Scale: only texts that lose words are shuffled, for the last join (a Bloom filter of them tells which). The number of
+ranges follows the corpus (``RANGE_BYTES`` of text each), so what a range's task holds does not; nothing
 is broadcast and nothing comes to the driver but the corpus's length. Windows travel as packed arrays, about 14 bytes
 each. A chunk sends each window once, with the least doc_id that it has seen it in (later documents of the chunk are
 settled at once), so a passage that a third of all documents share makes a row for each chunk, not for each document.
@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import Words, free_names, hash_names_twice, ints_of, squeeze, steps, texts_of, unsqueeze, window_hash, window_starts
+from tidegrid.llm.common import Words, among, bloom_of, free_names, hash_names_twice, ints_of, squeeze, steps, texts_of, unsqueeze, window_hash, window_starts, written
 
 SIZE, BITS = 13, 24
 #: Text of the whole corpus for each hash range: some three million windows.
@@ -138,8 +138,13 @@ def _send(size: int, slices: int):
 def _compare(bits: int):
     """Of one hash range: which of the sent windows also start in an earlier document."""
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        table = pa.Table.from_batches(batches)
         columns = {c: table[c].to_pylist() for c in table.column_names}
+        del table, batches
         asked = [i for i, k in enumerate(columns["key_high"]) if k is not None]
         out = [{k: columns[k][i] for k in ("chunk", "doc", "pos", "ids", "ties")} for i, k in enumerate(columns["key_high"]) if k is None]
         highs = [np.frombuffer(columns["key_high"][i], "<u8") for i in asked]
@@ -163,7 +168,8 @@ def _compare(bits: int):
                 at += len(t)
                 if len(own):
                     out.append({"chunk": columns["chunk"][i], "doc": squeeze(unsqueeze(columns["doc"][i])[own]), "pos": squeeze(unsqueeze(columns["pos"][i])[own]), "ids": None, "ties": None})
-        return pa.Table.from_pylist(out, pa.schema([("chunk", pa.int64()), ("doc", pa.binary()), ("pos", pa.binary()), ("ids", pa.binary()), ("ties", pa.binary())]))
+        schema = pa.schema([("chunk", pa.int64()), ("doc", pa.binary()), ("pos", pa.binary()), ("ids", pa.binary()), ("ties", pa.binary())])
+        yield from pa.Table.from_pylist(out, schema).to_batches()
 
     return run
 
@@ -198,7 +204,7 @@ def removed_spans(docs: DataFrame, size: int = SIZE, bits: int = BITS, range_byt
     total = d.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     slices = max(2, -(-total // range_bytes))
     sent = d.mapInArrow(_send(size, slices), _SENT)
-    found = sent.groupBy("slice").applyInArrow(_compare(bits), _FOUND)
+    found = sent.repartitionById(slices, F.col("slice")).mapInArrow(_compare(bits), _FOUND)
     spans = found.groupBy("chunk").applyInArrow(_intervals(size), "id_key long, tie long, spans binary")
     return spans.groupBy("id_key", "tie").agg(F.first("spans").alias("spans"))  # rows may be equal
 
@@ -227,11 +233,19 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _with_spans(d: DataFrame, theirs: DataFrame, id_key: str, tie: str, spans: str) -> DataFrame:
+    """``d`` with the spans of each row, null for most. Rows whose text hash no span has aren't shuffled."""
+    theirs = written(theirs, "spans")
+    bloom = bloom_of(theirs.select(tie))
+    some, others = among(d, tie, bloom), among(d, tie, bloom, held=False)
+    return some.join(theirs, [id_key, tie], "left").select(*d.columns, spans).unionByName(others.withColumn(spans, F.lit(None).cast("binary")))
+
+
 def dedup_windows(docs: DataFrame, size: int = SIZE, **options) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept (the text without them; as it was if it loses nothing)."""
     id_key, tie = _keyed(docs)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), id_key.alias("id_key"), tie.alias("tie"), F.coalesce("text", F.lit("")).alias("text"))
-    joined = d.join(removed_spans(docs, size, **options), ["id_key", "tie"], "left").select("doc_id", "id_key", "tie", "text", "spans")
+    joined = _with_spans(d, removed_spans(docs, size, **options), "id_key", "tie", "spans")
     schema = "doc_id long, id_key long, tie long, n_words long, n_removed long, kept_sha256 string, kept string"
     return joined.mapInArrow(_kept, schema).drop("id_key", "tie")
 
@@ -241,7 +255,7 @@ def without_repeats(docs: DataFrame, size: int = SIZE, **options) -> DataFrame:
     columns, (id_key, tie, spans) = docs.columns, free_names(docs, "id_key", "tie", "spans")
     own_id, own_tie = _keyed(docs)
     theirs = removed_spans(docs, size, **options).withColumnsRenamed({"id_key": id_key, "tie": tie, "spans": spans})
-    joined = docs.withColumns({id_key: own_id, tie: own_tie}).join(theirs, [id_key, tie], "left").select(*columns, spans)
+    joined = _with_spans(docs.withColumns({id_key: own_id, tie: own_tie}), theirs, id_key, tie, spans)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text", STEP):
