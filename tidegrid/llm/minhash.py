@@ -55,7 +55,7 @@ LARGE = 1 << 16
 #: Partners of a hub that one group of rows holds.
 SALTED = 512
 #: Members of a bucket that a task compares with one another; larger buckets are dealt as pairs of blocks.
-BLOCK = 4000
+BLOCK = 1500
 #: Share of agreeing coordinates under which step 3 leaves a pair out.
 AGREEING = 0.6
 
