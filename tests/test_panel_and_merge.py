@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tidegrid.operators import merge, panel
@@ -27,10 +28,28 @@ def test_overlay_replaces_whole_quarters(spark):
 
 
 def test_article_merge_sees_earlier_rows_of_its_batch(spark):
-    stored = spark.createDataFrame([("u1", "h1"), ("u2", "h2")], "url string, content_hash string")
-    crawled = spark.createDataFrame([("u1", "h1", 1), ("u2", "h9", 2), ("u3", "h1", 3), ("u4", "h4", 4), ("u4", "h5", 5), ("u5", "h4", 6), ("u6", None, 7)], "url string, content_hash string, place int")
+    stored = spark.createDataFrame([("u1", "h1"), ("u2", "h2"), ("u7", None)], "url string, content_hash string")
+    rows = [
+        ("u1", "h1", True, "duplicate_url"), ("u2", "h9", True, "update"), ("u3", "h1", True, "duplicate_content"), ("u4", "h4", True, "insert"),
+        ("u4", "h5", True, "update"), ("u5", "h4", True, "duplicate_content"), ("u6", None, False, "skipped"), ("u4", "h5", True, "duplicate_url"),
+        ("u4", "h6", True, "update"), ("u7", "h7", False, "update"), ("u8", "h9", True, "duplicate_content"), ("u8", "h8", False, "skipped"), ("u8", "h8", True, "insert"), ("u1", None, True, "update"),
+    ]
+    crawled = spark.createDataFrame([(u, h, i, c) for i, (u, h, c, _) in enumerate(rows)], "url string, content_hash string, place int, has_content boolean")
     got = {r["place"]: r["operation"] for r in merge.merge_articles(stored, crawled).collect()}
-    assert got == {1: "duplicate_url", 2: "update", 3: "duplicate_content", 4: "insert", 5: "duplicate_url", 6: "duplicate_content"}
+    assert got == {i: o for i, (*_, o) in enumerate(rows)}
+
+
+def test_parents_in_a_circle_are_reported(spark):
+    leaves = spark.createDataFrame([("x", "a", 1)], "node string, parent string, value long")
+    parents = spark.createDataFrame([("a", "b"), ("b", "a")], "node string, parent string")
+    with pytest.raises(ValueError):
+        merge.with_children_totals(leaves, parents)
+
+
+def test_pointers_move_to_newer_ready_versions_of_other_content(spark):
+    current = spark.createDataFrame([(1, 5, "a"), (2, 5, "a"), (3, 5, "a")], "k int, version int, hash string")
+    new = spark.createDataFrame([(1, 6, "b", True), (1, 7, "c", False), (2, 6, "a", True), (3, 4, "z", True), (4, 1, "n", True)], "k int, version int, hash string, ready boolean")
+    assert {tuple(r) for r in merge.promoted(current, new, "k").collect()} == {(1, 6, "b", True), (2, 5, "a", False), (3, 5, "a", False), (4, 1, "n", True)}
 
 
 def test_upsert_compares_null_safely(spark):

@@ -38,7 +38,7 @@ def test_against_sql(spark, duck, name):
 
 def test_every_query_without_sql_is_known():
     names = {n for n in __spark_entry__.queries() if not n.startswith("op") and n != "pipeline"}
-    assert names - set(__spark_entry__.oracle_sql()) == {"fixed_chunks"}
+    assert names - set(__spark_entry__.oracle_sql()) == set()
 
 
 def test_entry(spark):

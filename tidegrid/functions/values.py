@@ -1,11 +1,25 @@
-"""Numbers and dates in loosely written cells."""
+"""Numbers and dates in loosely written cells.
+
+A cell is cut into its numbers once, each with the percent sign after it, and what it means is decided from those.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_NUMBER, _PERCENT = r"([+-]?\d+(?:\.\d+)?)", r"([+-]?\d+(?:\.\d+)?)\s*%"
+#: Words before a change on the year or the month before, and cells that stand for no number.
+CHANGE_WORDS, NO_NUMBER = ["同比", "环比"], ["", "-", "--", "—", "–"]
+#: The ways to write a period, and the key of each.
+PERIODS = [
+    (r"^(20\d{2})(0[1-9]|1[0-2])(?:\.0)?$", "$1-$2"),
+    (r"^(20\d{2})[.\-/年](0[1-9]|1[0-2])月?$", "$1-$2"),
+    (r"^(20\d{2})[.\-/年]([1-9])月?$", "$1-0$2"),
+    (r"^(20\d{2})年?[Qq]([1-4])$", "$1-Q$2"),
+    (r"^(20\d{2})年([1-4])季度$", "$1-Q$2"),
+    (r"^(\d{2})月$", "M$1"),
+    (r"^(\d)月$", "M0$1"),
+]
 
 
 def normal_text(cell: Column) -> Column:
@@ -13,43 +27,46 @@ def normal_text(cell: Column) -> Column:
     return F.trim(F.translate(F.coalesce(cell, F.lit("")), "　（）", " ()"))
 
 
+def _numbers(cell: Column) -> Column:
+    """The numbers of a cell in order, without thousands separators, those before a percent sign with it."""
+    return F.regexp_extract_all(F.regexp_replace(cell, ",", ""), F.lit(r"[+-]?\d+(?:\.\d+)?(?:\s*%)?"), F.lit(0))
+
+
+def _percents(numbers: Column) -> Column:
+    return F.filter(numbers, lambda n: F.endswith(n, F.lit("%")))
+
+
+def _fraction(percent: Column) -> Column:
+    return F.regexp_replace(percent, r"\s*%", "").try_cast("double") / 100
+
+
 def parse_numeric(cell: Column) -> Column:
-    """The first number of a cell; a cell that is one percentage is a hundredth of it; dashes and blanks are null.
+    """The first number of a cell; dashes and blanks are null.
 
-    Units don't scale: a composite such as 353.2万（同比+2.8%） is 353.2."""
-    text = F.regexp_replace(normal_text(cell), ",", "")
-    compact = F.regexp_replace(text, r"\s+", "")
-    number, percent = F.regexp_extract(text, _NUMBER, 1), F.regexp_extract(text, _PERCENT, 1)
-    pure = F.startswith(compact, F.lit("同比")) | F.startswith(compact, F.lit("环比")) | (F.endswith(compact, F.lit("%")) & (F.regexp_count(compact, F.lit(_NUMBER)) == 1))
-    return F.when(text.isin("", "-", "--", "—", "–"), None).when((percent != "") & pure, percent.try_cast("double") / 100).otherwise(F.when(number != "", number.try_cast("double")))
+    A cell is a fraction where its only number is a percentage that ends it, or where it begins with the word for
+    a change and holds a percentage. Units don't scale."""
+    text = normal_text(cell)
+    found, bare = _numbers(text), F.regexp_replace(text, r"\s+", "")
+    change = F.substring(bare, 1, 2).isin(CHANGE_WORDS)
+    alone = (F.size(found) == 1) & F.endswith(bare, F.lit("%"))
+    first = F.regexp_replace(F.get(found, F.lit(0)), r"\s*%", "").try_cast("double")
+    return F.when(text.isin(NO_NUMBER), None).when((change | alone) & (F.size(_percents(found)) > 0), _fraction(F.get(_percents(found), F.lit(0)))).otherwise(first)
 
 
 def extract_yoy(cell: Column) -> Column:
-    """The percentage of a cell that speaks of a change on the year before, as a fraction."""
+    """The first percentage of a cell that speaks of a change on the year before, as a fraction."""
     text = normal_text(cell)
-    percent = F.regexp_extract(text, _PERCENT, 1)
-    return F.when(F.contains(text, F.lit("同比")) & (percent != ""), percent.try_cast("double") / 100)
+    return F.when(F.contains(text, F.lit(CHANGE_WORDS[0])), _fraction(F.get(_percents(_numbers(text)), F.lit(0))))
 
 
 def parse_period(cell: Column) -> Column:
-    """YYYY-MM, YYYY-Qn or Mnn of the usual ways to write them; other text of up to 20 characters as it is."""
+    """YYYY-MM, YYYY-Qn or Mnn by the first way of ``PERIODS`` that a cell is written in; other text of up to 20 characters as it is."""
     text = F.regexp_replace(normal_text(cell), " ", "")
-    get = lambda pattern, group: F.regexp_extract(text, pattern, group)
-    packed, dotted = r"^(20\d{2})(0[1-9]|1[0-2])(?:\.0)?$", r"^(20\d{2})[.\-/年](\d{1,2})月?$"
-    quarter, quarter_cn, month = r"^(20\d{2})年?[Qq]([1-4])$", r"^(20\d{2})年([1-4])季度$", r"^(\d{1,2})月$"
-    in_year = get(dotted, 2).try_cast("int").between(1, 12)
-    return (
-        F.when(text == "", None)
-        .when(text.rlike(packed), F.concat(get(packed, 1), F.lit("-"), get(packed, 2)))
-        .when(text.rlike(dotted) & in_year, F.concat(get(dotted, 1), F.lit("-"), F.lpad(get(dotted, 2), 2, "0")))
-        .when(text.rlike(quarter), F.concat(get(quarter, 1), F.lit("-Q"), get(quarter, 2)))
-        .when(text.rlike(quarter_cn), F.concat(get(quarter_cn, 1), F.lit("-Q"), get(quarter_cn, 2)))
-        .when(text.rlike(month), F.concat(F.lit("M"), F.lpad(get(month, 1), 2, "0")))
-        .when(F.length(text) <= 20, text)
-    )
+    ways = [F.when(text.rlike(pattern), F.regexp_replace(text, pattern, key)) for pattern, key in PERIODS]
+    return F.when(text != "", F.coalesce(*ways, F.when(F.length(text) <= 20, text)))
 
 
 def quarter_of(cell: Column) -> Column:
     """Q1 to Q4 of 1, Q1, 1Q or Quarter 1; else null."""
-    digit = F.regexp_extract(F.upper(normal_text(cell)), r"^(?:Q|QUARTER\s*)?([1-4])Q?$", 1)
-    return F.when(digit != "", F.concat(F.lit("Q"), digit))
+    compact = F.regexp_replace(F.replace(F.upper(normal_text(cell)), F.lit("QUARTER"), F.lit("Q")), " ", "")
+    return F.when(compact.rlike(r"^(?:Q?[1-4]|[1-4]Q)$"), F.concat(F.lit("Q"), F.regexp_extract(compact, "[1-4]", 0)))

@@ -52,14 +52,15 @@ def ranking(facts: DataFrame, dim: str, metric: str, total: Column | None = None
     """rank, ``dim``, value, share. Blank and total labels don't take part; the share's denominator is ``total``
     or, without it or when it is zero, the ranked values' sum. Ranks are 1, 2, ... by value, then label.
 
-    The aggregate runs in parallel; only one row a label is ordered."""
+    With ``top`` the rows are cut before they are numbered, so that no more than these meet in one task."""
     rows = facts.where(~is_blank(F.col(dim)) & ~is_total(F.col(dim))).groupBy(dim).agg(F.sum(metric).alias("value")).where("value is not null")
-    everything = Window.partitionBy()
-    own = F.sum("value").over(everything)
-    base = own if total is None else F.when(total.isNotNull() & (total != 0), total).otherwise(own)
+    own = rows.agg(F.sum("value").alias("_sum"))
+    if top:
+        rows = rows.orderBy(F.desc("value"), dim).limit(top)
+    rows = rows.crossJoin(own)  # one row
+    base = F.col("_sum") if total is None else F.when(total.isNotNull() & (total != 0), total).otherwise(F.col("_sum"))
     rows = rows.withColumn("share", F.when(base != 0, F.col("value") / base))
-    rows = rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("value"), dim)))
-    return (rows.where(F.col("rank") <= top) if top else rows).select("rank", dim, "value", "share")
+    return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("value"), dim))).select("rank", dim, "value", "share")
 
 
 def period_totals(facts: DataFrame, *metrics: str) -> DataFrame:
@@ -77,19 +78,27 @@ def preferred_total(facts: DataFrame, dim: str, metric: str) -> DataFrame:
     )
 
 
-def with_shifted(series: DataFrame, months: int, values: list[str], suffix: str, keys: tuple[str, ...] = ()) -> DataFrame:
+def with_shifted(series: DataFrame, months: int, values: list[str], suffix: str, keys: tuple[str, ...] = (), order: str | None = None) -> DataFrame:
     """The series with the values of the row so many months earlier; keys match null-safely.
 
-    A join on the month, not a lag: months may be missing."""
-    earlier = series.select(
-        shift_months(F.col("time_period"), months).alias("_month"), *(F.col(k).alias(f"_{k}") for k in keys), *(F.col(v).alias(f"{v}_{suffix}") for v in values)
-    )
+    A join on the month, not a lag: months may be missing. Where a key has several rows in a month, the last one by
+    ``order`` (the greatest without it) that has the value counts."""
+    last = lambda v: F.max_by(v, F.when(F.col(v).isNotNull(), F.col(order))) if order else F.max(v)
+    earlier = series.groupBy("time_period", *keys).agg(*(last(v).alias(f"{v}_{suffix}") for v in values))
+    earlier = earlier.select(shift_months(F.col("time_period"), months).alias("_month"), *(F.col(k).alias(f"_{k}") for k in keys), *(f"{v}_{suffix}" for v in values))
     on = F.col("time_period") == F.col("_month")
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
     return series.join(earlier, on, "left").drop("_month", *(f"_{k}" for k in keys))
 
 
+def with_yoy(series: DataFrame, value: str, keys: tuple[str, ...] = (), explicit: str | None = None, order: str | None = None) -> DataFrame:
+    """The series with ``yoy``: the change that the source states, where it states one, else that on the year before."""
+    rows = with_shifted(series, 12, [value], "before", keys, order)
+    derived = change(F.col(value), F.col(f"{value}_before"))
+    return rows.withColumn("yoy", F.coalesce(F.col(explicit), derived) if explicit else derived)
+
+
 def window_sum(metric: Column, months: tuple[str, ...]) -> Column:
     return F.sum(F.when(F.col("time_period").isin(list(months)), metric))
 
@@ -111,29 +120,69 @@ def first_value_reconcile(rows: DataFrame, keys: list[str], metrics: list[str],
     return rows.groupBy(*keys).agg(*(value(m).alias(m) for m in metrics), conflicts.alias("conflicts"), *(sheets(m).alias(f"{m}_sheets") for m in metrics))
 
 
-def source_scores(rows: DataFrame, metric: str, dim: str) -> DataFrame:
-    """source_sheet, score and rank of each sheet that has the metric; the first is the one to use.
+#: What speaks for a source, in points.
+SOURCE_POINTS = {"total_row_snapshot": 1000.0, "total_row_trend": 180.0, "metric": 300.0, "dimension": 600.0, "dimension_present": 150.0, "confidence": 80.0, "period": 40.0, "row": 0.2}
+
+
+def source_scores(rows: DataFrame, metric: str, dim: str | None = None, purpose: str = "snapshot") -> DataFrame:
+    """source_file, source_sheet, periods, n_rows, score and rank of each source that has the metric, the best first.
 
-    1000 for a total row, 300 for a sheet made for the metric, 600 for one made for the dimension or 150 for having
-    it, 80 times the confidence, 40 a period up to 60, a fifth a row up to 100 rows; ties go to the first seen."""
+    ``snapshot`` asks for one figure, ``trend`` for a series: only then periods count, and a total row counts less.
+    With a wanted dimension only rows that have it take part, if there are any, and sources without it drop. Points
+    are SOURCE_POINTS, for up to 60 periods and 100 rows; ties go to the first seen (``line``)."""
+    p = SOURCE_POINTS
     has = rows.where(F.col(metric).isNotNull())
-    agg = has.groupBy("source_sheet").agg(
-        F.max(is_total(F.col(dim)).cast("int")).alias("has_total"),
+    if dim:
+        has = has.where(F.col(dim).isNotNull())
+    total = F.lit(False)
+    for c in ("market", "vehicle_type"):
+        if c in rows.columns:
+            total = total | is_total(F.col(c))
+    agg = has.groupBy("source_file", "source_sheet").agg(
+        F.max(total.cast("int")).alias("has_total"),
         F.max((F.col("source_metric_type") == metric).cast("int")).alias("metric_match"),
-        F.max((F.col("source_dimension") == dim).cast("int")).alias("dim_match"),
-        F.max((~is_blank(F.col(dim))).cast("int")).alias("dim_present"),
+        F.max((F.col("source_dimension") == dim).cast("int") if dim else F.lit(0)).alias("dim_match"),
         F.max("source_confidence").alias("confidence"),
         F.countDistinct("time_period").alias("periods"),
         F.count(F.lit(1)).alias("n_rows"),
         F.min("line").alias("first_line"),
     )
     score = (
-        F.col("has_total") * 1000.0 + F.col("metric_match") * 300.0
-        + F.when(F.col("dim_match") == 1, 600.0).when(F.col("dim_present") == 1, 150.0).otherwise(0.0)
-        + F.col("confidence") * 80.0 + F.least(F.lit(60), "periods") * 40.0 + F.least(F.lit(100), "n_rows") * 0.2
+        F.col("has_total") * p[f"total_row_{purpose}"] + F.coalesce("metric_match", F.lit(0)) * p["metric"] + F.coalesce("confidence", F.lit(0)) * p["confidence"]
+        + (F.when(F.col("dim_match") == 1, p["dimension"]).otherwise(p["dimension_present"]) if dim else F.lit(0.0))
+        + (F.least(F.lit(60), "periods") * p["period"] if purpose == "trend" else F.lit(0.0)) + F.least(F.lit(100), "n_rows") * p["row"]
     )
     out = agg.withColumn("score", score)
-    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "first_line"))).select("source_sheet", "periods", "n_rows", "score", "rank")
+    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "first_line"))).select("source_file", "source_sheet", "periods", "n_rows", "score", "rank")
+
+
+def selected(rows: DataFrame, metric: str, dim: str | None = None, purpose: str = "snapshot") -> DataFrame:
+    """The rows of the one source that answers for the metric: sources are a few, rows aren't shuffled for it."""
+    best = source_scores(rows, metric, dim, purpose).where("rank = 1").select("source_file", "source_sheet")
+    return rows.where(F.col(metric).isNotNull()).join(F.broadcast(best), ["source_file", "source_sheet"], "left_semi")  # one row
+
+
+def widest_source(rows: DataFrame, metric: str, scope: str | None = None) -> DataFrame:
+    """The rows of the source that a formula takes the metric from: among those made for it, if any, the one of most
+    periods, then of most rows. Rows marked as summaries drop where there are others."""
+    has = rows.where(F.col(metric).isNotNull())
+    if scope:
+        has = has.where(F.lower("source_metric_scope") == scope.lower())
+    own = F.coalesce((F.lower("source_metric_type") == metric.lower()).cast("int"), F.lit(0))
+    sources = has.groupBy("source_file", "source_sheet", own.alias("own")).agg(F.countDistinct("time_period").alias("n_periods"), F.count(F.lit(1)).alias("n_rows"))
+    best = sources.orderBy(F.desc("own"), F.desc("n_periods"), F.desc("n_rows"), "source_file", "source_sheet").limit(1)
+    chosen = has.withColumn("own", own).join(F.broadcast(best.select("source_file", "source_sheet", "own")), ["source_file", "source_sheet", "own"], "left_semi").drop("own")
+    summary = F.lower(F.coalesce("source_row_kind", F.lit("detail"))).isin("summary", "total", "subtotal")
+    any_detail = chosen.agg(F.count_if(~summary).alias("_details"))
+    return chosen.crossJoin(any_detail).where(~summary | (F.col("_details") == 0)).drop("_details")  # one row
+
+
+def pair_share(facts: DataFrame, dim: str, metric: str, part: Column) -> DataFrame:
+    """time_period and share of the first row that ``part`` holds for in the first total row; periods that lack
+    either, or whose total is zero, drop."""
+    first = lambda c: F.min_by(metric, F.when(c & F.col(metric).isNotNull(), F.col("line")))
+    rows = facts.groupBy("time_period").agg(first(is_total(F.col(dim))).alias("whole"), first(part).alias("part"))
+    return rows.where("whole is not null and part is not null and whole <> 0").select("time_period", (F.col("part") / F.col("whole")).alias("share"))
 
 
 @dataclass(frozen=True)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegrid.sources.files import written
+
 
 def newest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key by ``order``."""
@@ -66,35 +68,59 @@ def page(rows: DataFrame, order: list[Column], number: int, size: int) -> DataFr
 
 
 def merge_articles(stored: DataFrame, crawled: DataFrame) -> DataFrame:
-    """url, content_hash and operation of crawled rows (url, content_hash, place) against stored (url, content_hash).
-
-    Blank content is skipped; a known url with the same hash is duplicate_url; a hash known elsewhere is
-    duplicate_content; a known url with a new hash is an update; else an insert. Within the batch the first row of
-    a url counts, and of a hash the first url; later ones are duplicates of it."""
-    rows = crawled.where(F.col("content_hash").isNotNull())
-    rows = rows.withColumn("nth_url", F.row_number().over(Window.partitionBy("url").orderBy("place")))
-    rows = rows.withColumn("nth_hash", F.row_number().over(Window.partitionBy("content_hash").orderBy("place")))
-    urls = stored.select("url", F.col("content_hash").alias("old_hash"))
-    hashes = stored.select("content_hash").distinct().withColumn("known", F.lit(True))
-    rows = rows.join(urls, "url", "left").join(hashes, "content_hash", "left")
+    """url, content_hash, place and operation of crawled rows (url, content_hash, place, has_content) against stored
+    (url, content_hash), as if they came one by one in the order of ``place``.
+
+    A url that is stored, or that an earlier row has inserted, is known: a row of it is duplicate_url where its hash
+    is that of the url's last row (nulls equal), else an update. Another row is duplicate_content where its hash is
+    stored or stands in an earlier row that came in; else it is an insert, or skipped without content. Hashes that an
+    update has replaced still count as known."""
+    urls = stored.select("url", F.col("content_hash").alias("old_hash"), F.lit(True).alias("in_store"))
+    hashes = stored.select("content_hash").where("content_hash is not null").distinct().withColumn("hash_stored", F.lit(True))
+    rows = crawled.join(urls, "url", "left").join(hashes, "content_hash", "left")
+    comes_in = F.col("in_store").isNotNull() | F.col("has_content")
+    by_hash = Window.partitionBy("content_hash").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    seen = F.coalesce(F.max(F.when(comes_in, True)).over(by_hash), F.lit(False)) | F.col("hash_stored").isNotNull()
+    rows = rows.withColumn("hash_known", F.col("content_hash").isNotNull() & seen)
+    fresh = F.col("in_store").isNull() & ~F.col("hash_known") & F.col("has_content")
+    by_url = Window.partitionBy("url").orderBy("place")
+    earlier = by_url.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({
+        "url_known": F.col("in_store").isNotNull() | F.coalesce(F.max(F.when(fresh, True)).over(earlier), F.lit(False)),
+        "first_of_url": F.row_number().over(by_url) == 1,
+        "last_hash": F.lag("content_hash").over(by_url),
+    })
+    held = F.when(F.col("first_of_url"), F.col("old_hash")).otherwise(F.col("last_hash"))
     operation = (
-        F.when((F.col("old_hash") == F.col("content_hash")) | (F.col("nth_url") > 1), "duplicate_url")
-        .when(F.col("known").isNotNull() | (F.col("nth_hash") > 1), "duplicate_content")
-        .when(F.col("old_hash").isNotNull(), "update")
-        .otherwise("insert")
-    )
+        F.when(F.col("url_known") & F.col("content_hash").eqNullSafe(held), "duplicate_url").when(F.col("url_known"), "update")
+        .when(F.col("hash_known"), "duplicate_content").when(F.col("has_content"), "insert").otherwise("skipped")
+    )
     return rows.select("url", "content_hash", "place", operation.alias("operation"))
 
 
 def with_children_totals(leaves: DataFrame, parents: DataFrame) -> DataFrame:
-    """node, depth and value of a tree: leaves (node, parent, value) and inner nodes (node, parent); a value is the sum of what lies below.
+    """node, height and value of a tree: leaves (node, parent, value) and inner nodes (node, parent); a value is the sum of what lies below.
 
-    One join and one aggregate a level, down from the deepest; trees are as deep as their organisation, not as the data."""
+    One join and one aggregate a level, up from the leaves, each level a written table. A path can't be longer
+    than there are inner nodes: parents that form a circle are reported by an error."""
     level = leaves.groupBy("parent").agg(F.sum("value").alias("value")).withColumnRenamed("parent", "node")
-    out = level.select("node", "value", F.lit(1).alias("height"))
-    height = 1
-    while not (up := level.join(parents, "node").where("parent is not null").groupBy("parent").agg(F.sum("value").alias("value")).withColumnRenamed("parent", "node")).isEmpty():
+    level = written(level, "level")
+    out, height, most = level.select("node", "value", F.lit(1).alias("height")), 1, parents.count()
+    while True:
+        up = written(level.join(parents, "node").where("parent is not null").groupBy("parent").agg(F.sum("value").alias("value")).withColumnRenamed("parent", "node"), "level")
+        if up.isEmpty():
+            return out
         height += 1
-        out = out.unionByName(up.select("node", "value", F.lit(height).alias("height")))
-        level = up
-    return out
+        if height > most + 1:
+            raise ValueError("the parents form a circle")
+        out, level = out.unionByName(up.select("node", "value", F.lit(height).alias("height"))), up
+
+
+def promoted(current: DataFrame, candidates: DataFrame, key: str) -> DataFrame:
+    """``current`` (key, version, hash) with each pointer moved to its newest candidate, where that one is ready, newer
+    than what the pointer names and of other content: key, version, hash, moved. Keys without a pointer get one."""
+    ready = candidates.where("ready").groupBy(key).agg(F.max(F.struct("version", "hash")).alias("new"))
+    both = current.select(key, F.col("version").alias("old_version"), F.col("hash").alias("old_hash")).join(ready, key, "full")
+    moves = F.col("new").isNotNull() & (F.col("old_version").isNull() | ((F.col("new.version") > F.col("old_version")) & ~F.col("new.hash").eqNullSafe(F.col("old_hash"))))
+    pick = lambda new, old: F.when(F.col("moved"), F.col(new)).otherwise(F.col(old))
+    return both.withColumn("moved", moves).select(key, pick("new.version", "old_version").alias("version"), pick("new.hash", "old_hash").alias("hash"), "moved")

@@ -117,8 +117,7 @@ def overlay(files: DataFrame, order: str, *period: str) -> DataFrame:
     return joined.select("l.*")
 
 
-def key_sizes(facts: DataFrame, value: str, threshold: float) -> DataFrame:
-    """application, size and value of sizes above the threshold and of each application's largest."""
-    rows = facts.groupBy("application", "size").agg(F.sum(value).alias("value"))
+def key_sizes(sums: DataFrame, threshold: Column) -> DataFrame:
+    """application, size and value of sums (application, size, value) above the threshold and of each application's largest."""
     first = F.row_number().over(Window.partitionBy("application").orderBy(F.desc("value"), "size"))
-    return rows.withColumn("place", first).where((F.col("value") > threshold) | (F.col("place") == 1)).select("application", "size", "value")
+    return sums.withColumns({"place": first, "least": threshold}).where("value > least or place = 1").select("application", "size", "value")

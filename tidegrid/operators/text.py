@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,19 +12,29 @@ from pyspark.sql import functions as F
 
 
 def cut_points(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
-    """Windows of ``size`` characters: one that isn't the last ends after its last line or sentence end, if that lies
-    past its half; the next starts ``overlap`` characters before its end."""
-    out, start, n = [], 0, len(text)
-    while start < n:
-        end = min(n, start + size)
-        if end < n:
-            best = max(text.rfind("\n", start, end + 1), text.rfind("。", start, end + 1))
-            if best > start + size // 2:
-                end = best + 1
-        out.append((start, end))
-        if end >= n:
-            break
-        start = max(start + 1, end - overlap)
+    """Windows of a text: each ``size`` long, shortened (or lengthened by one) to the last line or sentence end past
+    its half if there is one, and starting ``overlap`` before the end of the one before.
+
+    Where lines and sentences end is looked up in one sorted list."""
+    ends = [m.end() for m in re.finditer("[\n。]", text)]
+    out: list[tuple[int, int]] = []
+    at = 0
+    while not out or out[-1][1] < len(text):
+        stop = at + size
+        if stop < len(text):
+            k = bisect_right(ends, stop + 1) - 1
+            stop = ends[k] if k >= 0 and ends[k] > at + size // 2 + 1 else stop
+        out.append((at, min(stop, len(text))))
+        at = max(at + 1, out[-1][1] - overlap)
+    return out
+
+
+def plain_lines(text: Column) -> Column:
+    """Runs of tabs and carriage returns and null characters as one space, no spaces around line ends, two line ends
+    in a row at most, single spaces, trimmed; null as empty."""
+    out = F.coalesce(text, F.lit(""))
+    for pattern, by in (("\u0000", " "), (r"[\t\x0B\f\r]+", " "), (r" *\n *", "\n"), (r"\n{3,}", "\n\n"), (" {2,}", " "), (r"^[\x00-\x20]+|[\x00-\x20]+$", "")):
+        out = F.regexp_replace(out, pattern, by)
     return out
 
 
@@ -30,6 +42,7 @@ def fixed_chunks(docs: DataFrame, size: int = 1200, overlap: int = 120) -> DataF
     """doc_id, chunk_no, start and content (trimmed, blank ones left out) of every text.
 
     Each cut depends on the one before, so a Python function finds them; it sees batches and shuffles nothing."""
+    docs = docs.select("doc_id", plain_lines(F.col("text")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,11 +102,14 @@ def diversified(ranked: DataFrame, source: str, order: list[Column], k: int) ->
     return rows.withColumn("seat", F.row_number().over(pick)).where(F.col("seat") <= k).drop("_rank", "_in_source", "_first", "_sources", "_seated")
 
 
-def with_neighbours(hits: DataFrame, chunks: DataFrame, doc: str, number: str, radius: int = 1) -> DataFrame:
-    """The chunks within ``radius`` places of a hit in its document, once each: an equi-join on the place."""
-    around = F.explode(F.sequence(F.col(number) - radius, F.col(number) + radius))
-    wanted = hits.select(doc, around.alias(number)).distinct()
-    return chunks.join(wanted, [doc, number], "left_semi")
+def lines_near(text: Column, word: str, radius: int = 1) -> Column:
+    """The numbers of a text's lines that hold the word or lie within ``radius`` lines of one that does, in order.
+
+    All lines of a text are in one row, so nothing is shuffled."""
+    split = F.split(text, "\n")
+    hits = F.transform(split, lambda line: F.contains(line, F.lit(word)))
+    near = F.transform(split, lambda _, i: F.struct(i.alias("line_no"), F.exists(F.slice(hits, F.greatest(i - radius, F.lit(0)) + 1, i + radius + 1 - F.greatest(i - radius, F.lit(0))), lambda h: h).alias("near")))
+    return F.transform(F.filter(near, lambda n: n["near"]), lambda n: n["line_no"])
 
 
 def numbers(text: Column) -> Column:
@@ -108,20 +124,52 @@ def ungrounded(claims: DataFrame, evidence: DataFrame, key: str) -> DataFrame:
     return said.join(known, [key, "number"], "left_anti").distinct()
 
 
+def entities_of(text: Column, aliases: dict[str, str]) -> Column:
+    """entity and place of the first occurrence of each entity by any of its aliases, in the order of places.
+
+    The dictionary is part of the plan, so texts are scanned where they lie; nothing is shuffled."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    first = lambda e: F.array_min(F.filter(F.array(*(F.instr(low, a.lower()) for a, of in aliases.items() if of == e)), lambda p: p > 0))
+    found = F.array(*(F.struct(first(e).alias("place"), F.lit(e).alias("entity")) for e in dict.fromkeys(aliases.values())))
+    return F.sort_array(F.filter(found, lambda m: m["place"].isNotNull()))
+
+
 def mentions(docs: DataFrame, aliases: dict[str, str]) -> DataFrame:
-    """doc_id, entity and place of the first occurrence of each alias; of one entity's aliases the earliest counts.
+    """doc_id, entity and place of each entity that a text mentions."""
+    return docs.select("doc_id", F.inline(entities_of(F.col("text"), aliases))).select("doc_id", "entity", "place")
 
-    The dictionary is part of the plan, so texts are scanned where they lie."""
-    low = F.lower(F.coalesce("text", F.lit("")))
-    found = F.array(*(F.struct(F.lit(e).alias("entity"), F.instr(low, a.lower()).alias("place")) for a, e in aliases.items()))
-    rows = docs.select("doc_id", F.inline(found)).where("place > 0")
-    return rows.groupBy("doc_id", "entity").agg(F.min("place").alias("place"))
-
-
-def edges(found: DataFrame, most: int = 12) -> DataFrame:
-    """from_entity, to_entity, mentions and the first documents of entities that occur together, at most ``most`` a document."""
-    few = found.withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy("place", "entity"))).where(F.col("k") <= most)
-    other = few.select("doc_id", F.col("entity").alias("to_entity"))
-    pairs = few.join(other, "doc_id").where("entity < to_entity")  # at most most * most / 2 a document
-    grouped = pairs.groupBy(F.col("entity").alias("from_entity"), "to_entity")
-    return grouped.agg(F.count(F.lit(1)).alias("n_mentions"), F.min("doc_id").alias("first_doc"))
+
+def pairs_of(found: Column, most: int = 12) -> Column:
+    """from_entity and to_entity of the first ``most`` entities of a text, each pair once, by name."""
+    names = F.array_sort(F.transform(F.slice(found, 1, most), lambda m: m["entity"]))
+    return F.flatten(F.transform(names, lambda a, i: F.transform(F.slice(names, i + 2, F.lit(most)), lambda b: F.struct(a.alias("from_entity"), b.alias("to_entity")))))
+
+
+def edges(docs: DataFrame, aliases: dict[str, str], most: int = 12) -> DataFrame:
+    """from_entity, to_entity, mentions and the first document of entities that occur together: one aggregate."""
+    rows = docs.select("doc_id", F.inline(pairs_of(entities_of(F.col("text"), aliases), most)))
+    return rows.groupBy("from_entity", "to_entity").agg(F.count(F.lit(1)).alias("n_mentions"), F.min("doc_id").alias("first_doc"))
+
+
+def containments(names: DataFrame, name: str, hints: DataFrame, hint: str, least: int = 4, gram: int = 3) -> DataFrame:
+    """The distinct pairs of a name and a hint of which one holds the other: the name holds the hint, or the hint
+    holds a name of ``least`` characters or more.
+
+    A text that holds another holds each of its n-grams, so both meet by an equi-join: the one that is held by its
+    rarest n-gram among the other side's, the one that holds by all of its n-grams. Texts shorter than an n-gram
+    meet by their own length's grams."""
+    names, hints = names.distinct(), hints.distinct()
+
+    def held_by(held: DataFrame, h: str, holders: DataFrame, g: str) -> DataFrame:
+        size = lambda c: F.least(F.length(c), F.lit(gram))
+        grams = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substr(c, i, F.lit(n))))
+        long = holders.where(F.length(g) > 0)
+        parts = [long.where(F.length(g) >= n).select(F.col(g), F.explode(grams(F.col(g), n)).alias("gram")) for n in range(1, gram + 1)]
+        all_grams = parts[0].unionByName(parts[1]).unionByName(parts[2]) if gram == 3 else parts[-1]
+        counts = all_grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+        own = held.where(F.length(h) > 0)
+        own = own.select(F.col(h), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(h) - size(h) + 1), lambda i: F.substr(F.col(h), i, size(h))))).alias("gram"))
+        rarest = own.join(counts, "gram", "left").groupBy(h).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("rare"))
+        return rarest.where("rare.n > 0").select(h, F.col("rare.gram").alias("gram")).join(all_grams, "gram").where(F.contains(F.col(g), F.col(h))).select(name, hint)
+
+    return held_by(hints, hint, names, name).unionByName(held_by(names.where(F.length(name) >= least), name, hints, hint)).distinct()

@@ -23,9 +23,16 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).where("text is not null").select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE d AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[\\t\\x0B\\f\\r]+', ' ', 'g'), ' *\\n *', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), ' {2,}', ' ', 'g'), ' ' || chr(10)) AS t FROM documents),
+    s(doc_id, a) AS (SELECT doc_id, 0 FROM d WHERE t <> '' UNION ALL SELECT d.doc_id, greatest(a + 1, e.stop - 120) FROM s JOIN d ON d.doc_id = s.doc_id, LATERAL (SELECT CASE WHEN a + 1200 >= length(t) THEN length(t)
+      ELSE (SELECT CASE WHEN x > 601 THEN a + x ELSE a + 1200 END FROM (SELECT length(rtrim(regexp_replace(substr(t, a + 1, 1201), '[^' || chr(10) || '。]*$', ''), '')) AS x)) END AS stop) e WHERE e.stop < length(t)),
+    c AS (SELECT s.doc_id, a, CASE WHEN a + 1200 >= length(t) THEN substr(t, a + 1) ELSE (SELECT CASE WHEN x > 601 THEN substr(t, a + 1, x) ELSE substr(t, a + 1, 1200) END FROM (SELECT length(regexp_replace(substr(t, a + 1, 1201), '[^' || chr(10) || '。]*$', '')) AS x)) END AS c FROM s JOIN d ON d.doc_id = s.doc_id),
+    k AS (SELECT doc_id, a, trim(c, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS c FROM c)
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1 AS INT) AS chunk_no, CAST(a AS INT) AS start, CAST(length(c) AS INT) AS n_chars, sha256(c) AS sha256 FROM k WHERE c <> ''"""
+)
 def fixed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlapping chunks of whole texts; the cuts depend on one another, so tests hold them against plain Python."""
+    """Overlapping chunks of whole texts."""
     return op.fixed_chunks(_docs(spark, sf_dir)).select("doc_id", "chunk_no", "start", F.length("content").alias("n_chars"), F.sha2("content", 256).alias("sha256"))
 
 
@@ -69,15 +76,14 @@ def diversified_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_LINES}, h AS (SELECT DISTINCT doc_id, line_no FROM l WHERE contains(line, 'tionth')) SELECT DISTINCT l.doc_id, CAST(l.line_no AS INT) AS line_no FROM l JOIN h ON h.doc_id = l.doc_id AND l.line_no BETWEEN h.line_no - 1 AND h.line_no + 1")
 def adjacent_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = _lines(spark, sf_dir).select("doc_id", "line_no", "line")
-    return op.with_neighbours(chunks.where(F.contains("line", F.lit("tionth"))), chunks, "doc_id", "line_no").select("doc_id", "line_no")
+    return _docs(spark, sf_dir).select("doc_id", F.explode(op.lines_near(F.col("text"), "tionth")).alias("line_no"))
 
 
 @query(f"WITH {_LINES}, n AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS next FROM l) SELECT doc_id, CAST(line_no AS INT) AS line_no, CAST(length(line || coalesce(CASE WHEN NOT regexp_matches(line, '[.!?]$') THEN next END, '')) AS INT) AS n_chars FROM n WHERE line <> ''")
 def sentence_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that end inside a sentence take the next one with them."""
-    nxt = F.lead("line").over(Window.partitionBy("doc_id").orderBy("line_no"))
-    rows = _lines(spark, sf_dir).withColumn("next", nxt).where("line <> ''")
+    split = F.split("text", "\n")
+    rows = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.arrays_zip(split.alias("line"), F.slice(split, 2, F.size(split)).alias("next"))).alias("line_no", "l")).select("doc_id", "line_no", "l.line", "l.next").where("line <> ''")
     whole = F.concat("line", F.coalesce(F.when(~F.col("line").rlike(r"[.!?]\z"), F.col("next")), F.lit("")))
     return rows.select("doc_id", "line_no", F.length(whole).alias("n_chars"))
 
@@ -85,9 +91,9 @@ def sentence_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_LINES}, p AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS before FROM l) SELECT doc_id, count(*) AS n_lines, count(*) FILTER (before IS NOT NULL AND line = before) AS n_dropped FROM p GROUP BY 1")
 def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that repeat the one right before them."""
-    before = F.lag("line").over(Window.partitionBy("doc_id").orderBy("line_no"))
-    rows = _lines(spark, sf_dir).withColumn("before", before)
-    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(F.col("line") == F.col("before")).alias("n_dropped"))
+    split = F.split("text", "\n")
+    same = F.filter(F.arrays_zip(F.slice(split, 2, F.size(split)).alias("a"), split.alias("b")), lambda p: p["a"] == p["b"])
+    return _docs(spark, sf_dir).where("text is not null").select("doc_id", F.size(split).cast("long").alias("n_lines"), F.size(same).cast("long").alias("n_dropped"))
 
 
 @query(f"WITH {_MENTIONS} SELECT doc_id, entity, CAST(place AS INT) AS place FROM m")
@@ -97,15 +103,14 @@ def entity_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_MENTIONS} SELECT a.entity AS from_entity, b.entity AS to_entity, count(*) AS n_mentions, min(a.doc_id) AS first_doc FROM m a JOIN m b ON a.doc_id = b.doc_id AND a.entity < b.entity GROUP BY ALL")
 def entity_cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.edges(op.mentions(_docs(spark, sf_dir), ALIASES))
+    return op.edges(_docs(spark, sf_dir), ALIASES)
 
 
 @query(f"WITH {_MENTIONS} SELECT a.entity AS from_entity, b.entity AS to_entity, source, count(*) AS n_mentions, count(DISTINCT lang) AS n_langs FROM m a JOIN m b ON a.doc_id = b.doc_id AND a.entity < b.entity JOIN documents d ON d.doc_id = a.doc_id WHERE 'alpha' IN (a.entity, b.entity) GROUP BY ALL")
 def edge_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The neighbourhood of one entity by source."""
-    found = op.mentions(_docs(spark, sf_dir), ALIASES)
-    pairs = found.select("doc_id", F.col("entity").alias("from_entity")).join(found.select("doc_id", F.col("entity").alias("to_entity")), "doc_id").where("from_entity < to_entity and (from_entity = 'alpha' or to_entity = 'alpha')")
-    rows = pairs.join(_docs(spark, sf_dir).select("doc_id", "source", "lang"), "doc_id")
+    pairs = F.inline(op.pairs_of(op.entities_of(F.col("text"), ALIASES)))
+    rows = _docs(spark, sf_dir).select("source", "lang", pairs).where("from_entity = 'alpha' or to_entity = 'alpha'")
     return rows.groupBy("from_entity", "to_entity", "source").agg(F.count(F.lit(1)).alias("n_mentions"), F.countDistinct("lang").alias("n_langs"))
 
 
@@ -121,13 +126,10 @@ def ungrounded_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH h AS (SELECT item_id, lower(string_split(text, ' ')[1]) AS hint FROM benchmark) SELECT p_partkey, item_id FROM part JOIN h ON length(hint) > 0 AND (contains(lower(p_name), hint) OR (length(p_name) >= 4 AND contains(hint, lower(p_name))))")
 def fuzzy_label_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part names that hold a hint, or are held by one: distinct names against distinct hints, then back to the rows.
-
-    Containment can't be hashed, so only distinct values meet; both sides are vocabularies, not rows."""
+    """Part names that hold a hint, or are held by one."""
     hints = table(spark, sf_dir, "benchmark").select("item_id", F.lower(F.split("text", " ")[0]).alias("hint")).where("length(hint) > 0")
     parts = table(spark, sf_dir, "part").select("p_partkey", F.lower("p_name").alias("name"))
-    holds = F.contains("name", "hint") | ((F.length("name") >= 4) & F.contains("hint", "name"))
-    matches = parts.select("name").distinct().join(hints.select("hint").distinct(), holds)
+    matches = op.containments(parts.select("name"), "name", hints.select("hint"), "hint")
     return parts.join(matches, "name").join(hints, "hint").select("p_partkey", "item_id")
 
 

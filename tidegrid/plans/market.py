@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidegrid.functions.periods import AnalysisPeriod, available_months, resolve_period, shift_months, year_before
+from tidegrid.functions.periods import AnalysisPeriod, month_list, resolve_period, shift_months, year_before
 from tidegrid.operators import market as op
 from tidegrid.plans.registry import query
 from tidegrid.sources.tables import market_facts, market_sql, months_between, table
@@ -18,8 +18,14 @@ _BEFORE = "strftime(CAST({} || '-01' AS DATE) - INTERVAL 1 YEAR, '%Y-%m')"
 _MONTH_BEFORE = "strftime(CAST({} || '-01' AS DATE) - INTERVAL 1 MONTH, '%Y-%m')"
 
 
+def _months(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The months from the first to the last line: two numbers from the dates alone, which Parquet's statistics hold."""
+    first, last = table(spark, sf_dir, "lineitem").agg(F.min("l_shipdate"), F.max("l_shipdate")).first()
+    return month_list(f"{first:%Y-%m}", f"{last:%Y-%m}") if first else []
+
+
 def _period(spark: SparkSession, sf_dir: str, mode: str = "latest", start: str | None = None, end: str | None = None) -> AnalysisPeriod:
-    return resolve_period(available_months(market_facts(spark, sf_dir)), mode, start, end)
+    return resolve_period(_months(spark, sf_dir), mode, start, end)
 
 
 def _within(*months: str):
@@ -35,11 +41,14 @@ def _within(*months: str):
 def ranking_brand_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Brands of the latest month by wholesale, with share and change on the same month a year before."""
     month = _period(spark, sf_dir).stock
-    before = year_before(month)
-    now = market_facts(spark, sf_dir, "brand", where=months_between(month, month))
-    then = market_facts(spark, sf_dir, "brand", where=months_between(before, before)).groupBy("brand").agg(F.sum("wholesale").alias("previous"))
-    rows = op.ranking(now, "brand", "wholesale").join(then, "brand", "left")
-    return rows.select("rank", "brand", "value", "share", "previous", op.change(F.col("value"), F.col("previous")).alias("yoy"))
+    before, here = year_before(month), F.col("time_period") == month
+    facts = market_facts(spark, sf_dir, "brand", where=months_between(month, month) | months_between(before, before))
+    value, previous = F.sum(F.when(here, F.col("wholesale"))), F.sum(F.when(~here, F.col("wholesale")))
+    rows = facts.where(~op.is_blank(F.col("brand")) & ~op.is_total(F.col("brand"))).groupBy("brand").agg(value.alias("value"), previous.alias("previous")).where("value is not null")
+    total = facts.where(here).agg(F.sum("wholesale").alias("total"))  # the metric's own total, not the ranked rows'
+    rows = rows.crossJoin(total).withColumn("share", F.when(F.col("total") != 0, F.col("value") / F.col("total")))
+    rank = F.row_number().over(Window.orderBy(F.desc("value"), "brand"))  # a row a brand
+    return rows.select(rank.alias("rank"), "brand", "value", "share", "previous", op.change(F.col("value"), F.col("previous")).alias("yoy"))
 
 
 @query(f"WITH {market_sql()} SELECT time_period, sum(wholesale) AS wholesale, sum(export) AS export, sum(retail_sales) AS retail_sales FROM facts GROUP BY 1")
@@ -103,7 +112,7 @@ _GATE = """SELECT brand, '{0}' AS year, sum(wholesale) FILTER (time_period[1:4]
 @query(f"WITH {market_sql('brand')} {_GATE.format('2000', '1999')} UNION ALL {_GATE.format('2001', '2000')}")
 def range_yoy_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Change of whole years by brand; none unless both years have every month."""
-    months = available_months(market_facts(spark, sf_dir))
+    months = _months(spark, sf_dir)
     out = None
     for year in ("2000", "2001"):
         p = resolve_period(months, "year", year)
@@ -199,24 +208,147 @@ def reconcile_first_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.first_value_reconcile(first.unionByName(second), ["time_period", "brand"], ["wholesale", "export"], "place", "sheet")
 
 
+_SOURCES_SQL = market_sql("brand") + """, s AS (
+      SELECT 'a.xlsx' AS source_file, 'by_brand' AS source_sheet, time_period, brand, CAST(NULL AS VARCHAR) AS market, wholesale, line, 'wholesale' AS t, 'brand' AS d, 1.0 AS c FROM facts WHERE time_period >= '1999-01'
+      UNION ALL SELECT 'a.xlsx', 'returns', time_period, brand, NULL, export, line, 'export', 'brand', 0.0 FROM facts WHERE export IS NOT NULL
+      UNION ALL SELECT 'b.xlsx', 'totals', time_period, NULL, 'Total', sum(wholesale), min(line), 'wholesale', 'market', 1.0 FROM facts WHERE time_period >= '2001-01' GROUP BY time_period)"""
+
+
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three sheets of two files that all have wholesale figures: by brand, of returns, and a total a month."""
+    facts, none = market_facts(spark, sf_dir, "brand"), F.lit(None).cast("string")
+    kinds = lambda d, file, name, metric, dim, sure: d.select("time_period", "brand", "market", "wholesale", "line", F.lit(file).alias("source_file"), F.lit(name).alias("source_sheet"), F.lit(metric).alias("source_metric_type"), F.lit(dim).alias("source_dimension"), F.lit(sure).alias("source_confidence"))
+    own = kinds(facts.where("time_period >= '1999-01'").withColumn("market", none), "a.xlsx", "by_brand", "wholesale", "brand", 1.0)
+    returns = kinds(facts.where("export is not null").withColumns({"wholesale": F.col("export"), "market": none}), "a.xlsx", "returns", "export", "brand", 0.0)
+    totals = facts.where("time_period >= '2001-01'").groupBy("time_period").agg(none.alias("brand"), F.lit("Total").alias("market"), F.sum("wholesale").alias("wholesale"), F.min("line").alias("line"))
+    return own.unionByName(returns).unionByName(kinds(totals, "b.xlsx", "totals", "wholesale", "market", 1.0))
+
+
+def _scores_sql(purpose: str, dim: str) -> str:
+    total, periods = ("1000.0", "0") if purpose == "snapshot" else ("180.0", "least(60, count(DISTINCT time_period)) * 40.0")
+    wanted = f"max(CASE WHEN d = '{dim}' THEN 600.0 ELSE 150.0 END)" if dim else "0"
+    return f"""SELECT '{purpose}' AS purpose, '{dim}' AS dimension, source_file, source_sheet, count(DISTINCT time_period) AS periods, count(*) AS n_rows,
+      CAST(max(CASE WHEN market = 'Total' THEN {total} ELSE 0.0 END) + max(CASE WHEN t = 'wholesale' THEN 300.0 ELSE 0.0 END) + {wanted} + max(c) * 80.0 + {periods} + least(100, count(*)) * 0.2 AS DOUBLE) AS score, min(line) AS first_line
+      FROM s {f"WHERE {dim} IS NOT NULL" if dim else ""} GROUP BY source_file, source_sheet"""
+
+
 @query(
-    f"""WITH {market_sql("brand")}, s AS (
-      SELECT 'by_brand' AS source_sheet, time_period, brand, wholesale, line, 'wholesale' AS t, 'brand' AS d, 1.0 AS c FROM facts WHERE time_period >= '1999-01'
-      UNION ALL SELECT 'returns', time_period, brand, export, line, 'export', 'brand', 0.0 FROM facts WHERE export IS NOT NULL
-      UNION ALL SELECT 'totals', time_period, 'Total', sum(wholesale), min(line), 'wholesale', 'market', 1.0 FROM facts WHERE time_period >= '2001-01' GROUP BY time_period),
-     g AS (SELECT source_sheet, count(DISTINCT time_period) AS periods, count(*) AS n_rows, min(line) AS first_line,
-       max(CASE WHEN brand = 'Total' THEN 1000.0 ELSE 0.0 END) + max(CASE WHEN t = 'wholesale' THEN 300.0 ELSE 0.0 END) + max(CASE WHEN d = 'brand' THEN 600.0 ELSE 150.0 END) + max(c) * 80.0
-       + least(60, count(DISTINCT time_period)) * 40.0 + least(100, count(*)) * 0.2 AS score FROM s GROUP BY 1)
-    SELECT source_sheet, periods, n_rows, CAST(score AS DOUBLE) AS score, CAST(row_number() OVER (ORDER BY score DESC, first_line) AS INT) AS rank FROM g"""
+    f"""WITH {_SOURCES_SQL}, g AS ({_scores_sql("snapshot", "")} UNION ALL {_scores_sql("trend", "")} UNION ALL {_scores_sql("trend", "brand")})
+    SELECT purpose, dimension, source_file, source_sheet, periods, n_rows, score, CAST(row_number() OVER (PARTITION BY purpose, dimension ORDER BY score DESC, first_line) AS INT) AS rank FROM g"""
 )
 def source_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which of three sheets should answer for wholesale by brand."""
-    facts = market_facts(spark, sf_dir, "brand")
-    sheet = lambda d, name, metric, dim, sure: d.select("time_period", "brand", "wholesale", "line", F.lit(name).alias("source_sheet"), F.lit(metric).alias("source_metric_type"), F.lit(dim).alias("source_dimension"), F.lit(sure).alias("source_confidence"))
-    own = sheet(facts.where("time_period >= '1999-01'"), "by_brand", "wholesale", "brand", 1.0)
-    returns = sheet(facts.where("export is not null").withColumn("wholesale", F.col("export")), "returns", "export", "brand", 0.0)
-    totals = facts.where("time_period >= '2001-01'").groupBy("time_period").agg(F.lit("Total").alias("brand"), F.sum("wholesale").alias("wholesale"), F.min("line").alias("line"))
-    return op.source_scores(own.unionByName(returns).unionByName(sheet(totals, "totals", "wholesale", "market", 1.0)), "wholesale", "brand")
+    """Which of three sheets answers for wholesale: for one figure, for a series, and for a series by brand."""
+    rows = _sources(spark, sf_dir)
+    asked = [("snapshot", None), ("trend", None), ("trend", "brand")]
+    parts = [op.source_scores(rows, "wholesale", dim, purpose).select(F.lit(purpose).alias("purpose"), F.lit(dim or "").alias("dimension"), "source_file", "source_sheet", "periods", "n_rows", "score", "rank") for purpose, dim in asked]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(f"WITH {_SOURCES_SQL} SELECT time_period, wholesale AS value FROM s WHERE source_sheet = 'totals'")
+def selected_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wholesale by month from the source chosen for one figure: its total rows, nothing added from other sheets."""
+    rows = op.selected(_sources(spark, sf_dir), "wholesale")
+    return op.preferred_total(rows, "market", "wholesale")
+
+
+@query(
+    f"""WITH {market_sql("brand", "region")}, w AS (SELECT time_period, brand, sum(wholesale) AS v FROM facts WHERE time_period >= '2001-01' GROUP BY ALL), e AS (SELECT time_period, region, sum(export) AS v FROM facts WHERE time_period >= '2000-07' GROUP BY ALL HAVING sum(export) IS NOT NULL),
+    r AS (SELECT time_period, brand, sum(retail_sales) AS v FROM facts WHERE time_period >= '2001-07' GROUP BY ALL HAVING sum(retail_sales) IS NOT NULL)
+    SELECT 'wholesale' AS metric, sum(v) AS value, count(*) AS n_rows FROM w UNION ALL SELECT 'export', sum(v), count(*) FROM e UNION ALL SELECT 'retail_sales', sum(v), count(*) FROM r"""
+)
+def metric_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of several metrics, each from the sheet chosen for it alone: they have different periods and grains."""
+    facts = market_facts(spark, sf_dir, "brand", "region", where=F.col("l_shipdate") >= F.lit("2000-07-01").cast("timestamp"))
+    none = {c: F.lit(None).cast(t) for c, t in (("brand", "string"), ("region", "string"), ("wholesale", "double"), ("export", "double"), ("retail_sales", "double"))}
+
+    def sheet(metric: str, dim: str, since: str) -> DataFrame:
+        rows = facts.where(F.col("time_period") >= since).groupBy("time_period", dim).agg(F.sum(metric).alias(metric), F.min("line").alias("line"))
+        rows = rows.withColumns({c: v for c, v in none.items() if c not in rows.columns})
+        return rows.select("time_period", *none, "line", F.lit(f"{metric}.xlsx").alias("source_file"), F.lit(metric).alias("source_sheet"), F.lit(metric).alias("source_metric_type"), F.lit(dim).alias("source_dimension"), F.lit(1.0).alias("source_confidence"))
+
+    rows = sheet("wholesale", "brand", "2001-01").unionByName(sheet("export", "region", "2000-07")).unionByName(sheet("retail_sales", "brand", "2001-07"))
+    parts = [op.selected(rows, m).agg(F.lit(m).alias("metric"), F.sum(m).alias("value"), F.count(F.lit(1)).alias("n_rows")) for m in ("wholesale", "export", "retail_sales")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(f"WITH {_SOURCES_SQL} SELECT source_file, source_sheet, count(DISTINCT time_period) AS n_periods, count(*) AS n_rows, sum(wholesale) AS value FROM s WHERE t = 'wholesale' GROUP BY ALL ORDER BY n_periods DESC, n_rows DESC LIMIT 1")
+def dependency_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one source that a formula takes wholesale from: made for it, of most periods, then of most rows."""
+    rows = _sources(spark, sf_dir).withColumns({"source_metric_scope": F.lit("total"), "source_row_kind": F.lit("detail")})
+    best = op.widest_source(rows, "wholesale", "TOTAL")
+    return best.groupBy("source_file", "source_sheet").agg(F.countDistinct("time_period").alias("n_periods"), F.count(F.lit(1)).alias("n_rows"), F.sum("wholesale").alias("value"))
+
+
+@query(f"WITH {market_sql('market')} SELECT time_period, sum(wholesale) AS value FROM facts WHERE market <> 'BUILDING' GROUP BY 1")
+def period_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums by month of the rows that aren't summaries."""
+    facts = market_facts(spark, sf_dir, "market").withColumn("source_row_kind", F.when(F.col("market") == "BUILDING", "summary").when(F.col("market") == "MACHINERY", None).otherwise("detail"))
+    return op.period_totals(facts.where(F.coalesce("source_row_kind", F.lit("detail")) != "summary"), "wholesale").withColumnRenamed("wholesale", "value")
+
+
+@query(
+    f"""WITH {market_sql("power_type")}, t AS (SELECT time_period, sum(wholesale) AS w, sum(wholesale) FILTER (power_type = 'PROMO') AS p FROM facts GROUP BY 1)
+    SELECT time_period, p / w AS share FROM t WHERE p IS NOT NULL AND time_period[7:7] <> '3'"""
+)
+def market_share_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of a row named 新能源 in the total row, by month; months of which one is missing drop."""
+    facts = market_facts(spark, sf_dir, "power_type")
+    sums = facts.groupBy("time_period").agg(F.sum("wholesale").alias("w"), F.sum(F.when(F.col("power_type") == "PROMO", F.col("wholesale"))).alias("p"))
+    entries = F.array(F.struct(F.when(F.substring("time_period", 7, 1) != "3", "总体市场").otherwise("其他").alias("market"), F.col("w").alias("wholesale"), F.lit(2).cast("long").alias("line")), F.struct(F.lit("新能源市场").alias("market"), F.col("p").alias("wholesale"), F.lit(1).cast("long").alias("line")))
+    rows = sums.select("time_period", F.inline(entries))
+    return op.pair_share(rows, "market", "wholesale", F.contains("market", F.lit("新能源")))
+
+
+@query(
+    f"""WITH {market_sql("power_type")}, c AS (SELECT {_POWER_SQL} AS segment, time_period, wholesale FROM facts),
+    v AS (SELECT segment, sum(wholesale) FILTER (time_period = '2001-06') AS value, sum(wholesale) FILTER (time_period = '2000-06') AS p, sum(wholesale) FILTER (time_period = '2001-05') AS m FROM (SELECT * FROM c UNION ALL SELECT 'total', time_period, wholesale FROM c) GROUP BY 1)
+    SELECT segment, value, CASE WHEN p <> 0 THEN value / p - 1 END AS yoy, CASE WHEN m <> 0 THEN value / m - 1 END AS mom, value / (SELECT value FROM v WHERE segment = 'total') AS share FROM v"""
+)
+def segment_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Value, changes on the year and on the month before, and share of each power group and of all."""
+    month = "2001-06"
+    near = F.add_months(F.lit(f"{month}-01").cast("date"), -1)
+    facts = market_facts(spark, sf_dir, "power_type", where=months_between("2000-06", "2000-06") | months_between("2001-05", "2001-06"))
+    group = op.power_group(F.col("power_type"), POWER)
+    at = lambda m: F.sum(F.when(F.col("time_period") == m, F.col("wholesale")))
+    by = facts.groupBy(group.alias("segment")).agg(at(F.lit(month)).alias("value"), at(F.lit(year_before(month))).alias("p"), at(F.date_format(near, "yyyy-MM")).alias("m"))
+    whole = by.agg(F.lit("total").alias("segment"), *(F.sum(c).alias(c) for c in ("value", "p", "m")))
+    rows = by.unionByName(whole).crossJoin(whole.select(F.col("value").alias("all_")))  # one row
+    return rows.select("segment", "value", op.change(F.col("value"), F.col("p")).alias("yoy"), op.change(F.col("value"), F.col("m")).alias("mom"), F.when(F.col("all_") != 0, F.col("value") / F.col("all_")).alias("share"))
+
+
+@query(
+    f"""WITH {market_sql("market")}, v AS (SELECT market, sum(wholesale) FILTER (time_period BETWEEN '1999-01' AND '1999-06') AS value, sum(wholesale) FILTER (time_period BETWEEN '1998-01' AND '1998-06') AS p FROM facts GROUP BY 1),
+    a AS (SELECT market AS subject, 'wholesale' AS metric, value / p - 1 AS yoy FROM v WHERE p <> 0 UNION ALL SELECT '总体市场', m, x FROM (SELECT 'wholesale' AS m, sum(wholesale) FILTER (time_period BETWEEN '1999-01' AND '1999-06') / sum(wholesale) FILTER (time_period BETWEEN '1998-01' AND '1998-06') - 1 AS x FROM facts
+      UNION ALL SELECT 'export', sum(export) FILTER (time_period BETWEEN '1999-01' AND '1999-06') / sum(export) FILTER (time_period BETWEEN '1998-01' AND '1998-06') - 1 FROM facts UNION ALL SELECT 'retail_sales', sum(retail_sales) FILTER (time_period BETWEEN '1999-01' AND '1999-06') / sum(retail_sales) FILTER (time_period BETWEEN '1998-01' AND '1998-06') - 1 FROM facts))
+    SELECT * FROM a WHERE abs(yoy) >= 0.02 ORDER BY abs(yoy) DESC, subject, metric LIMIT 100"""
+)
+def range_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half a year against the same half before: markets and totals whose sums differ by 2 % or more, a hundred at most."""
+    now, then = ("1999-01", "1999-06"), ("1998-01", "1998-06")
+    facts = market_facts(spark, sf_dir, "market", where=months_between(*now) | months_between(*then))
+    here = F.col("time_period") >= now[0]
+    cells = [F.sum(F.when(c, F.col(m))).alias(f"{m}_{k}") for m in ("wholesale", "export", "retail_sales") for k, c in (("now", here), ("then", ~here))]
+    by = facts.groupBy("market").agg(*cells)
+    whole = by.agg(*(F.sum(c).alias(c) for c in by.columns[1:]))
+    yoy = lambda m: op.change(F.col(f"{m}_now"), F.col(f"{m}_then"))
+    rows = by.where(~op.is_total(F.col("market"))).select(F.col("market").alias("subject"), F.lit("wholesale").alias("metric"), yoy("wholesale").alias("yoy"))
+    totals = whole.select(F.inline(F.array(*(F.struct(F.lit("总体市场").alias("subject"), F.lit(m).alias("metric"), yoy(m).alias("yoy")) for m in ("wholesale", "export", "retail_sales")))))
+    return rows.unionByName(totals).where(F.abs("yoy") >= 0.02).orderBy(F.desc(F.abs("yoy")), "subject", "metric").limit(100)
+
+
+@query(
+    f"""WITH {market_sql("brand")}, t AS (SELECT time_period, brand, sum(wholesale) AS wholesale FROM facts GROUP BY ALL),
+    r AS (SELECT t.time_period, t.brand, t.wholesale, p.wholesale AS wholesale_before FROM t LEFT JOIN t p ON p.brand = t.brand AND p.time_period = {_BEFORE.format("t.time_period")})
+    SELECT time_period, brand, CASE WHEN time_period[6:7] = '04' THEN 0.5 WHEN wholesale_before <> 0 THEN wholesale / wholesale_before - 1 END AS yoy FROM r"""
+)
+def yoy_explicit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes on the year before by brand; where the sheet states one (in April), that one counts. Each figure stands
+    twice in the sheet, the second one right."""
+    facts = market_facts(spark, sf_dir, "brand").groupBy("time_period", "brand").agg(F.sum("wholesale").alias("wholesale"))
+    twice = facts.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("wholesale", F.when(F.col("copy") == 1, F.col("wholesale") + 100).otherwise(F.col("wholesale")))
+    stated = twice.withColumn("stated", F.when(F.substring("time_period", 6, 2) == "04", F.lit(0.5)))
+    return op.with_yoy(stated, "wholesale", ("brand",), "stated", "copy").where("copy = 2").select("time_period", "brand", "yoy")
 
 
 @query(
@@ -269,7 +401,7 @@ def _spec_sql(name: str, agg: str, where: str = "true") -> str:
 )
 def indicator_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seven declared indicators of every kind of aggregation from one pass."""
-    p = resolve_period(available_months(market_facts(spark, sf_dir)), "range", "1998-01", "1998-03")
+    p = resolve_period(_months(spark, sf_dir), "range", "1998-01", "1998-03")
     facts = market_facts(spark, sf_dir, "power_type", where=months_between("1998-01", "1998-03") | months_between("1997-01", "1997-03"))
     return op.indicators(facts, _specs(), p.expected, p.compared)
 
@@ -400,12 +532,12 @@ def fact_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heads.crossJoin(ends)  # one row each
 
 
-@query(f"WITH {market_sql()} SELECT CASE WHEN count(retail_sales) > 0 AND false THEN '' WHEN count(wholesale) > 0 THEN 'wholesale' WHEN count(retail_sales) > 0 THEN 'retail_sales' WHEN count(export) > 0 THEN 'export' END AS metric, count(wholesale) AS n FROM facts")
+@query(f"WITH {market_sql('market')} SELECT market, CASE WHEN count(*) FILTER (market = 'BUILDING') > 0 THEN 'sales' WHEN count(wholesale) FILTER (market <> 'MACHINERY') > 0 THEN 'wholesale' ELSE 'retail_sales' END AS metric FROM facts GROUP BY 1")
 def primary_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first of wholesale, retail and export that has any value."""
-    names = ["wholesale", "retail_sales", "export"]
-    one = market_facts(spark, sf_dir).agg(*(F.count(n).alias(n) for n in names))
-    return one.select(F.coalesce(*(F.when(F.col(n) > 0, F.lit(n)) for n in names)).alias("metric"), F.col("wholesale").alias("n"))
+    """The first of sales, wholesale and retail sales that a market has any value of."""
+    facts = market_facts(spark, sf_dir, "market").withColumns({"sales": F.when(F.col("market") == "BUILDING", F.col("wholesale")), "wholesale": F.when(F.col("market") != "MACHINERY", F.col("wholesale"))})
+    names = ["sales", "wholesale", "retail_sales"]
+    return facts.groupBy("market").agg(F.coalesce(*(F.when(F.count(n) > 0, F.lit(n)) for n in names)).alias("metric"))
 
 
 @query(f"WITH {market_sql()}, t AS (SELECT time_period, sum(wholesale) AS wholesale, sum(export) AS export, sum(retail_sales) AS retail_sales FROM facts GROUP BY 1), u AS (UNPIVOT t ON wholesale, export, retail_sales INTO NAME series VALUE v) SELECT series, count(*) AS n_points, string_agg(time_period || '=' || CAST(CAST(v AS BIGINT) AS VARCHAR), ';' ORDER BY time_period) AS points FROM u GROUP BY 1")

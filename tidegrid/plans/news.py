@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from tidegrid.functions import urls
 from tidegrid.operators.merge import merge_articles, newest
 from tidegrid.plans.registry import query
+from tidegrid.sources import files
 from tidegrid.sources.tables import table
 
 _CANON = """lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) || '://' || lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]+)', 1))
   || CASE WHEN regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]+([^?#]*)', 1), '/+$', '') = '' THEN '/' ELSE regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]+([^?#]*)', 1), '/+$', '') END
-  || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END"""
+  || CASE WHEN len(q) > 0 THEN '?' || array_to_string(list_transform(q, lambda x: CASE WHEN contains(x, '=') THEN x ELSE x || '=' END), '&') ELSE '' END"""
 _PAGES = f"""p AS (SELECT page_id, {_CANON} AS url, html FROM (SELECT *, list_filter(string_split(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1), '&'),
   lambda x: x <> '' AND lower(string_split(x, '=')[1]) NOT IN ('spm','from','source','ref','referrer','gclid','fbclid') AND NOT starts_with(lower(x), 'utm_')) AS q FROM pages)),
   h AS (SELECT page_id, url, sha256(lower(trim(regexp_replace(regexp_extract(html, '<title>(.*?)</title>', 1) || chr(10) || regexp_extract(html, '<h1>(.*?)</h1>', 1), '\\s+', ' ', 'g')))) AS content_hash FROM p)"""
@@ -47,31 +48,58 @@ def content_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_PAGES}, s AS (SELECT url, content_hash FROM h WHERE page_id % 3 = 0 QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1),
-    c AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY page_id) AS nu, row_number() OVER (PARTITION BY content_hash ORDER BY page_id) AS nh FROM h WHERE page_id % 3 <> 0 OR page_id % 6 = 0)
-    SELECT page_id AS place, c.url, c.content_hash, CASE WHEN s.content_hash = c.content_hash OR nu > 1 THEN 'duplicate_url' WHEN c.content_hash IN (SELECT content_hash FROM s) OR nh > 1 THEN 'duplicate_content' WHEN s.content_hash IS NOT NULL THEN 'update' ELSE 'insert' END AS operation
-    FROM c LEFT JOIN s ON s.url = c.url"""
+    f"""WITH {_PAGES}, v AS (SELECT page_id * 3 + k AS place, url, CASE WHEN page_id % 7 = 0 AND k = 2 THEN NULL WHEN (page_id + k) % 4 = 1 THEN content_hash ELSE sha256(content_hash || CAST((page_id + k) % 4 AS VARCHAR)) END AS content_hash, (page_id + k) % 5 <> 0 AS has_content FROM h, (VALUES (0), (1), (2)) t(k)),
+    s AS (SELECT url, content_hash, true AS in_store FROM h WHERE page_id % 3 = 0 QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1),
+    c AS (SELECT v.*, s.content_hash AS old_hash, in_store, v.content_hash IN (SELECT content_hash FROM s) AS hash_stored FROM v LEFT JOIN s ON s.url = v.url),
+    k AS (SELECT *, content_hash IS NOT NULL AND (coalesce(hash_stored, false) OR count(*) FILTER (in_store IS NOT NULL OR has_content) OVER (PARTITION BY content_hash ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0) AS hash_known FROM c),
+    u AS (SELECT *, in_store IS NOT NULL OR count(*) FILTER (in_store IS NULL AND NOT hash_known AND has_content) OVER (PARTITION BY url ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0 AS url_known,
+      CASE WHEN row_number() OVER (PARTITION BY url ORDER BY place) = 1 THEN old_hash ELSE lag(content_hash) OVER (PARTITION BY url ORDER BY place) END AS held FROM k)
+    SELECT place, url, content_hash, CASE WHEN url_known AND content_hash IS NOT DISTINCT FROM held THEN 'duplicate_url' WHEN url_known THEN 'update' WHEN hash_known THEN 'duplicate_content' WHEN has_content THEN 'insert' ELSE 'skipped' END AS operation FROM u"""
 )
 def news_merge_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A second crawl merged into the first one's store."""
-    pages = _pages(spark, sf_dir).select("page_id", "url", "content_hash")
+    """Three crawls of every page, their texts changing, merged into a store of a third of the pages."""
+    pages, k = _pages(spark, sf_dir).select("page_id", "url", "content_hash"), F.col("page_id") + F.col("k")
     stored = newest(pages.where("page_id % 3 = 0"), ["url"], [F.col("page_id")]).select("url", "content_hash")
-    crawled = pages.where("page_id % 3 <> 0 or page_id % 6 = 0").withColumnRenamed("page_id", "place")
+    versions = pages.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    changed = F.when((F.col("page_id") % 7 == 0) & (F.col("k") == 2), None).when(k % 4 == 1, F.col("content_hash")).otherwise(F.sha2(F.concat("content_hash", (k % 4).cast("string")), 256))
+    crawled = versions.select((F.col("page_id") * 3 + F.col("k")).alias("place"), "url", changed.alias("content_hash"), (k % 5 != 0).alias("has_content"))
     return merge_articles(stored, crawled)
 
 
+_STATUS = "CASE WHEN event_id % 41 = 0 THEN 'unknown_time' WHEN ts < TIMESTAMP '2024-01-03' THEN 'before_start' WHEN ts >= TIMESTAMP '2024-01-20' THEN 'after_end' WHEN event_type = 'error' THEN 'failed' WHEN event_id % 7 = 0 THEN 'duplicate' ELSE 'success' END"
+
+
+def _statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ts = F.col("ts")
+    status = (
+        F.when(F.col("event_id") % 41 == 0, "unknown_time").when(ts < F.lit("2024-01-03").cast("timestamp"), "before_start").when(ts >= F.lit("2024-01-20").cast("timestamp"), "after_end")
+        .when(F.col("event_type") == "error", "failed").when(F.col("event_id") % 7 == 0, "duplicate").otherwise("success")
+    )
+    return table(spark, sf_dir, "events").select(F.date_trunc("day", ts).alias("run"), "event_id", "event_type", status.alias("status"))
+
+
 @query(
-    """WITH e AS (SELECT date_trunc('day', ts) AS run, CASE WHEN ts < TIMESTAMP '2024-01-03' THEN 'before_start' WHEN ts >= TIMESTAMP '2024-01-20' THEN 'after_end' WHEN event_type = 'error' THEN 'failed' ELSE 'success' END AS status FROM events)
-    SELECT run, count(*) AS requested, count(*) FILTER (status = 'success') AS success, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status IN ('before_start', 'after_end')) AS out_of_range,
-      CASE WHEN count(*) > 0 THEN round(count(*) FILTER (status = 'success') / count(*), 6) ELSE 0 END AS coverage FROM e GROUP BY 1"""
+    f"""WITH e AS (SELECT date_trunc('day', ts) AS run, {_STATUS} AS status FROM events), c AS (SELECT run, count(*) FILTER (status <> 'duplicate') AS requested, count(*) FILTER (status = 'success') AS success, count(*) FILTER (status = 'duplicate') AS duplicates, count(*) FILTER (status = 'failed') AS failed,
+      count(*) FILTER (status IN ('before_start', 'after_end')) AS out_of_range, count(*) FILTER (status = 'unknown_time') AS unknown_time FROM e GROUP BY 1)
+    SELECT *, CASE WHEN requested + duplicates > 0 THEN round_even((success + duplicates) / (requested + duplicates), 6) ELSE 0 END AS coverage FROM c"""
 )
 def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily runs: what came through, failed, or lies outside the asked-for time."""
-    ts = F.col("ts")
-    status = F.when(ts < F.lit("2024-01-03").cast("timestamp"), "before_start").when(ts >= F.lit("2024-01-20").cast("timestamp"), "after_end").when(F.col("event_type") == "error", "failed").otherwise("success")
-    n, ok = F.count(F.lit(1)), F.count_if(F.col("status") == "success")
-    rows = table(spark, sf_dir, "events").select(F.date_trunc("day", ts).alias("run"), status.alias("status"))
-    return rows.groupBy("run").agg(n.alias("requested"), ok.alias("success"), F.count_if(F.col("status") == "failed").alias("failed"), F.count_if(F.col("status").isin("before_start", "after_end")).alias("out_of_range"), F.round(ok / n, 6).alias("coverage"))
+    """Daily runs: what came through, was known already, failed, or lies outside the asked-for time.
+
+    Coverage counts duplicates as asked for and as covered, rounded half to even."""
+    n = lambda *names: F.count_if(F.col("status").isin(*names))
+    rows = _statuses(spark, sf_dir).groupBy("run").agg(F.count_if(F.col("status") != "duplicate").alias("requested"), n("success").alias("success"), n("duplicate").alias("duplicates"), n("failed").alias("failed"), n("before_start", "after_end").alias("out_of_range"), n("unknown_time").alias("unknown_time"))
+    covered, asked = F.col("success") + F.col("duplicates"), F.col("requested") + F.col("duplicates")
+    return rows.withColumn("coverage", F.when(asked > 0, F.bround(covered / asked, 6)).otherwise(0.0))
+
+
+@query(f"SELECT CAST(date_trunc('day', ts) AS DATE) AS run, count(*) AS n_failures, min(event_id) AS first_failure, 'failed' AS reason FROM events WHERE ({_STATUS}) = 'failed' GROUP BY 1")
+def run_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The failures of each run, written beside its report under the run's key and read back."""
+    failures = _statuses(spark, sf_dir).where("status = 'failed'").select(F.col("run").cast("date").alias("run"), "event_id", F.col("status").alias("reason"))
+    path = files.scratch(spark, "failures")
+    failures.write.partitionBy("run").parquet(path)
+    return spark.read.parquet(path).groupBy("run", "reason").agg(F.count(F.lit(1)).alias("n_failures"), F.min("event_id").alias("first_failure"))
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events WHERE CAST(json_extract_string(props, '$.k') AS INT) >= 90 AND event_type <> 'error'")

@@ -138,9 +138,8 @@ def region_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def key_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes 20 % above the mean, and each application's largest."""
-    facts = panel_facts(spark, sf_dir, "application", "size")
-    mean = facts.groupBy("application", "size").agg(F.sum("quantity").alias("v")).agg((F.sum("v") / F.count(F.lit(1)) * 1.2).alias("x")).first()["x"]
-    return op.key_sizes(facts, "quantity", mean)
+    sums = panel_facts(spark, sf_dir, "application", "size").groupBy("application", "size").agg(F.sum("quantity").alias("value"))
+    return op.key_sizes(sums, F.avg("value").over(Window.partitionBy()) * 1.2)  # over the few sums
 
 
 @query(f"WITH {panel_sql('size', 'technology')} SELECT size, sum(quantity) FILTER (technology = 'PROMO') AS promo, sum(quantity) FILTER (technology = 'LARGE') AS large, sum(quantity) FILTER (technology = 'SMALL') AS small FROM facts WHERE year = 2001 AND quarter <= 3 AND {_MARKET} GROUP BY size")

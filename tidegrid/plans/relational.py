@@ -141,10 +141,17 @@ def insert_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.insert_ignore(old, orders.where(f"o_orderdate >= timestamp'{_CUT}'").drop("o_orderdate"), keys, [F.col("o_orderkey")])
 
 
-@query("SELECT o_custkey, max(o_orderkey) AS current_version, count(*) AS n_versions FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1")
+@query(
+    f"""WITH c AS (SELECT o_custkey, max(o_orderkey) AS version, arg_max(o_orderpriority, o_orderkey) AS hash FROM orders WHERE o_orderdate < TIMESTAMP '{_CUT}' GROUP BY 1),
+    n AS (SELECT o_custkey, max(o_orderkey) AS version, arg_max(o_orderpriority, o_orderkey) AS hash FROM orders WHERE o_orderdate >= TIMESTAMP '{_CUT}' AND o_orderstatus <> 'P' GROUP BY 1),
+    m AS (SELECT coalesce(c.o_custkey, n.o_custkey) AS o_custkey, c.version AS v, n.version AS w, c.hash AS h, n.hash AS g, n.version IS NOT NULL AND (c.version IS NULL OR (n.version > c.version AND n.hash <> c.hash)) AS moved FROM c FULL JOIN n ON n.o_custkey = c.o_custkey)
+    SELECT o_custkey, CASE WHEN moved THEN w ELSE v END AS version, CASE WHEN moved THEN g ELSE h END AS hash, moved FROM m"""
+)
 def version_promote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pointer moves to a newer version only."""
-    return table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").groupBy("o_custkey").agg(F.max("o_orderkey").alias("current_version"), F.count(F.lit(1)).alias("n_versions"))
+    """The pointer moves to a version that is ready, newer and of other content."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", F.col("o_orderkey").alias("version"), F.col("o_orderpriority").alias("hash"), (F.col("o_orderstatus") != "P").alias("ready"))
+    current = orders.where(f"o_orderdate < timestamp'{_CUT}'").groupBy("o_custkey").agg(F.max(F.struct("version", "hash")).alias("c")).select("o_custkey", "c.version", "c.hash")
+    return op.promoted(current, orders.where(f"o_orderdate >= timestamp'{_CUT}'"), "o_custkey")
 
 
 @query("WITH o AS (SELECT * FROM orders WHERE o_orderdate >= (SELECT max(o_orderdate) - INTERVAL 365 DAY FROM orders)) SELECT (SELECT count(*) FROM o) AS n_orders, (SELECT count(*) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM o)) AS n_lines")

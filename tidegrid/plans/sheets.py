@@ -68,9 +68,9 @@ def export_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = detail.unionByName(totals).unionByName(heads)
     rows = rows.withColumn("row", F.row_number().over(Window.partitionBy("sheet").orderBy("y", "brand", "kind", "power")))
     first = F.row_number().over(Window.partitionBy("sheet", "y", "brand", "kind").orderBy("power")) == 1
-    name = F.when(F.col("kind") == 1, F.concat("brand", F.lit(" Total"))).when(first, F.col("brand"))
+    rows = rows.withColumn("name", F.when(F.col("kind") == 1, F.concat("brand", F.lit(" Total"))).when(first, F.col("brand")))
     head = F.array(*(F.struct(F.lit(k).alias("col"), v.cast("string").alias("value")) for k, v in enumerate([F.lit("品牌"), F.lit("动力类型"), *map(F.lit, _MONTHS_CN), F.concat(F.col("y").cast("string"), F.lit("年"))], 1)))
-    body = F.concat(F.array(F.struct(F.lit(1).alias("col"), name.alias("value")), F.struct(F.lit(2).alias("col"), F.when(F.col("kind") == 0, F.col("power")).alias("value"))), F.transform("months", lambda m: F.struct((m["m"] + 2).alias("col"), m["v"].cast("string").alias("value"))))
+    body = F.concat(F.array(F.struct(F.lit(1).alias("col"), F.col("name").alias("value")), F.struct(F.lit(2).alias("col"), F.when(F.col("kind") == 0, F.col("power")).alias("value"))), F.transform("months", lambda m: F.struct((m["m"] + 2).alias("col"), m["v"].cast("string").alias("value"))))
     cells = lambda kind, made: rows.where(kind).select(F.lit("export volume").alias("file"), "sheet", "row", "kind", "y", F.inline(made))
     cells = cells("kind = -1", head).unionByName(cells("kind >= 0", body))
     return cells.where("value is not null")

@@ -33,6 +33,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared folder, where their lineage ends."""
+    path = scratch(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def dialect(head: bytes) -> tuple[str, str]:
     """Java's name of the first encoding that the bytes are valid in, and the separator of most even use.
 
@@ -62,8 +69,8 @@ def allow_encodings(spark: SparkSession) -> None:
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """A table of strings; only empty fields are null. A few first lines, read byte for byte, tell the dialect."""
     allow_encodings(spark)
-    first = spark.read.option("encoding", "ISO-8859-1").text(path).limit(20).collect()
-    encoding, sep = dialect("\n".join(r[0] for r in first).encode("latin-1"))
+    first = spark.read.text(path).limit(20).select(F.col("value").cast("binary")).collect()
+    encoding, sep = dialect(b"\n".join(bytes(r[0]) for r in first))
     return spark.read.option("header", True).option("encoding", encoding).option("sep", sep).option("nullValue", "").option("multiLine", True).csv(path)
 
 
