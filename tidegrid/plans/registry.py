@@ -23,4 +23,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-from tidegrid.plans import documents, ingest, market, news, panel, relational, sheets  # noqa: E402, F401  they register
+from tidegrid.plans import discovery, documents, evidence, ingest, market, news, panel, relational, sheets, shipments  # noqa: E402, F401  they register
