@@ -22,7 +22,7 @@ def _plain(text: Column) -> Column:
 
 def _date(year: Column, month: Column, day: Column) -> Column:
     """The date of three texts or numbers; null where there is none."""
-    return F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0")).try_cast("date")
+    return F.concat(F.lpad(year.cast("string"), 4, "0"), F.lit("-"), F.lpad(month.cast("string"), 2, "0"), F.lit("-"), F.lpad(day.cast("string"), 2, "0")).try_cast("date")
 
 
 def _found(text: Column, form: tuple[str, int, int, int]) -> list[Column]:
