@@ -220,7 +220,7 @@ class Model:
 
 def fit(docs: DataFrame, sample: int = 5000) -> Model:
     """``sample``: texts that the scorer learns from, those with the least hash of doc_id and text."""
-    counts = pattern_counts(docs).toPandas()
+    counts = pattern_counts(docs).toPandas().sort_values("pattern")
     labels = fit_labels(counts["pattern"].to_numpy(np.int64), counts["n"].to_numpy(float))
     d = id_and_text(docs).select(F.xxhash64("doc_id", "text").alias("key"), "text")
     # At most ``sample`` numbers go out; a vector of a fixed size comes back for each, however often its row repeats.
