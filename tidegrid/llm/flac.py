@@ -7,7 +7,9 @@ of every frame and the MD5 of the stream. Frames are found by the seek table if
 step of decoding takes the next frame of every stream.
 
 The coder writes frames of 1,024 samples and chooses between a constant, fixed predictors, an LPC of order 4 and
-verbatim samples. It is deterministic: equal payloads give equal streams.
+verbatim samples. It is deterministic: equal payloads give equal streams. A sample is a byte minus 128; for payloads
+that are text, bytes are first put into a fixed order in which frequent ones lie around zero (``TEXT_ORDER``), where
+Rice codes are short. Such streams say so by their sample rate, and ``decode`` and ``seek`` undo it.
 
 Scale: one row is one task's own work, nothing is shuffled; a worker holds about a megabyte of payload at a
 time, whatever the batch. A single long payload is cut into frames like any other.
@@ -31,6 +33,8 @@ from pyspark.sql import DataFrame
 from tidegrid.llm.common import id_and_text, spread, steps
 
 BLOCK, RATE, ORDER, PRECISION, SHIFT = 1024, 8000, 4, 12, 10
+#: The rate that marks streams whose bytes are in text order, and the bytes that lie around zero there, by frequency.
+TEXT_RATE, TEXT_ORDER = 8001, b" etanoirsdhluc,mfpg.wyvbk\nTAEIONSRDHLUCMFPGWYVBKxjqzXJQZ0123456789"
 #: Payload bytes are padded with zeros to a multiple of this.
 PAD = 64
 #: Payload or stream bytes coded or decoded at once.
@@ -38,6 +42,26 @@ STEP = 1 << 20
 FIXED = [[], [1], [2, -1], [3, -3, 1], [4, -6, 4, -1]]
 
 
+def _text_code() -> tuple[bytes, np.ndarray]:
+    """The byte that stands for each byte in text order, and the sample that each sample stands for."""
+    order = [*TEXT_ORDER, *(b for b in range(256) if b not in TEXT_ORDER)]
+    code = np.zeros(256, np.uint8)
+    for rank, byte in enumerate(order):
+        code[byte] = 128 + (rank >> 1 if rank % 2 == 0 else -(rank + 1 >> 1))
+    back = np.zeros(256, np.int64)
+    back[code] = np.arange(256) - 128
+    return code.tobytes(), back
+
+
+CODE, BACK = _text_code()
+
+
+def _is_text(payload: bytes) -> bool:
+    """Nine of ten bytes are among those of ``TEXT_ORDER`` (zeros of the padding don't count)."""
+    other = len(payload.translate(None, TEXT_ORDER + b"\0"))
+    return other * 10 <= len(payload) and payload.count(0) * 2 <= len(payload)
+
+
 def _crc_table(poly: int, bits: int) -> np.ndarray:
     table = np.arange(256, dtype=np.int64) << (bits - 8)
     for _ in range(8):
@@ -102,7 +126,9 @@ def _lpc(x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def encode(payloads: list[bytes]) -> list[bytes]:
-    """A FLAC stream of 8-bit samples (byte minus 128) for each payload of at least 16 bytes."""
+    """A FLAC stream of 8-bit samples for each payload of at least 16 bytes."""
+    text = [_is_text(p) for p in payloads]
+    payloads = [p.translate(CODE) if t else p for p, t in zip(payloads, text, strict=True)]
     sizes = np.array([len(p) for p in payloads], np.int64)
     n_frames = -(-sizes // BLOCK)
     total = int(n_frames.sum())
@@ -190,7 +216,7 @@ def encode(payloads: list[bytes]) -> list[bytes]:
         span = slice(first, first + count)
         base, stop = int(starts[first]), int(starts[first + count - 1] + frame_bytes[first + count - 1])
         info = struct.pack(">HH", BLOCK, BLOCK) + int(frame_bytes[span].min()).to_bytes(3, "big") + int(frame_bytes[span].max()).to_bytes(3, "big")
-        info += (RATE << 44 | 0 << 41 | 7 << 36 | int(sizes[i])).to_bytes(8, "big") + hashlib.md5(signed[done : done + int(sizes[i])]).digest()
+        info += ((TEXT_RATE if text[i] else RATE) << 44 | 0 << 41 | 7 << 36 | int(sizes[i])).to_bytes(8, "big") + hashlib.md5(signed[done : done + int(sizes[i])]).digest()
         points = np.zeros(count, ">u8,>u8,>u2")
         points["f0"], points["f1"], points["f2"] = number[span] * BLOCK, starts[span] - base, n[span]
         table = points.tobytes() if 18 * count < 1 << 24 else b""
@@ -403,7 +429,7 @@ def decode(streams: list[bytes]) -> list[np.ndarray]:
         raw = samples.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
         if any(h.md5) and hashlib.md5(raw).digest() != h.md5:
             raise ValueError("the stream's MD5 is wrong")
-        out.append(samples)
+        out.append(BACK[samples + 128] if h.rate == TEXT_RATE else samples)
     return out
 
 
@@ -414,7 +440,8 @@ def seek(stream: bytes, sample: int) -> np.ndarray:
         return decode([stream])[0][sample:]
     i = int(np.searchsorted(head.points["f0"].astype(np.int64), sample, side="right")) - 1
     samples, _, _ = decode_frames(np.frombuffer(stream, np.uint8), np.array([head.first + int(head.points["f1"][i])]), head.bits)
-    return samples[0][sample - int(head.points["f0"][i]) :]
+    rest = samples[0][sample - int(head.points["f0"][i]) :]
+    return BACK[rest + 128] if head.rate == TEXT_RATE else rest
 
 
 def payload(text: bytes) -> bytes:
