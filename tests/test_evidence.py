@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidegrid.operators import discovery, evidence, knowledge
+from tidegrid.operators import discovery, evidence, graph, knowledge
 from tidegrid.operators.text import containments
 
 
@@ -86,3 +86,23 @@ def test_paths_templates_and_feeds(spark):
     assert [(r["link"], r["title"], r["pubDate"]) for r in got] == [("/a", "T", "d"), ("/b", "U", "e")]
     row = spark.createDataFrame([((1, None),)], "r struct<id:int,name:string>")
     assert row.select(discovery.formatted("/x/{id}.html", F.col("r")), discovery.formatted("/x/{name}", F.col("r"))).first()[:] == ("/x/1.html", None)
+
+
+def test_names_entities_and_edges(spark):
+    names = spark.createDataFrame([("Tianma Micro", "天马,TM"), ("TM", None), ("Boe", "tianma")], "canonical string, aliases string")
+    index = {r["key"]: r["canonical"] for r in graph.alias_index(names).collect()}
+    assert index == {"tianmamicro": "Tianma Micro", "天马": "Tianma Micro", "tm": "TM", "tianma": "Boe", "boe": "Boe"}
+    edges = spark.createDataFrame([("A", "COMPANY", "x", "PRODUCT"), ("A", "COMPANY", "B", "COMPANY"), ("B", "COMPANY", "x", "PRODUCT")], "from_name string, from_type string, to_name string, to_type string")
+    assert [(r["from_name"], r["to_name"]) for r in graph.focused(edges, ["a"]).collect()] == [("A", "x")] and graph.focused(edges, ["z"]).count() == 3
+
+
+def test_lines_of_pages(spark):
+    text = "A very long visual line of words\ngoes on\r\n\r\nEnds here with a full stop.\nEnds here with a full stop.\n图1 figure\n" + "长" * 18 + "\n接着\n" + "长" * 18 + "\n(2) 点"
+    want = ["A very long visual line of words goes on", "Ends here with a full stop.", "图1 figure", "长" * 18 + "接着", "长" * 18, "(2) 点"]
+    assert one(spark, text, lambda c: graph.joined_lines(graph.clean_lines(c))) == want
+
+
+def test_questions_and_years(spark):
+    assert one(spark, "销量多少？不要编造？出口呢？", graph.sub_questions) == ["销量多少", "出口呢"] and one(spark, "只有一个？", graph.sub_questions) == ["只有一个？"]
+    got = spark.createDataFrame([("2023与2024、12024", ["2024"])], "q string, f array<string>").select(graph.missing_years(F.col("q"), F.col("f"))).first()[0]
+    assert got == ["2023"]

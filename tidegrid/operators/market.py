@@ -247,3 +247,44 @@ def densities(facts: DataFrame, columns: list[str]) -> DataFrame:
     rows = one.select("n", F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"d_{c}").alias("n_values")) for c in columns))))
     density = F.when(F.col("n") > 0, F.col("n_values") / F.col("n"))
     return rows.select("column", "n_values", density.alias("density"), (density >= 0.6).alias("is_metric"))
+
+
+#: Texts that stand for nothing, and what power groups are called in filters.
+NO_TEXT = ["nan", "none", "null", "<na>"]
+GROUP_NAMES = {"新能源车": "new_energy", "燃油车": "fuel", "未分类": "unclassified", "new_energy": "new_energy", "fuel": "fuel", "unclassified": "unclassified"}
+
+
+def plain_label(label: Column) -> Column:
+    """Trimmed, single spaces, lower case; null and what stands for it as empty."""
+    text = F.lower(F.regexp_replace(F.trim(F.coalesce(label.cast("string"), F.lit(""))), r"\s+", " "))
+    return F.when(text.isin(NO_TEXT), "").otherwise(text)
+
+
+def _wanted(values: list[str] | str) -> list[str]:
+    texts = [" ".join(str(v).split()).lower() for v in (values if isinstance(values, list) else [values]) if v is not None]
+    return [t for t in texts if t and t not in NO_TEXT]
+
+
+def scoped(facts: DataFrame, filters: dict[str, list[str] | str]) -> DataFrame:
+    """The rows of a report's section: of each filter those with one of its values; dimensions that aren't there and
+    filters without a value leave all."""
+    for dim, values in filters.items():
+        if dim in facts.columns and _wanted(values):
+            facts = facts.where(plain_label(F.col(dim)).isin(_wanted(values)))
+    return facts
+
+
+def filtered(facts: DataFrame, filters: list[tuple[str, list[str]]], overrides: dict[str, str] | None = None) -> DataFrame:
+    """The rows of an indicator: as ``scoped``, but a dimension that isn't there leaves none; power_group is one that
+    power_type is grouped by."""
+    for dim, values in filters:
+        if dim == "power_group":
+            if "power_type" not in facts.columns:
+                return facts.where(F.lit(False))
+            groups = {g for name, g in GROUP_NAMES.items() if name in _wanted(values)}
+            facts = facts.where(power_group(F.col("power_type"), overrides).isin(sorted(groups)))
+        elif dim not in facts.columns:
+            return facts.where(F.lit(False))
+        elif _wanted(values):
+            facts = facts.where(plain_label(F.col(dim)).isin(_wanted(values)))
+    return facts
