@@ -45,6 +45,21 @@ def grains(facts: DataFrame, sets: list[list[str]], value: str) -> DataFrame:
     return rows.select(names.alias("grain"), *columns, "value")
 
 
+def populations(facts: DataFrame, sets: dict[str, tuple[Column, dict[str, Column]]], value: str, line: str, most: int = 12) -> DataFrame:
+    """grain, key (the set's columns as one map), value, n and refs (the first ``most`` lines) of several grains, each over
+    the rows that its condition holds for.
+
+    One scan: a row goes to each grain that it counts for. The lines are cut to ``most`` a group where they lie,
+    before they are gathered."""
+    as_map = lambda cols: F.map_from_arrays(F.array(*map(F.lit, cols)), F.array(*(c.cast("string") for c in cols.values())))
+    entries = F.filter(F.array(*(F.when(where, F.struct(F.lit(name).alias("grain"), F.to_json(as_map(cols)).alias("key"))) for name, (where, cols) in sets.items())), lambda e: e.isNotNull())
+    rows = facts.select(F.col(value).alias("value"), F.col(line).alias("line"), F.inline(entries))
+    sums = rows.groupBy("grain", "key").agg(F.sum("value").alias("value"), F.count(F.lit(1)).alias("n"))
+    first = F.row_number().over(Window.partitionBy("grain", "key").orderBy("line"))
+    refs = rows.select("grain", "key", "line").withColumn("nth", first).where(F.col("nth") <= most).groupBy("grain", "key").agg(F.array_sort(F.collect_list("line")).alias("refs"))
+    return sums.join(refs, ["grain", "key"])
+
+
 def growth_contribution(facts: DataFrame, dim: str, value: str, year: int) -> DataFrame:
     """``dim``, current, previous, yoy and its part of the total's change; null if that is zero or a side is missing."""
     rows = facts.groupBy(dim).agg(year_sum(value, year).alias("current"), year_sum(value, year - 1).alias("previous"))

@@ -227,3 +227,58 @@ def column_bands(cells: DataFrame, gap: int = 2) -> DataFrame:
     parts = banded(banded(filled, SHEET, "row", "row_band"), [*SHEET, "row_band"], "col", "col_band")
     regions = parts.groupBy(*SHEET, "row_band", "col_band").agg(F.min("row").alias("first_row"), F.max("row").alias("last_row"), F.min("col").alias("first_col"), F.max("col").alias("last_col"), F.count(F.lit(1)).alias("n_filled"), F.countDistinct("col").alias("n_cols"))
     return regions.where("n_filled >= 4 and n_cols >= 2").drop("row_band", "col_band", "n_cols")
+
+
+#: Words in the headers of shipment tables, and cells that stand for no number.
+HEADER_WORDS = ["year", "quarter", "qy", "panel maker", "client", "original specification"]
+PLACEHOLDERS = ["", "-", "—", "–", "n/a", "na", "null", "none", "缺失"]
+
+
+def region_headers(cells: DataFrame, regions: DataFrame, reach: int = 20) -> DataFrame:
+    """The regions with ``header_row``: of their first rows the one with most points, the first of equals.
+
+    A point a text, two more for one that holds a header's word, and one for each number in the next row up to three."""
+    inside = cells.join(regions, SHEET).where("row between first_row and last_row and col between first_col and last_col")
+    text = F.lower(F.trim(F.coalesce("value", F.lit(""))))
+    is_text = (text != "") & ~is_number(F.col("value"))
+    named = F.exists(F.array(*map(F.lit, HEADER_WORDS)), lambda w: F.contains(text, w))
+    keys = [*SHEET, "first_row", "first_col"]
+    rows = inside.groupBy(*keys, "row").agg(F.count_if(is_text).alias("texts"), F.count_if(is_text & named).alias("named"), F.count_if(is_number(F.col("value"))).alias("numbers"))
+    below = rows.select(*keys, (F.col("row") - 1).alias("row"), F.least("numbers", F.lit(3)).alias("next_numbers"))
+    rows = rows.join(below, [*keys, "row"], "left").where(F.col("row") <= F.col("first_row") + reach)
+    points = F.col("texts") + F.col("named") * 2 + F.coalesce("next_numbers", F.lit(0))
+    best = rows.groupBy(*keys).agg(F.max(F.struct(points.alias("points"), (-F.col("row")).alias("up"))).alias("best")).where("best.points > 0")
+    return regions.join(best.select(*keys, (-F.col("best.up")).alias("header_row")), keys, "left")
+
+
+def template_checks(cells: DataFrame, rows: DataFrame) -> DataFrame:
+    """metric_ok, field_ok, period_ok, value_ok, dimension_ok and status of each sheet.
+
+    The metric must be named (by the sheet, the file or one header); every named column with values must be a
+    registered field, a period or one to ignore; periods must be read; every value below a period or a metric must be a
+    number or a known placeholder, and there must be one; a dimension must be there. PASS with all five, REVIEW
+    otherwise; columns without a header that hold values turn a PASS into CORE_PASS_AUX_REVIEW."""
+    heads = header_cells(cells, rows).withColumn("unnamed", F.col("header").rlike("^未命名列(_\\d+)?$"))
+    body = cells.join(heads, [*SHEET, "col"]).where("row > header_row")
+    filled = F.trim(F.coalesce("value", F.lit(""))) != ""
+    is_metric = F.coalesce(F.col("field").isin(headers.METRICS), F.lit(False))
+    placeholder = headers.token(F.col("value")).isin(PLACEHOLDERS)
+    columns = body.groupBy(*SHEET, "col", "header", "field", "is_period", "unnamed").agg(
+        F.count_if(filled).alias("n_filled"), F.count_if(filled & ~placeholder).alias("n_checked"), F.count_if(filled & ~placeholder & parse_numeric(F.col("value")).isNull()).alias("n_bad")
+    )
+    ignored = headers.token(F.col("header")).isin(headers.IGNORED)
+    unknown = (F.col("n_filled") > 0) & F.col("field").isNull() & ~F.col("is_period") & ~ignored & ~F.col("unnamed")
+    numbers = F.col("is_period") | is_metric
+    read = parse_period(F.col("header")).rlike(r"^20\d{2}(?:-\d{2}|-Q[1-4])?$")
+    sheets = columns.groupBy(*SHEET).agg(
+        F.count_if(unknown).alias("unknown"), F.count_if(F.col("field").isNotNull() & (F.col("n_filled") > 0)).alias("mapped"), F.count_if("is_period").alias("periods"), F.count_if(F.col("is_period") & ~read).alias("unread"),
+        F.max(F.coalesce(F.col("field") == "time_period", F.lit(False))).alias("has_time"), F.sum(F.when(numbers, F.col("n_checked")).otherwise(0)).alias("checked"), F.sum(F.when(numbers, F.col("n_bad")).otherwise(0)).alias("bad"),
+        F.count_if(F.col("field").isNotNull() & ~is_metric & (F.col("field") != "time_period")).alias("dimensions"), F.countDistinct(F.when(is_metric, F.col("field"))).alias("metrics"), F.count_if(F.col("unnamed") & (F.col("n_filled") > 0)).alias("unlabelled"),
+    )
+    named = F.coalesce(headers.metric_named(F.col("sheet")), headers.metric_named(F.col("file"))).isNotNull()
+    checked = sheets.select(
+        *SHEET, (named | (F.col("metrics") >= 1)).alias("metric_ok"), ((F.col("unknown") == 0) & (F.col("mapped") > 0)).alias("field_ok"), F.when(F.col("periods") > 0, F.col("unread") == 0).otherwise(F.col("has_time")).alias("period_ok"),
+        ((F.col("checked") > 0) & (F.col("bad") == 0)).alias("value_ok"), (F.col("dimensions") > 0).alias("dimension_ok"), "unlabelled",
+    )
+    all_ok = F.col("metric_ok") & F.col("field_ok") & F.col("period_ok") & F.col("value_ok") & F.col("dimension_ok")
+    return checked.withColumn("status", F.when(~all_ok, "REVIEW").when(F.col("unlabelled") > 0, "CORE_PASS_AUX_REVIEW").otherwise("PASS")).drop("unlabelled")

@@ -33,6 +33,33 @@ def panel_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.grains(rows, [["maker", "year"], ["maker", "year", "technology"], ["year", "technology"], ["year"]], "quantity")
 
 
+_GRAINS = {
+    "market": (_SUMMARY + " AND " + _MARKET, ["year"]), "maker": (_SUMMARY + " AND " + _CORE, ["maker", "year"]), "technology": (_SUMMARY + " AND " + _CORE, ["maker", "year", "technology"]),
+    "market_technology": (_SUMMARY + " AND " + _MARKET, ["year", "technology"]), "clients": (_SUMMARY + " AND " + _CORE, ["maker", "year", "client"]), "applications": (_SUMMARY + " AND " + _CORE, ["maker", "year", "application"]),
+    "history": (_CORE, ["maker", "year"]), "sizes": (_SUMMARY + " AND " + _CORE + " AND size IS NOT NULL", ["maker", "year", "bucket"]),
+    "technology_sizes": (_SUMMARY + " AND " + _CORE + " AND size IS NOT NULL", ["maker", "year", "technology", "bucket"]), "market_technology_sizes": (_SUMMARY + " AND " + _MARKET + " AND size IS NOT NULL", ["year", "technology", "bucket"]),
+}
+
+
+def _grain_sql(name: str, where: str, columns: list[str]) -> str:
+    label = " || ',' || ".join(f"""'"{c}":"' || {c} || '"'""" for c in columns)
+    return f"SELECT '{name}' AS grain, '{{' || {label} || '}}' AS key, quantity, line FROM f WHERE {where}"
+
+
+@query(
+    f"""WITH f AS (SELECT p_brand AS maker, p_type AS technology, p_size AS size, n_name AS client, o_orderpriority AS application, {_BUCKET.replace("size", "p_size")} AS bucket, year(l_shipdate) AS year, quarter(l_shipdate) AS quarter, l_quantity AS quantity, l_orderkey * 10 + l_linenumber AS line
+      FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+    g AS ({" UNION ALL ".join(_grain_sql(n, w, c) for n, (w, c) in _GRAINS.items())}), r AS (SELECT *, row_number() OVER (PARTITION BY grain, key ORDER BY line) AS nth FROM g)
+    SELECT grain, key, sum(quantity) AS value, count(*) AS n, string_agg(CAST(line AS VARCHAR), ',' ORDER BY line) FILTER (nth <= 12) AS refs FROM r GROUP BY ALL"""
+)
+def panel_populations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten grains over three populations (all technologies, the core ones, all quarters) with the first twelve lines of each group."""
+    facts = panel_facts(spark, sf_dir, "maker", "technology", "size", "client", "application", line=True).withColumn("bucket", op.size_bucket(F.col("size")))
+    sets = {name: (F.expr(where), {c: F.col(c) for c in columns}) for name, (where, columns) in _GRAINS.items()}
+    rows = op.populations(facts, sets, "quantity", "line")
+    return rows.withColumn("refs", F.array_join(F.transform("refs", lambda x: x.cast("string")), ","))
+
+
 @query(
     f"""WITH {panel_sql("maker", "technology")} SELECT maker, count(*) AS n_rows, sum(quantity) FILTER (year = 2001) AS current, sum(quantity) FILTER (year = 2000) AS previous,
     sum(quantity) FILTER (year = 2001) / (SELECT sum(quantity) FROM facts WHERE year = 2001 AND quarter <= 3 AND {_MARKET}) AS market_share,

@@ -233,3 +233,24 @@ def metric_from_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The one metric that a sheet's name names; a name that stands for two, or for none, gives nothing."""
     name = F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("p_partkey") % 9 + 1).cast("int"))
     return table(spark, sf_dir, "part").select("p_partkey", headers.metric_named(name).alias("metric"))
+
+
+@query(f"WITH {_SALES_CELLS} SELECT DISTINCT sheet, true AS metric_ok, true AS field_ok, true AS period_ok, sheet <> 'SMALL' AS value_ok, true AS dimension_ok, CASE sheet WHEN 'SMALL' THEN 'REVIEW' WHEN 'LARGE' THEN 'CORE_PASS_AUX_REVIEW' ELSE 'PASS' END AS status FROM cells")
+def template_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five checks of each sheet: one holds a value that isn't a number, another values without a header."""
+    cells = sales_cells(spark, sf_dir).withColumn("value", F.when(F.col("value") == "--", "-").otherwise(F.col("value")))
+    extra = cells.where("sheet = 'SMALL'").select("file", "sheet").distinct().select("file", "sheet", F.lit(3).alias("row"), F.lit(3).alias("col"), F.lit("many").alias("value"))
+    loose = cells.where("sheet = 'LARGE'").select("file", "sheet").distinct().select("file", "sheet", F.inline(F.array(F.struct(F.lit(2).alias("row"), F.lit(9).alias("col"), F.lit(" ").alias("value")), F.struct(F.lit(3).alias("row"), F.lit(9).alias("col"), F.lit("x").alias("value")))))
+    all_cells = cells.where("not (sheet = 'SMALL' and row = 3 and col = 3)").unionByName(extra).unionByName(loose)
+    return op.template_checks(all_cells, op.header_rows(all_cells)).drop("file")
+
+
+@query(
+    f"""WITH {_SALES_CELLS}, r AS (SELECT sheet, row, count(*) FILTER (NOT regexp_matches(value, '^[0-9]+$')) AS t, count(*) FILTER (regexp_matches(value, '^[0-9]+$')) AS n FROM cells GROUP BY ALL),
+    p AS (SELECT a.sheet, a.row, a.t + coalesce(least(b.n, 3), 0) AS points FROM r a LEFT JOIN r b ON b.sheet = a.sheet AND b.row = a.row + 1 WHERE a.row <= 21)
+    SELECT sheet, CAST(row AS INT) AS header_row FROM p QUALIFY row_number() OVER (PARTITION BY sheet ORDER BY points DESC, row) = 1"""
+)
+def region_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The header row of each sheet's table, judged by its texts and the numbers below them."""
+    cells = sales_cells(spark, sf_dir)
+    return op.region_headers(cells, op.column_bands(cells)).select("sheet", "header_row")

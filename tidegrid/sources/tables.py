@@ -89,14 +89,16 @@ def market_sql(*dims: str) -> str:
     )
 
 
-def panel_facts(spark: SparkSession, sf_dir: str, *dims: str, where: Column | None = None) -> DataFrame:
-    """year, quarter (1 to 4), the wanted dimensions, quantity and display_area (exact decimals)."""
+def panel_facts(spark: SparkSession, sf_dir: str, *dims: str, where: Column | None = None, line: bool = False) -> DataFrame:
+    """year, quarter (1 to 4), the wanted dimensions, quantity and display_area (exact decimals); ``line`` numbers the rows."""
+    lines = [(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line")] if line else []
     return _joined(spark, sf_dir, PANEL_DIMS, dims, where).select(
         F.year("l_shipdate").alias("year"),
         F.quarter("l_shipdate").alias("quarter"),
         *(F.col(PANEL_DIMS[d][0]).alias(d) for d in dims),
         F.col("l_quantity").alias("quantity"),
         F.col("l_extendedprice").cast("decimal(18,2)").alias("display_area"),
+        *lines,
     )
 
 
