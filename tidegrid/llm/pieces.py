@@ -20,8 +20,8 @@ from tidegrid.llm.common import Words, spawn_env, spread
 
 #: White space before a space: the space doesn't start a unit then.
 _RUN = r"[\s\pZ\x{1c}-\x{1f}\x{85}] "
-#: Units that a worker remembers with their ids; beyond it starts afresh.
-REMEMBERED = 400_000
+#: Units, and matches of other units than words, that a worker remembers with their ids; beyond it starts afresh.
+REMEMBERED, REMEMBERED_MATCHES = 600_000, 200_000
 #: Fixed value: the pattern of byte-level pre-tokenizers.
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _SPACE = "\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -85,6 +85,8 @@ class TokenizerCodec:
         self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.units = spaced_units if spaced else word_units
         self.split = self._pattern(path).findall
+        # Letters alone, with or without a space before them, are one match.
+        self.whole = all(self.split(x) == [x] for x in ((" word", "word", "Straße", " Éa") if spaced else ("word", "straße")))
         # Bytes as the characters that stand for them in byte-level vocabularies.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.shown = {b: b for b in shown} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in shown)}
@@ -106,11 +108,13 @@ class TokenizerCodec:
             return self.tokenizer.encode(unit, add_special_tokens=False).ids
         if self.tokenizer.normalizer and not unit.isascii():
             unit = self.tokenizer.normalizer.normalize_str(unit)
+        if self.whole and (unit[1:] if unit[:1] == " " else unit).isalpha():
+            return [t.id for t in self.tokenizer.model.tokenize(unit.encode().decode("latin-1").translate(self.shown))]
         out: list[int] = []
         for match in self.split(unit):
             ids = self.pieces.get(match)
             if ids is None:
-                if len(self.pieces) >= REMEMBERED:
+                if len(self.pieces) >= REMEMBERED_MATCHES:
                     self.pieces.clear()
                 shown = match.encode().decode("latin-1").translate(self.shown)
                 ids = self.pieces[match] = [t.id for t in self.tokenizer.model.tokenize(shown)]
