@@ -154,7 +154,7 @@ def edges_with_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH v AS (SELECT o_orderkey FROM orders WHERE o_orderdate >= (SELECT max(o_orderdate) - INTERVAL 365 DAY FROM orders)), l AS (SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM v)), r AS (SELECT a.l_orderkey FROM lineitem a JOIN l ON l.l_orderkey = a.l_orderkey AND l.l_linenumber = a.l_linenumber WHERE l_returnflag = 'R')
+    """WITH v AS (SELECT o_orderkey FROM orders WHERE o_orderdate >= (SELECT max(o_orderdate) - INTERVAL 365 DAY FROM orders)), l AS (SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM v)), r AS (SELECT a.l_orderkey FROM lineitem a WHERE l_returnflag = 'R' AND EXISTS (SELECT 1 FROM l WHERE l.l_orderkey = a.l_orderkey AND l.l_linenumber = a.l_linenumber))
     SELECT 'versions' AS level, (SELECT count(*) FROM v) AS n_kept, (SELECT count(*) FROM orders) - (SELECT count(*) FROM v) AS n_deleted UNION ALL SELECT 'chunks', (SELECT count(*) FROM l), (SELECT count(*) FROM lineitem) - (SELECT count(*) FROM l) UNION ALL SELECT 'relations', (SELECT count(*) FROM r), (SELECT count(*) FROM lineitem WHERE l_returnflag = 'R') - (SELECT count(*) FROM r)"""
 )
 def cascaded_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
