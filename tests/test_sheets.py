@@ -100,3 +100,10 @@ def test_datasets_stay_in_their_folder(spark, tmp_path):
             files.delete_dataset(spark, str(tmp_path), name)
     assert files.delete_sheet(spark, str(tmp_path), "d", "sheet", "a") and files.load_dataset(spark, str(tmp_path), "d").count() == 1
     assert files.delete_dataset(spark, str(tmp_path), "d") and not (tmp_path / "d").exists()
+
+
+def test_only_text_files_have_a_reader(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("名称,数量\n甲,\n".encode("gb18030"))
+    assert [tuple(r) for r in files.read_table_file(spark, str(tmp_path / "a.csv")).collect()] == [("甲", None)]
+    with pytest.raises(ValueError):
+        files.read_table_file(spark, "x.xlsx")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegrid.operators import text as op
+from tidegrid.operators.evidence import near_each_other
 from tidegrid.plans.registry import query
 from tidegrid.sources.tables import table
 
@@ -158,3 +161,67 @@ def sentence_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     low = F.lower("s")
     kind = F.when(low.rlike("idiot|scum"), "insult").when(F.col("s").rlike("[0-9]{4}"), "dated").when(low.rlike("copyright|license"), "legal").otherwise("other")
     return rows.groupBy("doc_id", kind.alias("kind")).agg(F.count(F.lit(1)).alias("n_sentences"))
+
+
+_QUESTION = "the tion"
+_SCORE_SQL = (
+    " + ".join(f"CAST(contains(lower(text), '{p}') AS INT)" for p in sorted({_QUESTION[i : i + 2] for i in range(len(_QUESTION) - 1) if " " not in _QUESTION[i : i + 2]}))
+    + f" + 100 * CAST(contains(lower(text), '{_QUESTION}') AS INT) + 30 * CAST(contains(lower(text), 'the') AS INT)"
+)
+_WIDE = {"en": 20, "de": 8}
+
+
+@query(
+    f"""WITH s AS (SELECT doc_id, source, lang, {_SCORE_SQL} AS score, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM documents WHERE text IS NOT NULL),
+    w AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, doc_id) AS r FROM s WHERE score > 0 QUALIFY r <= CASE lang WHEN 'en' THEN 20 WHEN 'de' THEN 8 ELSE 5 END), k AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS rank FROM w),
+    d AS (SELECT source, 40.0 / (min(rank) + 1) + least(count(*), 3) * 4 AS points FROM k GROUP BY 1 ORDER BY points DESC, source LIMIT 4), h AS (SELECT s.* FROM s JOIN d USING (source) WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) <= 5),
+    n AS (SELECT DISTINCT s.doc_id, s.source FROM s JOIN h ON h.source = s.source AND abs(h.place - s.place) <= 1) SELECT n.doc_id, n.source, n.doc_id IN (SELECT doc_id FROM h) AS is_hit FROM n"""
+)
+def two_stage_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wide recall by language, the four best sources of what it found, a search within them, and each hit's neighbours."""
+    place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    scored = _docs(spark, sf_dir).where("text is not null").select("doc_id", "source", "lang", op.bigram_score(F.col("text"), _QUESTION).alias("score")).withColumn("place", place)
+    best = [F.desc("score"), F.col("doc_id")]
+    seats = F.coalesce(*(F.when(F.col("lang") == lang, n) for lang, n in _WIDE.items()), F.lit(5))
+    wide = scored.where("score > 0").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(*best))).where(F.col("r") <= 20).where(F.col("r") <= seats)
+    ranked = wide.withColumn("rank", F.row_number().over(Window.orderBy(*best)) - 1)  # some forty rows
+    points = F.lit(40.0) / (F.min("rank") + 1) + F.least(F.count(F.lit(1)), F.lit(3)) * 4
+    sources = ranked.groupBy("source").agg(points.alias("points")).orderBy(F.desc("points"), "source").limit(4).select("source")
+    inside = scored.join(sources, "source", "left_semi")
+    hits = inside.where("score > 0").withColumn("k", F.row_number().over(Window.partitionBy("source").orderBy(*best))).where("k <= 5")
+    near = hits.select("source", F.explode(F.array(F.col("place") - 1, F.col("place"), F.col("place") + 1)).alias("place"), F.col("place").alias("at")).groupBy("source", "place").agg(F.max(F.col("place") == F.col("at")).alias("is_hit"))
+    return inside.join(near, ["source", "place"]).select("doc_id", "source", "is_hit")
+
+
+_COMPANIES, _TARGETS = {"alpha": ["there", "thing"], "beta": ["ander"], "gamma": ["einheit", "schen"]}, {"delta": "ción", "epsilon": "ement", "zeta": "tionth"}
+
+
+def _near_sql(c: str, t: str) -> str:
+    tests = []
+    for a in _COMPANIES[c]:
+        gap = 220 - len(_TARGETS[t])
+        tests += [f"regexp_matches(t, '(?s){a}.{{0,{gap}}}{_TARGETS[t]}')", f"regexp_matches(t, '(?s){_TARGETS[t]}.{{0,{gap}}}{a}')"]
+        if t == "zeta" and a.startswith("th"):
+            tests.append(f"contains(t, 'tion{a}')")
+    return " OR ".join(tests)
+
+
+_SAYS = {c: " OR ".join(f"contains(t, '{a}')" for a in ws) for c, ws in _COMPANIES.items()}
+
+
+@query(
+    "WITH d AS (SELECT doc_id, lower(text) AS t FROM documents WHERE text IS NOT NULL), m AS (SELECT *, " + " + ".join(f"CAST(({w}) AS INT)" for w in _SAYS.values()) + " AS n FROM d), e AS ("
+    + " UNION ALL ".join(f"SELECT '{c}' AS company, '{t}' AS target, doc_id FROM m WHERE ({_SAYS[c]}) AND contains(t, '{w}') AND (n = 1 OR {_near_sql(c, t)})" for c in _COMPANIES for t, w in _TARGETS.items())
+    + ") SELECT company, target, count(*) AS n_docs, min(doc_id) AS first_doc FROM e GROUP BY ALL"
+)
+def company_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Companies and what texts link them with: where a text names several, only what stands near a company's name."""
+    low = F.lower("text")
+    says = lambda words: reduce(lambda a, b: a | b, (F.contains(low, F.lit(w)) for w in words))
+    n = reduce(lambda a, b: a + b, (says(ws).cast("int") for ws in _COMPANIES.values()))
+    pairs = F.array(*(
+        F.when(says(ws) & F.contains(low, F.lit(w)) & ((F.col("n") == 1) | near_each_other(F.col("text"), F.array(*map(F.lit, ws)), F.lit(w))), F.struct(F.lit(c).alias("company"), F.lit(t).alias("target")))
+        for c, ws in _COMPANIES.items() for t, w in _TARGETS.items()
+    ))
+    rows = _docs(spark, sf_dir).where("text is not null").select("doc_id", "text", n.alias("n")).select("doc_id", F.inline(F.filter(pairs, lambda p: p.isNotNull())))
+    return rows.groupBy("company", "target").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc"))

@@ -74,6 +74,13 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("encoding", encoding).option("sep", sep).option("nullValue", "").option("multiLine", True).csv(path)
 
 
+def read_table_file(spark: SparkSession, path: str) -> DataFrame:
+    """A file by the end of its name: comma-separated text is read; workbooks must be landed as cells first."""
+    if path.lower().rstrip("/").endswith(".csv"):
+        return read_csv(spark, path)
+    raise ValueError(f"no reader for {path!r}: only .csv; workbooks are read as cells (file, sheet, row, col, value)")
+
+
 def _folder(root: str, name: str) -> str:
     if not name or "/" in name or "\\" in name or name in (".", ".."):
         raise ValueError(f"not the name of a dataset: {name!r}")
