@@ -98,8 +98,10 @@ def test_names_entities_and_edges(spark):
 
 def test_lines_of_pages(spark):
     text = "A very long visual line of words\ngoes on\r\n\r\nEnds here with a full stop.\nEnds here with a full stop.\n图1 figure\n" + "长" * 18 + "\n接着\n" + "长" * 18 + "\n(2) 点"
-    want = ["A very long visual line of words goes on", "Ends here with a full stop.", "图1 figure", "长" * 18 + "接着", "长" * 18, "(2) 点"]
+    want = ["A very long visual line of words goes on Ends here with a full stop.", "图1 figure", "长" * 18 + "接着" + "长" * 18, "(2) 点"]
     assert one(spark, text, lambda c: graph.joined_lines(graph.clean_lines(c))) == want
+    # Empty lines, where they are still there, end a paragraph.
+    assert one(spark, "A very long visual line\n\nof words\n\n\nend", lambda c: graph.joined_lines(F.split(c, "\n"))) == ["A very long visual line", "of words", "end"]
 
 
 def test_questions_and_years(spark):

@@ -88,13 +88,14 @@ def clean_lines(text: Column) -> Column:
 
 def joined_lines(lines: Column) -> Column:
     """Lines that a page's width has broken, as one: a line of 18 characters or more without an end goes on with the
-    next, unless that begins a figure, a table, a source or a numbered point. Latin words keep a space between them."""
+    next, unless that is empty or begins a figure, a table, a source or a numbered point. Latin words keep a space
+    between them; empty lines drop."""
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
 
     def step(acc: Column, line: Column) -> Column:
         now = acc["now"]
         fresh = reduce(lambda a, b: a | b, (F.startswith(line, F.lit(w)) for w in NEW_LINES)) | line.rlike(r"^[（(]?\d+[）).、]")
-        goes_on = (F.length(now) >= 18) & ~F.right(now, F.lit(1)).isin(list(LINE_ENDS)) & ~fresh
+        goes_on = (line != "") & (F.length(now) >= 18) & ~F.right(now, F.lit(1)).isin(list(LINE_ENDS)) & ~fresh
         gap = F.when(F.right(now, F.lit(1)).rlike("[A-Za-z0-9]") & F.left(line, F.lit(1)).rlike("[A-Za-z0-9]"), " ").otherwise("")
         return F.struct(F.when(goes_on | (now == ""), acc["done"]).otherwise(F.concat(acc["done"], F.array(now))).alias("done"), F.when(goes_on, F.concat(now, gap, line)).otherwise(line).alias("now"))
 
