@@ -164,8 +164,8 @@ def among(rows: DataFrame, key: str, bloom: Bloom, held: bool = True) -> DataFra
     return rows.mapInArrow(run, rows.schema)
 
 
-def steps(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches whose ``column`` holds about ``most`` bytes at most."""
+def steps(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = STEP_BYTES, rows: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``, whose ``column`` holds about ``most`` bytes at most."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -174,7 +174,7 @@ def steps(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = S
         start = 0
         while start < batch.num_rows:
             base = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, base + most, side="right")))
+            stop = min(start + rows, max(start + 1, int(np.searchsorted(ends, base + most, side="right"))))
             yield batch.slice(start, stop - start)
             start = stop
 
@@ -302,7 +302,7 @@ def passed(docs: DataFrame, verdict) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = verdict()
-        for batch in steps(batches, "text", 2 << 20):
+        for batch in steps(batches, "text", 2 << 20, 1000):
             yield batch.filter(pa.array(judge(texts_of(batch))))
 
     return docs.mapInArrow(run, docs.schema)

@@ -31,6 +31,8 @@ from tidegrid.llm.common import Words, hash_names, id_and_text, spread, steps, t
 from tidegrid.llm.rules import _duplicate_lines, _repeats
 
 BITS = 10
+#: Texts whose features are held at once (a row of 2 ** BITS numbers each).
+ROWS = 1000
 #: Characters of a word that make one shape.
 PIECE = 64
 #: Documents with a score below this are rejected.
@@ -205,7 +207,7 @@ def pattern_counts(docs: DataFrame) -> DataFrame:
     """pattern and n: how many documents get each pattern of votes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, "text", 2 << 20):
+        for batch in steps(batches, "text", 2 << 20, ROWS):
             pattern, n = np.unique(Features(texts_of(batch)).pattern, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(pattern), pa.array(n)], names=["pattern", "n"])
 
@@ -227,7 +229,7 @@ def fit(docs: DataFrame, sample: int = 5000) -> Model:
     keys = d.select("key").distinct().orderBy("key").limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, "text", 2 << 20):
+        for batch in steps(batches, "text", 2 << 20, ROWS):
             f = Features(texts_of(batch))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f.pattern), pa.array([r.astype("<f4").tobytes() for r in f.x], pa.binary())], names=["key", "pattern", "x"])
 
@@ -243,7 +245,7 @@ def judge(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in steps(batches, "text", 2 << 20):
+        for batch in steps(batches, "text", 2 << 20, ROWS):
             f = Features(texts_of(batch))
             votes = votes_of(f.pattern)
             score = 1 / (1 + np.exp(-np.clip(f.x @ own.weights[:-1] + own.weights[-1], -50, 50)))

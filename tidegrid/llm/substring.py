@@ -32,11 +32,11 @@ from pyspark.sql import functions as F
 
 from tidegrid.llm.common import Words, among, bloom_of, free_names, hash_names_twice, ints_of, squeeze, steps, texts_of, unsqueeze, window_hash, window_starts, written
 
-SIZE, BITS = 13, 24
-#: Text of the whole corpus for each hash range: some three million windows.
-RANGE_BYTES = 18 << 20
+SIZE, BITS = 13, 23
+#: Text of the whole corpus for each hash range: some two million windows.
+RANGE_BYTES = 12 << 20
 #: Windows of a task that are grouped at once.
-CHUNK = 1_000_000
+CHUNK = 600_000
 #: Text bytes hashed at once.
 STEP = 2 << 20
 LATEST = (1 << 63) - 1
