@@ -21,7 +21,7 @@ from tidegrid.llm.common import Words, spawn_env, spread
 #: White space before a space: the space doesn't start a unit then.
 _RUN = r"[\s\pZ\x{1c}-\x{1f}\x{85}] "
 #: Units, and matches of other units than words, that a worker remembers with their ids; beyond it starts afresh.
-REMEMBERED, REMEMBERED_MATCHES = 300_000, 100_000
+REMEMBERED, REMEMBERED_MATCHES = 400_000, 100_000
 #: Fixed value: the pattern of byte-level pre-tokenizers.
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _SPACE = "\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
