@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import Words, among, bloom_of, free_names, hash_names_twice, ints_of, squeeze, steps, texts_of, unsqueeze, window_hash, window_starts, written
+from tidegrid.llm.common import Bloom, Words, among, bloom_of, free_names, hash_names_twice, ints_of, squeeze, steps, texts_of, unsqueeze, window_hash, window_starts, written
 
 SIZE, BITS = 13, 23
 #: Text of the whole corpus for each hash range: some two million windows.
@@ -220,8 +220,13 @@ def _without(text: bytes, spans: bytes | None) -> tuple[int, int, bytes]:
     return len(words), len(words) - len(left), b" ".join(left)
 
 
-def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _kept(batches: Iterator[pa.RecordBatch], passes=None) -> Iterator[pa.RecordBatch]:
+    """The output rows of texts with spans; ``passes`` says which rows of a batch are this side's."""
     for batch in steps(batches, "text", STEP):
+        if passes:
+            batch = batch.filter(pa.array(passes(ints_of(batch, "tie"))))
+            if not batch.num_rows:
+                continue
         texts = texts_of(batch).cast(pa.large_binary()).to_pylist()
         spans = batch.column(batch.schema.get_field_index("spans")).to_pylist()
         n_words, n_removed, left = zip(*map(_without, texts, spans), strict=True)
@@ -233,29 +238,32 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _with_spans(d: DataFrame, theirs: DataFrame, id_key: str, tie: str, spans: str) -> DataFrame:
-    """``d`` with the spans of each row, null for most. Rows whose text hash no span has aren't shuffled."""
-    theirs = written(theirs, "spans")
-    bloom = bloom_of(theirs.select(tie))
-    some, others = among(d, tie, bloom), among(d, tie, bloom, held=False)
-    return some.join(theirs, [id_key, tie], "left").select(*d.columns, spans).unionByName(others.withColumn(spans, F.lit(None).cast("binary")))
-
-
 def dedup_windows(docs: DataFrame, size: int = SIZE, **options) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept (the text without them; as it was if it loses nothing)."""
     id_key, tie = _keyed(docs)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), id_key.alias("id_key"), tie.alias("tie"), F.coalesce("text", F.lit("")).alias("text"))
-    joined = _with_spans(d, removed_spans(docs, size, **options), "id_key", "tie", "spans")
+    theirs = written(removed_spans(docs, size, **options), "spans")
+    bloom = bloom_of(theirs.select("tie"))
+    shared = docs.sparkSession.sparkContext.broadcast((bloom.bits, bloom.data.tobytes()))
     schema = "doc_id long, id_key long, tie long, n_words long, n_removed long, kept_sha256 string, kept string"
-    return joined.mapInArrow(_kept, schema).drop("id_key", "tie")
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Bloom(*shared.value)
+        return _kept(batches, lambda keys: ~own.holds(keys))
+
+    # Rows whose text hash no span has aren't shuffled.
+    some = among(d, "tie", bloom).join(theirs, ["id_key", "tie"], "left").select(*d.columns, "spans")
+    rest = d.withColumn("spans", F.lit(None).cast("binary"))
+    return some.mapInArrow(_kept, schema).unionByName(rest.mapInArrow(others, schema)).drop("id_key", "tie")
 
 
 def without_repeats(docs: DataFrame, size: int = SIZE, **options) -> DataFrame:
     """The rows and columns of ``docs`` with the covered words taken out of ``text``; other texts stay as they are."""
     columns, (id_key, tie, spans) = docs.columns, free_names(docs, "id_key", "tie", "spans")
     own_id, own_tie = _keyed(docs)
-    theirs = removed_spans(docs, size, **options).withColumnsRenamed({"id_key": id_key, "tie": tie, "spans": spans})
-    joined = _with_spans(docs.withColumns({id_key: own_id, tie: own_tie}), theirs, id_key, tie, spans)
+    theirs = written(removed_spans(docs, size, **options).withColumnsRenamed({"id_key": id_key, "tie": tie, "spans": spans}), "spans")
+    bloom, keyed = bloom_of(theirs.select(tie)), docs.withColumns({id_key: own_id, tie: own_tie})
+    joined = among(keyed, tie, bloom).join(theirs, [id_key, tie], "left").select(*columns, spans)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text", STEP):
@@ -264,4 +272,5 @@ def without_repeats(docs: DataFrame, size: int = SIZE, **options) -> DataFrame:
             new = [_without(t, s)[2] if s else t for t, s in zip(texts, batch.column(batch.num_columns - 1).to_pylist(), strict=True)]
             yield batch.set_column(at, "text", pa.array(new, pa.binary()).cast(pa.string())).select(columns)
 
-    return joined.mapInArrow(run, docs.schema)
+    # Rows whose text hash no span has are neither shuffled nor changed.
+    return joined.mapInArrow(run, docs.schema).unionByName(among(keyed, tie, bloom, held=False).select(*columns))
