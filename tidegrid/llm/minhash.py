@@ -43,7 +43,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.llm.common import SALTS, Words, among, bloom_of, dropped, free_names, hash_names, looked_up, mix64, steps, texts_of, window_hash, written
@@ -362,10 +362,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = SIZE, bands:
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` of which near_duplicates keeps the document; of equal rows one."""
-    id_key, tie, n = free_names(docs, "id_key", "tie", "n")
+    """The rows of ``docs`` of which near_duplicates keeps the document; of equal rows one.
+
+    Only rows that go, or that have an equal, are shuffled with their texts (and a few that a filter takes for them)."""
+    id_key, tie = free_names(docs, "id_key", "tie")
     own_id, own_tie = _keyed(docs)
-    kept = near_duplicates(docs, **options).where("kept").select(F.coalesce("doc_id", F.lit(LATEST)).alias(id_key), F.col("tie").alias(tie)).distinct()
-    first = F.row_number().over(Window.partitionBy(id_key, tie).orderBy(F.lit(1)))
-    keyed = docs.withColumns({id_key: own_id, tie: own_tie}).withColumn(n, first).where(F.col(n) == 1)
-    return keyed.join(kept, [id_key, tie], "left_semi").select(*docs.columns)
+    found = near_duplicates(docs, **options).select(F.coalesce("doc_id", F.lit(LATEST)).alias(id_key), F.col("tie").alias(tie), "kept")
+    found = written(found.groupBy(id_key, tie).agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("n")), "kept")
+    bloom = bloom_of(found.where("not kept or n > 1").select(tie))
+    keyed = docs.withColumns({id_key: own_id, tie: own_tie})
+    some = among(keyed, tie, bloom).groupBy(id_key, tie).agg(F.first(F.struct(*docs.columns)).alias("row"))
+    some = some.join(found.where("kept").select(id_key, tie), [id_key, tie], "left_semi")
+    return among(keyed, tie, bloom, held=False).select(*docs.columns).unionByName(some.select("row.*"))

@@ -27,12 +27,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import Words, hash_names, id_and_text, spread, steps, texts_of
+from tidegrid.llm.common import Words, hash_names, id_and_text, spread, steps, texts_of, written
 from tidegrid.llm.rules import _duplicate_lines, _repeats
 
 BITS = 10
-#: Texts whose features are held at once (a row of 2 ** BITS numbers each).
-ROWS = 1000
+#: Texts that are measured at once, and texts whose features are held at once (a row of 2 ** BITS numbers each).
+ROWS, HELD = 1000, 128
 #: Characters of a word that make one shape.
 PIECE = 64
 #: Documents with a score below this are rejected.
@@ -108,36 +108,46 @@ class Features:
         self.pattern = sum(v.astype(np.int64) * 3**k for k, v in enumerate(votes))
         self.hashed = (names, classes, owner, words.index, many, again, repeated)
 
-    @property
-    def x(self) -> np.ndarray:
-        """Hashed features: shares of word shapes and of short words, and the two kinds of repeats."""
+    def blocks(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Hashed features (shares of word shapes and of short words, and the two kinds of repeats) of ``HELD`` texts
+        after another, with the number of the first."""
         names, classes, owner, index, many, again, repeated = self.hashed
-        keep = np.uint64((1 << BITS) - 1)
-        shapes = lambda cs: hash_names(pa.array([_RUN.sub(r"\1", c) for c in cs], pa.large_string()), 1) & keep
-        shape = shapes([c[:PIECE] for c in classes])
-        short = hash_names(pa.array([w.lower() if len(w) <= 3 else "" for w in names], pa.large_string()), 2) & keep
-        x = np.zeros((len(many), 1 << BITS))
-        for bucket in (shape, short):
-            both = owner * (1 << BITS) + bucket.astype(np.int64)[index]
-            x += np.bincount(both, minlength=x.size).reshape(x.shape)
-        x /= many[:, None]
+        keep, size = np.uint64((1 << BITS) - 1), 1 << BITS
+        hashed = lambda ws, seed: (hash_names(pa.array(ws, pa.large_string()), seed) & keep).astype(np.int64)
+        shapes = lambda cs: hashed([_RUN.sub(r"\1", c) for c in cs], 1)
+        shape, short = shapes([c[:PIECE] for c in classes]), hashed([w.lower() if len(w) <= 3 else "" for w in names], 2)
         # The pieces of long words behind the first; with them, a text's shapes are shares of all its pieces.
         further = np.fromiter((max(0, len(c) - 1) // PIECE for c in classes), np.int64, len(classes))
-        if further.any():
-            behind = shapes([c[k : k + PIECE] for c in classes if len(c) > PIECE for k in range(PIECE, len(c), PIECE)]).astype(np.int64)
-            of_word = further[index]
-            who, which = np.repeat(owner, of_word), spread(of_word, (np.cumsum(further) - further)[index])
-            rows, at = np.unique(who, return_inverse=True)
-            place = np.full(len(many), -1)
-            place[rows] = np.arange(len(rows))
-            own = place[owner] >= 0
-            counts = lambda both: np.bincount(both, minlength=len(rows) << BITS).reshape(len(rows), -1)
-            first = counts((place[owner[own]] << BITS) + shape.astype(np.int64)[index[own]])
-            rest = counts((at << BITS) + behind[which])
-            x[rows] += (first + rest) / (many[rows] + np.bincount(at))[:, None] - first / many[rows, None]
-        x = np.sqrt(np.maximum(x, 0))
-        x[:, 0], x[:, 1] = np.sqrt(again), np.sqrt(repeated)
-        return x
+        behind = shapes([c[k : k + PIECE] for c in classes if len(c) > PIECE for k in range(PIECE, len(c), PIECE)]) if further.any() else None
+        begin = np.cumsum(further) - further
+        ends = np.searchsorted(owner, np.arange(len(many) + 1))
+        for at in range(0, len(many), HELD):
+            n = min(HELD, len(many) - at)
+            own = slice(ends[at], ends[at + n])
+            place, word = (owner[own] - at) * size, index[own]
+            counts = lambda both, n=n: np.bincount(both, minlength=n * size).reshape(n, size)
+            x, pieces = counts(place + shape[word]).astype(float), many[at : at + n].astype(float)
+            if behind is not None:
+                who, which = np.repeat(place, further[word]), spread(further[word], begin[word])
+                x += counts(who + behind[which])
+                pieces = pieces + np.bincount(who // size, minlength=n)
+            x /= pieces[:, None]
+            x += counts(place + short[word]) / many[at : at + n, None]
+            np.sqrt(x, out=x)
+            x[:, 0], x[:, 1] = np.sqrt(again[at : at + n]), np.sqrt(repeated[at : at + n])
+            yield at, x
+
+    @property
+    def x(self) -> np.ndarray:
+        """The features of all texts at once, for a few."""
+        return np.concatenate([np.zeros((0, 1 << BITS)), *(x for _, x in self.blocks())])
+
+    def scores(self, weights: np.ndarray) -> np.ndarray:
+        """The scorer's value of each text; ``weights``: coefficients and, last, the constant."""
+        z = np.empty(len(self.n))
+        for at, x in self.blocks():
+            z[at : at + len(x)] = x @ weights[:-1] + weights[-1]
+        return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
 LABELLERS = 1 + len(RISING) + len(BETWEEN)
@@ -226,12 +236,18 @@ def fit(docs: DataFrame, sample: int = 5000) -> Model:
     labels = fit_labels(counts["pattern"].to_numpy(np.int64), counts["n"].to_numpy(float))
     d = id_and_text(docs).select(F.xxhash64("doc_id", "text").alias("key"), "text")
     # At most ``sample`` numbers go out; a vector of a fixed size comes back for each, however often its row repeats.
-    keys = d.select("key").distinct().orderBy("key").limit(sample)
+    # Keys are spread evenly, so those under a bound with room for twice the sample are enough, unless rows repeat.
+    share = 2 * sample / max(1.0, float(counts["n"].sum()))
+    bound = min(2**63 - 1, int(-(2**63) + share * 2**64))
+    keys = written(d.select("key").where(F.col("key") <= bound).distinct().orderBy("key").limit(sample), "keys")
+    if share < 1 and keys.count() < sample:
+        keys = d.select("key").distinct().orderBy("key").limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text", 2 << 20, ROWS):
             f = Features(texts_of(batch))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f.pattern), pa.array([r.astype("<f4").tobytes() for r in f.x], pa.binary())], names=["key", "pattern", "x"])
+            x = pa.array([r.astype("<f4").tobytes() for _, block in f.blocks() for r in block], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f.pattern), x], names=["key", "pattern", "x"])
 
     found = d.join(F.broadcast(keys), "key").mapInArrow(run, "key long, pattern long, x binary")
     rows = found.groupBy("key").agg(F.first("pattern").alias("pattern"), F.first("x").alias("x")).toArrow().sort_by("key")
@@ -248,7 +264,7 @@ def judge(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
         for batch in steps(batches, "text", 2 << 20, ROWS):
             f = Features(texts_of(batch))
             votes = votes_of(f.pattern)
-            score = 1 / (1 + np.exp(-np.clip(f.x @ own.weights[:-1] + own.weights[-1], -50, 50)))
+            score = f.scores(own.weights)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(f.n), pa.array((votes == GOOD).sum(1), pa.int32()), pa.array((votes == BAD).sum(1), pa.int32()), pa.array(own.labels.posterior(f.pattern)), pa.array(score), pa.array((score >= threshold) & (f.n > 0))],
                 names=["doc_id", "n_words", "votes_good", "votes_bad", "posterior", "score", "kept"],
@@ -266,8 +282,8 @@ def kept(docs: DataFrame, sample: int = 5000, threshold: float = THRESHOLD) -> D
 
     def verdict():
         def judge(texts: pa.Array) -> np.ndarray:
-            f, w = Features(texts), shared.value
-            return (1 / (1 + np.exp(-np.clip(f.x @ w[:-1] + w[-1], -50, 50))) >= threshold) & (f.n > 0)
+            f = Features(texts)
+            return (f.scores(shared.value) >= threshold) & (f.n > 0)
 
         return judge
 

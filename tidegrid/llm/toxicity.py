@@ -230,12 +230,14 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The rows of ``docs`` that score below the threshold, with all their columns."""
+def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, learn_from: DataFrame | None = None) -> DataFrame:
+    """The rows of ``docs`` that score below the threshold, with all their columns.
+
+    ``learn_from``: the documents whose labelled rows are learnt from, where ``docs`` is only a part of them."""
     from tidegrid.llm.common import passed
 
     train = labels.where(~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").alias("label"))
-    model = fit(docs, train)
+    model = fit(docs if learn_from is None else learn_from, train)
     shared = docs.sparkSession.sparkContext.broadcast((np.flatnonzero(model.weights), model.weights[model.weights != 0], model.constant))
 
     def verdict():
