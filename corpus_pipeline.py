@@ -19,8 +19,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier rejects go."""
-    return toxicity.clean(docs, read_table(spark, sf_dir, "labels"))
+    """Documents that the toxicity classifier rejects go; it learns from the labelled rows of all documents."""
+    return toxicity.clean(docs, read_table(spark, sf_dir, "labels"), learn_from=read_table(spark, sf_dir, "documents"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
