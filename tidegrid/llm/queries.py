@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegrid.llm import bpe, flac, minhash, packing, quality, rules, sharding, substring, tokenids, toxicity
+from tidegrid.llm import bpe, decontamination, flac, minhash, packing, quality, rules, sharding, substring, tokenids, toxicity
 from tidegrid.llm.common import read_table, scratch_path, written
 
 
@@ -64,6 +64,10 @@ def op10_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents")).drop("tie")
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_best_fit_packing,
         op9_sharding,
         op10_circulant_minhash,
+        op11_decontamination,
     )
 }
 
@@ -100,5 +105,17 @@ _OP10 = f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_LOW)} AS ws FROM
   SELECT w.doc_id, coalesce(n, 0) AS n_shingles, least(w.doc_id, coalesce(least_there, w.doc_id)) AS component_id, least(w.doc_id, coalesce(least_there, w.doc_id)) = w.doc_id AS kept
   FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN m ON m.doc_id = w.doc_id"""
 
+_ITEM = f"regexp_extract_all(coalesce({_LOW}, ''), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_OP11 = f"""WITH d AS (SELECT doc_id, {_ITEM} AS ws FROM documents),
+  b AS (SELECT item_id, ws, least(10, len(ws)) AS n FROM (SELECT item_id, {_ITEM} AS ws FROM benchmark) WHERE len(ws) > 0),
+  bw AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, n, array_to_string(ws[k:k + n - 1], ' ') AS key FROM (SELECT *, unnest(range(1, len(ws) - n + 2)) AS k FROM b)),
+  s AS (SELECT DISTINCT n FROM bw),
+  dw AS (SELECT doc_id, k, n, array_to_string(ws[k:k + n - 1], ' ') AS key FROM (SELECT d.*, s.n, unnest(range(1, len(ws) - s.n + 2)) AS k FROM d, s)),
+  h AS (SELECT * FROM dw WHERE key IN (SELECT key FROM bw)),
+  c AS (SELECT doc_id, count(DISTINCT i) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS i FROM h) GROUP BY 1),
+  i AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS names FROM h JOIN bw ON bw.key = h.key GROUP BY 1)
+  SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+  FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN i ON i.doc_id = d.doc_id"""
+
 #: The other operators' rows come from a vocabulary, a model or a packing, which SQL can't express.
-ORACLE_SQL: dict[str, str] = {"op6_substring_dedup": _OP6, "op10_circulant_minhash": _OP10}
+ORACLE_SQL: dict[str, str] = {"op6_substring_dedup": _OP6, "op10_circulant_minhash": _OP10, "op11_decontamination": _OP11}
