@@ -87,15 +87,15 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
 SALTS = 64
 
 
-def looked_up(rows: DataFrame, key: str, table: DataFrame, *by: str) -> DataFrame:
-    """rows joined with ``table`` (one row for each key), rows of other keys left out.
+def looked_up(rows: DataFrame, key: str, table: DataFrame, *by: str, how: str = "inner") -> DataFrame:
+    """rows joined with ``table`` (one row for each key), rows of other keys left out (``how="left"``: with nulls).
 
     A key may hold any share of the rows: they are dealt by key and a hash of the columns ``by``, and the table's
     row goes to each of at most ``SALTS`` parts."""
     (salt,) = free_names(rows, "salt_")
     salted = rows.withColumn(salt, F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int"))
     wanted = salted.select(key, salt).distinct().join(table, key)
-    return salted.join(wanted, [key, salt]).drop(salt)
+    return salted.join(wanted, [key, salt], how).drop(salt)
 
 
 #: Bits of the largest filter that tasks receive (32 MB).

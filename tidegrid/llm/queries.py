@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegrid.llm import bpe, decontamination, flac, minhash, packing, quality, rules, sharding, substring, tokenids, toxicity
+from tidegrid.llm import bpe, decontamination, flac, minhash, packing, quality, rules, sharding, substring, tokenids, toxicity, variants
 from tidegrid.llm.common import read_table, scratch_path, written
 
 
@@ -68,6 +68,10 @@ def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_sharding,
         op10_circulant_minhash,
         op11_decontamination,
+        op12_spelling_variants,
     )
 }
 
@@ -117,5 +122,19 @@ _OP11 = f"""WITH d AS (SELECT doc_id, {_ITEM} AS ws FROM documents),
   SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
   FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN i ON i.doc_id = d.doc_id"""
 
+_OP12 = f"""WITH RECURSIVE t AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+  r AS (SELECT doc_id, run, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all({_LOW}, '[a-z\u00C0-\u00FF]+')) AS run FROM documents) GROUP BY ALL),
+  b AS (SELECT run, k, [4294967295] || flatten(list_transform(string_split(doc_id || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [195, unicode(c) - 64] END)) AS bytes FROM r),
+  h AS (SELECT run, k, xor(list_reduce(bytes, lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS h FROM b, t),
+  w AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM (SELECT k, CASE WHEN h % 97 = 0 THEN left(run, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word FROM h) WHERE length(word) >= 5 GROUP BY 1 HAVING sum(k) >= 3),
+  p AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS less FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM w)),
+  d AS (SELECT DISTINCT p.word AS long, p.n AS long_n, w.word AS short, w.n AS short_n FROM p JOIN w ON w.word = p.less),
+  e AS (SELECT long AS word, short AS near, short_n AS near_n FROM d UNION ALL SELECT short, long, long_n FROM d
+    UNION ALL SELECT a.word, b.word, b.n FROM p a JOIN p b ON a.less = b.less AND a.i = b.i AND a.word <> b.word),
+  f AS (SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS near, max(near_n) AS near_n FROM e GROUP BY 1),
+  g AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * w.n THEN near END AS form, CASE WHEN near_n >= 2 * w.n THEN near_n END AS form_n FROM w LEFT JOIN f ON f.word = w.word),
+  up(word, root, depth) AS (SELECT word, word, 0 FROM g UNION ALL SELECT up.word, g.form, depth + 1 FROM up JOIN g ON g.word = up.root WHERE g.form IS NOT NULL)
+  SELECT g.word, form, u.root, n, n_near, form_n FROM g JOIN (SELECT word, arg_max(root, depth) AS root FROM up GROUP BY 1) u ON u.word = g.word"""
+
 #: The other operators' rows come from a vocabulary, a model or a packing, which SQL can't express.
-ORACLE_SQL: dict[str, str] = {"op6_substring_dedup": _OP6, "op10_circulant_minhash": _OP10, "op11_decontamination": _OP11}
+ORACLE_SQL: dict[str, str] = {"op6_substring_dedup": _OP6, "op10_circulant_minhash": _OP10, "op11_decontamination": _OP11, "op12_spelling_variants": _OP12}
