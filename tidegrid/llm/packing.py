@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import id_and_text, steps, texts_of, written
+from tidegrid.llm.common import give_back, id_and_text, steps, texts_of, written
 from tidegrid.llm.pieces import TokenizerCodec, with_end
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, place long"
@@ -93,7 +93,7 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
 def _pieces(tokenizer: str, spaced: bool, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = TokenizerCodec(tokenizer, spaced)
-        place = TaskContext.get().partitionId() << 33
+        place, batch = TaskContext.get().partitionId() << 33, None
         for batch in steps(batches):
             ids, counts = with_end(*codec.encode(texts_of(batch)), end_id)
             n = -(-counts // capacity)
@@ -110,6 +110,8 @@ def _pieces(tokenizer: str, spaced: bool, end_id: int, capacity: int):
                 names=["doc_id", "piece", "start", "length", "ids_crc32", "place"],
             )
             place += len(number)
+        del codec, batch
+        give_back()
 
     return run
 

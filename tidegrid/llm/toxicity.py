@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import id_and_text, mix64, steps, texts_of, written
+from tidegrid.llm.common import give_back, id_and_text, mix64, steps, texts_of, written
 
 BITS = 20
 LENGTHS = (4, 5)
@@ -85,12 +85,12 @@ def _by_row(of_feature: np.ndarray, ends: np.ndarray, features: np.ndarray) -> n
     for i, j in _blocks(ends):
         starts = ends[i:j][some[i:j]]
         if len(starts):
-            sums[i:j][some[i:j]] = np.add.reduceat(of_feature[features[ends[i] : ends[j]]], starts - ends[i])
+            sums[i:j][some[i:j]] = np.add.reduceat(of_feature[features[ends[i] : ends[j]]], starts - ends[i], dtype=np.float64)
     return sums
 
 
 def _by_feature(of_row: np.ndarray, ends: np.ndarray, features: np.ndarray, size: int) -> np.ndarray:
-    """The sum over the rows that hold each feature."""
+    """The sum over the rows that hold each feature, block by block: no second copy of the features in another order."""
     sums, counts = np.zeros(size), np.diff(ends)
     for i, j in _blocks(ends):
         sums += np.bincount(features[ends[i] : ends[j]], np.repeat(of_row[i:j], counts[i:j]), size)
@@ -115,12 +115,10 @@ def regression(labels: np.ndarray, ends: np.ndarray, features: np.ndarray, round
     used = in_toxic + in_other >= 3
     ratio = np.log((in_toxic[used] / n1 + smooth) / (in_other[used] / n0 + smooth))
     keep = used[features]
-    before = np.concatenate([[0], np.cumsum(keep)])
-    col, ends = (np.cumsum(used, dtype=np.int32) - 1)[features[keep]], before[ends]
-    del keep, before
-    # The same by feature: the rows that hold it; every used feature has some.
-    row = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(ends))[np.argsort(col, kind="stable")]
-    held = np.concatenate([[0], np.cumsum(np.bincount(col, minlength=len(ratio)))])
+    number, ends = np.cumsum(used, dtype=np.int32) - 1, np.concatenate([[0], np.cumsum(_by_row(used, ends, features).astype(np.int64))])
+    col = features[keep].astype(np.int32, copy=False)
+    del keep
+    np.take(number, col, out=col, mode="clip")
     # Accelerated gradient descent with the step that the features' mean square allows.
     lipschitz = 0.25 * max(1.0, float(_by_row(ratio * ratio, ends, col).mean())) + strength
     w, b = np.zeros(len(ratio)), float(np.log(n1 / n0))
@@ -128,7 +126,7 @@ def regression(labels: np.ndarray, ends: np.ndarray, features: np.ndarray, round
     for _ in range(rounds):
         z = _by_row(ratio * v, ends, col) + vb
         g = 1 / (1 + np.exp(-np.clip(z, -50, 50))) - y
-        w_new = v - (ratio * _by_row(g, held, row) / len(y) + strength * v) / lipschitz
+        w_new = v - (ratio * _by_feature(g, ends, col, len(ratio)) / len(y) + strength * v) / lipschitz
         b_new = vb - g.mean() / 0.25 / 4
         t_new = (1 + (1 + 4 * t * t) ** 0.5) / 2
         v, vb = w_new + (t - 1) / t_new * (w_new - w), b_new + (t - 1) / t_new * (b_new - b)
@@ -184,8 +182,10 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 2000, most_other:
     within = sizes[sizes["n"].cumsum() <= most_features]
     last = int(within["key"].max()) if len(within) else 0
     table = rows.where(F.col("key") <= last).toArrow().sort_by([("key", "ascending"), ("label", "ascending")]) if len(within) else rows.limit(0).toArrow()
-    lists = table["features"].combine_chunks()
-    return fit_rows(table["label"].to_numpy(), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())]), lists.flatten().to_numpy()) if table.num_rows else fit_rows(np.zeros(0), np.zeros(1, int), np.zeros(0, int))
+    label, counts, features = table["label"].to_numpy(), pc.list_value_length(table["features"]).to_numpy(), pc.list_flatten(table["features"]).to_numpy()
+    del table  # one copy stays in the driver
+    give_back()
+    return fit_rows(label, np.concatenate([[0], np.cumsum(counts)]).astype(np.int64), features)
 
 
 def score_texts(model: Model, texts: pa.Array) -> np.ndarray:
