@@ -55,18 +55,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a table in the shared folder: lineage ends here and lost executors cost no recomputation."""
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """The rows as a table in the shared folder: lineage ends here and lost executors cost no recomputation.
+
+    ``by``: a column that has a folder for each of its few values."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*[by] if by else []).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def dropped(table: DataFrame) -> None:
     """Removes a table made by ``written`` that nothing reads any more."""
     spark = table.sparkSession
-    for path in {f.rpartition("/")[0] for f in table.inputFiles()}:
+    for path in {f.rpartition("/")[0].rpartition("/moved=")[0] or f.rpartition("/")[0] for f in table.inputFiles()}:
         if "/tidegrid/" in path:
             there = spark._jvm.org.apache.hadoop.fs.Path(path)
             there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegrid.llm import bpe, decontamination, flac, minhash, packing, quality, rules, sharding, substring, tokenids, toxicity, variants
+from tidegrid.llm import bpe, decontamination, flac, minhash, packing, quality, rules, sharding, substring, tokenids, toxicity, variants, vectorcodes
 from tidegrid.llm.common import read_table, scratch_path, written
 
 
@@ -72,6 +72,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.variants(read_table(spark, sf_dir, "documents"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.compressed(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -87,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_circulant_minhash,
         op11_decontamination,
         op12_spelling_variants,
+        op13_vector_codes,
     )
 }
 
@@ -136,5 +141,25 @@ _OP12 = f"""WITH RECURSIVE t AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0
   up(word, root, depth) AS (SELECT word, word, 0 FROM g UNION ALL SELECT up.word, g.form, depth + 1 FROM up JOIN g ON g.word = up.root WHERE g.form IS NOT NULL)
   SELECT g.word, form, u.root, n, n_near, form_n FROM g JOIN (SELECT word, arg_max(root, depth) AS root FROM up GROUP BY 1) u ON u.word = g.word"""
 
+
+
+def _op13() -> str:
+    """Four rounds as one common table after another: the nearest entries, then the entries' means."""
+    near = """a{r} AS (SELECT p.row, p.pos, min(CAST(x2 + c2 - 2 * list_inner_product(part, entry_part) AS BIGINT) * 256 + entry) AS best
+  FROM p JOIN (SELECT *, list_inner_product(entry_part, entry_part) AS c2 FROM c{r}) c ON c.pos = p.pos GROUP BY ALL)"""
+    mean = """m{r} AS (SELECT pos, entry, list(CAST(mean AS DOUBLE) ORDER BY k) AS entry_part FROM (SELECT pos, entry, k, floor(sum(x) / count(*)) AS mean
+    FROM (SELECT p.pos, best % 256 AS entry, unnest(part) AS x, unnest(range(len(part))) AS k FROM p JOIN a{q} a ON a.row = p.row AND a.pos = p.pos) GROUP BY ALL) GROUP BY ALL),
+  c{r} AS (SELECT c.pos, c.entry, coalesce(m.entry_part, c.entry_part) AS entry_part FROM c{q} c LEFT JOIN m{r} m ON m.pos = c.pos AND m.entry = c.entry)"""
+    steps = [near.format(r=0)] + [x.format(r=r, q=r - 1) for r in range(1, 5) for x in (mean, near)]
+    return f"""WITH v AS (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id, embedding) - 1 AS row, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v
+    FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  p AS (SELECT row, pos, part, list_inner_product(part, part) AS x2 FROM (SELECT row, pos, v[pos * len(v) // 4 + 1:(pos + 1) * len(v) // 4] AS part FROM v, range(4) t(pos))),
+  c0 AS (SELECT pos, row AS entry, part AS entry_part FROM p WHERE row < 256),
+  {", ".join(steps)},
+  s AS (SELECT sha256(string_agg(CAST(x AS BIGINT), ',' ORDER BY pos, entry, k)) AS sha FROM (SELECT pos, entry, unnest(entry_part) AS x, unnest(range(len(entry_part))) AS k FROM c4)),
+  e AS (SELECT row, string_agg(printf('%02x', best % 256), '' ORDER BY pos) AS code, CAST(sum(best // 256) AS BIGINT) AS error FROM a4 GROUP BY 1)
+  SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, sha AS codebooks_sha256 FROM v JOIN e ON e.row = v.row, s"""
+
+
 #: The other operators' rows come from a vocabulary, a model or a packing, which SQL can't express.
-ORACLE_SQL: dict[str, str] = {"op6_substring_dedup": _OP6, "op10_circulant_minhash": _OP10, "op11_decontamination": _OP11, "op12_spelling_variants": _OP12}
+ORACLE_SQL: dict[str, str] = {"op6_substring_dedup": _OP6, "op10_circulant_minhash": _OP10, "op11_decontamination": _OP11, "op12_spelling_variants": _OP12, "op13_vector_codes": _op13()}
