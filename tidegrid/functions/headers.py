@@ -29,6 +29,13 @@ FIELD_NAMES = {
     "domestic_wholesale": ["国内批发销量", "国内批销量", "国内批发量", "domestic wholesale", "domesticwholesale"],
     "export": ["出口", "出口量", "出口销量", "出口销售", "export", "exports"],
     "inventory": ["库存", "库存量", "期末库存", "inventory", "stock"],
+    "yoy_production": ["产量同比", "同比产量", "production yoy"],
+    "yoy_sales": ["销量同比", "销售同比", "sales yoy"],
+    "yoy_retail_sales": ["零售销量同比", "零售同比", "retail sales yoy"],
+    "yoy_wholesale": ["批发销量同比", "批发同比", "wholesale yoy"],
+    "yoy_domestic_sales": ["国内销量同比", "内销同比", "domestic sales yoy"],
+    "yoy_domestic_wholesale": ["国内批发销量同比", "国内批发同比", "domestic wholesale yoy"],
+    "yoy_export": ["出口同比", "出口销量同比", "export yoy"],
 }
 METRICS = ["production", "sales", "retail_sales", "wholesale", "domestic_sales", "domestic_wholesale", "export", "inventory"]
 #: Header names that say nothing about the dimension or value below them, and those to leave out.
@@ -55,6 +62,11 @@ def field_of(header: Column) -> Column:
     return F.coalesce(*tests)
 
 
+def dimensions() -> list[str]:
+    """The fields that are neither a period nor a number."""
+    return [f for f in FIELD_NAMES if f not in METRICS and f != "time_period" and not f.startswith("yoy_")]
+
+
 def is_period_header(cell: Column) -> Column:
     return F.regexp_replace(normal_text(cell), " ", "").rlike(PERIOD_HEADER)
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegrid.functions.arrays import holding
+
 HAN = "一-鿿"
 #: Patterns of facts in texts.
 TRIPLE = r"行:\s*([^|\n]{2,80}?)\s*\|\s*列:\s*([^|\n]{1,40}?)\s*\|\s*值:\s*([^\s|]+)"
@@ -166,8 +168,11 @@ def support(claim: Column, content: Column) -> Column:
     """score and snippet of the sentence that bears a claim best; null where none does.
 
     One does if it has all numbers of the claim and the claim itself, 18 % of its terms, or three of them."""
-    own, numbers, exact = terms(claim), numeric_tokens(claim), squeezed(claim)
+    said = F.struct(terms(claim).alias("own"), numeric_tokens(claim).alias("numbers"), squeezed(claim).alias("exact"))
+    return holding(said, lambda c: _support(c["own"], c["numbers"], c["exact"], content))
+
 
+def _support(own: Column, numbers: Column, exact: Column, content: Column) -> Column:
     def rated(window: Column) -> Column:
         hits = F.size(F.array_intersect(own, terms(window)))
         score = F.when(F.size(own) > 0, hits / F.size(own)).otherwise(0.0)
@@ -176,9 +181,9 @@ def support(claim: Column, content: Column) -> Column:
         return F.when(bears, F.struct(score.alias("score"), window.alias("snippet")))
 
     found = F.filter(F.transform(windows(content), rated), lambda r: r.isNotNull())
-    best = F.array_max(F.transform(found, lambda r: r["score"]))
-    first = F.get(F.filter(found, lambda r: r["score"] == best), F.lit(0))
-    return F.when(F.size(found) > 0, F.struct(F.round(first["score"], 3).alias("score"), first["snippet"].alias("snippet")))
+    # The first of the best: a later one must be better.
+    best = F.aggregate(found, F.lit(None).cast("struct<score: double, snippet: string>"), lambda a, r: F.when(a.isNull() | (r["score"] > a["score"]), r).otherwise(a))
+    return holding(best, lambda b: F.when(b.isNotNull(), F.struct(F.round(b["score"], 3).alias("score"), b["snippet"].alias("snippet"))))
 
 
 #: How claims are marked, listed and headed, and what isn't a claim.
@@ -213,8 +218,8 @@ def best_sources(answers: DataFrame, evidence: DataFrame, key: str) -> DataFrame
     equals; without any that does, the one that holds most of its terms."""
     rows = answers.select(key, F.posexplode(claims(F.col("answer"))).alias("claim_no", "c")).select(key, "claim_no", "c.claim", "c.cited").where(F.size("cited") == 0)
     joined = rows.join(evidence.select(key, "source", "content"), key)
-    plain = squeezed(F.col("content"))
-    joined = joined.withColumns({"s": support(F.col("claim"), F.col("content"))["score"], "hits": F.size(F.filter(terms(F.col("claim")), lambda t: F.contains(plain, t)))})
+    hits = holding(squeezed(F.col("content")), lambda plain: F.size(F.filter(terms(F.col("claim")), lambda t: F.contains(plain, t))))
+    joined = joined.withColumns({"s": support(F.col("claim"), F.col("content"))["score"], "hits": hits})
     best = F.max_by("source", F.struct(F.col("s").isNotNull(), F.coalesce("s", "hits"), -F.col("source")))
     return joined.groupBy(key, "claim_no", "claim").agg(best.alias("source"))
 
@@ -223,15 +228,16 @@ def near_each_other(text: Column, names: Column, target: Column, window: int = 2
     """The target stands within ``window`` characters of one of the names; true where no name stands in the text.
 
     The text around each occurrence of a name is cut out at the name, so no pair of places is made."""
-    low, wanted = F.lower(text), F.lower(target)
-    said = F.filter(F.transform(names, F.lower), lambda n: (n != "") & F.contains(low, n))
+    wanted = F.lower(target)
 
-    def beside(name: Column) -> Column:
-        parts = F.call_function("split", low, F.concat(F.lit("\\Q"), name, F.lit("\\E")), F.lit(-1))
-        cut = lambda i: F.concat(F.right(F.element_at(parts, i), F.lit(window)), name, F.left(F.element_at(parts, i + 1), F.lit(window)))
-        return F.exists(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.when(F.size(parts) > 1, F.contains(cut(i), wanted)).otherwise(False))
+    def beside(low: Column, name: Column) -> Column:
+        cut = lambda parts, i: F.concat(F.right(F.element_at(parts, i), F.lit(window)), name, F.left(F.element_at(parts, i + 1), F.lit(window)))
+        inside = lambda parts: F.exists(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.when(F.size(parts) > 1, F.contains(cut(parts, i), wanted)).otherwise(False))
+        return holding(F.call_function("split", low, F.concat(F.lit("\\Q"), name, F.lit("\\E")), F.lit(-1)), inside)
 
-    return (wanted != "") & ((F.size(said) == 0) | F.exists(said, beside))
+    said = lambda low: F.filter(F.transform(names, F.lower), lambda n: (n != "") & F.contains(low, n))
+    near = lambda low: holding(said(low), lambda ns: (F.size(ns) == 0) | F.exists(ns, lambda n: beside(low, n)))
+    return (wanted != "") & holding(F.lower(text), near)
 
 
 #: What multiplies a count, the largest first, and what divides a size to inches.

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegrid.functions.arrays import holding
+
 
 def name_key(name: Column) -> Column:
     """What names are compared by: lower case letters and digits."""
@@ -83,7 +85,7 @@ def clean_lines(text: Column) -> Column:
     """The lines of a page's text: single spaces, no empty ones, none that repeats the one before."""
     lines = F.transform(F.split(F.translate(F.coalesce(text, F.lit("")), "\u0000", " "), r"\R"), lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"[\t\x0B\f\r]+", " "), " {2,}", " ")))
     lines = F.filter(lines, lambda x: x != "")
-    return F.filter(F.transform(lines, lambda x, i: F.when((i == 0) | (x != F.get(lines, i - 1)), x)), lambda x: x.isNotNull())
+    return holding(lines, lambda ls: F.filter(ls, lambda x, i: (i == 0) | (x != F.get(ls, i - 1))))
 
 
 def joined_lines(lines: Column) -> Column:

@@ -67,33 +67,65 @@ def page(rows: DataFrame, order: list[Column], number: int, size: int) -> DataFr
     return rows.orderBy(*order).offset((number - 1) * size).limit(size).crossJoin(total)  # a page and one row
 
 
+#: Ranges of places that the rows of one hash are divided into.
+RANGES = 64
+
+
+def _held(events: DataFrame) -> DataFrame:
+    """The asking events (place, content_hash, delta, ask) with ``held``: whether the deltas of their hash before them sum up to more than none.
+
+    A hash may be that of any share of the rows: sums run within ranges of places, and over the ranges' sums."""
+    ends = events.agg(F.min("place").alias("low"), F.max("place").alias("high")).first()
+    low, width = ends["low"] or 0, max(1, -(-((ends["high"] or 0) - (ends["low"] or 0) + 1) // RANGES))
+    events = events.withColumn("range", F.floor((F.col("place") - low) / width).cast("int"))
+    ranges = events.groupBy("content_hash", "range").agg(F.sum("delta").alias("sum"))  # at most ``RANGES`` rows a hash
+    before = F.sum("sum").over(Window.partitionBy("content_hash").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    ranges = ranges.select("content_hash", "range", F.coalesce(before, F.lit(0)).alias("before"))
+    inside = F.sum("delta").over(Window.partitionBy("content_hash", "range").orderBy("place", F.desc("ask")).rowsBetween(Window.unboundedPreceding, -1))
+    rows = events.withColumn("inside", F.coalesce(inside, F.lit(0))).where("ask").join(ranges, ["content_hash", "range"])
+    return rows.select("place", (F.col("before") + F.col("inside") > 0).alias("held"))
+
+
 def merge_articles(stored: DataFrame, crawled: DataFrame) -> DataFrame:
     """url, content_hash, place and operation of crawled rows (url, content_hash, place, has_content) against stored
-    (url, content_hash), as if they came one by one in the order of ``place``.
+    (url, content_hash), as if they came one by one in the order of ``place`` (distinct whole numbers).
+
+    A url that is stored, or that an earlier row has inserted, is known: a row of it is duplicate_url where its hash is that
+    of the url's last row (nulls equal), else an update, and its hash replaces the url's. Another row is duplicate_content
+    where a known url has its hash at that time; else it is an insert, or skipped without content.
 
-    A url that is stored, or that an earlier row has inserted, is known: a row of it is duplicate_url where its hash
-    is that of the url's last row (nulls equal), else an update. Another row is duplicate_content where its hash is
-    stored or stands in an earlier row that came in; else it is an insert, or skipped without content. Hashes that an
-    update has replaced still count as known."""
+    Which urls are known depends on the hashes held before, and these on the urls known before. Both are computed for all
+    rows from what the round before says of the inserts, until that stays as it is; each round settles the rows that depend
+    on the ones that are settled, so there are few rounds. Rows without a hash take no part in sums by hash."""
     urls = stored.select("url", F.col("content_hash").alias("old_hash"), F.lit(True).alias("in_store"))
-    hashes = stored.select("content_hash").where("content_hash is not null").distinct().withColumn("hash_stored", F.lit(True))
-    rows = crawled.join(urls, "url", "left").join(hashes, "content_hash", "left")
-    comes_in = F.col("in_store").isNotNull() | F.col("has_content")
-    by_hash = Window.partitionBy("content_hash").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.coalesce(F.max(F.when(comes_in, True)).over(by_hash), F.lit(False)) | F.col("hash_stored").isNotNull()
-    rows = rows.withColumn("hash_known", F.col("content_hash").isNotNull() & seen)
-    fresh = F.col("in_store").isNull() & ~F.col("hash_known") & F.col("has_content")
     by_url = Window.partitionBy("url").orderBy("place")
-    earlier = by_url.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumns({
-        "url_known": F.col("in_store").isNotNull() | F.coalesce(F.max(F.when(fresh, True)).over(earlier), F.lit(False)),
-        "first_of_url": F.row_number().over(by_url) == 1,
-        "last_hash": F.lag("content_hash").over(by_url),
+    rows = crawled.join(urls, "url", "left").withColumns({
+        "first_of_url": F.row_number().over(by_url) == 1, "last_hash": F.lag("content_hash").over(by_url), "next_place": F.lead("place").over(by_url),
     })
-    held = F.when(F.col("first_of_url"), F.col("old_hash")).otherwise(F.col("last_hash"))
+    rows = written(rows.withColumn("in_store", F.col("in_store").isNotNull()), "crawled")
+    first = crawled.agg(F.min("place")).first()[0] or 0
+    starts = rows.where("in_store and first_of_url").select(F.col("place").alias("until"), F.col("old_hash").alias("content_hash"))
+    alone = stored.join(crawled.select("url").distinct(), "url", "left_anti").select(F.lit(None).cast("long").alias("until"), "content_hash")
+    event = lambda d, place, delta, ask=False: d.select(place.cast("long").alias("place"), "content_hash", F.lit(delta).alias("delta"), F.lit(ask).alias("ask"))
+    old = starts.unionByName(alone).where("content_hash is not null")
+    fixed = event(old, F.lit(first - 1), 1).unionByName(event(old.where("until is not null"), F.col("until"), -1)).unionByName(event(rows.where("not in_store and content_hash is not null"), F.col("place"), 0, True))
+    inserts = written(rows.where("not in_store and has_content").groupBy("url").agg(F.min("place").alias("inserted")), "inserts")
+    while True:
+        known = rows.join(inserts, "url", "left").where("content_hash is not null and (in_store or place >= inserted)")
+        events = fixed.unionByName(event(known, F.col("place"), 1)).unionByName(event(known.where("next_place is not null"), F.col("next_place"), -1))
+        asked = written(_held(events), "held")
+        fresh = rows.where("not in_store and has_content").join(asked, "place", "left").where("not coalesce(held, false)")
+        new = written(fresh.groupBy("url").agg(F.min("place").alias("inserted")), "inserts")
+        same = new.join(inserts, ["url", "inserted"], "left_semi").count() == new.count() == inserts.count()
+        inserts = new
+        if same:
+            break
+    rows = rows.join(inserts, "url", "left").join(asked, "place", "left")
+    url_known = F.col("in_store") | F.coalesce(F.col("place") > F.col("inserted"), F.lit(False))
+    last = F.when(F.col("first_of_url"), F.col("old_hash")).otherwise(F.col("last_hash"))
     operation = (
-        F.when(F.col("url_known") & F.col("content_hash").eqNullSafe(held), "duplicate_url").when(F.col("url_known"), "update")
-        .when(F.col("hash_known"), "duplicate_content").when(F.col("has_content"), "insert").otherwise("skipped")
+        F.when(url_known & F.col("content_hash").eqNullSafe(last), "duplicate_url").when(url_known, "update")
+        .when(F.coalesce("held", F.lit(False)), "duplicate_content").when(F.col("has_content"), "insert").otherwise("skipped")
     )
     return rows.select("url", "content_hash", "place", operation.alias("operation"))
 

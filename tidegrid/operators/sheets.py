@@ -187,7 +187,7 @@ def annual_blocks(cells: DataFrame, heads: DataFrame, metric: str) -> DataFrame:
     labelled = F.map_from_entries(F.collect_list(F.when(F.col("field").isNotNull() & (squeezed != ""), F.struct("field", "value"))))
     rows = body.groupBy(*SHEET, "block", "row").agg(labelled.alias("own"), F.max(is_sum.cast("int")).alias("is_sum"), F.max((squeezed != "").cast("int")).alias("filled")).where("is_sum = 0 and filled = 1")
     down = Window.partitionBy(*SHEET, "block").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
-    dims = [f for f in headers.FIELD_NAMES if f not in headers.METRICS and f != "time_period"]
+    dims = headers.dimensions()
     carried = {f: F.last(F.col("own")[f], ignorenulls=True).over(down) if f in CARRIED else F.col("own")[f] for f in dims}
     rows = rows.select(*SHEET, "block", "row", *(c.alias(f) for f, c in carried.items()))
     facts = body.where("month is not null").withColumn(metric, parse_numeric(F.col("value"))).where(F.col(metric).isNotNull())

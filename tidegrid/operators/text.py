@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegrid.functions.arrays import holding
+
 
 def cut_points(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
     """Windows of a text: each ``size`` long, shortened (or lengthened by one) to the last line or sentence end past
@@ -106,10 +108,9 @@ def lines_near(text: Column, word: str, radius: int = 1) -> Column:
     """The numbers of a text's lines that hold the word or lie within ``radius`` lines of one that does, in order.
 
     All lines of a text are in one row, so nothing is shuffled."""
-    split = F.split(text, "\n")
-    hits = F.transform(split, lambda line: F.contains(line, F.lit(word)))
-    near = F.transform(split, lambda _, i: F.struct(i.alias("line_no"), F.exists(F.slice(hits, F.greatest(i - radius, F.lit(0)) + 1, i + radius + 1 - F.greatest(i - radius, F.lit(0))), lambda h: h).alias("near")))
-    return F.transform(F.filter(near, lambda n: n["near"]), lambda n: n["line_no"])
+    hits = F.transform(F.split(text, "\n"), lambda line: F.contains(line, F.lit(word)))
+    near = lambda h, i: F.exists(F.slice(h, F.greatest(i - radius, F.lit(0)) + 1, i + radius + 1 - F.greatest(i - radius, F.lit(0))), lambda x: x)
+    return holding(hits, lambda h: F.filter(F.transform(h, lambda _, i: F.when(near(h, i), i)), lambda i: i.isNotNull()))
 
 
 def numbers(text: Column) -> Column:
@@ -142,7 +143,7 @@ def mentions(docs: DataFrame, aliases: dict[str, str]) -> DataFrame:
 def pairs_of(found: Column, most: int = 12) -> Column:
     """from_entity and to_entity of the first ``most`` entities of a text, each pair once, by name."""
     names = F.array_sort(F.transform(F.slice(found, 1, most), lambda m: m["entity"]))
-    return F.flatten(F.transform(names, lambda a, i: F.transform(F.slice(names, i + 2, F.lit(most)), lambda b: F.struct(a.alias("from_entity"), b.alias("to_entity")))))
+    return holding(names, lambda ns: F.flatten(F.transform(ns, lambda a, i: F.transform(F.slice(ns, i + 2, F.lit(most)), lambda b: F.struct(a.alias("from_entity"), b.alias("to_entity"))))))
 
 
 def edges(docs: DataFrame, aliases: dict[str, str], most: int = 12) -> DataFrame:

@@ -48,13 +48,15 @@ def content_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_PAGES}, v AS (SELECT page_id * 3 + k AS place, url, CASE WHEN page_id % 7 = 0 AND k = 2 THEN NULL WHEN (page_id + k) % 4 = 1 THEN content_hash ELSE sha256(content_hash || CAST((page_id + k) % 4 AS VARCHAR)) END AS content_hash, (page_id + k) % 5 <> 0 AS has_content FROM h, (VALUES (0), (1), (2)) t(k)),
-    s AS (SELECT url, content_hash, true AS in_store FROM h WHERE page_id % 3 = 0 QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1),
-    c AS (SELECT v.*, s.content_hash AS old_hash, in_store, v.content_hash IN (SELECT content_hash FROM s) AS hash_stored FROM v LEFT JOIN s ON s.url = v.url),
-    k AS (SELECT *, content_hash IS NOT NULL AND (coalesce(hash_stored, false) OR count(*) FILTER (in_store IS NOT NULL OR has_content) OVER (PARTITION BY content_hash ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0) AS hash_known FROM c),
-    u AS (SELECT *, in_store IS NOT NULL OR count(*) FILTER (in_store IS NULL AND NOT hash_known AND has_content) OVER (PARTITION BY url ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0 AS url_known,
-      CASE WHEN row_number() OVER (PARTITION BY url ORDER BY place) = 1 THEN old_hash ELSE lag(content_hash) OVER (PARTITION BY url ORDER BY place) END AS held FROM k)
-    SELECT place, url, content_hash, CASE WHEN url_known AND content_hash IS NOT DISTINCT FROM held THEN 'duplicate_url' WHEN url_known THEN 'update' WHEN hash_known THEN 'duplicate_content' WHEN has_content THEN 'insert' ELSE 'skipped' END AS operation FROM u"""
+    f"""WITH RECURSIVE {_PAGES}, v AS (SELECT page_id * 3 + k AS place, url, CASE WHEN page_id % 7 = 0 AND k = 2 THEN NULL WHEN (page_id + k) % 4 = 1 THEN content_hash ELSE sha256(content_hash || CAST((page_id + k) % 4 AS VARCHAR)) END AS content_hash, (page_id + k) % 5 <> 0 AS has_content FROM h, (VALUES (0), (1), (2)) t(k)),
+    s AS (SELECT url, content_hash FROM h WHERE page_id % 3 = 0 QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1),
+    q AS (SELECT *, row_number() OVER (ORDER BY place) AS turn FROM v),
+    m(turn, place, url, content_hash, operation, store) AS (
+      SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), (SELECT map(list(url), list(content_hash)) FROM s)
+      UNION ALL SELECT turn, place, url, content_hash, operation, CASE WHEN operation IN ('update', 'insert') THEN map_concat(store, map([url], [content_hash])) ELSE store END
+      FROM (SELECT q.turn, q.place, q.url, q.content_hash, m.store, CASE WHEN list_contains(map_keys(m.store), q.url) THEN CASE WHEN m.store[q.url] IS NOT DISTINCT FROM q.content_hash THEN 'duplicate_url' ELSE 'update' END
+        WHEN coalesce(list_contains(map_values(m.store), q.content_hash), false) THEN 'duplicate_content' WHEN q.has_content THEN 'insert' ELSE 'skipped' END AS operation FROM m JOIN q ON q.turn = m.turn + 1))
+    SELECT place, url, content_hash, operation FROM m WHERE turn > 0"""
 )
 def news_merge_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three crawls of every page, their texts changing, merged into a store of a third of the pages."""

@@ -200,8 +200,8 @@ def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table written as text with semicolons in a Chinese encoding, read back by a guess of both; only an empty field is null."""
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("编号"), F.concat(F.lit("名称 "), "p_name").alias("名称"), F.col("p_retailprice").alias("价格"), F.when(F.col("p_size") % 5 != 0, F.col("p_brand")).alias("品牌"))
     path = files.scratch(spark, "csv")
-    files.allow_encodings(spark)
-    part.write.option("header", True).option("sep", ";").option("encoding", "GB18030").option("emptyValue", "").csv(path)
+    with files.encodings_allowed(spark):
+        part.write.option("header", True).option("sep", ";").option("encoding", "GB18030").option("emptyValue", "").csv(path)
     rows = files.read_csv(spark, path)
     return rows.select(F.col("编号").cast("long").alias("p_partkey"), F.substring("名称", 4, 1000).alias("p_name"), F.col("价格").cast("double").alias("p_retailprice"), F.col("品牌").alias("brand"))
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,38 +43,77 @@ def written(rows: DataFrame, name: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-def dialect(head: bytes) -> tuple[str, str]:
-    """Java's name of the first encoding that the bytes are valid in, and the separator of most even use.
-
-    ``head`` may end inside a character; the separator is the one that every line holds equally often, most often."""
-    for name, java in ENCODINGS:
-        try:
-            text = head.decode(name)
-        except UnicodeDecodeError as e:
-            if e.start < len(head) - 4:
-                continue
-            text = head[: e.start].decode(name)
-        break
-    else:
-        java, text = "UTF-8", head.decode("utf-8", "replace")
-    lines = [x for x in text.splitlines()[:20] if x.strip()]
+def separator(head: str) -> str:
+    """The separator that every line holds equally often, most often."""
+    lines = [x for x in head.splitlines()[:20] if x.strip()]
     counts = {s: [x.count(s) for x in lines] for s in SEPARATORS}
     even = [s for s in SEPARATORS if lines and min(counts[s]) > 0 and min(counts[s]) == max(counts[s])]
     best = max(even or SEPARATORS, key=lambda s: (sum(counts[s]), -SEPARATORS.index(s)))
-    return java, best
+    return best
 
 
-def allow_encodings(spark: SparkSession) -> None:
-    """Lets the session read and write encodings beyond the Unicode and Latin ones."""
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+def dialect(head: bytes) -> tuple[str, str]:
+    """Java's name of the first encoding that these bytes are valid in, and their separator. ``head`` may end inside a character."""
+    for name, java in ENCODINGS:
+        try:
+            return java, separator(head.decode(name))
+        except UnicodeDecodeError as e:
+            if e.start >= len(head) - 4:
+                return java, separator(head[: e.start].decode(name))
+    return "UTF-8", separator(head.decode("utf-8", "replace"))
+
+
+@contextlib.contextmanager
+def encodings_allowed(spark: SparkSession) -> Iterator[None]:
+    """Within it, the session reads and writes encodings beyond the Unicode and Latin ones."""
+    key = "spark.sql.legacy.javaCharsets"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def encoding_of(lines: DataFrame) -> tuple[str, str, bool]:
+    """Python's and Java's name of the first encoding that every line (column ``value``, bytes) is valid in, and whether
+    quotes span lines. One scan; an error names how many lines are valid in none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bad, odd = [0] * len(ENCODINGS), 0
+        for batch in batches:
+            for line in batch.column(0).to_pylist():
+                if line:
+                    odd += line.count(b'"') % 2
+                    if not line.isascii():
+                        for k, (name, _) in enumerate(ENCODINGS):
+                            try:
+                                line.decode(name)
+                            except UnicodeDecodeError:
+                                bad[k] += 1
+        yield pa.RecordBatch.from_pydict({"bad": [bad], "odd": [odd]})
+
+    found = lines.select("value").mapInArrow(run, "bad array<long>, odd long")
+    sums = found.agg(*(F.sum(F.col("bad")[k]).alias(f"n{k}") for k in range(len(ENCODINGS))), F.sum("odd").alias("odd")).first()
+    for k, names in enumerate(ENCODINGS):
+        if not sums[k]:
+            return *names, bool(sums["odd"])
+    raise ValueError("lines that aren't valid: " + ", ".join(f"{sums[k]} as {names[0]}" for k, names in enumerate(ENCODINGS)))
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A table of strings; only empty fields are null. A few first lines, read byte for byte, tell the dialect."""
-    allow_encodings(spark)
-    first = spark.read.text(path).limit(20).select(F.col("value").cast("binary")).collect()
-    encoding, sep = dialect(b"\n".join(bytes(r[0]) for r in first))
-    return spark.read.option("header", True).option("encoding", encoding).option("sep", sep).option("nullValue", "").option("multiLine", True).csv(path)
+    """A table of strings; only empty fields are null. All lines, read byte for byte, tell the encoding, the first ones the separator.
+
+    A file is one task only where quotes span lines. Other encodings than UTF-8 are read once and stored as a table, as
+    the setting that they need holds for the session."""
+    lines = spark.read.text(path).select(F.col("value").cast("binary").alias("value"))
+    name, java, spans = encoding_of(lines)
+    head = b"\n".join(bytes(r[0]) for r in lines.limit(20).collect()).decode(name)
+    reader = spark.read.option("header", True).option("encoding", java).option("sep", separator(head)).option("nullValue", "").option("multiLine", spans)
+    if java == "UTF-8":
+        return reader.csv(path)
+    with encodings_allowed(spark):
+        return written(reader.csv(path), "csv")
 
 
 def read_table_file(spark: SparkSession, path: str) -> DataFrame:
