@@ -31,7 +31,7 @@ def test_article_merge_sees_earlier_rows_of_its_batch(spark):
     stored = spark.createDataFrame([("u1", "h1"), ("u2", "h2"), ("u7", None)], "url string, content_hash string")
     rows = [
         ("u1", "h1", True, "duplicate_url"), ("u2", "h9", True, "update"), ("u3", "h1", True, "duplicate_content"), ("u4", "h4", True, "insert"),
-        ("u4", "h5", True, "update"), ("u5", "h4", True, "duplicate_content"), ("u6", None, False, "skipped"), ("u4", "h5", True, "duplicate_url"),
+        ("u4", "h5", True, "update"), ("u5", "h4", True, "insert"), ("u6", None, False, "skipped"), ("u4", "h5", True, "duplicate_url"),
         ("u4", "h6", True, "update"), ("u7", "h7", False, "update"), ("u8", "h9", True, "duplicate_content"), ("u8", "h8", False, "skipped"), ("u8", "h8", True, "insert"), ("u1", None, True, "update"),
     ]
     crawled = spark.createDataFrame([(u, h, i, c) for i, (u, h, c, _) in enumerate(rows)], "url string, content_hash string, place int, has_content boolean")
