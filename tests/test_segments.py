@@ -43,7 +43,7 @@ def test_events_and_tables(spark):
 def test_charts_and_contents(spark):
     chart = [("c", "line", ["a"], [("s", [1.0, None, 2.5]), ("e", [])])]
     got = kinds(spark, ("d", 1, "目录\n市场观察\n宏观政策\nx\ny", True, None, chart), ("d", 2, "目录\n市场观察\n宏观政策\nx\n销量同比", True, None, [("n", "bar", None, None)]))
-    assert [g[0] for g in got] == ["section", "chart", "narrative", "chart"] and got[1][3] == "图表标题: c\n图表类型: line\n分类: a\n系列数据:\ns: a: 1 | 分类2:  | 分类3: 2.5\ne: a: "
+    assert [g[0] for g in got] == ["section", "chart", "narrative", "chart"] and got[1][3] == "图表标题: c\n图表类型: line\n分类: a\n系列数据:\ns: a: 1 | 分类2:  | 分类3: 2.5\ne: a:"
     assert (got[1][4], got[3][4]) == (True, False)
 
 
