@@ -23,12 +23,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.llm.common import Words, among, bloom_of, hash_names, id_and_text, mix64, spread, steps, texts_of
 
 BITS, SLICES = 18, 16
+#: Parts that tasks' counts of one slice are merged in at first.
+PARTS = 64
 #: Mean log ratio below which a document is dropped.
 THRESHOLD = -0.1
 MIN_WORDS = 50
@@ -90,20 +93,34 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1 << BITS, np.int64)
     for batch in steps(batches):
         total += np.bincount(NgramBuckets(Words(texts_of(batch))).bucket, minlength=1 << BITS)
-    for k, part in enumerate(np.split(total, SLICES)):
-        if part.any():
-            yield pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), "counts": pa.array([part.astype("<i8").tobytes()], pa.binary())})
+    part = TaskContext.get().partitionId() % PARTS
+    for k, own in enumerate(np.split(total, SLICES)):
+        if own.any():
+            yield _slice(k, part, own)
 
 
-def _sum(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x, "<i8") for x in table["counts"].to_pylist())
-    return pa.table({"slice": table["slice"][:1].combine_chunks(), "counts": pa.array([total.tobytes()], pa.binary())})
+def _slice(number: int, part: int, counts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"slice": pa.array([number], pa.int32()), "part": pa.array([part], pa.int32()), "counts": pa.array([counts.astype("<i8").tobytes()], pa.binary())})
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each slice of a task, its counts summed as the rows come by."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for number, counts in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+            own = sums.setdefault(number, np.zeros((1 << BITS) // SLICES, np.int64))
+            own += np.frombuffer(counts.as_buffer(), "<i8")
+    for number, own in sums.items():
+        yield _slice(number, 0, own)
 
 
 def bucket_counts(texts: DataFrame) -> np.ndarray:
-    """How often each bucket occurs in all rows of ``text``; the result's size is a parameter."""
-    schema, out = "slice int, counts binary", np.zeros((SLICES, (1 << BITS) // SLICES))
-    for r in texts.select("text").mapInArrow(_count, schema).groupBy("slice").applyInArrow(_sum, schema).collect():
+    """How often each bucket occurs in all rows of ``text``; the result's size is a parameter.
+
+    Tasks' slices are merged by slice and part first, so that no task sees those of all tasks, then by slice."""
+    schema, out = "slice int, part int, counts binary", np.zeros((SLICES, (1 << BITS) // SLICES))
+    parts = texts.select("text").mapInArrow(_count, schema).repartition(SLICES * PARTS // 16, "slice", "part").mapInArrow(_merge, schema)
+    for r in parts.repartition(SLICES, "slice").mapInArrow(_merge, schema).collect():
         out[r["slice"]] = np.frombuffer(r["counts"], "<i8")
     return out.ravel()
 
