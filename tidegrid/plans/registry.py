@@ -23,4 +23,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-from tidegrid.plans import audit, discovery, documents, evidence, extraction, graph, ingest, knowledge, market, news, panel, relational, reports, search, segments, sheets, shipments  # noqa: E402, F401  they register
+from tidegrid.plans import audit, discovery, documents, evidence, extraction, graph, ingest, knowledge, market, news, pages, panel, relational, reports, search, segments, sheets, shipments  # noqa: E402, F401  they register
