@@ -11,6 +11,7 @@ from tidegrid.plans.registry import query
 from tidegrid.sources import files
 from tidegrid.sources.tables import table
 from tidegrid.streaming import events as stream
+from tidegrid.streaming import timers
 
 _MODES = ["json_endpoint", "script_json", "js_data_file", "rss_endpoint", "atom_endpoint"]
 
@@ -160,3 +161,35 @@ def due_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def repeated_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each of three runs of one stream has added to its store: the second sees old rows again, the third nothing new."""
     return stream.repeated_runs(spark, table(spark, sf_dir, "events"))
+
+
+_TICKS = ["2024-01-01 00:10:00", "2024-01-01 02:40:00", "2024-01-01 03:50:00", "2024-01-01 11:20:00", "2024-01-01 12:30:00"]
+_HOUR = 3_600_000
+
+
+@query(
+    "WITH RECURSIVE t(k, ms) AS (VALUES " + ", ".join(f"({k}, epoch_ms(TIMESTAMP '{t}'))" for k, t in enumerate(_TICKS)) + f"""), u AS (SELECT DISTINCT user_id, (user_id % 5 + 1) * {_HOUR} AS every, user_id % 3 * 4 * {_HOUR} AS takes FROM events),
+    s(k, user_id, every, takes, now, set_for, due, busy, fires, skipped) AS (SELECT 0, user_id, every, takes, ms, 0::BIGINT, (ms // every + 1) * every, -1::BIGINT, false, false FROM u, t WHERE k = 0
+      UNION ALL SELECT t.k, user_id, every, takes, t.ms, due, CASE WHEN due <= t.ms THEN (t.ms // every + 1) * every ELSE due END, CASE WHEN due <= t.ms AND busy <= t.ms THEN t.ms + takes ELSE busy END, due <= t.ms, busy > t.ms FROM s JOIN t ON t.k = s.k + 1)
+    SELECT CAST(user_id AS VARCHAR) AS source, make_timestamp(set_for * 1000) AS due, make_timestamp(now * 1000) AS fired, skipped FROM s WHERE fires"""
+)
+def source_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The triggers of a source for each user by a replayed clock: late ones coalesce, and one that comes during a run is skipped."""
+    path = files.scratch(spark, "ticks")
+    users = table(spark, sf_dir, "events").select("user_id").distinct()
+    for t in _TICKS:
+        rows = users.select(F.col("user_id").cast("string").alias("source"), F.lit(t).cast("timestamp").alias("ts"), ((F.col("user_id") % 5 + 1) * _HOUR).alias("every_ms"), (F.col("user_id") % 3 * 4 * _HOUR).alias("takes_ms"))
+        rows.coalesce(1).write.mode("append").parquet(path)  # a moment of the clock is one file
+    return timers.triggers(spark, path)
+
+
+@query(
+    """WITH RECURSIVE w(user_id, starts) AS (SELECT user_id, min(ts) FROM events GROUP BY 1 UNION ALL SELECT w.user_id, min(e.ts) FROM w JOIN events e ON e.user_id = w.user_id AND e.ts >= w.starts + INTERVAL 6 HOUR GROUP BY w.user_id, w.starts)
+    SELECT CAST(e.user_id AS VARCHAR) AS caller, event_id AS call, row_number() OVER (PARTITION BY e.user_id, starts ORDER BY ts, event_id) AS n, row_number() OVER (PARTITION BY e.user_id, starts ORDER BY ts, event_id) <= 3 AS allowed
+    FROM events e JOIN w ON w.user_id = e.user_id AND e.ts >= starts AND e.ts < starts + INTERVAL 6 HOUR"""
+)
+def limited_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a call of its user, three allowed in six hours from the first one; then the counter expires."""
+    path = files.scratch(spark, "calls")
+    table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("caller"), F.col("event_id").alias("call"), "ts").write.parquet(path)
+    return timers.limited_calls(spark, path, 3, 6 * _HOUR)
