@@ -18,6 +18,12 @@ def month_list(first: str, last: str) -> list[str]:
     return [f"{m // 12:04d}-{m % 12 + 1:02d}" for m in range(a, b + 1)]
 
 
+def month_before(period: str) -> str:
+    """The month before a YYYY-MM."""
+    year, month = int(period[:4]), int(period[5:7])
+    return f"{year - 1}-12" if month == 1 else f"{year}-{month - 1:02d}"
+
+
 def year_before(period: str) -> str:
     return f"{int(period[:4]) - 1:04d}{period[4:]}"
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -288,3 +289,41 @@ def filtered(facts: DataFrame, filters: list[tuple[str, list[str]]], overrides:
         elif _wanted(values):
             facts = facts.where(plain_label(F.col(dim)).isin(_wanted(values)))
     return facts
+
+
+#: What names of markets and kinds of vehicles hold, and the labels of a market that is split by weight.
+PASSENGER = ["cars", "car", "sedan", "hatchback", "suv", "mpv", "passenger", "乘用"]
+COMMERCIAL = ["commercial", "商用", "medium truck", "heavy truck", "medium trucks", "heavy trucks", "bus", "中型卡车", "重型卡车", "客车"]
+LIGHT, HEAVY, US_REGIONS = ["cars", "light trucks"], ["medium trucks", "heavy trucks"], ["usa", "us"]
+
+
+def market_segments(facts: DataFrame, label: str, region: str = "", overrides: dict[str, str] | None = None) -> DataFrame:
+    """``facts`` with is_passenger and is_commercial, by what their label (a market or a kind of vehicle) holds. For the US, where its four
+    labels by weight are all there, light ones are passenger's. ``overrides``: a segment for single labels, which counts alone."""
+    plain = F.lower(F.trim(F.coalesce(F.col(label).cast("string"), F.lit(""))))
+    name = region.strip().lower()
+    by_weight = F.lit(False)
+    if "美国" in name or "united states" in name or name in US_REGIONS:
+        there = facts.agg(*(F.max(plain == w).alias(f"_w{k}") for k, w in enumerate([*LIGHT, *HEAVY])))  # one row
+        facts = facts.crossJoin(there.select(reduce(lambda a, b: a & b, (F.coalesce(F.col(f"_w{k}"), F.lit(False)) for k in range(4))).alias("_by_weight")))
+        by_weight = F.col("_by_weight")
+    holds = lambda words: reduce(lambda a, b: a | b, (F.contains(plain, F.lit(w)) for w in words))
+    own = reduce(lambda out, kv: F.when(plain == kv[0].strip().lower(), kv[1]).otherwise(out), (overrides or {}).items(), F.lit(None).cast("string"))
+    flag = lambda segment, words, weights: F.when(own.isNotNull(), own == segment).when(by_weight, plain.isin(weights)).otherwise(holds(words))
+    out = facts.withColumns({"is_passenger": flag("passenger_vehicle", PASSENGER, LIGHT), "is_commercial": flag("commercial_vehicle", COMMERCIAL, HEAVY)})
+    return out.drop("_by_weight")
+
+
+def mix_audit(facts: DataFrame, dim: str, group: Column, metric: str, *by: str) -> DataFrame:
+    """``by``, value, classified, coverage and unknown (labels without a group, in order) of a split into groups: what its shares leave open."""
+    label = F.col(dim)
+    rows = facts.where(~is_blank(label) & ~is_total(label)).groupBy(*by, label.alias("label"), (group != "unclassified").alias("known")).agg(F.sum(metric).alias("value"))
+    known = F.sum(F.when(F.col("known"), F.col("value")))
+    return rows.groupBy(*by).agg(F.sum("value").alias("total"), known.alias("classified"), F.when(F.sum("value") != 0, known / F.sum("value")).alias("coverage"), F.array_sort(F.collect_set(F.when(~F.col("known"), F.col("label")))).alias("unknown"))
+
+
+def overview(facts: DataFrame, dim: str, metrics: list[str], now: str, year_ago: str, month_ago: str) -> DataFrame:
+    """``dim`` and, for each metric, its value in the month with its changes on the year and on the month before; one pass."""
+    of = lambda m, period: F.sum(F.when(F.col("time_period") == period, F.col(m)))
+    cells = [c for m in metrics for c in (of(m, now).alias(m), change(of(m, now), of(m, year_ago)).alias(f"yoy_{m}"), change(of(m, now), of(m, month_ago)).alias(f"mom_{m}"))]
+    return facts.where(F.col("time_period").isin(now, year_ago, month_ago)).groupBy(dim).agg(*cells)

@@ -116,12 +116,16 @@ def with_labels(facts: DataFrame, current: int) -> DataFrame:
 
 
 def top_with_rest(facts: DataFrame, dim: str, value: str, year: int, n: int, left_out: list[str]) -> DataFrame:
-    """rank, ``dim``, current, previous, share of all, yoy and change of share in points of the n largest but the left-out ones."""
+    """rank, ``dim``, current, previous, share of all, yoy, change of share in points and share of the growth of all, of the n largest but the left-out ones.
+
+    Sums over all are one row; only the n largest are ranked."""
     rows = facts.groupBy(dim).agg(year_sum(value, year).alias("current"), year_sum(value, year - 1).alias("previous"))
-    every = Window.partitionBy()
-    rows = rows.withColumn("now", share(F.col("current"), F.sum("current").over(every))).withColumn("then", share(F.col("previous"), F.sum("previous").over(every)))
-    rows = rows.where(~F.col(dim).isin(left_out) & F.col("current").isNotNull()).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("current"), dim)))
-    return rows.where(F.col("rank") <= n).select("rank", dim, "current", "previous", F.col("now").alias("share"), change(F.col("current"), F.col("previous")).alias("yoy"), ((F.col("now") - F.col("then")) * 100).alias("share_points"))
+    every = rows.agg(F.sum("current").alias("_now"), F.sum("previous").alias("_then"))
+    best = rows.where(~F.col(dim).isin(left_out) & F.col("current").isNotNull()).orderBy(F.desc("current"), dim).limit(n)
+    best = best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("current"), dim))).crossJoin(every)  # n rows and one
+    now, then = share(F.col("current"), F.col("_now")), share(F.col("previous"), F.col("_then"))
+    grown = share(F.col("current") - F.coalesce("previous", F.lit(0)), F.col("_now") - F.col("_then"))
+    return best.select("rank", dim, "current", "previous", now.alias("share"), change(F.col("current"), F.col("previous")).alias("yoy"), ((now - then) * 100).alias("share_points"), grown.alias("contribution"))
 
 
 def overlay(files: DataFrame, order: str, *period: str) -> DataFrame:

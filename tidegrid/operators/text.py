@@ -174,3 +174,13 @@ def containments(names: DataFrame, name: str, hints: DataFrame, hint: str, least
         return rarest.where("rare.n > 0").select(h, F.col("rare.gram").alias("gram")).join(all_grams, "gram").where(F.contains(F.col(g), F.col(h))).select(name, hint)
 
     return held_by(hints, hint, names, name).unionByName(held_by(names.where(F.length(name) >= least), name, hints, hint)).distinct()
+
+
+def keyword_gate(text: Column, keywords: list[str], mode: str = "any") -> tuple[Column, Column]:
+    """The keywords that a text holds, in their order, and whether it passes: with any of them, with all, or whatever it holds (off; none counts then).
+    Without keywords every text passes."""
+    if mode not in ("any", "all", "off"):
+        raise ValueError(f"no mode {mode!r} of a gate")
+    low = F.lower(F.coalesce(text, F.lit("")))
+    matched = F.array_compact(F.array(*(F.when(F.contains(low, F.lit(k.lower())), k) for k in keywords))) if keywords and mode != "off" else F.array().cast("array<string>")
+    return matched, F.lit(True) if mode == "off" or not keywords else F.size(matched) == len(keywords) if mode == "all" else F.size(matched) > 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidegrid.functions.periods import AnalysisPeriod, month_list, resolve_period, shift_months, year_before
+from tidegrid.functions.periods import AnalysisPeriod, month_before, month_list, resolve_period, shift_months, year_before
 from tidegrid.operators import market as op
 from tidegrid.plans.registry import query
 from tidegrid.sources.tables import market_facts, market_sql, months_between, table
@@ -554,3 +554,52 @@ def metric_source_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each maker's figures come from: periods and rows."""
     last = F.max("time_period")
     return market_facts(spark, sf_dir, "oem").groupBy("oem").agg(F.min("time_period").alias("first_period"), last.alias("last_period"), F.min("line").alias("first_line"), F.max("line").alias("last_line"), F.count(F.lit(1)).alias("n_rows"), shift_months(last, -12).alias("year_before"))
+
+
+_LABEL_SQL = "CASE CAST(size_class AS BIGINT) % 6 WHEN 0 THEN 'Cars' WHEN 1 THEN 'Light Trucks' WHEN 2 THEN ' Medium trucks' WHEN 3 THEN 'Heavy Trucks' WHEN 4 THEN 'School BUS' ELSE 'other' END"
+
+
+@query(
+    f"""WITH {market_sql("size_class")}, l AS (SELECT lower(trim({_LABEL_SQL})) AS label, wholesale FROM facts), r AS (SELECT 'us' AS region, *, label IN ('cars', 'light trucks', 'other') AS p, label IN ('medium trucks', 'heavy trucks') AS c FROM l
+      UNION ALL SELECT 'eu', *, label IN ('cars', 'other'), label IN ('medium trucks', 'heavy trucks', 'school bus') FROM l)
+    SELECT region, label, sum(wholesale) FILTER (p) AS passenger, sum(wholesale) FILTER (c) AS commercial FROM r GROUP BY ALL"""
+)
+def vehicle_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passenger and commercial vehicles by label: by weight in the US, by words elsewhere, and one label by its own rule."""
+    k = F.col("size_class") % 6
+    label = F.when(k == 0, "Cars").when(k == 1, "Light Trucks").when(k == 2, " Medium trucks").when(k == 3, "Heavy Trucks").when(k == 4, "School BUS").otherwise("other")
+    facts, out = market_facts(spark, sf_dir, "size_class").withColumn("market", label), None
+    for region, name in (("us", "United States"), ("eu", "Germany")):
+        rows = op.market_segments(facts, "market", name, {"Other": "passenger_vehicle"}).groupBy(F.lit(region).alias("region"), F.lower(F.trim("market")).alias("label"))
+        rows = rows.agg(F.sum(F.when(F.col("is_passenger"), F.col("wholesale"))).alias("passenger"), F.sum(F.when(F.col("is_commercial"), F.col("wholesale"))).alias("commercial"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query(
+    f"""WITH {market_sql("power_type")}, g AS (SELECT *, {_POWER_SQL} AS g FROM facts)
+    SELECT time_period, sum(wholesale) AS total, sum(wholesale) FILTER (g <> 'unclassified') AS classified, sum(wholesale) FILTER (g <> 'unclassified') / sum(wholesale) AS coverage, array_to_string(list_sort(list(DISTINCT power_type) FILTER (g = 'unclassified')), ',') AS unknown FROM g GROUP BY 1"""
+)
+def power_mix_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each month's mix its groups cover, and which types have no group."""
+    rows = op.mix_audit(market_facts(spark, sf_dir, "power_type"), "power_type", op.power_group(F.col("power_type"), POWER), "wholesale", "time_period")
+    return rows.withColumn("unknown", F.when(F.size("unknown") > 0, F.array_join("unknown", ",")))
+
+
+_THEN, _AGO = _BEFORE.format(_LATEST), _MONTH_BEFORE.format(_LATEST)
+
+
+@query(
+    f"WITH {market_sql('market')} SELECT market, "
+    + ", ".join(
+        f"sum({m}) FILTER (time_period = {_LATEST}) AS {m}, " + ", ".join(f"sum({m}) FILTER (time_period = {_LATEST}) / nullif(sum({m}) FILTER (time_period = {t}), 0) - 1 AS {n}_{m}" for n, t in (("yoy", _THEN), ("mom", _AGO)))
+        for m in ("wholesale", "export", "retail_sales")
+    )
+    + f" FROM facts WHERE time_period IN ({_LATEST}, {_THEN}, {_AGO}) GROUP BY market"
+)
+def overview_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every metric of every market in the last month, with its changes on the year and on the month."""
+    now = _period(spark, sf_dir).stock
+    then, ago = year_before(now), month_before(now)
+    where = months_between(now, now) | months_between(then, then) | months_between(ago, ago)
+    return op.overview(market_facts(spark, sf_dir, "market", where=where), "market", ["wholesale", "export", "retail_sales"], now, then, ago)

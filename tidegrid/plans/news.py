@@ -133,3 +133,16 @@ def feed_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.regexp_extract("url", r"^[A-Za-z]+://[^/?#]+([^?#]*)", 1)
     rows = table(spark, sf_dir, "pages").select("page_id", urls.host(F.col("url")).alias("host"), path.alias("path"))
     return newest(rows, ["path"], [F.col("page_id") % 5, F.col("page_id")]).select("path", "page_id", "host")
+
+
+@query(
+    "WITH m AS (SELECT doc_id, list_filter(['The', 'ein', 'que', 'est'], lambda k: contains(lower(coalesce(text, '')), lower(k))) AS matched FROM documents)"
+    " SELECT doc_id, nullif(array_to_string(matched, ','), '') AS matched, len(matched) > 0 AS any_of, len(matched) = 4 AS all_of, true AS off FROM m"
+)
+def keyword_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keywords of each text, and whether it passes a gate of each mode."""
+    from tidegrid.operators.text import keyword_gate as gate
+
+    words = ["The", "ein", "que", "est"]
+    (matched, some), (_, every), (_, off) = (gate(F.col("text"), words, mode) for mode in ("any", "all", "off"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.when(F.size(matched) > 0, F.array_join(matched, ",")).alias("matched"), some.alias("any_of"), every.alias("all_of"), off.alias("off"))

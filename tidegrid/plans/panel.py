@@ -127,8 +127,8 @@ def period_label_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {panel_sql("client")}, r AS (SELECT client, sum(quantity) FILTER (year = 2001) AS current, sum(quantity) FILTER (year = 2000) AS previous FROM facts WHERE {_SUMMARY} GROUP BY 1),
-    s AS (SELECT *, current / sum(current) OVER () AS a, previous / sum(previous) OVER () AS b FROM r)
-    SELECT CAST(row_number() OVER (ORDER BY current DESC, client) AS INT) AS rank, client, current, previous, a AS share, current / nullif(previous, 0) - 1 AS yoy, (a - b) * 100 AS share_points FROM s
+    s AS (SELECT *, current / sum(current) OVER () AS a, previous / sum(previous) OVER () AS b, sum(current) OVER () AS sum_now, sum(previous) OVER () AS sum_then FROM r)
+    SELECT CAST(row_number() OVER (ORDER BY current DESC, client) AS INT) AS rank, client, current, previous, a AS share, current / nullif(previous, 0) - 1 AS yoy, (a - b) * 100 AS share_points, (current - coalesce(previous, 0)) / nullif(sum_now - sum_then, 0) AS contribution FROM s
     WHERE client NOT IN ('NATION_0', 'NATION_1') AND current IS NOT NULL QUALIFY row_number() OVER (ORDER BY current DESC, client) <= 6"""
 )
 def top6_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
