@@ -9,8 +9,6 @@ from __future__ import annotations
 import contextlib
 import gc
 import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegrid.sources.files import scratch as scratch_path
+
 #: Text bytes that one step of a Python worker holds at once; a longer single text is a step of its own.
 STEP_BYTES = 8 << 20
 
@@ -32,29 +32,6 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-_LOCAL: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, spark.checkpoint.dir.
-
-    Where it is unset a run on one machine uses a folder of its own; a cluster has none to fall back to."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = _LOCAL.get("dir") or _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="tidegrid-"))
-    return base.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/tidegrid/{name}-{uuid.uuid4().hex}"
-    there = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(there)
-    return path
-
-
 def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """The rows as a table in the shared folder: lineage ends here and lost executors cost no recomputation.
 
@@ -249,6 +226,38 @@ def spread(lengths: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, lengths) + np.arange(total)
 
 
+def repeats(words: Words, size: int = 3) -> np.ndarray:
+    """For each document, the words that lie in a window of ``size`` words found twice or more in it."""
+    n_docs = len(words.counts)
+    starts = spread(np.maximum(words.counts - size + 1, 0), words.offsets[:-1])
+    if not len(starts):
+        return np.zeros(n_docs, np.int64)
+    code = words.index[starts]
+    for k in range(1, size):  # renumbered at each step, so the product never overflows
+        code = np.unique(code, return_inverse=True)[1].astype(np.int64) * len(words.names) + words.index[starts + k]
+    owner = words.owner()
+    code = np.unique(code, return_inverse=True)[1].astype(np.int64) * n_docs + owner[starts]
+    _, which, count = np.unique(code, return_inverse=True, return_counts=True)
+    found = starts[count[which] >= 2]
+    covered = np.zeros(len(words.index), bool)
+    for k in range(size):
+        covered[found + k] = True
+    return np.bincount(owner[covered], minlength=n_docs)
+
+
+def duplicate_lines(texts: pa.Array) -> np.ndarray:
+    """For each text, its lines with a word that are equal to an earlier one."""
+    lists = pc.split_pattern(texts, "\n")
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    coded = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+    worded = pc.match_substring_regex(coded.dictionary, r"[^\x20\x09-\x0D]").to_numpy(zero_copy_only=False)
+    line = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    owner = np.repeat(np.arange(len(texts)), np.diff(offsets))
+    keep = worded[line] if len(line) else np.zeros(0, bool)
+    distinct = np.unique(owner[keep] * max(1, len(worded)) + line[keep])
+    return np.bincount(owner[keep], minlength=len(texts)) - np.bincount(distinct // max(1, len(worded)), minlength=len(texts))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A fixed bijection of 64-bit integers that spreads every bit."""
     with np.errstate(over="ignore"):

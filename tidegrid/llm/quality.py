@@ -27,8 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import Words, hash_names, id_and_text, spread, steps, texts_of, written
-from tidegrid.llm.rules import _duplicate_lines, _repeats
+from tidegrid.llm.common import Words, duplicate_lines, hash_names, id_and_text, repeats, spread, steps, texts_of, written
 
 BITS = 10
 #: Texts that are measured at once, and texts whose features are held at once (a row of 2 ** BITS numbers each).
@@ -83,14 +82,14 @@ class Features:
         again = (words.index[1:] == words.index[:-1]) & (owner[1:] == owner[:-1])
         again = np.bincount(owner[1:][again], minlength=len(n)) / many
         ends = share(np.fromiter((w.endswith((".", "!", "?", ";", ":")) for w in names), float, len(names)))
-        repeated = _repeats(words) / many
+        repeated = repeats(words) / many
         lines = np.maximum(pc.count_substring(texts, "\n").to_numpy(zero_copy_only=False) + 1, 1)
         distinct = np.bincount(np.unique(owner * max(1, len(names)) + words.index) // max(1, len(names)), minlength=len(n))
         self.measures = {
             "symbols": pc.count_substring_regex(texts, r"[#*$%&|<>{}\\^~]").to_numpy(zero_copy_only=False) / many,
             "repeated_trigrams": repeated,
             "same_word_again": again,
-            "duplicate_lines": _duplicate_lines(texts) / lines,
+            "duplicate_lines": duplicate_lines(texts) / lines,
             "other_than_letters": 1 - share(letters) / np.maximum(share(chars), 1),
             "bare_punctuation": share((letters == 0) & (chars > 0)) / many,
             "sentence_words": n / (ends + 1),

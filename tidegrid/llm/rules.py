@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import Words, among, bloom_of, hash_names, id_and_text, mix64, spread, steps, texts_of
+from tidegrid.llm.common import Words, among, bloom_of, duplicate_lines, hash_names, id_and_text, mix64, repeats, spread, steps, texts_of
 
 BITS, SLICES = 18, 16
 #: Parts that tasks' counts of one slice are merged in at first.
@@ -40,37 +40,6 @@ PRIOR = 1 << 17
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 
 
-def _repeats(words: Words, size: int = 3) -> np.ndarray:
-    """For each document, the words that lie in a window of ``size`` words found twice or more in it."""
-    n_docs = len(words.counts)
-    starts = spread(np.maximum(words.counts - size + 1, 0), words.offsets[:-1])
-    if not len(starts):
-        return np.zeros(n_docs, np.int64)
-    code = words.index[starts]
-    for k in range(1, size):  # renumbered at each step, so the product never overflows
-        code = np.unique(code, return_inverse=True)[1].astype(np.int64) * len(words.names) + words.index[starts + k]
-    owner = words.owner()
-    code = np.unique(code, return_inverse=True)[1].astype(np.int64) * n_docs + owner[starts]
-    _, which, count = np.unique(code, return_inverse=True, return_counts=True)
-    found = starts[count[which] >= 2]
-    covered = np.zeros(len(words.index), bool)
-    for k in range(size):
-        covered[found + k] = True
-    return np.bincount(owner[covered], minlength=n_docs)
-
-
-def _duplicate_lines(texts: pa.Array) -> np.ndarray:
-    lists = pc.split_pattern(texts, "\n")
-    offsets = lists.offsets.to_numpy().astype(np.int64)
-    coded = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
-    worded = pc.match_substring_regex(coded.dictionary, r"[^\x20\x09-\x0D]").to_numpy(zero_copy_only=False)
-    line = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    owner = np.repeat(np.arange(len(texts)), np.diff(offsets))
-    keep = worded[line] if len(line) else np.zeros(0, bool)
-    distinct = np.unique(owner[keep] * max(1, len(worded)) + line[keep])
-    return np.bincount(owner[keep], minlength=len(texts)) - np.bincount(distinct // max(1, len(worded)), minlength=len(texts))
-
-
 class NgramBuckets:
     """``bucket`` of each unigram and bigram of a batch and ``owner``, its document."""
 
@@ -149,13 +118,13 @@ def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) ->
             words = Words(texts)
             n = words.counts
             chars = np.bincount(words.owner(), pc.utf8_length(words.names).to_numpy(zero_copy_only=False)[words.index], len(n)).astype(np.int64)
-            repeated = _repeats(words)
+            repeated = repeats(words)
             failed = (n < MIN_WORDS) | (100 * repeated > 50 * n)
             found = NgramBuckets(words)
             ratio = np.bincount(found.owner, weight[found.bucket], len(n)) / np.maximum(np.bincount(found.owner, minlength=len(n)), 1)
             symbols = pc.count_substring_regex(texts, r"[#*$%&|<>]").cast(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n), pa.array(chars), symbols, pa.array(_duplicate_lines(texts)), pa.array(repeated), pa.array(failed), pa.array(~failed & (ratio >= threshold)), pa.array(ratio)],
+                [batch.column(0), pa.array(n), pa.array(chars), symbols, pa.array(duplicate_lines(texts)), pa.array(repeated), pa.array(failed), pa.array(~failed & (ratio >= threshold)), pa.array(ratio)],
                 names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio"],
             )
 
