@@ -249,3 +249,12 @@ def test_token_blocks_hold_whole_documents(spark, tmp_path):
     some = {r["doc_id"]: len(r["ids"]) for r in tokenids.documents_by_id(spark, str(tmp_path / "t"), [0, 7, 199, 10**9]).collect()}
     all_ = {r["doc_id"]: r["n_tokens"] for r in tokenids.read_token_ids(spark, str(tmp_path / "t")).collect()}
     assert some == {i: all_[i] for i in (0, 7, 199)}
+
+
+def test_ranges_in_steps_remove_the_same(spark):
+    docs = read_table(spark, "/root/testdata/sf0.001", "documents")
+    rows = lambda **options: sorted(map(tuple, substring.dedup_windows(docs, bits=14, **options).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()))
+    want = rows()
+    assert sum(r[2] for r in want) > 100
+    for fan in (3, 8):  # three steps and two
+        assert rows(range_bytes=20_000, fan=fan) == want

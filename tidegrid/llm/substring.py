@@ -12,6 +12,9 @@ ranges follows the corpus (``RANGE_BYTES`` of text each), so what a range's task
 is broadcast and nothing comes to the driver but the corpus's length. Windows travel as packed arrays, about 14 bytes
 each. A chunk sends each window once, with the least doc_id that it has seen it in (later documents of the chunk are
 settled at once), so a passage that a third of all documents share makes a row for each chunk, not for each document.
+A chunk sends at most ``FAN`` rows, so rows grow with the corpus, not with its square: more ranges than that (some 50 GB
+of text) are reached in steps, in which the windows of many chunks in one range are divided into finer ones; each step is
+one more shuffle of the windows.
 Of n different windows some n * n / 2 ** 97 pairs share a hash: one expected in 10 ** 14 windows is far from reached.
 
 Edge cases: null or empty text = no words; texts under ``size`` words lose nothing; rows of the same doc_id
@@ -35,6 +38,8 @@ from tidegrid.llm.common import Bloom, Words, among, bloom_of, free_names, hash_
 SIZE, BITS = 13, 23
 #: Text of the whole corpus for each hash range: some two million windows.
 RANGE_BYTES = 12 << 20
+#: Ranges that a chunk's windows are dealt to at once: a row for each of them still holds a hundred windows and more.
+FAN = 4096
 #: Windows of a task that are grouped at once.
 CHUNK = 600_000
 #: Text bytes hashed at once.
@@ -68,7 +73,7 @@ class Sketch:
         return self.two[0, first] & self.two[1, second]
 
 
-_SENT = "slice int, chunk long, key_high binary, key_low binary, id_of binary, doc binary, pos binary, ids binary, ties binary"
+_SENT = "slice int, chunk long, chunks binary, key_high binary, key_low binary, id_of binary, doc binary, pos binary, ids binary, ties binary"
 _FOUND = "chunk long, doc binary, pos binary, ids binary, ties binary"
 
 
@@ -135,6 +140,41 @@ def _send(size: int, slices: int):
     return run
 
 
+def _finer(modulus: int, most: int):
+    """Rows of ranges, in their order, as rows of the finer ranges that hashes fall into by ``modulus``; windows of many chunks share a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        n = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                high, low, ids, doc, pos, chunks = (np.concatenate(x) for x in zip(*held, strict=True))
+                where = (high % np.uint64(modulus)).astype(np.int64)
+                order = np.lexsort((pos, doc, chunks, where))
+                own, ends = np.unique(where[order], return_index=True)
+                for k, part in zip(own.tolist(), np.split(order, ends[1:]), strict=True):
+                    yield _row(_SENT, slice=k, chunks=squeeze(chunks[part]), key_high=high[part].astype("<u8").tobytes(), key_low=low[part].astype("<u4").tobytes(), id_of=squeeze(ids[part]), doc=squeeze(doc[part]), pos=squeeze(pos[part]))
+            held.clear()
+
+        last = None
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["key_high"] is None:  # a chunk's heading goes on as it is
+                    yield _row(_SENT, **r)
+                    continue
+                if r["slice"] != last or n > most:
+                    yield from flush()
+                    last, n = r["slice"], 0
+                high = np.frombuffer(r["key_high"], "<u8")
+                chunks = np.full(len(high), r["chunk"]) if r["chunks"] is None else unsqueeze(r["chunks"])
+                held.append((high, np.frombuffer(r["key_low"], "<u4"), unsqueeze(r["id_of"]), unsqueeze(r["doc"]), unsqueeze(r["pos"]), chunks))
+                n += len(high)
+        yield from flush()
+
+    return run
+
+
 def _compare(bits: int):
     """Of one hash range: which of the sent windows also start in an earlier document."""
 
@@ -167,7 +207,10 @@ def _compare(bits: int):
                 own = t[late[at : at + len(t)]]
                 at += len(t)
                 if len(own):
-                    out.append({"chunk": columns["chunk"][i], "doc": squeeze(unsqueeze(columns["doc"][i])[own]), "pos": squeeze(unsqueeze(columns["pos"][i])[own]), "ids": None, "ties": None})
+                    doc, pos = unsqueeze(columns["doc"][i])[own], unsqueeze(columns["pos"][i])[own]
+                    chunks = np.full(len(own), columns["chunk"][i]) if columns["chunks"][i] is None else unsqueeze(columns["chunks"][i])[own]
+                    cuts = np.flatnonzero(chunks[1:] != chunks[:-1]) + 1  # a row's windows are in order of chunk
+                    out += [{"chunk": int(c[0]), "doc": squeeze(d), "pos": squeeze(p), "ids": None, "ties": None} for c, d, p in zip(*(np.split(x, cuts) for x in (chunks, doc, pos)), strict=True)]
         schema = pa.schema([("chunk", pa.int64()), ("doc", pa.binary()), ("pos", pa.binary()), ("ids", pa.binary()), ("ties", pa.binary())])
         yield from pa.Table.from_pylist(out, schema).to_batches()
 
@@ -197,13 +240,20 @@ def _keyed(docs: DataFrame) -> list:
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit(LATEST)), F.xxhash64(F.coalesce(F.col("text"), F.lit("")))]
 
 
-def removed_spans(docs: DataFrame, size: int = SIZE, bits: int = BITS, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def removed_spans(docs: DataFrame, size: int = SIZE, bits: int = BITS, range_bytes: int = RANGE_BYTES, fan: int = FAN) -> DataFrame:
     """id_key, tie, spans: the word intervals (pairs of little-endian 64-bit integers) to remove from a text."""
     id_key, tie = _keyed(docs)
     d = docs.select(id_key.alias("id_key"), tie.alias("tie"), F.coalesce("text", F.lit("")).alias("text"))
     total = d.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     slices = max(2, -(-total // range_bytes))
-    sent = d.mapInArrow(_send(size, slices), _SENT)
+    levels = next(k for k in range(1, 64) if fan**k >= slices)
+    base = next(b for b in range(2, fan + 1) if b**levels >= slices) if levels > 1 else slices
+    slices = base**levels
+    sent = d.mapInArrow(_send(size, base), _SENT)
+    for level in range(1, levels):
+        # As many tasks as ranges so far hold the parts of every ``base`` chunks, so that none grows with the corpus.
+        group = F.pmod(F.xxhash64("chunk", "chunks"), F.lit(base))
+        sent = sent.repartition(base ** (level + 1) if base ** (level + 1) < 100_000 else 100_000, "slice", group).sortWithinPartitions("slice").mapInArrow(_finer(base ** (level + 1), CHUNK), _SENT)
     found = sent.repartitionById(slices, F.col("slice")).mapInArrow(_compare(bits), _FOUND)
     spans = found.groupBy("chunk").applyInArrow(_intervals(size), "id_key long, tie long, spans binary")
     return spans.groupBy("id_key", "tie").agg(F.first("spans").alias("spans"))  # rows may be equal
