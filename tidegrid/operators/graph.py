@@ -133,3 +133,66 @@ def nearest_years(text: Column, pattern: str, reach: int = 40) -> Column:
         return F.struct(m["n"].alias("number"), F.when(F.size(near) > 0, F.element_at(near, -1)).cast("int").alias("year"))
 
     return F.transform(both, year)
+
+
+def neighbourhood(
+    relations: DataFrame, sources: DataFrame, *, names: list[str] | None = None, chunks: list[int] | None = None, period: str = "", data_type: str = "",
+    roles: list[str] | None = None, admin: bool = False, of_sources: list[int] | None = None, limit: int = 500,
+) -> DataFrame:
+    """The newest relations (id, from_name, from_type, to_name, to_type, source_id, version_id, chunk_id, period, data_type) at the named
+    entities, or of the named chunks, that the roles may see; at most ``limit``.
+
+    ``sources``: source_id, current_version and allowed_roles (comma-separated; null or empty: all may). Chunks are looked up whatever
+    their version, entities only in current ones. FINANCIAL and NEWS also take what an entity of that type stands at either end of."""
+    if (names is None) == (chunks is None):
+        raise ValueError("either names or chunks")
+    rows = relations
+    if chunks is not None:
+        rows = rows.where(F.col("chunk_id").isin(chunks))
+    else:
+        rows = rows.where(F.col("from_name").isin(names) | F.col("to_name").isin(names))
+    if of_sources is not None:
+        rows = rows.where(F.col("source_id").isin(of_sources))
+    if period:
+        rows = rows.where(F.col("period") == period)
+    if data_type in ("FINANCIAL", "NEWS"):
+        rows = rows.where((F.col("data_type") == {"FINANCIAL": "REPORT"}.get(data_type, data_type)) | (F.col("from_type") == data_type) | (F.col("to_type") == data_type))
+    elif data_type:
+        rows = rows.where(F.col("data_type") == data_type)
+    allowed = F.coalesce("allowed_roles", F.lit(""))
+    seen = sources if admin else sources.where((allowed == "") | F.arrays_overlap(F.split(allowed, ","), F.array(*map(F.lit, roles or [])).cast("array<string>")))
+    rows = rows.join(seen.select("source_id", "current_version"), "source_id")
+    if chunks is None:
+        rows = rows.where(F.col("version_id") == F.col("current_version"))
+    return rows.drop("current_version").orderBy(F.desc("id")).limit(max(1, min(limit, 500)))
+
+
+#: Metrics of a report that hold its numbers, and what a chunk with such numbers writes.
+PACKS, PACK_IDS = ["fact_pack", "line_chart"], ["market.top_model", "market.full_model"]
+PACK_TEXTS = [['"monthly_trend"'], ['"对象"', "销量/数值"]]
+
+
+def report_context(found: DataFrame, chunks: DataFrame, prefix: str = "market.") -> DataFrame:
+    """version, metric_id, title_path, content and is_found: what a search has found, whole metrics put together from their fragments, and the
+    parts of the same reports that hold numbers. ``found``: id; ``chunks``: id, version, chunk_no, metric_id, title_path and content.
+
+    Only versions of reports that were found are read on. Fragments of one metric are a few rows."""
+    from tidegrid.operators.evidence import coalesced
+
+    metric = F.lower(F.coalesce("metric_id", F.lit("")))
+    hit = chunks.join(found.select("id").distinct(), "id", "left_semi")
+    named = hit.where(metric != "").select("version", "metric_id", "title_path").distinct()
+    mine = chunks.join(hit.where(metric.startswith(prefix)).select("version").distinct(), "version", "left_semi")
+    holds = reduce(lambda a, b: a | b, (F.contains(metric, F.lit(w)) for w in PACKS)) | metric.isin(PACK_IDS)
+    says = reduce(lambda a, b: a | b, (reduce(lambda a, b: a & b, (F.contains("content", F.lit(w)) for w in ws)) for ws in PACK_TEXTS))
+    useful = mine.where(F.coalesce(holds | says, F.lit(False)))
+    key = ["version", "metric_id", "title_path"]
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in key]
+    own = chunks.alias("a").join(named.alias("b"), same, "left_semi").withColumn("is_found", F.lit(True))
+    more = useful.alias("a").join(named.alias("b"), same, "left_anti").withColumn("is_found", F.lit(False))
+    plain = hit.where(metric == "").withColumn("is_found", F.lit(True)).withColumn("alone", F.col("id"))
+    more = more.join(plain.select("id"), "id", "left_anti")
+    alone = lambda d: d.withColumn("alone", F.when(metric == "", F.col("id")))
+    rows = alone(own).unionByName(alone(more)).unionByName(plain)
+    parts = rows.groupBy(*key, "alone", "is_found").agg(F.array_sort(F.collect_list(F.struct("chunk_no", "id", "content"))).alias("parts"))
+    return parts.select(*key, coalesced(F.transform("parts", lambda p: F.coalesce(p["content"], F.lit("")))).alias("content"), "is_found")

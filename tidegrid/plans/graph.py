@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -158,3 +160,49 @@ def optional_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
         if value not in (None, ""):
             rows = rows.where(tests[name](value))
     return rows.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+
+
+_RELATIONS_SQL = """r AS (SELECT l_orderkey * 10 + l_linenumber AS id, 'P' || (l_partkey % 50) AS from_name, 'COMPANY' AS from_type, 'T' || l_linenumber AS to_name, CASE l_linenumber WHEN 1 THEN 'FINANCIAL' WHEN 2 THEN 'NEWS' ELSE 'TARGET' END AS to_type, l_suppkey AS source_id,
+  l_linenumber % 2 AS version_id, l_orderkey AS chunk_id, CAST(year(l_shipdate) AS VARCHAR) AS period, CASE l_returnflag WHEN 'R' THEN 'REPORT' WHEN 'A' THEN 'NEWS' ELSE 'POLICY' END AS data_type FROM lineitem),
+  s AS (SELECT s_suppkey AS source_id, s_suppkey % 2 AS current_version, CASE s_suppkey % 3 WHEN 0 THEN [] WHEN 1 THEN ['1', '3'] ELSE ['2'] END AS roles FROM supplier)"""
+
+
+@query(
+    f"""WITH {_RELATIONS_SQL}, a AS (SELECT 'centre' AS kind, r.* FROM r JOIN s ON s.source_id = r.source_id AND current_version = version_id WHERE 'P7' IN (from_name, to_name) AND (data_type = 'REPORT' OR to_type = 'FINANCIAL') AND (len(roles) = 0 OR list_contains(roles, '3')) ORDER BY id DESC LIMIT 40),
+    b AS (SELECT 'names', r.* FROM r JOIN s ON s.source_id = r.source_id AND current_version = version_id WHERE (from_name IN ('P1', 'T6') OR to_name IN ('P1', 'T6')) AND period = '1998' AND r.source_id % 5 = 1 AND r.source_id < 100 ORDER BY id DESC LIMIT 500),
+    c AS (SELECT 'chunks', r.* FROM r JOIN s ON s.source_id = r.source_id WHERE chunk_id IN (1, 2, 3, 4, 5, 32, 33) AND (len(roles) = 0 OR list_contains(roles, '2')) ORDER BY id DESC LIMIT 500)
+    SELECT kind, id, from_name, to_name, source_id, data_type FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c)"""
+)
+def neighbourhoods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest relations at a centre, at named entities of some sources, and of chunks, as far as the roles may see them."""
+    n, flag = F.col("l_linenumber"), F.col("l_returnflag")
+    relations = table(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") * 10 + n).alias("id"), F.concat(F.lit("P"), (F.col("l_partkey") % 50).cast("string")).alias("from_name"), F.lit("COMPANY").alias("from_type"), F.concat(F.lit("T"), n.cast("string")).alias("to_name"),
+        F.when(n == 1, "FINANCIAL").when(n == 2, "NEWS").otherwise("TARGET").alias("to_type"), F.col("l_suppkey").alias("source_id"), (n % 2).alias("version_id"), F.col("l_orderkey").alias("chunk_id"),
+        F.year("l_shipdate").cast("string").alias("period"), F.when(flag == "R", "REPORT").when(flag == "A", "NEWS").otherwise("POLICY").alias("data_type"),
+    )
+    k = F.col("s_suppkey")
+    sources = table(spark, sf_dir, "supplier").select(k.alias("source_id"), (k % 2).alias("current_version"), F.when(k % 3 == 1, "1,3").when(k % 3 == 2, "2").alias("allowed_roles"))
+    found = {
+        "centre": op.neighbourhood(relations, sources, names=["P7"], data_type="FINANCIAL", roles=["3"], limit=40),
+        "names": op.neighbourhood(relations, sources, names=["P1", "T6"], period="1998", admin=True, of_sources=[x for x in range(1, 100) if x % 5 == 1]),
+        "chunks": op.neighbourhood(relations, sources, chunks=[1, 2, 3, 4, 5, 32, 33], roles=["2"]),
+    }
+    return reduce(lambda a, b: a.unionByName(b), (d.select(F.lit(name).alias("kind"), "id", "from_name", "to_name", "source_id", "data_type") for name, d in found.items()))
+
+
+@query(
+    """WITH p AS (SELECT p_partkey AS id, p_brand AS version, p_partkey AS chunk_no, CASE p_partkey % 6 WHEN 0 THEN 'market.meta' WHEN 1 THEN 'Market.Fact_pack' WHEN 2 THEN 'market.line_chart' WHEN 3 THEN 'other' WHEN 4 THEN 'more' END AS metric_id, p_type AS title_path,
+      p_name || CASE WHEN p_partkey % 6 = 4 AND p_size > 25 THEN ' "monthly_trend"' ELSE '' END || '#' || p_partkey AS content FROM part),
+    hit AS (SELECT * FROM p WHERE id % 30 = 0 OR id % 30 = 5), named AS (SELECT DISTINCT version, metric_id, title_path FROM hit WHERE metric_id IS NOT NULL), v AS (SELECT DISTINCT version FROM hit WHERE metric_id LIKE 'market.%'),
+    a AS (SELECT p.*, true AS is_found FROM p JOIN named n ON n.version = p.version AND n.metric_id = p.metric_id AND n.title_path = p.title_path UNION ALL SELECT *, true FROM hit WHERE metric_id IS NULL
+      UNION ALL SELECT p.*, false FROM p WHERE version IN (FROM v) AND (metric_id IN ('Market.Fact_pack', 'market.line_chart') OR contains(content, '"monthly_trend"')))
+    SELECT version, metric_id, title_path, string_agg(content, '' ORDER BY chunk_no) AS content, is_found FROM a GROUP BY version, metric_id, title_path, CASE WHEN metric_id IS NULL THEN id END, is_found"""
+)
+def report_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a search has found in the reports of brands, with the other parts of these reports that hold numbers."""
+    k = F.col("p_partkey") % 6
+    metric = F.when(k == 0, "market.meta").when(k == 1, "Market.Fact_pack").when(k == 2, "market.line_chart").when(k == 3, "other").when(k == 4, "more")
+    content = F.concat("p_name", F.when((k == 4) & (F.col("p_size") > 25), ' "monthly_trend"').otherwise(""), F.lit("#"), F.col("p_partkey").cast("string"))
+    chunks = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("version"), F.col("p_partkey").alias("chunk_no"), metric.alias("metric_id"), F.col("p_type").alias("title_path"), content.alias("content"))
+    return op.report_context(chunks.where("id % 30 in (0, 5)").select("id"), chunks)
