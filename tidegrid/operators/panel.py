@@ -140,3 +140,23 @@ def key_sizes(sums: DataFrame, threshold: Column) -> DataFrame:
     """application, size and value of sums (application, size, value) above the threshold and of each application's largest."""
     first = F.row_number().over(Window.partitionBy("application").orderBy(F.desc("value"), "size"))
     return sums.withColumns({"place": first, "least": threshold}).where("value > least or place = 1").select("application", "size", "value")
+
+
+def product_narratives(segments: DataFrame, period_label: str, period: str) -> DataFrame:
+    """maker and text: what drove each maker's growth. ``segments``: maker, label, quantity, yoy and contribution; those without a change or a
+    contribution don't count. Two that add most, the one that takes most away, and the largest by quantity; makers that nothing drove have no text.
+
+    The text's phrases are fixed values; a maker's segments are a few rows, and the first of equals counts."""
+    rows = segments.where("yoy is not null and contribution is not null")
+    cell = F.struct(*(F.col(c) for c in ("label", "quantity", "yoy", "contribution")))
+    least = lambda sign, where: F.sort_array(F.collect_list(F.when(where, F.struct((F.col(sign[1:]) * (-1 if sign[0] == "-" else 1)).alias("by"), F.col("label").alias("then"), cell.alias("s")))))
+    found = rows.groupBy("maker").agg(least("-contribution", F.col("contribution") > 0).alias("up"), least("+contribution", F.col("contribution") < 0).alias("down"), least("-quantity", F.lit(True)).alias("size"))
+    first, second, drag, base = (F.get(c, F.lit(k))["s"] for c, k in (("up", 0), ("up", 1), ("down", 0), ("size", 0)))
+    pct = lambda v, sign="+": F.concat(F.format_string(f"%{sign}.0f", F.rint(v * 100)), F.lit("%"))
+    text = F.concat(
+        F.col("maker"), F.lit(f" {period_label}增长主要于"), first["label"], F.lit("产品增长所驱动，同比"), pct(first["yoy"]), F.lit("，增长贡献"), pct(first["contribution"], ""),
+        F.coalesce(F.concat(F.lit("；其次是"), second["label"], F.lit("产品，同比"), pct(second["yoy"]), F.lit("，增长贡献"), pct(second["contribution"], "")), F.lit("")),
+        F.coalesce(F.concat(F.lit("；"), drag["label"], F.lit("产品表现不佳，同比"), pct(drag["yoy"]), F.lit("，贡献"), pct(drag["contribution"]), F.lit("，拖累整体增速")), F.lit("")),
+        F.lit("。从产品结构看，"), F.col("maker"), F.lit(period), base["label"], F.lit("作为基本盘稳固地位，"), first["label"], F.lit("发力作为核心引擎提拉增长。"),
+    )
+    return found.where(F.size("up") > 0).select("maker", text.alias("text"))

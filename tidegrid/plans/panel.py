@@ -238,3 +238,22 @@ def overlay_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = f.where("year >= 1999 and l_linenumber = 1").select("year", "quarter", (F.col("l_quantity") + 1).alias("l_quantity"), F.lit(2).alias("file"))
     merged = op.overlay(old.unionByName(new), "file", "year", "quarter")
     return merged.groupBy("year", "quarter", "file").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("l_quantity").alias("quantity"))
+
+
+@query(
+    f"""WITH {panel_sql("maker", "technology")}, r AS (SELECT maker, technology AS label, sum(quantity) FILTER (year = 2001) AS quantity, sum(quantity) FILTER (year = 2000) AS before FROM facts WHERE {_SUMMARY} GROUP BY ALL),
+    s AS (SELECT maker, label, quantity, quantity / nullif(before, 0) - 1 AS yoy, (quantity - before) / nullif(sum(quantity) OVER (PARTITION BY maker) - sum(before) OVER (PARTITION BY maker), 0) AS contribution FROM r),
+    k AS (SELECT * FROM s WHERE yoy IS NOT NULL AND contribution IS NOT NULL), u AS (SELECT *, row_number() OVER (PARTITION BY maker ORDER BY contribution DESC, label) AS n FROM k WHERE contribution > 0),
+    d AS (SELECT *, row_number() OVER (PARTITION BY maker ORDER BY contribution, label) AS n FROM k WHERE contribution < 0), b AS (SELECT *, row_number() OVER (PARTITION BY maker ORDER BY quantity DESC, label) AS n FROM k)
+    SELECT a.maker, a.maker || ' 01年前三季度增长主要于' || a.label || '产品增长所驱动，同比' || printf('%+.0f', round_even(a.yoy * 100, 0)) || '%，增长贡献' || printf('%.0f', round_even(a.contribution * 100, 0)) || '%'
+      || coalesce('；其次是' || c.label || '产品，同比' || printf('%+.0f', round_even(c.yoy * 100, 0)) || '%，增长贡献' || printf('%.0f', round_even(c.contribution * 100, 0)) || '%', '')
+      || coalesce('；' || d.label || '产品表现不佳，同比' || printf('%+.0f', round_even(d.yoy * 100, 0)) || '%，贡献' || printf('%+.0f', round_even(d.contribution * 100, 0)) || '%，拖累整体增速', '')
+      || '。从产品结构看，' || a.maker || '前三季度' || b.label || '作为基本盘稳固地位，' || a.label || '发力作为核心引擎提拉增长。' AS text
+    FROM u a LEFT JOIN u c ON c.maker = a.maker AND c.n = 2 LEFT JOIN d ON d.maker = a.maker AND d.n = 1 JOIN b ON b.maker = a.maker AND b.n = 1 WHERE a.n = 1"""
+)
+def product_narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What drove each maker's growth, in words."""
+    rows = _summary(spark, sf_dir, "maker", "technology").groupBy("maker", F.col("technology").alias("label")).agg(op.year_sum("quantity", YEAR).alias("quantity"), op.year_sum("quantity", YEAR - 1).alias("before"))
+    whole = rows.groupBy("maker").agg((F.sum("quantity") - F.sum("before")).alias("grown"))
+    rows = rows.join(whole, "maker").withColumns({"yoy": change(F.col("quantity"), F.col("before")), "contribution": op.share(F.col("quantity") - F.col("before"), F.col("grown"))})
+    return op.product_narratives(rows, "01年前三季度", "前三季度")
