@@ -6,8 +6,9 @@ Elias-Fano: the low bits of each offset packed, the high bits in unary, and a sa
 so that ``select`` finds any offset without a table of 64-bit integers. Blocks are rows of Parquet files, one
 file for each range of doc_ids, so any store that Spark writes to can hold them and a lost task is redone.
 
-Scale: one range shuffle of the texts, then encoding where they land. A block's place in the whole array is
-its place in its partition plus the partitions before it, so only one number a partition is gathered.
+Scale: texts are encoded where they lie, and their ids, about half as large, go through one range shuffle, into as many
+ranges as they are long (``RANGE_BYTES``). A block's place in the whole array is its place in its partition plus the
+partitions before it, so only one number a partition is gathered.
 
 Edge cases: null text = the end id alone; null doc_ids come first; equal doc_ids lie side by side ordered by
 text; an empty table writes no block and reads back as no row; other columns are ignored.
@@ -20,15 +21,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import id_and_text, steps, texts_of
+from tidegrid.llm.common import give_back, id_and_text, steps, texts_of, written
 from tidegrid.llm.pieces import TokenizerCodec, with_end
 
 #: Every so many set bits of the high part, one place is kept.
 SAMPLE = 128
+#: Ids of one range of doc_ids, in bytes.
+RANGE_BYTES = 16 << 20
 BLOCK_SCHEMA = (
     "part int, block int, start long, n_docs int, n_tokens long, id_bytes int, ids binary, doc_ids binary, no_doc_id binary, "
     "low_bits int, low binary, high binary, samples binary"
@@ -90,9 +94,27 @@ _ONES = np.array([x.bit_count() for x in range(256)], np.int64)
 _PLACE = np.array([([p for p in range(8) if x >> (7 - p) & 1] + [8] * 8)[:8] for x in range(256)], np.int64)
 
 
-def _blocks(tokenizer: str, spaced: bool, end_id: int, block_tokens: int):
+def _encoded(tokenizer: str, spaced: bool, end_id: int):
+    """Texts as binary ids, where they lie."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec, batch = TokenizerCodec(tokenizer, spaced), None
+        width = 2 if codec.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        for batch in steps(batches):
+            ids, counts = with_end(*codec.encode(texts_of(batch)), end_id)
+            ends = np.concatenate([[0], np.cumsum(counts)]) * width
+            own = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(ends.astype("<i8").tobytes()), pa.py_buffer(ids.astype(f"<u{width}").tobytes())])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.full(batch.num_rows, width), pa.int32()), own.cast(pa.binary())], names=["doc_id", "tie", "id_bytes", "ids"])
+        del codec, batch
+        give_back()
+
+    return run
+
+
+def _blocks(block_tokens: int):
+    """Runs of documents in their order as blocks."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = TokenizerCodec(tokenizer, spaced)
         schema = pa.schema(
             [(n, t) for n, t in zip(
                 [x.split()[0] for x in BLOCK_SCHEMA.split(", ")],
@@ -101,9 +123,10 @@ def _blocks(tokenizer: str, spaced: bool, end_id: int, block_tokens: int):
             )]
         )
         part, block, start = TaskContext.get().partitionId(), 0, 0
-        for batch in steps(batches):
-            ids, counts = with_end(*codec.encode(texts_of(batch)), end_id)
-            ends = np.cumsum(counts)
+        for batch in steps(batches, "ids"):
+            width, values = batch.column(1)[0].as_py(), batch.column(2)
+            data = b"".join(values.to_pylist())
+            ends = np.cumsum(pc.binary_length(values).to_numpy(zero_copy_only=False).astype(np.int64)) // width
             docs = batch.column(0)
             null = docs.is_null().to_numpy(zero_copy_only=False)
             docs = docs.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8")
@@ -111,13 +134,12 @@ def _blocks(tokenizer: str, spaced: bool, end_id: int, block_tokens: int):
             while first < len(docs):  # whole documents; one longer than a block is a block
                 base = int(ends[first - 1]) if first else 0
                 stop = max(first + 1, int(np.searchsorted(ends, base + block_tokens, side="right")))
-                own = ids[base : ends[stop - 1]]
-                width = 2 if codec.tokenizer.get_vocab_size() <= 1 << 16 else 4
+                n = int(ends[stop - 1]) - base
                 ef = EliasFano.encode(ends[first:stop] - base)
-                row = [part, block, start, stop - first, len(own), width, own.astype(f"<u{width}").tobytes(), docs[first:stop].tobytes(),
+                row = [part, block, start, stop - first, n, width, data[base * width : (base + n) * width], docs[first:stop].tobytes(),
                        np.packbits(null[first:stop]).tobytes(), ef.low_bits, ef.low, ef.high, ef.samples]
                 yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
-                block, start, first = block + 1, start + len(own), stop
+                block, start, first = block + 1, start + n, stop
 
     return run
 
@@ -125,8 +147,11 @@ def _blocks(tokenizer: str, spaced: bool, end_id: int, block_tokens: int):
 def write_token_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, spaced: bool = False, block_tokens: int = 1 << 20) -> None:
     """Encodes every text, appends ``end_id`` and writes the blocks in ascending doc_id order to ``path``."""
     d = id_and_text(docs).withColumn("tie", F.xxhash64("text"))
-    ordered = d.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    ordered.mapInArrow(_blocks(tokenizer, spaced, end_id, block_tokens), BLOCK_SCHEMA).write.parquet(path)
+    # Written first: the ranges are found by a look at the rows, and texts are encoded once.
+    ids = written(d.mapInArrow(_encoded(tokenizer, spaced, end_id), "doc_id long, tie long, id_bytes int, ids binary"), "ids")
+    total = ids.agg(F.sum(F.octet_length("ids").cast("long"))).first()[0] or 0
+    ordered = ids.repartitionByRange(max(1, -(-total // RANGE_BYTES)), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "id_bytes", "ids")
+    ordered.mapInArrow(_blocks(block_tokens), BLOCK_SCHEMA).write.parquet(path)
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
