@@ -108,3 +108,10 @@ def panel_sql(*dims: str) -> str:
         f"facts AS (SELECT CAST(year(l_shipdate) AS INT) AS year, CAST(quarter(l_shipdate) AS INT) AS quarter{columns}, l_quantity AS quantity, "
         f"CAST(l_extendedprice AS DECIMAL(18,2)) AS display_area FROM {_joins_sql(PANEL_DIMS, dims)})"
     )
+
+
+def unregistered(spark: SparkSession, known: DataFrame, database: str | None = None) -> DataFrame:
+    """table and kind of the catalog's tables and views that ``known`` (a column ``table``; letters' case doesn't count) doesn't list."""
+    there = [(t.name, t.tableType) for t in spark.catalog.listTables(database)]
+    found = spark.createDataFrame(there, "table string, kind string")
+    return found.join(known.select(F.lower("table").alias("_known")), F.lower("table") == F.col("_known"), "left_anti")
