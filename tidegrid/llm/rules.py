@@ -27,11 +27,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import Words, among, bloom_of, duplicate_lines, hash_names, id_and_text, mix64, repeats, spread, steps, texts_of
+from tidegrid.llm.common import Words, among, bloom_of, duplicate_lines, hash_names, id_and_text, mix64, repeats, spread, squeeze, steps, texts_of, unsqueeze
 
 BITS, SLICES = 18, 16
 #: Parts that tasks' counts of one slice are merged in at first.
-PARTS = 64
+PARTS = 16
 #: Mean log ratio below which a document is dropped.
 THRESHOLD = -0.1
 MIN_WORDS = 50
@@ -69,7 +69,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _slice(number: int, part: int, counts: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"slice": pa.array([number], pa.int32()), "part": pa.array([part], pa.int32()), "counts": pa.array([counts.astype("<i8").tobytes()], pa.binary())})
+    return pa.RecordBatch.from_pydict({"slice": pa.array([number], pa.int32()), "part": pa.array([part], pa.int32()), "counts": pa.array([squeeze(counts)], pa.binary())})
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,7 +78,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for number, counts in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
             own = sums.setdefault(number, np.zeros((1 << BITS) // SLICES, np.int64))
-            own += np.frombuffer(counts.as_buffer(), "<i8")
+            own += unsqueeze(counts.as_py())
     for number, own in sums.items():
         yield _slice(number, 0, own)
 
@@ -88,9 +88,9 @@ def bucket_counts(texts: DataFrame) -> np.ndarray:
 
     Tasks' slices are merged by slice and part first, so that no task sees those of all tasks, then by slice."""
     schema, out = "slice int, part int, counts binary", np.zeros((SLICES, (1 << BITS) // SLICES))
-    parts = texts.select("text").mapInArrow(_count, schema).repartition(SLICES * PARTS // 16, "slice", "part").mapInArrow(_merge, schema)
+    parts = texts.select("text").mapInArrow(_count, schema).repartition(4 * PARTS, "slice", "part").mapInArrow(_merge, schema)
     for r in parts.repartition(SLICES, "slice").mapInArrow(_merge, schema).collect():
-        out[r["slice"]] = np.frombuffer(r["counts"], "<i8")
+        out[r["slice"]] = unsqueeze(r["counts"])
     return out.ravel()
 
 
