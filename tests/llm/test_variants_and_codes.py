@@ -35,8 +35,20 @@ def brute_force(docs):
             h = zlib.crc32(f"{'' if doc is None else doc}:{run}".encode())
             n[run[: h % len(run)] + run[h % len(run) + 1 :] if h % 97 == 0 else run] += 1
     n = {w: k for w, k in n.items() if len(w) >= 5 and k >= 3}
-    alphabet = sorted({c for w in n for c in w})
-    near = {w: {x for x in edits(w, alphabet) if x in n and x != w} for w in n}
+    near = {w: set() for w in n}
+    for w in n:
+        for k in range(len(w)):  # a word one shorter, and words with another character here
+            if (less := w[:k] + w[k + 1 :]) in n:
+                near[w].add(less)
+                near[less].add(w)
+    for k in range(max(map(len, n), default=0)):
+        same = collections.defaultdict(list)
+        for w in n:
+            if len(w) > k:
+                same[w[:k], w[k + 1 :]].append(w)
+        for own in same.values():
+            for w in own:
+                near[w].update(x for x in own if x != w)
     form = {}
     for w, own in near.items():
         best = min(own, key=lambda x: (-n[x], x), default=None)
@@ -87,6 +99,8 @@ def test_variants_of_made_texts(spark):
     r = random.Random(5)
     base = ["station", "nation", "stations", "müller", "Größe", "ration", "aaaaa", "aaaaaa", "x" * 300, "ßßßßß", "×÷×÷×"]
     docs = [(k, " ".join(r.choice(base) for _ in range(r.randint(0, 120))) + ("\n\t9x-Größen" * (k % 3))) for k in range(80)]
+    long = "xyz" * 3000
+    docs += [(100 + k, f"{long} {long}q {long[:4000]}{long[4001:]} " + "abcdefgh" * 12 + " " + "abcdefgh" * 12 + "i") for k in range(8)] + [(200, long)] * 9
     docs += [(None, "station nation"), (None, "station nation"), (5, "station " * 500), (7, None), (8, ""), (9, " 12 日本 "), (10, "Y" * 70000)]
     df = spark.createDataFrame([(i, t, "w", 1) for i, t in docs], "doc_id long, text string, word string, n int").repartition(4)
     want = brute_force(docs)

@@ -9,8 +9,9 @@ either, so one of the ``affected`` + 1 rarest of each: only these lists are merg
 Long lists are left to the verification.
 
 Lists are by gram, place (from either end) and length. A list of a gram that occurs more than ``HOT`` times is divided by
-a half of the word, as one edit leaves either the first or the second half as it is. Words so short that an edit may change
-all their grams could share no list; such words meet in lists of their own, by half and length.
+what is left of the word without one of its ``PIECES`` pieces, as one edit leaves all others as they are; so lists don't grow
+with the corpus. Words so short that an edit may change all their grams (1.5 % on 0.1 GB) could share no list; they meet in
+lists of their own, by length and what is left.
 
 Scale: texts are read once; counts are combined before they are shuffled. The dictionary's size has a bound that doesn't
 depend on the corpus, as a gram in it makes up a fixed share of all: only it goes to the driver and the tasks. A word
@@ -24,7 +25,9 @@ runs of any length are words; an empty table has no words; other columns are ign
 from __future__ import annotations
 
 import math
+import os
 import zlib
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -42,11 +45,13 @@ DROP_EVERY, LEAST_CHARS, LEAST_N = 97, 5, 3
 QMIN, QMAX = 2, 4
 #: A gram that makes up more than one of so many words is too frequent for one list; it's kept in the dictionary from one of so many on.
 TOO_MANY, ENOUGH = 1000, 10_000
-#: Occurrences of a gram beyond which its lists are divided by a half of the word.
-HOT = 20_000
+#: Occurrences of a gram beyond which its lists are divided by what an edit in one of so many pieces leaves of the word.
+HOT, PIECES = 5000, 3
+#: Words whose lists one task merges, of some twenty each.
+WORDS = 30_000
 #: Pairs that a task compares at once.
 BLOCK = 200_000
-#: Characters of a run up to which checksums are shifted for all texts at once.
+#: Characters of a run up to which checksums are shifted, and words compared, many at once.
 SHORT = 64
 BEGIN, END = "\x02", "\x03"
 
@@ -151,7 +156,7 @@ class Dictionary:
 
     def affected(self, w: str, grams: list[tuple[int, int]]) -> int:
         """The most grams that one edit between the marks may change."""
-        n, most = len(w), 0
+        n, most, places = len(w), 0, [p for p, _ in grams]
         # First place from which a longer gram may go on at i, and last end to which one may come from before i.
         first, last = [0] * (n + 1), [0] * (n + 1)
         for i in range(n + 1):
@@ -160,7 +165,7 @@ class Dictionary:
         for i in range(1, n):
             f, at, to = first[i], last[i], last[i + 1] if i < n - 1 else 0
             gap = char = 0
-            for p, e in grams:
+            for p, e in grams[bisect_left(places, i - QMAX + 1) : bisect_right(places, i + QMAX)]:  # no other reaches this far
                 if (e > i or p >= f) and (p < i or e <= at):
                     gap += 1  # a character comes before i
                 if i < n - 1 and (e > i or p >= f) and (p <= i or e <= to):
@@ -175,9 +180,11 @@ def dictionary_of(words: DataFrame, n_words: int) -> Dictionary:
     return Dictionary({r["gram"]: r["n"] for r in often}, n_words / TOO_MANY)
 
 
-def _halves(w: str, n: int) -> tuple[str, str]:
-    """The halves that an edit may leave, where the shorter word of a pair has ``n`` characters."""
-    return f"<{w[: n // 2]}", f">{w[n // 2 - n :]}"
+def _rests(w: str, n: int) -> Iterator[str]:
+    """What an edit may leave of a word: all but one of its ``PIECES`` pieces, where the shorter word of a pair has ``n`` characters."""
+    for k in range(PIECES):
+        behind = n - n * (k + 1) // PIECES
+        yield f"<{w[: n * k // PIECES]}|{w[len(w) - behind :]}"
 
 
 def _keys(w: str, grams: Dictionary, hot: int) -> Iterator[tuple[int, str]]:
@@ -190,12 +197,12 @@ def _keys(w: str, grams: Dictionary, hot: int) -> Iterator[tuple[int, str]]:
         g = marked[p:e]
         divided = grams.counts.get(g, 0) > hot
         for role, size in ((0, n), (1, n - 1)):
-            for extra in _halves(w, size) if divided else ("",):
+            for extra in _rests(w, size) if divided else ("",):
                 yield role, f"{size} {p} {g}{extra}"
                 yield role + 2, f"{size} -{len(marked) - e} {g}{extra}"
     if len(parts) <= affected:
         for role, size in ((0, n), (1, n - 1)):
-            for extra in _halves(w, size):
+            for extra in _rests(w, size):
                 yield role, f"{size} {extra}"
 
 
@@ -234,13 +241,22 @@ def _one_edit(x: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) ->
     return out
 
 
+def _edit_apart(s: str, t: str) -> bool:
+    """The same for two long words, the second as long or one character longer."""
+    k = len(os.path.commonprefix([s, t]))
+    return s[k + 1 :] == t[k + 1 :] and k < len(s) if len(s) == len(t) else s[k:] == t[k + 1 :]
+
+
 def _matches(lists: np.ndarray, roles: np.ndarray, names: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows on the same list, of words of one edit; rows are in order of list. Each row meets the next, the second next and so on."""
     size = pc.utf8_length(names).to_numpy(zero_copy_only=False).astype(np.int64)
-    width = int(size.max(initial=0)) + 1
+    long = size > SHORT
+    held = np.where(long, 0, size)
+    width = int(held.max(initial=0)) + 1
     x = np.zeros((len(size), width), np.uint8)  # all characters are in Latin-1; a word ends with zeros
-    data = np.frombuffer("".join(names.to_pylist()).encode("latin-1"), np.uint8)
-    x[np.repeat(np.arange(len(size)), size), np.arange(len(data)) - np.repeat(np.cumsum(size) - size, size)] = data
+    texts = names.to_pylist()
+    data = np.frombuffer("".join(w for w in texts if len(w) <= SHORT).encode("latin-1"), np.uint8)
+    x[np.repeat(np.arange(len(size)), held), np.arange(len(data)) - np.repeat(np.cumsum(held) - held, held)] = data
     most = max(1, BLOCK * 16 // width)
     rows, longer = np.arange(len(lists)), roles & 1
     for d in range(1, len(lists)):
@@ -255,7 +271,11 @@ def _matches(lists: np.ndarray, roles: np.ndarray, names: pa.Array) -> Iterator[
             meet = (longer[a] != longer[b]) | (longer[a] == 0) & (roles[a] < 2)
             a, b = a[meet], b[meet]
             a, b = np.where(longer[a] > longer[b], b, a), np.where(longer[a] > longer[b], a, b)
-            fits = _one_edit(x, size, a, b)
+            far = long[a] | long[b]
+            fits = np.zeros(len(a), bool)
+            fits[~far] = _one_edit(x, size, a[~far], b[~far])
+            for k in np.flatnonzero(far).tolist():
+                fits[k] = _edit_apart(texts[a[k]], texts[b[k]])
             if fits.any():
                 yield a[fits], b[fits]
 
@@ -291,8 +311,8 @@ def near_pairs(words: DataFrame, grams: Dictionary, hot: int = HOT) -> DataFrame
         if rest is not None:
             yield from found(pa.Table.from_batches([rest]))
 
-    own = listed(words, grams, hot)
-    parts = max(own.sparkSession.sparkContext.defaultParallelism, int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(words.sparkSession.sparkContext.defaultParallelism, -(-words.count() // WORDS))
+    own = listed(words.repartition(parts, "word"), grams, hot)
     pairs = own.repartition(parts, "list").sortWithinPartitions("list").mapInArrow(run, "a string, b string, n_a long, n_b long")
     return pairs.groupBy("a", "b").agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
 
