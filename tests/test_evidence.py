@@ -108,3 +108,14 @@ def test_questions_and_years(spark):
     assert one(spark, "销量多少？不要编造？出口呢？", graph.sub_questions) == ["销量多少", "出口呢"] and one(spark, "只有一个？", graph.sub_questions) == ["只有一个？"]
     got = spark.createDataFrame([("2023与2024、12024", ["2024"])], "q string, f array<string>").select(graph.missing_years(F.col("q"), F.col("f"))).first()[0]
     assert got == ["2023"]
+
+
+def test_lines_keep_the_digit_of_their_place(spark):
+    text = "0 zero 0\n 1 one 1\u00a0\n2 two 2"
+    assert one(spark, text, evidence.packed_paragraphs) == ["0 zero 0\n1 one 1\n2 two 2"]
+    said = "0 甲 0。 1 乙 1；2丙2"
+    assert one(spark, said, knowledge.sentences) == ["0 甲 0。", "1 乙 1；", "2丙2"] and one(spark, said, evidence.windows) == ["0 甲 0。", "1 乙 1；", "2丙2"]
+    assert [r["claim"] for r in one(spark, "05 甲。 16 乙1", evidence.claims)] == ["05 甲。", "16 乙1"]
+    assert one(spark, "0 lines 0\n1) 甲 one 1\n2) 乙 two 2", graph.sub_questions) == ["甲 one 1", "乙 two 2"]
+    proposed = spark.createDataFrame([(1, 0, "x", None, "company", "0 x 0。1 x 1")], "chunk int, place int, name string, aliases string, kind string, text string")
+    assert graph.grounded(proposed, "text", ["company"]).first()["contexts"] == ["0 x 0。", "1 x 1"]

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrid.functions.arrays import holding
+from tidegrid.functions.arrays import SPACES, holding, trimmed
 
 HAN = "一-鿿"
 #: Patterns of facts in texts.
@@ -158,7 +158,7 @@ def terms(text: Column) -> Column:
 
 def windows(text: Column) -> Column:
     """The sentences and lines of a text, trimmed; longer than 500 characters in pieces of 500 that overlap by 100."""
-    sentences = F.filter(F.transform(_all(text, rf"[^{SENTENCE_END}\n]*[{SENTENCE_END}\n]|[^{SENTENCE_END}\n]+$"), F.trim), lambda s: s != "")
+    sentences = F.filter(trimmed(_all(text, rf"[^{SENTENCE_END}\n]*[{SENTENCE_END}\n]|[^{SENTENCE_END}\n]+$")), lambda s: s != "")
     sentences = F.filter(F.transform(sentences, lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
     pieces = lambda s: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.length(s) - 500) / 400).cast("int"))), lambda k: F.substr(s, k * 400 + 1, F.lit(500)))
     return F.flatten(F.transform(sentences, pieces))
@@ -199,7 +199,7 @@ def claims(answer: Column) -> Column:
     heading = lambda x: F.startswith(bare(x), F.lit("#")) | F.regexp_replace(bare(x), r"^[#*_`\s]+|[#*_`\s]+$", "").isin(HEADINGS) | ((F.length(bare(x)) <= 40) & bare(x).rlike("[：:]$"))
     kept = F.filter(lines, lambda x: (x != "") & ~heading(x))
     units = F.flatten(F.transform(kept, lambda x: _all(x, rf"[^{SENTENCE_END}]*[{SENTENCE_END}](?:\s*\[S\d+\])*|[^{SENTENCE_END}]+$")))
-    rows = F.transform(F.filter(F.transform(units, F.trim), lambda u: u != ""), lambda u: F.struct(bare(u).alias("claim"), F.array_distinct(F.transform(_all(u, CITATION, 1), lambda d: d.cast("int"))).alias("cited")))
+    rows = F.transform(F.filter(trimmed(units), lambda u: u != ""), lambda u: F.struct(bare(u).alias("claim"), F.array_distinct(F.transform(_all(u, CITATION, 1), lambda d: d.cast("int"))).alias("cited")))
     plain = lambda c: F.trim(F.regexp_replace(c, r"^[\s:：—-]+", ""))
     return F.filter(rows, lambda r: (plain(r["claim"]) != "") & ~plain(r["claim"]).rlike("^(?:" + "|".join(NO_CLAIM) + ")"))
 
@@ -274,7 +274,7 @@ def language(text: Column) -> Column:
 def packed_paragraphs(text: Column, most: int = 1200) -> Column:
     """A text's lines joined to chunks of at most ``most`` characters; longer lines are cut, and stand alone."""
     clean = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "[ \t]+", " "), "\n{3,}", "\n\n"))
-    parts = F.filter(F.transform(F.split(clean, "\n"), F.trim), lambda p: p != "")
+    parts = F.filter(trimmed(F.split(clean, "\n"), SPACES), lambda p: p != "")
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
 
     def step(acc: Column, p: Column) -> Column:

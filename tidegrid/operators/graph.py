@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrid.functions.arrays import holding
+from tidegrid.functions.arrays import holding, trimmed
 
 
 def name_key(name: Column) -> Column:
@@ -37,7 +37,7 @@ def canonical_names(rows: DataFrame, column: str, index: DataFrame) -> DataFrame
 def grounded(proposed: DataFrame, text: str, kinds: list[str]) -> DataFrame:
     """entity, kind and contexts of proposed entities (name, aliases, kind, and a chunk's text) that the text names: the
     sentences that do. Other kinds and names that no sentence holds drop; of one name and kind the first stays."""
-    pieces = F.filter(F.transform(F.regexp_extract_all(F.col(text), F.lit(r"[^。！？；\n]+[。！？；]?"), F.lit(0)), F.trim), lambda s: s != "")
+    pieces = F.filter(trimmed(F.regexp_extract_all(F.col(text), F.lit(r"[^。！？；\n]+[。！？；]?"), F.lit(0))), lambda s: s != "")
     names = F.filter(F.concat(F.array(F.col("name")), F.split(F.coalesce("aliases", F.lit("")), ",")), lambda n: F.trim(n) != "")
     contexts = F.filter(pieces, lambda s: F.exists(names, lambda n: F.contains(F.lower(s), F.lower(F.trim(n)))))
     rows = proposed.where(F.col("kind").isin(kinds)).withColumn("contexts", F.array_distinct(contexts)).where(F.size("contexts") > 0)
@@ -107,7 +107,7 @@ def joined_lines(lines: Column) -> Column:
 def sub_questions(question: Column) -> Column:
     """The questions of a text: its numbered lines if there are two, else what question marks divide, without requests
     and very short parts, if that makes two; else the text."""
-    lines = F.filter(F.transform(F.split(F.trim(question), r"\R+"), F.trim), lambda x: x != "")
+    lines = F.filter(trimmed(F.split(F.trim(question), r"\R+")), lambda x: x != "")
     mark = r"^\s*(?:[（(]?\d+[）).、．]|[一二三四五六七八九十]+[、.])\s*"
     numbered = F.filter(F.transform(F.filter(lines, lambda x: x.rlike(mark)), lambda x: F.trim(F.regexp_replace(x, mark, ""))), lambda x: F.length(x) >= 2)
     parts = F.transform(F.split(F.trim(question), "[？?]"), lambda x: F.regexp_replace(F.trim(x), r"^[，,；;、\s]+", ""))

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegrid.functions.arrays import trimmed
+
 
 def any_of(text: Column, words: list[str]) -> Column:
     """The text holds one of the words."""
@@ -142,7 +144,7 @@ KEYWORDS = ["新能源", "插混", "纯电", "800V", "固态电池", "智能驾
 
 
 def sentences(text: Column) -> Column:
-    return F.filter(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^。！？；\n]+[。！？；]?"), F.lit(0)), F.trim), lambda s: s != "")
+    return F.filter(trimmed(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^。！？；\n]+[。！？；]?"), F.lit(0))), lambda s: s != "")
 
 
 def event(sentence: Column) -> Column:
