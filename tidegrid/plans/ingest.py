@@ -10,6 +10,8 @@ from tidegrid.plans.registry import query
 from tidegrid.sources.tables import market_facts, market_sql, months_between, table
 
 _MONTHS = ["1996-01", "1996-02", "1996-03", "1996-04"]
+#: Rows of bands that a task sorts, as far as sheets can be dealt apart.
+_ROWS_A_TASK = 1_000_000
 
 
 @query(f"WITH {market_sql('brand', 'market')} SELECT brand, market, time_period, sum(wholesale) AS wholesale FROM facts WHERE time_period BETWEEN '1996-01' AND '1996-04' GROUP BY ALL")
@@ -35,10 +37,14 @@ def forward_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def gaps_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bands of rows that are at most two apart, of two rows or more."""
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("sheet"), F.col("l_partkey").alias("row")).distinct()
-    w = Window.partitionBy("sheet").orderBy("row")
-    rows = rows.withColumn("new", F.coalesce((F.col("row") - F.lag("row").over(w) > 2).cast("long"), F.lit(0)))
-    bands = rows.withColumn("band", F.sum("new").over(w)).groupBy("sheet", "band").agg(F.min("row").alias("first_row"), F.max("row").alias("last_row"), F.count(F.lit(1)).alias("n_rows"))
+    lines = table(spark, sf_dir, "lineitem")
+    tasks = 1 + lines.count() // _ROWS_A_TASK  # from the files' footers; a number that is given isn't merged to fewer
+    rows = lines.select(F.col("l_suppkey").alias("sheet"), F.col("l_partkey").alias("row")).repartition(tasks, "sheet")
+    w = Window.partitionBy("sheet").orderBy(F.asc_nulls_last("row"))
+    before = F.lag("row").over(w)
+    rows = rows.withColumns({"new": F.coalesce((F.col("row") - before > 2).cast("long"), F.lit(0)), "other": (~F.col("row").eqNullSafe(before) | (F.row_number().over(w) == 1)).cast("long")})
+    rows = rows.withColumn("band", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    bands = rows.groupBy("sheet", "band").agg(F.min("row").alias("first_row"), F.max("row").alias("last_row"), F.sum("other").alias("n_rows"))  # repeats in their order, so without a map of all rows
     return bands.where("n_rows >= 2")
 
 
