@@ -20,3 +20,10 @@ def test_bands_of_repeated_and_missing_rows_in_tasks_of_bounded_size(spark, tmp_
     df = __spark_entry__.queries()["gaps_islands"](spark, str(tmp_path))
     assert sorted(tuple(r) for r in df.select("sheet", "band", "first_row", "last_row", "n_rows").collect()) == [(1, 0, 1, 2, 2), (1, 1, 9, 11, 2), (1, 2, 30, 30, 2)]
     assert "RepartitionByExpression [sheet" in plan(df) and ", 7" in plan(df)
+
+
+def test_events_are_judged_once(spark):
+    rows = spark.createDataFrame([(1, "甲发布 新车。"), (2, "甲发布新车。"), (2, "乙。"), (3, None)], "k int, sentence string")
+    df = knowledge.distinct_events(rows, "k")
+    assert [(r["kind"], r["text"], r["n_sources"], r["first_source"]) for r in df.collect()] == [("产品发布", "甲发布新车。", 2, 1)]
+    assert plan(df).count(knowledge.EVENTS[0][1]) == 1

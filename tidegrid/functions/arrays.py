@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -25,3 +25,11 @@ def trimmed(texts: Column, spaces: str | None = None) -> Column:
 
     ``F.trim`` itself as a lambda would be given the place as what to trim, as it takes two columns."""
     return F.transform(texts, lambda x: F.trim(x) if spaces is None else F.trim(x, F.lit(spaces)))
+
+
+def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """The rows with a column that is computed once a row.
+
+    Filters on a column, and several uses of it, would be merged with what it is computed from, which they then do anew
+    each; past an ``explode`` nothing is moved."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrid.functions.arrays import trimmed
+from tidegrid.functions.arrays import once, trimmed
 
 
 def any_of(text: Column, words: list[str]) -> Column:
@@ -147,19 +147,30 @@ def sentences(text: Column) -> Column:
     return F.filter(trimmed(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^。！？；\n]+[。！？；]?"), F.lit(0))), lambda s: s != "")
 
 
+def _first(sentence: Column, pattern: str) -> Column:
+    return F.nullif(F.regexp_extract(sentence, pattern, 0), F.lit(""))
+
+
+def _event_kind(sentence: Column) -> Column:
+    return F.coalesce(*(F.when(sentence.rlike(p), k) for k, p in EVENTS))
+
+
+def _event_time(sentence: Column) -> Column:
+    return F.coalesce(*(_first(sentence, p) for p in TIMES))
+
+
 def event(sentence: Column) -> Column:
     """kind, time, effect and keywords of a sentence that tells of an event; null for any other."""
-    kind = F.coalesce(*(F.when(sentence.rlike(p), k) for k, p in EVENTS))
-    found = lambda p: F.nullif(F.regexp_extract(sentence, p, 0), F.lit(""))
+    kind, found = _event_kind(sentence), lambda p: _first(sentence, p)
     words = F.filter(F.array(*map(F.lit, KEYWORDS)), lambda w: F.contains(sentence, w))
-    return F.when(kind.isNotNull() & (F.length(F.trim(sentence)) >= 4), F.struct(kind.alias("kind"), F.coalesce(*map(found, TIMES)).alias("time"), F.trim(found(EFFECT)).alias("effect"), words.alias("keywords")))
+    return F.when(kind.isNotNull() & (F.length(F.trim(sentence)) >= 4), F.struct(kind.alias("kind"), _event_time(sentence).alias("time"), F.trim(found(EFFECT)).alias("effect"), words.alias("keywords")))
 
 
 def distinct_events(rows: DataFrame, key: str) -> DataFrame:
     """The events of sentences (key, sentence), each once by kind, text without white space and time, with all its sources."""
-    found = rows.withColumn("e", event(F.col("sentence"))).where(F.col("e").isNotNull())
+    found = once(rows.where(F.length(F.trim("sentence")) >= 4), "kind", _event_kind(F.col("sentence"))).where("kind is not null")
     bare = F.regexp_replace("sentence", r"\s+", "")
-    return found.groupBy(F.col("e.kind").alias("kind"), bare.alias("text"), F.col("e.time").alias("time")).agg(F.countDistinct(key).alias("n_sources"), F.min(key).alias("first_source"))
+    return found.groupBy("kind", bare.alias("text"), _event_time(F.col("sentence")).alias("time")).agg(F.countDistinct(key).alias("n_sources"), F.min(key).alias("first_source"))
 
 
 #: Headings of reports that decide a category, before any words do.

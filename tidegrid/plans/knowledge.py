@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidegrid.functions.arrays import once
 from tidegrid.operators import knowledge as op
 from tidegrid.plans.registry import query
 from tidegrid.sources.tables import table
@@ -164,7 +165,7 @@ _TEXTS = "CASE k " + " ".join(f"WHEN {i} THEN '{t}'" for i, (t, _) in enumerate(
 @query(f"WITH {_EVENT_ROWS} SELECT kind, {_TEXTS} AS text, time, count(DISTINCT o_custkey) AS n_sources, min(o_custkey) AS first_source FROM e WHERE kind IS NOT NULL GROUP BY ALL")
 def distinct_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events told in several places, each once with the number of its sources; white space makes no other event."""
-    rows = _text(spark, sf_dir).select("o_custkey", F.explode(op.sentences(F.col("text"))).alias("sentence"))
+    rows = once(_text(spark, sf_dir), "said", op.sentences(F.col("text"))).select("o_custkey", F.explode("said").alias("sentence"))
     spaced = rows.withColumn("sentence", F.regexp_replace("sentence", "(.)([。！])$", "$1  $2"))
     return op.distinct_events(spaced.unionByName(rows), "o_custkey")
 
