@@ -27,3 +27,12 @@ def test_events_are_judged_once(spark):
     df = knowledge.distinct_events(rows, "k")
     assert [(r["kind"], r["text"], r["n_sources"], r["first_source"]) for r in df.collect()] == [("产品发布", "甲发布新车。", 2, 1)]
     assert plan(df).count(knowledge.EVENTS[0][1]) == 1
+
+
+def test_sources_are_not_visited_one_by_one(spark, tmp_path):
+    rows = spark.range(3000).select(F.when(F.col("id") > 0, F.col("id").cast("string")).alias("source"), F.lit(1000).cast("long").alias("every_ms"), F.lit(0).cast("long").alias("takes_ms"))
+    for s in (1, 2, 2):  # the last ones come too late to count
+        rows.withColumn("ts", F.timestamp_seconds(F.lit(s))).coalesce(1).write.mode("append").parquet(str(tmp_path))
+    found = timers.triggers(spark, str(tmp_path))
+    assert found.count() == 3000 and found.where("source is null and not skipped and due = fired").count() == 1
+    assert not hasattr(timers, "_Triggers")

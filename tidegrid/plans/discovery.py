@@ -176,7 +176,7 @@ _HOUR = 3_600_000
 def source_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The triggers of a source for each user by a replayed clock: late ones coalesce, and one that comes during a run is skipped."""
     path = files.scratch(spark, "ticks")
-    users = table(spark, sf_dir, "events").select("user_id").distinct()
+    users = files.written(table(spark, sf_dir, "events").select("user_id").distinct(), "users")  # found once, not for every moment
     for t in _TICKS:
         rows = users.select(F.col("user_id").cast("string").alias("source"), F.lit(t).cast("timestamp").alias("ts"), ((F.col("user_id") % 5 + 1) * _HOUR).alias("every_ms"), (F.col("user_id") % 3 * 4 * _HOUR).alias("takes_ms"))
         rows.coalesce(1).write.mode("append").parquet(path)  # a moment of the clock is one file

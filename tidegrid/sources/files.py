@@ -36,6 +36,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
+
+
 def written(rows: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder, where their lineage ends."""
     path = scratch(rows.sparkSession, name)

@@ -1,7 +1,7 @@
 """Timers and counters that expire, as state of a stream: triggers of sources by a replayed clock, and limits of calls.
 
-A clock is a stream of ticks; its watermark is the time. Each source is a key, so sources are dealt over tasks, and what a source
-keeps is a few numbers. A source's timer fires when the clock has passed it, once however many of its times have passed meanwhile (late
+A clock is a stream of ticks; the latest tick so far is the time. What a source keeps is a few numbers, a row of a table that
+each batch renews, so all sources are dealt over tasks and none is visited alone. A source's timer fires when the clock has passed it, once however many of its times have passed meanwhile (late
 triggers coalesce), and not while its last run still goes on; the next timer is the first time after now. The same ticks give the same
 triggers whenever they are replayed: nothing reads the machine's time.
 
@@ -17,41 +17,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tidegrid.sources.files import scratch
+from tidegrid.sources.files import exists, scratch
 
 _STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class _Triggers(StatefulProcessor):
-    """Per source: the next time (a whole number of intervals, in milliseconds) and when the last run ends."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("state", "every long, takes long, due long, busy long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for batch in rows:
-            if not self.state.exists() and len(batch):
-                first = batch.sort_values("ms").iloc[0]
-                every, now = int(first["every_ms"]), int(first["ms"])
-                due = (now // every + 1) * every
-                self.state.update((every, int(first["takes_ms"]), due, -1))
-                self.handle.registerTimer(due)
-        yield pd.DataFrame(columns=["source", "due_ms", "fired_ms", "skipped"]).astype({"due_ms": "int64", "fired_ms": "int64", "skipped": "bool"})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        every, takes, due, busy = self.state.get()
-        now = timerValues.getCurrentWatermarkInMs()
-        skipped = busy > now
-        following = (now // every + 1) * every
-        self.state.update((every, takes, following, busy if skipped else now + takes))
-        self.handle.registerTimer(following)
-        yield pd.DataFrame({"source": [key[0]], "due_ms": [due], "fired_ms": [now], "skipped": [skipped]})
-
-    def close(self) -> None:
-        pass
-
-
 class _Calls(StatefulProcessor):
     """Per caller: how many calls since the first one of its window, and when that ends."""
 
@@ -91,16 +61,46 @@ def _run(rows: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(f"{base}/rows")
 
 
+def _after(held: DataFrame | None, ticks: DataFrame) -> DataFrame:
+    """Per source what is kept after a batch of ticks: every, takes, due (its next time, a whole number of intervals), busy (when its last run ends), clock (the
+    latest tick of all, the time now), and of the trigger that has come, if one has: set_for and skipped. Times are in milliseconds."""
+    now = ticks.agg(F.max("ms").alias("_now"))  # one row
+    if held is not None:
+        last = held.agg(F.max("clock").alias("_last"))
+        now = now.crossJoin(F.broadcast(last)).select(F.greatest("_now", "_last").alias("_now"))
+        ticks = ticks.crossJoin(F.broadcast(last)).where("_last is null or ms > _last")  # later ones than the clock alone
+    first = F.struct(F.col("ms"), F.col("every_ms").alias("every"), F.col("takes_ms").alias("takes"), (F.floor(F.col("ms") / F.col("every_ms")).cast("long") * F.col("every_ms") + F.col("every_ms")).alias("due"), F.lit(-1).cast("long").alias("busy"))
+    rows = ticks.select("source", first.alias("s"))
+    if held is not None:  # a source that is known goes before all ticks
+        rows = rows.unionByName(held.select("source", F.struct(F.lit(-(2**63)).cast("long").alias("ms"), "every", "takes", "due", "busy").alias("s")))
+    rows = rows.groupBy("source").agg(F.min("s").alias("s")).select("source", "s.every", "s.takes", "s.due", "s.busy").crossJoin(F.broadcast(now))
+    fires, skipped = F.col("due") <= F.col("_now"), F.col("busy") > F.col("_now")
+    following = F.floor(F.col("_now") / F.col("every")).cast("long") * F.col("every") + F.col("every")
+    return rows.select(
+        "source", "every", "takes", F.when(fires, following).otherwise(F.col("due")).alias("due"), F.when(fires & ~skipped, F.col("_now") + F.col("takes")).otherwise(F.col("busy")).alias("busy"),
+        F.col("_now").alias("clock"), F.when(fires, F.col("due")).alias("set_for"), F.when(fires, skipped).alias("skipped"),
+    )
+
+
 def triggers(spark: SparkSession, ticks: str) -> DataFrame:
     """source, due (the time the timer was set for), fired (the clock's time) and skipped of each trigger.
 
-    ``ticks``: a folder of files, each the ticks of one moment, in the order of their times: source, ts, every_ms and takes_ms."""
-    schema = "source string, ts timestamp, every_ms long, takes_ms long"
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(ticks).withColumn("ms", F.unix_millis("ts")).withWatermark("ts", "0 seconds")
-    out = "source string, due_ms long, fired_ms long, skipped boolean"
-    rows = stream.groupBy("source").transformWithStateInPandas(_Triggers(), out, "Append", "EventTime")
-    found = _run(rows, "triggers")
-    return found.select("source", F.timestamp_millis("due_ms").alias("due"), F.timestamp_millis("fired_ms").alias("fired"), "skipped")
+    ``ticks``: a folder of files, each the ticks of one moment, in the order of their times: source, ts, every_ms and takes_ms. What sources keep is a table,
+    which every batch joins with its ticks and writes anew under its number, so a batch that is run again gives the same."""
+    base = scratch(spark, "triggers")
+    kept = "source string, every long, takes long, due long, busy long, clock long, set_for long, skipped boolean"
+
+    def step(batch: DataFrame, number: int) -> None:
+        own = batch.sparkSession
+        held = own.read.schema(kept).parquet(f"{base}/kept/{number - 1}") if number else None
+        _after(held, batch.select("source", F.unix_millis("ts").alias("ms"), "every_ms", "takes_ms")).write.mode("overwrite").parquet(f"{base}/kept/{number}")
+        fired = own.read.schema(kept).parquet(f"{base}/kept/{number}").where("set_for is not null")
+        fired.select("source", "set_for", "clock", "skipped").write.mode("overwrite").parquet(f"{base}/rows/batch={number}")
+
+    stream = spark.readStream.schema("source string, ts timestamp, every_ms long, takes_ms long").option("maxFilesPerTrigger", 1).parquet(ticks)
+    stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.schema("source string, set_for long, clock long, skipped boolean, batch int").parquet(f"{base}/rows") if exists(spark, f"{base}/rows") else spark.createDataFrame([], "source string, set_for long, clock long, skipped boolean")
+    return found.select("source", F.timestamp_millis("set_for").alias("due"), F.timestamp_millis("clock").alias("fired"), "skipped")
 
 
 def limited_calls(spark: SparkSession, calls: str, limit: int, window_ms: int) -> DataFrame:
