@@ -36,3 +36,8 @@ def test_sources_are_not_visited_one_by_one(spark, tmp_path):
     found = timers.triggers(spark, str(tmp_path))
     assert found.count() == 3000 and found.where("source is null and not skipped and due = fired").count() == 1
     assert not hasattr(timers, "_Triggers")
+def test_entities_are_looked_for_once(spark):
+    rows = spark.createDataFrame([(1, 0, "x", None, "company", "X 甲。乙"), (2, 0, "y", "z, 甲", "company", "甲！")], "chunk int, place int, name string, aliases string, kind string, text string")
+    df = graph.grounded(rows, "text", ["company"])
+    assert sorted((r["chunk"], r["contexts"]) for r in df.collect()) == [(1, ["X 甲。"]), (2, ["甲！"])]
+    assert plan(df).count("regexp_extract_all") == 1

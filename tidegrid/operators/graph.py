@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrid.functions.arrays import holding, trimmed
+from tidegrid.functions.arrays import holding, once, trimmed
 
 
 def name_key(name: Column) -> Column:
@@ -38,9 +38,10 @@ def grounded(proposed: DataFrame, text: str, kinds: list[str]) -> DataFrame:
     """entity, kind and contexts of proposed entities (name, aliases, kind, and a chunk's text) that the text names: the
     sentences that do. Other kinds and names that no sentence holds drop; of one name and kind the first stays."""
     pieces = F.filter(trimmed(F.regexp_extract_all(F.col(text), F.lit(r"[^。！？；\n]+[。！？；]?"), F.lit(0))), lambda s: s != "")
-    names = F.filter(F.concat(F.array(F.col("name")), F.split(F.coalesce("aliases", F.lit("")), ",")), lambda n: F.trim(n) != "")
-    contexts = F.filter(pieces, lambda s: F.exists(names, lambda n: F.contains(F.lower(s), F.lower(F.trim(n)))))
-    rows = proposed.where(F.col("kind").isin(kinds)).withColumn("contexts", F.array_distinct(contexts)).where(F.size("contexts") > 0)
+    names = F.filter(F.transform(F.concat(F.array(F.col("name")), F.split(F.coalesce("aliases", F.lit("")), ",")), lambda n: F.lower(F.trim(n))), lambda n: n != "")
+    says = lambda s, ns: holding(F.lower(s), lambda low: F.exists(ns, lambda n: F.contains(low, n)))
+    contexts = holding(names, lambda ns: F.filter(pieces, lambda s: says(s, ns)))
+    rows = once(proposed.where(F.col("kind").isin(kinds)), "contexts", F.array_distinct(contexts)).where(F.size("contexts") > 0)
     first = F.row_number().over(Window.partitionBy("chunk", "name", "kind").orderBy("place"))
     return rows.withColumn("nth", first).where("nth = 1").select("chunk", F.col("name").alias("entity"), "kind", "contexts")
 
