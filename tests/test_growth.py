@@ -41,3 +41,8 @@ def test_entities_are_looked_for_once(spark):
     df = graph.grounded(rows, "text", ["company"])
     assert sorted((r["chunk"], r["contexts"]) for r in df.collect()) == [(1, ["X 甲。"]), (2, ["甲！"])]
     assert plan(df).count("regexp_extract_all") == 1
+
+
+def test_a_name_is_cleaned_once(spark):
+    df = spark.createDataFrame([("国内 批发销量",)], "c string").select(headers.metric_named(F.col("c")).alias("m"))
+    assert df.first()["m"] == "domestic_wholesale" and plan(df).count("regexp_replace") == 1
