@@ -46,3 +46,8 @@ def test_entities_are_looked_for_once(spark):
 def test_a_name_is_cleaned_once(spark):
     df = spark.createDataFrame([("国内 批发销量",)], "c string").select(headers.metric_named(F.col("c")).alias("m"))
     assert df.first()["m"] == "domestic_wholesale" and plan(df).count("regexp_replace") == 1
+
+
+def test_edges_are_sorted_once_and_held_in_no_map(spark):
+    text = __spark_entry__.queries()["edges_with_evidence"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in text and text.count("Sort [from_key") == 1

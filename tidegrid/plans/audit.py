@@ -147,9 +147,13 @@ def edges_with_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relations by both ends and type: how often, from how many sources, and ten places at most that say so."""
     rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_suppkey").alias("from_key"), F.col("o_custkey").alias("to_key"), F.col("l_returnflag").alias("type"), "o_orderkey", "l_linenumber")
     keys = ["from_key", "to_key", "type"]
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy("o_orderkey", "l_linenumber"))
-    kept = F.array_sort(F.collect_list(F.when(F.col("n") <= 10, F.struct("o_orderkey", "l_linenumber"))))
-    by = rows.withColumn("n", place).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_mentions"), F.countDistinct("o_orderkey").alias("n_sources"), kept.alias("at"))
+    order = Window.partitionBy(*keys).orderBy("o_orderkey", "l_linenumber")
+    # One sort serves all: the figures are those of whole groups, taken at their first rows.
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumns({"n": F.row_number().over(order), "before": F.lag("o_orderkey").over(order)})
+    source = F.sum(F.when(F.col("before").isNull() | (F.col("before") != F.col("o_orderkey")), F.lit(1).cast("long"))).over(whole)
+    kept = F.collect_list(F.when(F.col("n") <= 10, F.struct("o_orderkey", "l_linenumber"))).over(whole)
+    by = rows.withColumns({"n_mentions": F.count(F.lit(1)).over(whole), "n_sources": source, "at": kept}).where("n = 1")
     return by.select(*keys, "n_mentions", "n_sources", F.array_join(F.transform("at", lambda e: F.concat_ws(".", e["o_orderkey"].cast("string"), e["l_linenumber"].cast("string"))), ",").alias("evidences"))
 
 
