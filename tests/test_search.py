@@ -61,3 +61,11 @@ def test_domains_and_kinds(spark):
     asked = {"销售费用是多少": ("FINANCIAL", "FACT"), "销售量对比": ("VEHICLE_SALES", "COMPARISON"), "有哪些产品系列": ("PRODUCT", "FACT"), "": ("GENERAL", "GENERAL"), "研发项目如何": ("RESEARCH", "SUMMARY")}
     df = spark.createDataFrame([(q,) for q in asked], "q string").select("q", op.domain(F.col("q")).alias("d"), op.kind(F.col("q")).alias("k"))
     assert {x["q"]: (x["d"], x["k"]) for x in df.collect()} == asked
+
+
+def test_tasks_of_an_index_follow_its_texts(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "abc " * 10) for k in range(40)] + [(1, "abd")], "id int, text string")
+    monkeypatch.setattr(op, "CHARACTERS", 100, raising=False)
+    postings, grams = op.index_of(docs, "id", "text")
+    assert len(postings.inputFiles()) > 4  # more than shuffle partitions that the session has
+    assert {tuple(r) for r in postings.where("id = 1").collect()} == {("ab", 1, 11), ("bc", 1, 10), ("bd", 1, 1)} and postings.count() == 81 and grams.count() == 3

@@ -18,10 +18,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegrid.functions.arrays import once
 from tidegrid.sources.files import written
 
 #: Bytes of a dictionary's terms that a task receives at once.
 MOST = 32 << 20
+#: Characters whose grams a task counts and sorts; the number of tasks follows from it, whatever their texts compress to.
+CHARACTERS = 8_000_000
 _FOUND = pa.list_(pa.struct([("place", pa.int32()), ("end", pa.int32()), ("term", pa.string())]))
 
 
@@ -84,10 +87,13 @@ def bigrams(text: Column) -> Column:
 
 def index_of(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """An index as two tables: postings (gram, key, tf) in order of grams, and grams (gram, idf), log10 of documents over documents that hold it."""
-    counts = docs.select(key, F.explode(bigrams(F.col(text))).alias("gram")).groupBy("gram", key).agg(F.count(F.lit(1)).alias("tf"))
-    # A gram that a third of all documents hold is in several files; each file holds few grams, in order.
-    postings = written(counts.repartition("gram", F.pmod(F.xxhash64(key), F.lit(8))).sortWithinPartitions("gram"), "postings")
-    n = docs.count()
+    n, chars = docs.agg(F.count(F.lit(1)), F.sum(F.length(text).cast("long"))).first()
+    tasks = 1 + (chars or 0) // CHARACTERS
+    held = once(docs.select(key, text).repartition(tasks, key), "grams", bigrams(F.col(text)))
+    counts = held.select(key, F.explode("grams").alias("gram")).groupBy("gram", key).agg(F.count(F.lit(1)).alias("tf"))  # where the document is
+    # A gram that many documents hold is in several files, the more the more documents there are; each file holds few grams, in order.
+    several = max(8, 1 + n // 1_000_000)
+    postings = written(counts.repartition(tasks, "gram", F.pmod(F.xxhash64(key), F.lit(several))).sortWithinPartitions("gram"), "postings")
     grams = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).select("gram", F.log10(F.lit(n) / F.col("df")).alias("idf"))
     return postings, written(grams, "grams")
 
