@@ -169,7 +169,7 @@ def _rows(ranks_path: str, pattern: str):
         for batch in steps(batches):
             units = spaced_units(texts_of(batch))
             written, lengths, decoded = [], [], []
-            matches = [[x.encode() for x in split(name)] for name in units.names]
+            matches = [[x.encode() for x in split(name)] for name in units.names.to_pylist()]
             known = encoder.encode_all({x for own in matches for x in own})
             for own in matches:
                 ids = [i for x in own for i in known[x]]

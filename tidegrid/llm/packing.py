@@ -93,24 +93,27 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
 def _pieces(tokenizer: str, spaced: bool, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = TokenizerCodec(tokenizer, spaced)
-        place, batch = TaskContext.get().partitionId() << 33, None
+        place, batch, docs = TaskContext.get().partitionId() << 33, None, None
         for batch in steps(batches):
-            ids, counts = with_end(*codec.encode(texts_of(batch)), end_id)
-            n = -(-counts // capacity)
-            number = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            first = counts - (n - 1) * capacity
-            lengths = np.where(number == 0, np.repeat(first, n), capacity)
-            starts = np.where(number == 0, 0, np.repeat(first, n) + (number - 1) * capacity)
-            ends = np.cumsum(lengths).tolist()  # pieces follow one another in the ids
-            raw = memoryview(ids.astype("<u4").view(np.uint8))
-            crcs = [zlib.crc32(raw[4 * (e - k) : 4 * e]) for e, k in zip(ends, lengths.tolist(), strict=True)]
-            owner = pa.array(np.repeat(np.arange(len(n)), n))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(owner), pa.array(number.astype(np.int32)), pa.array(starts), pa.array(lengths), pa.array(crcs, pa.int64()), pa.array(np.arange(place, place + len(number)))],
-                names=["doc_id", "piece", "start", "length", "ids_crc32", "place"],
-            )
-            place += len(number)
-        del codec, batch
+            docs = batch.column(0)
+            for ids, counts in codec.encoded(texts_of(batch)):
+                ids, counts = with_end(ids, counts, end_id)
+                n = -(-counts // capacity)
+                number = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                first = counts - (n - 1) * capacity
+                lengths = np.where(number == 0, np.repeat(first, n), capacity)
+                starts = np.where(number == 0, 0, np.repeat(first, n) + (number - 1) * capacity)
+                ends = np.cumsum(lengths).tolist()  # pieces follow one another in the ids
+                raw = memoryview(ids.astype("<u4", copy=False).view(np.uint8))
+                crcs = [zlib.crc32(raw[4 * (e - k) : 4 * e]) for e, k in zip(ends, lengths.tolist(), strict=True)]
+                owner = pa.array(np.repeat(np.arange(len(n)), n))
+                yield pa.RecordBatch.from_arrays(
+                    [docs.take(owner), pa.array(number.astype(np.int32)), pa.array(starts), pa.array(lengths), pa.array(crcs, pa.int64()), pa.array(np.arange(place, place + len(number)))],
+                    names=["doc_id", "piece", "start", "length", "ids_crc32", "place"],
+                )
+                place += len(number)
+                docs = docs.slice(len(n))
+        del codec, batch, docs
         give_back()
 
     return run

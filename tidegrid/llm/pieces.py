@@ -10,6 +10,8 @@ from __future__ import annotations
 import gc
 import json
 import re
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,8 @@ from tidegrid.llm.common import Words, spawn_env, spread
 _RUN = r"[\s\pZ\x{1c}-\x{1f}\x{85}] "
 #: Units, and matches of other units than words, that a worker remembers with their ids; beyond it starts afresh.
 REMEMBERED, REMEMBERED_MATCHES = 400_000, 100_000
+#: Names that are Python strings at once, and units whose ids stand at once; a longer text is a run of its own.
+BLOCK, RUN_UNITS = 1 << 14, 1 << 17
 #: Fixed value: the pattern of byte-level pre-tokenizers.
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _SPACE = "\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -33,13 +37,13 @@ _CHUNK = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 class Units:
     """``names``: distinct units; ``index``: into them, in reading order; ``offsets``: of each text's first one."""
 
-    def __init__(self, names: list[str], index: np.ndarray, offsets: np.ndarray):
+    def __init__(self, names: pa.Array, index: np.ndarray, offsets: np.ndarray):
         self.names, self.index, self.offsets = names, index, offsets
 
 
 def word_units(texts: pa.Array) -> Units:
     words = Words(pc.ascii_lower(texts))  # such vocabularies ignore case
-    return Units(words.names.to_pylist(), words.index, words.offsets)
+    return Units(words.names, words.index, words.offsets)
 
 
 def spaced_units(texts: pa.Array) -> Units:
@@ -51,13 +55,13 @@ def spaced_units(texts: pa.Array) -> Units:
     offsets = lists.offsets.to_numpy().astype(np.int64)
     flat = lists.values.slice(offsets[0], offsets[-1] - offsets[0])
     coded = flat.dictionary_encode()
-    index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    index, own = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+    del lists, flat, coded
     counts = np.diff(offsets)
     first = np.zeros(len(index), bool)
     first[(offsets[:-1] - offsets[0])[counts > 0]] = True
     bare, inner = np.unique(index[first], return_inverse=True)  # a text's first unit has no space before it
-    own = coded.dictionary.to_pylist()
-    names = [f" {x}" for x in own] + [own[i] for i in bare]
+    names = pa.concat_arrays([pc.binary_join_element_wise(pa.scalar("", own.type), own, pa.scalar(" ", own.type)), own.take(pa.array(bare))])
     index[first] = len(own) + inner
     if not plain.all():  # texts with runs of white space are split one by one
         known: dict[str, int] = {}
@@ -69,7 +73,7 @@ def spaced_units(texts: pa.Array) -> Units:
                 found = (known.setdefault(x, len(known)) for x in _CHUNK.findall(texts[i].as_py()))
                 parts.append(np.fromiter(found, np.int64) + len(names))
                 counts[i] = len(parts[-1])
-        index, names = np.concatenate(parts), names + list(known)
+        index, names = np.concatenate(parts), pa.concat_arrays([names, pa.array(list(known), names.type)])
     return Units(names, index, np.concatenate([[0], np.cumsum(counts)]))
 
 
@@ -104,11 +108,14 @@ class TokenizerCodec:
 
     def _encode(self, unit: str) -> list[int]:
         """The ids of a unit: its matches, each by the library's model; unusual characters by the whole library."""
+        spaced = unit[:1] == " "
+        if self.whole and unit.isascii() and (unit[1:] if spaced else unit).isalpha():  # such letters stand for themselves
+            return [t.id for t in self.tokenizer.model.tokenize(chr(self.shown[32]) + unit[1:] if spaced else unit)]
         if not _PLAIN(unit):
             return self.tokenizer.encode(unit, add_special_tokens=False).ids
         if self.tokenizer.normalizer and not unit.isascii():
             unit = self.tokenizer.normalizer.normalize_str(unit)
-        if self.whole and (unit[1:] if unit[:1] == " " else unit).isalpha():
+        if self.whole and (unit[1:] if spaced else unit).isalpha():
             return [t.id for t in self.tokenizer.model.tokenize(unit.encode().decode("latin-1").translate(self.shown))]
         out: list[int] = []
         for match in self.split(unit):
@@ -121,7 +128,7 @@ class TokenizerCodec:
             out += ids
         return out
 
-    def _numbers(self, names: list[str]) -> np.ndarray:
+    def _numbers(self, names: pa.Array) -> np.ndarray:
         """Each unit's number in what this worker remembers; units it hasn't seen are encoded."""
         gc.disable()  # millions of small lists and strings, no cycles
         try:
@@ -129,19 +136,23 @@ class TokenizerCodec:
         finally:
             gc.enable()
 
-    def _known_numbers(self, names: list[str]) -> np.ndarray:
+    def _known_numbers(self, names: pa.Array) -> np.ndarray:
         if len(self.known) > REMEMBERED:
             self._forget()
-        new = list(dict.fromkeys(n for n in names if n not in self.known))
-        ids, lengths = [], []
-        for unit in new:
-            own = self._encode(unit)
-            ids += own
-            lengths.append(len(own))
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        known, ids, lengths = self.known, array("I"), array("q")
+        numbers = np.empty(len(names), np.int32)
+        for at in range(0, len(names), BLOCK):
+            block = names.slice(at, BLOCK).to_numpy(zero_copy_only=False).tolist()  # much faster than to_pylist
+            for unit in block:
+                if unit not in known:
+                    own = self._encode(unit)
+                    ids.extend(own)
+                    lengths.append(len(own))
+                    known[unit] = len(known)
+            numbers[at : at + BLOCK] = np.fromiter(map(known.__getitem__, block), np.int32, len(block))
         self.flat = np.concatenate([self.flat, np.array(ids, np.uint32)])
         self.lengths = np.concatenate([self.lengths, np.array(lengths, np.int64)])
-        return np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))
+        return numbers
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
@@ -150,24 +161,34 @@ class TokenizerCodec:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after another, and each text's number of ids. Texts that hold an added token's string
         are encoded whole by the library."""
+        ids, counts = zip(*self.encoded(texts), strict=True)
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def encoded(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``encode`` for runs of consecutive texts, in their order, so that few ids stand at once."""
         low, holds = pc.ascii_lower(texts), np.zeros(len(texts), bool)
         for content in self.added:
             holds |= pc.match_substring(low, content).to_numpy(zero_copy_only=False)
-        ids, counts = self._by_units(pc.if_else(pa.array(holds), "", texts) if holds.any() else texts)
-        if holds.any():
-            parts = np.split(ids, np.cumsum(counts)[:-1])
-            for i in np.flatnonzero(holds).tolist():
-                parts[i] = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32)
-            ids, counts = np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
-        return ids, counts
-
-    def _by_units(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        units = self.units(texts)
-        number = self._numbers(units.names)[units.index] if len(units.index) else units.index
-        starts = np.cumsum(self.lengths) - self.lengths
-        of_unit = self.lengths[number]
-        before = np.concatenate([[0], np.cumsum(of_unit)])
-        return self.flat[spread(of_unit, starts[number])], np.diff(before[units.offsets])
+        del low
+        units = self.units(pc.if_else(pa.array(holds), "", texts) if holds.any() else texts)
+        offsets, number = units.offsets, self._numbers(units.names)[units.index] if len(units.index) else units.index
+        del units
+        starts, a = np.cumsum(self.lengths) - self.lengths, 0
+        while True:
+            b = min(len(texts), max(a + 1, int(np.searchsorted(offsets, offsets[a] + RUN_UNITS, side="right")) - 1))
+            own = number[offsets[a] : offsets[b]]
+            of_unit = self.lengths[own]
+            before = np.concatenate([[0], np.cumsum(of_unit)])
+            ids, counts = self.flat[spread(of_unit, starts[own])], np.diff(before[offsets[a : b + 1] - offsets[a]])
+            if holds[a:b].any():
+                parts = np.split(ids, np.cumsum(counts)[:-1])
+                for i in np.flatnonzero(holds[a:b]).tolist():
+                    parts[i] = np.array(self.tokenizer.encode(texts[a + i].as_py(), add_special_tokens=False).ids, np.uint32)
+                ids, counts = np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+            yield ids, counts
+            a = b
+            if a >= len(texts):
+                return
 
 
 def with_end(ids: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
